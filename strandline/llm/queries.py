@@ -26,10 +26,39 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from strandline.llm.shared import new_path
+    from strandline.llm.token_files import read_token_files, write_token_files
+
+    path = new_path(spark, "tokens")
+    write_token_files(_table(spark, sf_dir, "documents", "doc_id", "text"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return read_token_files(spark, path, with_ids=False)
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from strandline.llm.bpe import bpe_round_trip
+
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    return bpe_round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False, with_text=False)
+
+
+def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.minhash_dedup import near_dedup
+
+    return near_dedup(_table(spark, sf_dir, "documents", "doc_id", "text"), shingle=4, part=80, whole=100)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op3_token_files": op3_token_files,
         "op5_suffix_dedup": op5_suffix_dedup,
+        "op7_byte_bpe": op7_byte_bpe,
+        "op8_minhash_dedup": op8_minhash_dedup,
     }
 
 
@@ -54,5 +83,29 @@ FROM w LEFT JOIN k ON w.doc_id = k.doc_id
 """
 
 
+_OP8 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM w WHERE len(ws) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), both AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), half AS (
+  SELECT a, b FROM both JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)
+), link AS (
+  SELECT a, b FROM half UNION ALL SELECT b, a FROM half
+), reach(doc_id, at) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON link.a = reach.at
+), c AS (
+  SELECT doc_id, min(at) AS component_id FROM reach GROUP BY doc_id
+)
+SELECT c.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, c.doc_id = component_id AS kept
+FROM c LEFT JOIN n ON n.doc_id = c.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": _OP1}
+    return {"op1_substring_dedup": _OP1, "op8_minhash_dedup": _OP8}
