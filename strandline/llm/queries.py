@@ -26,6 +26,15 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.chat import digests, format_chats
+
+    turns = _table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.range(2).selectExpr("-7L AS conv_id", "id AS turn", "IF(id = 0, 'user', 'assistant') AS role", f"'{said}' AS text")
+    return digests(format_chats(turns.unionByName(more)))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -37,6 +46,13 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_token_files(spark, path, with_ids=False)
 
 
+def op6_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.ogg import media_columns, read_media
+
+    stored = media_columns(_table(spark, sf_dir, "documents", "doc_id", "text")).drop("text")
+    return read_media(stored).drop("error")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -52,19 +68,28 @@ def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(_table(spark, sf_dir, "documents", "doc_id", "text"), shingle=4, part=80, whole=100)
 
 
+def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.order_minhash import order_fingerprints
+
+    return order_fingerprints(_table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
+        "op2_chat_format": op2_chat_format,
         "op3_token_files": op3_token_files,
         "op5_suffix_dedup": op5_suffix_dedup,
+        "op6_ogg_media": op6_ogg_media,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_minhash_dedup": op8_minhash_dedup,
+        "op9_order_minhash": op9_order_minhash,
     }
 
 
 _OP1 = r"""
 WITH w AS (
-  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
 ), win AS (
   SELECT doc_id, i, array_to_string(ws[i:i + 34], ' ') AS s
   FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)
@@ -83,24 +108,44 @@ FROM w LEFT JOIN k ON w.doc_id = k.doc_id
 """
 
 
+_OP2 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *,
+    replace(replace(replace(role, '\', '\\'), '[', '[\'), '<', '<\') AS safe_role, replace(replace(replace(text, '\', '\\'), '[', '[\'), '<', '<\') AS safe_text,
+    role || chr(10) || text AS x
+  FROM t
+), f AS (
+  SELECT *, contains(x, '<s>') OR contains(x, '</s>') OR contains(x, '[INST]') OR contains(x, '[/INST]') OR contains(x, '\\') OR contains(x, '[\') OR contains(x, '<\') AS conflict FROM e
+)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  sum(CASE WHEN conflict THEN length(safe_role) + length(safe_text) ELSE length(role) + length(text) END + CASE WHEN role = 'assistant' THEN 16 ELSE 18 END)::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id
+"""
+
 _OP8 = r"""
 WITH RECURSIVE w AS (
-  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
   FROM documents
 ), s AS (
   SELECT DISTINCT doc_id, array_to_string(ws[i:i + 3], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 2))) AS i FROM w WHERE len(ws) > 0)
 ), n AS (
   SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
-), both AS (
+), common AS (
   SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s AS a JOIN s AS b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
 ), half AS (
-  SELECT a, b FROM both JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)
+  SELECT a, b FROM common JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)
 ), link AS (
   SELECT a, b FROM half UNION ALL SELECT b, a FROM half
-), reach(doc_id, at) AS (
-  SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON link.a = reach.at
+), reach(doc_id, seen) AS (
+  SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, link.b FROM reach JOIN link ON link.a = reach.seen
 ), c AS (
-  SELECT doc_id, min(at) AS component_id FROM reach GROUP BY doc_id
+  SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY doc_id
 )
 SELECT c.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, c.doc_id = component_id AS kept
 FROM c LEFT JOIN n ON n.doc_id = c.doc_id
@@ -108,4 +153,4 @@ FROM c LEFT JOIN n ON n.doc_id = c.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": _OP1, "op8_minhash_dedup": _OP8}
+    return {"op1_substring_dedup": _OP1, "op2_chat_format": _OP2, "op8_minhash_dedup": _OP8}
