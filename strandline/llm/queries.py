@@ -19,6 +19,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.quality import quality_scores
+
+    return quality_scores(_table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "labels"), with_text=False)
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandline.llm.suffix_dedup import suffix_dedup
 
@@ -74,16 +80,24 @@ def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_fingerprints(_table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.mixing import mix
+
+    return mix(_table(spark, sf_dir, "documents", "doc_id", "text", "source"), _table(spark, sf_dir, "labels"), with_text=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
         "op2_chat_format": op2_chat_format,
         "op3_token_files": op3_token_files,
+        "op4_quality": op4_quality,
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_ogg_media": op6_ogg_media,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_minhash_dedup": op8_minhash_dedup,
         "op9_order_minhash": op9_order_minhash,
+        "op10_mixing": op10_mixing,
     }
 
 
