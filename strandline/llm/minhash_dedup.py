@@ -26,7 +26,7 @@ from strandline.llm import textbytes as tb
 from strandline.llm.components import components
 
 #: Words of 64 bits in a sketch. Standard deviations of the estimate by which a pair may fall short and still pass.
-SKETCH, SLACK = 4, 6
+SKETCH, SLACK = 4, 5
 #: Pairs of one first document, and rows of one band, for a task; of more, each part gets a copy of the other side.
 PAIRS, ROWS = 2000, 20_000
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -148,24 +148,63 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, part: int, whole: int
 
 
 def _across(ones: int, most: int):
-    """Pairs across components of one part of a band's group: for each asking row its likeliest ``most``."""
-    import pandas as pd
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        asks = rows[rows.asks].drop_duplicates("id")
-        members = rows[~rows.asks].drop_duplicates("id")
-        sketch = np.stack(members.sketch.to_numpy()).view(np.uint64) if len(members) else np.empty((0, SKETCH), np.uint64)
-        ids, comps = members.id.to_numpy(), members.comp.to_numpy()
-        out, cut = [], False
-        for i, c, s in zip(asks.id, asks.comp, asks.sketch, strict=True):
-            differ = np.bitwise_count(sketch ^ np.asarray(s).view(np.uint64)).sum(axis=1)
-            ok = np.flatnonzero((differ <= ones) & (comps != c))
+    """Pairs across components within parts of bands' groups: for each asking row its likeliest ``most``.
+
+    Rows come sorted by (band, part); one part of one group is held at a time.
+    """
+
+    def pairs(ids: np.ndarray, comps: np.ndarray, asks: np.ndarray, sketch: np.ndarray) -> tuple[list, list, bool]:
+        members = np.flatnonzero(~asks)
+        sketch_of, id_of, comp_of = sketch[members], ids[members], comps[members]
+        a, b, cut = [], [], False
+        for k in np.flatnonzero(asks).tolist():
+            differ = np.bitwise_count(sketch_of ^ sketch[k]).sum(axis=1)
+            ok = np.flatnonzero((differ <= ones) & (comp_of != comps[k]))
             if len(ok) > most:
                 cut, ok = True, ok[np.argsort(differ[ok], kind="stable")[:most]]
-            out += [(min(i, x), max(i, x), False) for x in ids[ok].tolist()]
-        if cut:
-            out.append((None, None, True))
-        return pd.DataFrame(out, columns=["a", "b", "cut"]).astype({"a": "Int64", "b": "Int64", "cut": bool})
+            a.append(np.minimum(ids[k], id_of[ok]))
+            b.append(np.maximum(ids[k], id_of[ok]))
+        return a, b, cut
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        out_a, out_b, any_cut = [], [], False
+
+        def take() -> pa.RecordBatch:
+            nonlocal out_a, out_b, any_cut
+            both = np.unique(np.column_stack([np.concatenate(out_a), np.concatenate(out_b)]), axis=0) if out_a else np.empty((0, 2), np.int64)
+            extra = [None] * any_cut
+            batch = pa.record_batch([pa.array([*both[:, 0].tolist(), *extra], pa.int64()), pa.array([*both[:, 1].tolist(), *extra], pa.int64()), pa.array([False] * len(both) + [True] * any_cut)], names=["a", "b", "cut"])
+            out_a, out_b, any_cut = [], [], False
+            return batch
+
+        def close() -> None:
+            nonlocal any_cut
+            if held:
+                a, b, cut = pairs(*[np.concatenate([h[k] for h in held]) for k in range(4)])
+                out_a.extend(a)
+                out_b.extend(b)
+                any_cut |= cut
+                held.clear()
+
+        now = None
+        for batch in batches:
+            key = np.column_stack([batch.column("band").to_numpy(), batch.column("part").to_numpy()])
+            ids, comps = batch.column("id").to_numpy(), batch.column("comp").to_numpy()
+            asks = batch.column("asks").to_numpy(zero_copy_only=False)
+            sketch = batch.column("sketch").flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH)
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
+            for p, q in zip(cuts[:-1], cuts[1:], strict=True):
+                if p == q:
+                    continue
+                if tuple(key[p]) != now:
+                    close()
+                    now = tuple(key[p])
+                held.append((ids[p:q], comps[p:q], asks[p:q], sketch[p:q]))
+            if sum(map(len, out_a)) > 100_000:
+                yield take()
+        close()
+        yield take()
 
     return run
 
@@ -191,7 +230,7 @@ def similarity_links(nodes: DataFrame, docs: DataFrame, size: int, part: int, wh
     n = members.agg(F.approx_count_distinct("id")).first()[0]
     texts = shared.keep(docs.mapInArrow(_named(spark.sparkContext.broadcast(bloom.build(keys, "key", n))), "id long, text string").join(wanted, "id", "left_semi"), "texts")
     links = shared.keep(confirm(tested, texts, size, part, whole), "links")
-    most = 4
+    most = 256
     while True:
         labels = components(links)
         labelled = members.join(labels, "id", "left").select("band", "id", F.coalesce("comp", "id").alias("comp"))
@@ -200,7 +239,8 @@ def similarity_links(nodes: DataFrame, docs: DataFrame, size: int, part: int, wh
         open_rows = shared.keep(labelled.join(open_bands, "band").join(sketches, "id").select("band", "id", "comp", "sketch", "main", parts.alias("parts")), "open")
         held = open_rows.select("band", "id", "comp", "sketch", F.lit(False).alias("asks"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
         asking = open_rows.filter("comp <> main").select("band", "id", "comp", "sketch", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-        found = shared.keep(held.unionByName(asking).groupBy("band", "part").applyInPandas(_across(ones, most), "a long, b long, cut boolean"), "across")
+        dealt = held.unionByName(asking).repartition(shared.partitions(spark), "band", "part").sortWithinPartitions("band", "part")
+        found = shared.keep(dealt.mapInArrow(_across(ones, most), "a long, b long, cut boolean"), "across")
         more = shared.keep(found.filter("a IS NOT NULL").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         was_cut, none = not found.filter("cut").isEmpty(), more.isEmpty()
         if none and not was_cut:
@@ -208,7 +248,7 @@ def similarity_links(nodes: DataFrame, docs: DataFrame, size: int, part: int, wh
         if not none:
             links = shared.keep(links.unionByName(confirm(more, texts, size, part, whole)), "links")
             tested = shared.keep(tested.unionByName(more), "pairs")
-        most *= 4
+        most *= 16
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, part: int = 80, whole: int = 100, bands: int = 21, rows: int = 3) -> DataFrame:
