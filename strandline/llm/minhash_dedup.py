@@ -3,8 +3,10 @@
 1. Each document has the set of its distinct word shingles, as 64-bit hashes. Documents with one set are one class.
 2. MinHash values in bands give candidates. Within a band's group every class is compared with the group's least
    class first: a star instead of all pairs.
-3. The MinHash values are also folded into an odd sketch, a bitmap in which each value flips one bit. The number of ones
-   in the XOR of two sketches estimates how many values differ, so pairs far from the threshold leave early.
+3. MinHash samples are also folded into odd sketches, bitmaps in which each sampled shingle flips one bit. The number of
+   ones in the XOR of two sketches tells how many samples differ, so pairs below the threshold leave before their sets are
+   compared. There are two samples: the least hash of each of BINS bins, and, for pairs of up to WHOLE shingles together, all
+   shingles (a bottom-k sample with k above the size), where the ones are never more than the shingles that differ.
 4. Pairs that stay are confirmed on full sets.
 5. Groups whose classes are not in one component yet are searched for further pairs across components, the
    likeliest first, until all pairs that the sketches let pass are either confirmed or within a component.
@@ -25,8 +27,10 @@ from strandline.llm import bloom, shared
 from strandline.llm import textbytes as tb
 from strandline.llm.components import components
 
-#: Words of 64 bits in a sketch. Standard deviations of the estimate by which a pair may fall short and still pass.
-SKETCH, SLACK = 4, 5
+#: Bins of the sample, words of 64 bits in each sketch, and most shingles of a pair whose sketches of all shingles are compared.
+BINS, SKETCH, WHOLE = 512, 16, 1600
+#: Standard deviations by which the estimate from bins may fall short and the pair still passes.
+SLACK = 5
 #: Pairs of one first document, and rows of one band, for a task; of more, each part gets a copy of the other side.
 PAIRS, ROWS = 2000, 20_000
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -60,19 +64,39 @@ def minhashes(values: np.ndarray, n: int) -> np.ndarray:
     return least
 
 
-def odd_sketch(values: np.ndarray) -> np.ndarray:
-    bits = np.bincount((tb.mix(values ^ _SEEDS[1, : len(values)], 5) % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+def _parity(values: np.ndarray) -> np.ndarray:
+    hits = (tb.mix(values, 5) >> np.uint64(40)) % np.uint64(64 * SKETCH)
+    bits = np.bincount(hits.astype(np.int64), minlength=64 * SKETCH) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.uint64)
 
 
-def most_ones(similarity: float, hashes: int) -> int:
-    """Most ones in the XOR of two sketches that are this similar, but for SLACK standard deviations."""
-    p = 1 - similarity
-    differ = hashes * p + SLACK * math.sqrt(hashes * p * (1 - p))
+def odd_sketches(values: np.ndarray) -> np.ndarray:
+    """Of a sorted set of hashes: the parity of all of them, and of the least of each bin."""
+    bins = (values & np.uint64(BINS - 1)).astype(np.int64)
+    least = np.zeros(BINS, np.uint64)
+    least[bins[::-1]] = values[::-1]  # of values with one bin the first, the least, is written last
+    used = np.zeros(BINS, bool)
+    used[bins] = True
+    return np.concatenate([_parity(values), _parity(least[used])])
+
+
+def _expected(flips, exp):
     n = 64 * SKETCH
-    flips = 2 * min(hashes, differ)
-    ones = n / 2 * (1 - (1 - 2 / n) ** flips)
-    return min(n, math.ceil(ones + 2 * math.sqrt(ones)))
+    return (1 - exp(flips * math.log1p(-2 / n))) * (n / 2)
+
+
+def most_ones_whole(both, similarity: float, exp=np.exp, least=np.minimum):
+    """Most ones in the XOR of the sketches of all shingles of two sets this similar, by the sum of their sizes."""
+    differ = both * ((1 - similarity) / (1 + similarity)) + 1e-6
+    return least(differ, _expected(differ, exp) + differ * (SLACK / math.sqrt(64 * SKETCH)) + 1)
+
+
+def most_ones_bins(smaller, similarity: float, exp=np.exp, sqrt=np.sqrt):
+    """Most ones in the XOR of the sketches of bins of two sets this similar, by the size of the smaller set, but for SLACK deviations."""
+    bins = (1 - exp(smaller * (-1 / similarity / BINS))) * BINS + 3
+    differ = bins * (1 - similarity) + sqrt(bins * (similarity * (1 - similarity))) * SLACK
+    ones = _expected(differ * 2, exp)
+    return ones + sqrt(ones) * 2 + 1
 
 
 def _signatures(size: int, bands: int, rows: int):
@@ -93,7 +117,7 @@ def _signatures(size: int, bands: int, rows: int):
                     for r in range(rows):
                         joined = tb.mix(joined ^ least[r::rows], r)
                     band.append(joined.view(np.int64))
-                    sketch.append(odd_sketch(least).view(np.int64))
+                    sketch.append(odd_sketches(values).view(np.int64))
                 yield pa.record_batch([ids.slice(i, j - i), pa.array(keys, pa.binary()), pa.array(n, pa.int64()), pa.array(band, pa.list_(pa.int64())), pa.array(sketch, pa.list_(pa.int64()))], names=["id", "key", "n", "bands", "sketch"])
 
     return run
@@ -147,60 +171,64 @@ def confirm(pairs: DataFrame, texts: DataFrame, size: int, part: int, whole: int
     return dealt.mapInArrow(_confirm(size, part, whole), "a long, b long")
 
 
-def _across(ones: int, most: int):
+def _across(similarity: float, most: int):
     """Pairs across components within parts of bands' groups: for each asking row its likeliest ``most``.
 
     Rows come sorted by (band, part); one part of one group is held at a time.
     """
 
-    def pairs(ids: np.ndarray, comps: np.ndarray, asks: np.ndarray, sketch: np.ndarray) -> tuple[list, list, bool]:
+    def pairs(ids: np.ndarray, comps: np.ndarray, n: np.ndarray, asks: np.ndarray, sketch: np.ndarray) -> tuple[list, list, bool]:
         members = np.flatnonzero(~asks)
-        sketch_of, id_of, comp_of = sketch[members], ids[members], comps[members]
+        sketch_of, id_of, comp_of, n_of = sketch[members], ids[members], comps[members], n[members]
         a, b, cut = [], [], False
         for k in np.flatnonzero(asks).tolist():
-            differ = np.bitwise_count(sketch_of ^ sketch[k]).sum(axis=1)
-            ok = np.flatnonzero((differ <= ones) & (comp_of != comps[k]))
+            fit = np.flatnonzero((comp_of != comps[k]) & (np.maximum(n_of, n[k]) * similarity <= np.minimum(n_of, n[k])))
+            ones = np.bitwise_count(sketch_of[fit] ^ sketch[k]).reshape(-1, 2, SKETCH).sum(axis=2)
+            both, least = n_of[fit] + n[k], np.minimum(n_of[fit], n[k])
+            whole = both <= WHOLE
+            near = np.where(whole, ones[:, 0] <= most_ones_whole(both, similarity), ones[:, 1] <= most_ones_bins(least, similarity))
+            differ, ok = np.where(whole, ones[:, 0], ones[:, 1])[near], fit[near]
             if len(ok) > most:
-                cut, ok = True, ok[np.argsort(differ[ok], kind="stable")[:most]]
+                cut, ok = True, ok[np.argsort(differ, kind="stable")[:most]]
             a.append(np.minimum(ids[k], id_of[ok]))
             b.append(np.maximum(ids[k], id_of[ok]))
         return a, b, cut
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        out_a, out_b, any_cut = [], [], False
+        out_a, out_b, cut_bands = [], [], []
 
         def take() -> pa.RecordBatch:
-            nonlocal out_a, out_b, any_cut
+            nonlocal out_a, out_b, cut_bands
             both = np.unique(np.column_stack([np.concatenate(out_a), np.concatenate(out_b)]), axis=0) if out_a else np.empty((0, 2), np.int64)
-            extra = [None] * any_cut
-            batch = pa.record_batch([pa.array([*both[:, 0].tolist(), *extra], pa.int64()), pa.array([*both[:, 1].tolist(), *extra], pa.int64()), pa.array([False] * len(both) + [True] * any_cut)], names=["a", "b", "cut"])
-            out_a, out_b, any_cut = [], [], False
+            more = [None] * len(cut_bands)
+            batch = pa.record_batch([pa.array([*both[:, 0].tolist(), *more], pa.int64()), pa.array([*both[:, 1].tolist(), *more], pa.int64()), pa.array([None] * len(both) + cut_bands, pa.int64())], names=["a", "b", "cut"])
+            out_a, out_b, cut_bands = [], [], []
             return batch
 
         def close() -> None:
-            nonlocal any_cut
             if held:
-                a, b, cut = pairs(*[np.concatenate([h[k] for h in held]) for k in range(4)])
+                a, b, cut = pairs(*[np.concatenate([h[k] for h in held]) for k in range(5)])
                 out_a.extend(a)
                 out_b.extend(b)
-                any_cut |= cut
+                if cut:
+                    cut_bands.append(now[0])
                 held.clear()
 
         now = None
         for batch in batches:
             key = np.column_stack([batch.column("band").to_numpy(), batch.column("part").to_numpy()])
-            ids, comps = batch.column("id").to_numpy(), batch.column("comp").to_numpy()
+            ids, comps, n = [batch.column(c).to_numpy() for c in ("id", "comp", "n")]
             asks = batch.column("asks").to_numpy(zero_copy_only=False)
-            sketch = batch.column("sketch").flatten().to_numpy().view(np.uint64).reshape(-1, SKETCH)
+            sketch = batch.column("sketch").flatten().to_numpy().view(np.uint64).reshape(-1, 2 * SKETCH)
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1).tolist(), len(key)]
             for p, q in zip(cuts[:-1], cuts[1:], strict=True):
                 if p == q:
                     continue
-                if tuple(key[p]) != now:
+                if tuple(key[p].tolist()) != now:
                     close()
-                    now = tuple(key[p])
-                held.append((ids[p:q], comps[p:q], asks[p:q], sketch[p:q]))
+                    now = tuple(key[p].tolist())
+                held.append((ids[p:q], comps[p:q], n[p:q], asks[p:q], sketch[p:q]))
             if sum(map(len, out_a)) > 100_000:
                 yield take()
         close()
@@ -209,19 +237,21 @@ def _across(ones: int, most: int):
     return run
 
 
-def similarity_links(nodes: DataFrame, docs: DataFrame, size: int, part: int, whole: int, hashes: int) -> DataFrame:
-    """(id, comp) of all nodes (id, bands, sketch) that have a link; docs: __id, __text."""
+def similarity_links(nodes: DataFrame, docs: DataFrame, size: int, part: int, whole: int) -> DataFrame:
+    """(id, comp) of all nodes (id, n, bands, sketch) that have a link; docs: __id, __text."""
     spark = nodes.sparkSession
-    ones = most_ones(part / whole, hashes)
+    similarity = part / whole
     rows = nodes.select("id", F.explode("bands").alias("band"))
-    groups = rows.groupBy("band").agg(F.min("id").alias("lead"), F.count("*").alias("n")).filter("n > 1")
-    members = shared.keep(rows.join(groups, "band").select("band", "lead", "id", "n"), "members")
-    sketches = nodes.select("id", "sketch")
+    groups = rows.groupBy("band").agg(F.min("id").alias("lead"), F.count("*").alias("size")).filter("size > 1")
+    members = shared.keep(rows.join(groups, "band").select("band", "lead", "id"), "members")
+    sketches = nodes.select("id", "n", "sketch")
 
     def near(pairs: DataFrame) -> DataFrame:
-        x = pairs.join(sketches.select(F.col("id").alias("a"), F.col("sketch").alias("sa")), "a").join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("sb")), "b")
-        differ = sum((F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sb")[k])) for k in range(1, SKETCH)), F.bit_count(F.col("sa")[0].bitwiseXOR(F.col("sb")[0])))
-        return x.filter(differ <= ones).select("a", "b")
+        a, b = [sketches.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}")) for c in "ab"]
+        ones = [sum((F.bit_count(F.col("sa")[k].bitwiseXOR(F.col("sb")[k])) for k in range(at + 1, at + SKETCH)), F.bit_count(F.col("sa")[at].bitwiseXOR(F.col("sb")[at]))) for at in (0, SKETCH)]
+        least, both = F.least("na", "nb").cast("double"), (F.col("na") + F.col("nb")).cast("double")
+        alike = F.when(both <= WHOLE, ones[0] <= most_ones_whole(both, similarity, F.exp, F.least)).otherwise(ones[1] <= most_ones_bins(least, similarity, F.exp, F.sqrt))
+        return pairs.join(a, "a").join(b, "b").filter((F.greatest("na", "nb") * similarity <= least) & alike).select("a", "b")
 
     star = members.filter("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     tested = shared.keep(near(star), "pairs")
@@ -230,25 +260,26 @@ def similarity_links(nodes: DataFrame, docs: DataFrame, size: int, part: int, wh
     n = members.agg(F.approx_count_distinct("id")).first()[0]
     texts = shared.keep(docs.mapInArrow(_named(spark.sparkContext.broadcast(bloom.build(keys, "key", n))), "id long, text string").join(wanted, "id", "left_semi"), "texts")
     links = shared.keep(confirm(tested, texts, size, part, whole), "links")
-    most = 256
+    most = 1
     while True:
         labels = components(links)
         labelled = members.join(labels, "id", "left").select("band", "id", F.coalesce("comp", "id").alias("comp"))
-        open_bands = labelled.groupBy("band").agg(F.min("comp").alias("least"), F.max("comp").alias("top"), F.mode("comp").alias("main"), F.count("*").alias("n")).filter("least < top")
-        parts = F.ceil(F.col("n") / ROWS).cast("int")
-        open_rows = shared.keep(labelled.join(open_bands, "band").join(sketches, "id").select("band", "id", "comp", "sketch", "main", parts.alias("parts")), "open")
-        held = open_rows.select("band", "id", "comp", "sketch", F.lit(False).alias("asks"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
-        asking = open_rows.filter("comp <> main").select("band", "id", "comp", "sketch", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        open_bands = labelled.groupBy("band").agg(F.min("comp").alias("least"), F.max("comp").alias("top"), F.mode("comp").alias("main"), F.count("*").alias("size")).filter("least < top")
+        parts = F.ceil(F.col("size") / ROWS).cast("int")
+        open_rows = shared.keep(labelled.join(open_bands, "band").join(sketches, "id").select("band", "id", "comp", "n", "sketch", "main", parts.alias("parts")), "open")
+        held = open_rows.select("band", "id", "comp", "n", "sketch", F.lit(False).alias("asks"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
+        asking = open_rows.filter("comp <> main").select("band", "id", "comp", "n", "sketch", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
         dealt = held.unionByName(asking).repartition(shared.partitions(spark), "band", "part").sortWithinPartitions("band", "part")
-        found = shared.keep(dealt.mapInArrow(_across(ones, most), "a long, b long, cut boolean"), "across")
+        found = shared.keep(dealt.mapInArrow(_across(similarity, most), "a long, b long, cut long"), "across")
         more = shared.keep(found.filter("a IS NOT NULL").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
-        was_cut, none = not found.filter("cut").isEmpty(), more.isEmpty()
-        if none and not was_cut:
-            return labels
-        if not none:
+        if not more.isEmpty():
             links = shared.keep(links.unionByName(confirm(more, texts, size, part, whole)), "links")
             tested = shared.keep(tested.unionByName(more), "pairs")
-        most *= 16
+        cut = found.filter("cut IS NOT NULL").select(F.col("cut").alias("band")).distinct()
+        if cut.isEmpty():  # all pairs across components that pass have been compared
+            return components(links)
+        members = members.join(cut, "band", "left_semi")
+        most *= 64
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, part: int = 80, whole: int = 100, bands: int = 21, rows: int = 3) -> DataFrame:
@@ -266,9 +297,9 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     plain = packed.select(F.col(f"__{doc_id}").cast("long").alias("__id"), F.col(f"__{text}").alias("__text"))
     signed = shared.keep(plain.mapInArrow(_signatures(shingle, bands, rows), "id long, key binary, n long, bands array<long>, sketch array<long>"), "signatures")
     classes = shared.keep(signed.filter("n > 0 AND id IS NOT NULL").groupBy("key").agg(F.min("id").alias("rep")), "classes")
-    nodes = signed.join(classes.select("key", F.col("rep").alias("id")), ["key", "id"]).select("id", "bands", "sketch").dropDuplicates(["id"])
+    nodes = signed.join(classes.select("key", F.col("rep").alias("id")), ["key", "id"]).select("id", "n", "bands", "sketch").dropDuplicates(["id"])
     nodes = shared.keep(nodes, "nodes")
-    labels = similarity_links(nodes, plain, shingle, part, whole, bands * rows)
+    labels = similarity_links(nodes, plain, shingle, part, whole)
     result = classes.join(labels.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("key", F.coalesce("comp", "rep").alias("comp"))
     verdicts = signed.select("id", "key", "n").join(result, "key", "left").select("id", "n", F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("id")).alias("component_id"))
     added = ["n_shingles", "component_id", "kept"]
