@@ -293,6 +293,7 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     linked with nothing. Equal texts are linked. Rows with one doc_id count as one document. A row without doc_id gets
     the component of an equal text that has one, if any, or else null, and is then kept. An empty table gives an empty one.
     """
+    shared.lean(docs.sparkSession)
     packed = shared.packed(docs, doc_id, text)
     plain = packed.select(F.col(f"__{doc_id}").cast("long").alias("__id"), F.col(f"__{text}").alias("__text"))
     signed = shared.keep(plain.mapInArrow(_signatures(shingle, bands, rows), "id long, key binary, n long, bands array<long>, sketch array<long>"), "signatures")

@@ -164,12 +164,12 @@ def fit_rates(table: DataFrame, targets: dict[str, float], total: float | None =
     return steps, now, goal
 
 
-def _mixed(model, steps: list[np.ndarray], names: list[str]):
+def _mixed(model, steps: list[np.ndarray], names: list[str], text: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row = batch.column("__row")
             luck = batch.column("__luck").to_numpy()
-            for i, j, data, offsets in tb.chunks(batch, batch.schema.get_field_index("__text")):
+            for i, j, data, offsets in tb.chunks(batch, batch.column("__text") if text is None else tb.field(row, text)):
                 p, n = model(data, offsets)
                 p = np.round(p, 6)
                 r = rates(p, steps)
@@ -198,15 +198,16 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     if set(targets) != set(DOMAINS) or min(targets.values()) < 0 or sum(targets.values()) <= 0:
         raise ValueError(f"targets must be weights of 0 or more for {DOMAINS}, not all 0")
     targets = {d: targets[d] for d in DOMAINS}
+    shared.lean(docs.sparkSession)
     model = fit_domains(docs, labels, doc_id, text, fitted) or Even()
     table = shared.keep(docs.select(F.col(f"`{text}`").alias("__text")).mapInArrow(_posterior(model, len(DOMAINS)), "n long, p0 double, p1 double, p2 double"), "posteriors")
     steps, _, _ = fit_rates(table, targets, total)
     columns = docs.columns if with_text else [c for c in docs.columns if c != text]
     luck = F.pmod(F.xxhash64(F.col(f"`{doc_id}`"), F.coalesce(F.col(f"`{text}`"), F.lit(""))), F.lit(1 << 30)) / float(1 << 30)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), F.col(f"`{text}`").alias("__text"), luck.alias("__luck"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), *([] if with_text else [F.col(f"`{text}`").alias("__text")]), luck.alias("__luck"))
     added = ["n_tokens", *[f"p_{d}" for d in DOMAINS], "rate", "copies"]
     ddl = f"__row {rows.schema['__row'].dataType.simpleString()}, n_tokens long, {', '.join(f'p_{d} double' for d in DOMAINS)}, rate double, copies long"
-    return shared.unpacked(rows.mapInArrow(_mixed(model, steps, list(DOMAINS)), ddl), columns, added)
+    return shared.unpacked(rows.mapInArrow(_mixed(model, steps, list(DOMAINS), columns.index(text) if with_text else None), ddl), columns, added)
 
 
 def repeat_copies(mixed: DataFrame) -> DataFrame:

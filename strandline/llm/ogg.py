@@ -192,6 +192,7 @@ def media_columns(docs: DataFrame, text: str = "text") -> DataFrame:
     A null text counts as empty. Equal texts give equal media. A column named media is replaced.
     Repeated rows each give a row; an empty table gives an empty one; nulls elsewhere pass through.
     """
+    shared.lean(docs.sparkSession)
     packed = shared.packed(docs, text).withColumnRenamed(f"__{text}", "__text")
     out = packed.mapInArrow(_encode, f"__row {packed.schema['__row'].dataType.simpleString()}, media binary")
     return shared.unpacked(out, docs.columns, ["media"])

@@ -162,6 +162,7 @@ def order_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     text. A single row follows itself; an empty table gives an empty one; nulls elsewhere pass through.
     """
     spark = docs.sparkSession
+    shared.lean(spark)
     others = [c for c in docs.columns if c != text]
     row = F.struct(*[F.col(f"`{c}`").alias(c) for c in others])
     rows = docs.select(row.alias("__row"), F.col(f"`{doc_id}`").alias("__id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("__text"))

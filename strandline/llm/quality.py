@@ -98,11 +98,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     return PUModel(x[chosen], x[~chosen], min(0.95, max(0.05, good / known)))
 
 
-def _score(model):
+def _score(model, text: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row = batch.column("__row")
-            for i, j, data, offsets in tb.chunks(batch, batch.schema.get_field_index("__text")):
+            for i, j, data, offsets in tb.chunks(batch, batch.column("__text") if text is None else tb.field(row, text)):
                 score = model(features(data, offsets)[0][:, _FORM]) if model else np.full(j - i, 0.5)
                 yield pa.record_batch([row.slice(i, j - i), pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=["__row", "score", "predicted"])
 
@@ -117,9 +117,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     that are null or other than 0 and 1 are not used; where nothing can be learnt, all scores are 0.5. An empty table
     gives an empty one.
     """
+    shared.lean(docs.sparkSession)
     model = fit(docs, labels, doc_id, text, fitted)
     columns = docs.columns if with_text else [c for c in docs.columns if c != text]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), F.col(f"`{text}`").alias("__text"))
-    out = rows.mapInArrow(_score(model), f"__row {rows.schema['__row'].dataType.simpleString()}, score double, predicted int")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), *([] if with_text else [F.col(f"`{text}`").alias("__text")]))
+    out = rows.mapInArrow(_score(model, columns.index(text) if with_text else None), f"__row {rows.schema['__row'].dataType.simpleString()}, score double, predicted int")
     out = out.withColumn("held_out", F.coalesce(F.crc32(F.col("__row").getField(doc_id).cast("string")) % 4 == 2, F.lit(False)))
     return shared.unpacked(out, columns, ["held_out", "score", "predicted"])

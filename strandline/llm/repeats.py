@@ -337,6 +337,7 @@ def remove_repeats(docs: DataFrame, text: str, spec: Spec, with_kept: bool) -> D
     """``__row`` (all columns but the text) and n_units, n_removed, n_spans, kept_sha256, kept for each row of ``docs``."""
     spark = docs.sparkSession
     sc = spark.sparkContext
+    shared.lean(spark)
     packed = shared.packed(docs, text).withColumnRenamed(f"__{text}", "__text")
     others = [c for c in docs.columns if c != text]
     row = F.struct(*[F.col("__row").getField(c).alias(c) for c in others]) if others else F.struct(F.lit(0).alias("__none"))

@@ -35,6 +35,12 @@ def keep(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def lean(spark: SparkSession, rows: int = 2000) -> None:
+    """At most so many rows to an Arrow batch: texts are long, and a batch is held on both sides of the pipe."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def drop(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete tables made by ``keep`` that no later step reads."""
     jvm = spark.sparkContext._jvm

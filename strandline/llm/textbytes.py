@@ -72,9 +72,14 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)), at
 
 
-def chunks(batch: pa.RecordBatch, column: int, limit: int = 2 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def field(rows: pa.StructArray, k: int) -> pa.Array:
+    """Member k of a struct column, without a copy."""
+    return pc.struct_field(rows, [k])
+
+
+def chunks(batch: pa.RecordBatch, column: int | pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of runs of rows of about ``limit`` bytes; a longer text is a run of its own."""
-    data, at = column_bytes(batch.column(column))
+    data, at = column_bytes(batch.column(column) if isinstance(column, int) else column)
     i, n = 0, len(at) - 1
     while i < n:
         j = max(i + 1, min(int(np.searchsorted(at, at[i] + limit, "right")) - 1, n))
