@@ -7,7 +7,7 @@ import re
 #: A blank that white space or the end follows: there the pattern's white space rules look ahead.
 _ODD = re.compile(r" (?:\s|\Z)")
 #: Entries and characters of an entry that a worker keeps.
-CACHED, LONGEST = 300_000, 64
+CACHED, LONGEST = 300_000, 48
 
 
 def split(text: str) -> list[str] | None:

@@ -108,25 +108,55 @@ class WordEncoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         #: Only then do matches of the pattern never cross the cuts of chunks.split.
         self.cuts = str(self.tokenizer.pre_tokenizer).startswith("ByteLevel(add_prefix_space=False") and "use_regex=False" not in str(self.tokenizer.pre_tokenizer) and self.tokenizer.normalizer is None
+        #: Bytes of each token: byte-level vocabularies write one character for one byte.
+        self.sizes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.sizes[i] = len(token)
         self._known: dict[str, bytes] = {}
 
     def _many(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, f"<u{self.width}").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts, each after a blank: encoded as long texts, and cut where the bytes of the tokens add up to a part's.
+
+        A part begins with the blank of its first match of the pattern, so no token reaches over its ends.
+        """
+        out: list[bytes] = []
+        for k in range(0, len(parts), 20_000):
+            some = parts[k : k + 20_000]
+            joined = " " + " ".join(some)
+            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, f"<u{self.width}")
+            ends = np.cumsum(np.fromiter(map(len, map(str.encode, some)), np.int64, len(some)) + 1)
+            at = np.searchsorted(np.cumsum(self.sizes[ids]), ends, "left") + 1
+            raw = ids.tobytes()
+            out += [raw[p:q] for p, q in zip([0, *(at[:-1] * self.width).tolist()], (at * self.width).tolist(), strict=True)]
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [chunks.split(t) if self.cuts else None for t in texts]
         known = self._known
         if len(known) >= chunks.CACHED:
             known.clear()
-        missing = list({p for x in parts if x for p in x[1:] if p not in known})
-        new = dict(zip(missing, self._many([" " + p for p in missing]), strict=True))
+        parts = [chunks.split(t) if self.cuts else None for t in texts]
+        heads = self._many([t if x is None else x[0] for t, x in zip(texts, parts, strict=True)])
+        found, gaps, new = [], [], {}
+        for x in parts:
+            row = list(map(known.get, x[1:])) if x else []
+            gap = [i for i, v in enumerate(row) if v is None] if None in row else []
+            for i in gap:
+                new[x[i + 1]] = None
+            found.append(row)
+            gaps.append(gap)
+        if new:
+            new = dict(zip(new, self._parts(list(new)), strict=True))
+        for x, row, gap in zip(parts, found, gaps, strict=True):
+            for i in gap:
+                row[i] = new[x[i + 1]]
         known.update(new)
-        whole = self._many([t if x is None else x[0] for t, x in zip(texts, parts, strict=True)])
-        out = [w if x is None else w + b"".join(map(known.__getitem__, x[1:])) for w, x in zip(whole, parts, strict=True)]
-        for p in missing:
+        for p in new:
             if len(p) > chunks.LONGEST:
                 del known[p]
-        return out
+        return [h + b"".join(row) for h, row in zip(heads, found, strict=True)]
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -181,7 +211,7 @@ def _pack(tokenizer: str, end_id: int | None):
         names, held, size = [], [], 0
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
-            for i, j, data, offsets in tb.chunks(batch, batch.schema.get_field_index("text"), 4 << 20):
+            for i, j, data, offsets in tb.chunks(batch, batch.schema.get_field_index("text"), 1 << 20):
                 texts = [data[p:q].tobytes().decode("utf-8", "replace") for p, q in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 new = [x + end for x in e.encode(texts)]
                 names += doc_ids[i:j]
@@ -203,6 +233,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, doc_id: str =
     written, ordered by text. Other columns are not looked at. An empty table gives no segment.
     """
     spark = docs.sparkSession
+    shared.lean(spark)
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     ranged = rows.repartitionByRange(shared.partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     packed = ranged.mapInArrow(_pack(tokenizer, end_id), "segment binary")
