@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from strandline.llm import chunks, shared
 from strandline.llm import textbytes as tb
@@ -29,7 +30,8 @@ class Vocabulary:
         self.longest = max(map(len, ranks))
         self.parts: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
-        self._known: dict[tuple[int, int], bool] = {}
+        #: Pairs looked at before, as a << 20 | b.
+        self.known: dict[int, bool] = {}
         for t, i in sorted(ranks.items(), key=lambda x: x[1]):
             self.parts[i] = (i, i)
             for k in range(len(t) - 1, 0, -1):
@@ -37,10 +39,20 @@ class Vocabulary:
                 if a < i and b < i and self._apart(a, b):
                     self.parts[i], self.merged[a, b] = (a, b), i
                     break
-        self._known.clear()
-        #: Tokens that merges can make; any other stands for a whole pre-token only.
-        self.made = {t: i for t, i in ranks.items() if len(t) == 1 or self.parts[i] != (i, i)}
-        self.heads = {t[:k] for t in self.made for k in range(1, len(t) + 1)}
+        # A trie of the tokens that merges can make, read from their ends (any other token stands for a whole pre-token
+        # only): from node << 8 | byte to the next node, and the token that a node completes, or -1.
+        self.step: dict[int, int] = {}
+        self.ends = [-1]
+        for t, i in ranks.items():
+            if len(t) == 1 or self.parts[i] != (i, i):
+                node = 0
+                for byte in reversed(t):
+                    following = self.step.get(node << 8 | byte)
+                    if following is None:
+                        following = self.step[node << 8 | byte] = len(self.ends)
+                        self.ends.append(-1)
+                    node = following
+                self.ends[node] = i
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -73,12 +85,11 @@ class Vocabulary:
                     return True
                 a = last
 
-    def apart(self, a: int, b: int) -> bool:
-        found = self._known.get((a, b))
-        if found is None:
-            if len(self._known) > 1_000_000:
-                self._known.clear()
-            found = self._known[a, b] = self._apart(a, b)
+    def look(self, a: int, b: int) -> bool:
+        """As ``_apart``, and kept for the next time."""
+        if len(self.known) > 400_000:
+            self.known.clear()
+        found = self.known[a << 20 | b] = self._apart(a, b)
         return found
 
 
@@ -91,21 +102,25 @@ class PrefixTable:
             self.append(data)
 
     def append(self, more: bytes) -> PrefixTable:
-        """Exact: entries of old prefixes do not change."""
+        """Exact: entries of old prefixes do not change. Of the tokens that end a new prefix exactly one fits."""
         old = len(self.data)
         self.data = data = self.data + more
-        n = len(data)
-        last = self.last
-        last.extend([-1] * len(more))
-        made, heads, apart = self.v.made, self.v.heads, self.v.apart
-        for i in range(max(0, old - self.v.longest + 1), n):
-            before = last[i]
-            for j in range(i + 1, n + 1):
-                piece = data[i:j]
-                if piece not in heads:
-                    break
-                if last[j] < 0 and (t := made.get(piece)) is not None and (not i or apart(before, t)):
-                    last[j] = t
+        last, put = self.last, self.last.append
+        step, ends, known, look = self.v.step, self.v.ends, self.v.known.get, self.v.look
+        for i in range(old, len(data)):
+            node = 0
+            while True:
+                node = step[node << 8 | data[i]]
+                t = ends[node]
+                if t >= 0:
+                    if not i:
+                        break
+                    before = last[i]
+                    fits = known(before << 20 | t)
+                    if fits or fits is None and look(before, t):
+                        break
+                i -= 1
+            put(t)
         return self
 
     def edit(self, start: int, end: int, new: bytes) -> PrefixTable:
@@ -123,6 +138,15 @@ class PrefixTable:
         return out[::-1]
 
 
+def _common(a: bytes, b: bytes) -> int:
+    n = 0
+    for x, y in zip(a, b, strict=False):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
 class Encoder:
     """Texts to ids and back; ``pattern`` cuts texts into pre-tokens, which are encoded one by one."""
 
@@ -130,38 +154,62 @@ class Encoder:
         import regex
 
         self.v, self.find = vocabulary, regex.compile(pattern).findall
-        self._pieces: dict[str, bytes] = {}
-        self._parts: dict[str, bytes] = {}
-
-    def piece(self, piece: str) -> bytes:
-        """Ids of a pre-token as little-endian unsigned 32-bit integers."""
-        found = self._pieces.get(piece)
-        if found is None:
+        self._known: dict[str, bytes] = {}
+        self._heads: dict[str, bytes] = {}
+
+    def pieces(self, pieces: list[str]) -> dict[str, bytes]:
+        """Ids of pre-tokens as little-endian unsigned 32-bit integers. In sorted order each one keeps the entries of the
+        prefix that it shares with the one before."""
+        out, table = {}, PrefixTable(self.v)
+        for piece in sorted(pieces):
             data = piece.encode()
             whole = self.v.ranks.get(data)
-            ids = [whole] if whole is not None else PrefixTable(self.v, data).ids()
-            found = np.array(ids, "<u4").tobytes()
-            if len(piece) <= chunks.LONGEST:
-                if len(self._pieces) >= chunks.CACHED:
-                    self._pieces.clear()
-                self._pieces[piece] = found
-        return found
+            if whole is not None:
+                out[piece] = whole.to_bytes(4, "little")
+                continue
+            same = _common(table.data, data)
+            ids = table.edit(same, len(table.data), data[same:]).ids()
+            out[piece] = np.array(ids, "<u4").tobytes()
+        return out
+
+    def encode_many(self, texts: list[str]) -> list[bytes]:
+        # What follows a blank is kept without it; a piece that begins otherwise is kept among the heads.
+        known, heads = self._known, self._heads
+        for kept in (known, heads):
+            if len(kept) >= chunks.CACHED:
+                kept.clear()
+        rows, gaps, first, missing = [], [], [], set()
+        for text in texts:
+            parts = chunks.split(text)
+            pieces = self.find(text if parts is None else parts[0])
+            first.append(pieces)
+            missing.update([p for p in pieces if p not in heads])
+            row = [] if parts is None else list(map(known.get, parts[1:]))
+            gap = [(i, parts[i + 1]) for i, v in enumerate(row) if v is None] if None in row else []
+            gaps.append(gap)
+            rows.append(row)
+        cut = {p: self.find(" " + p) for gap in gaps for _, p in gap}
+        wanted = {q for pieces in cut.values() for q in pieces if (q[1:] not in known if q[0] == " " else q not in heads)}
+        new = self.pieces(wanted | missing)
+        for q, ids in new.items():
+            if len(q) > chunks.LONGEST:
+                continue
+            if q[0] == " " and q not in missing:
+                known[q[1:]] = ids  # the same as the part that has no other piece
+            else:
+                heads[q] = ids
+        found = {}
+        for p, pieces in cut.items():
+            ids = found[p] = new[pieces[0]] if len(pieces) == 1 else b"".join([new[q] if q in new else heads[q] if q in heads else known[q[1:]] for q in pieces])
+            if len(p) <= chunks.LONGEST:
+                known[p] = ids
+        for row, gap in zip(rows, gaps, strict=True):
+            for i, p in gap:
+                row[i] = found[p]
+        return [b"".join([new[q] if q in new else heads[q] for q in pieces]) + b"".join(row) for pieces, row in zip(first, rows, strict=True)]
 
     def encode(self, text: str) -> bytes:
-        parts = chunks.split(text)
-        if parts is None:
-            return b"".join(map(self.piece, self.find(text)))
-        known, out = self._parts, [b"".join(map(self.piece, self.find(parts[0])))]
-        for part in parts[1:]:
-            found = known.get(part)
-            if found is None:
-                found = b"".join(map(self.piece, self.find(" " + part)))
-                if len(part) <= chunks.LONGEST:
-                    if len(known) >= chunks.CACHED:
-                        known.clear()
-                    known[part] = found
-            out.append(found)
-        return b"".join(out)
+        return self.encode_many([text])[0]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.v.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -174,12 +222,12 @@ class Encoder:
         for piece in old:  # pieces that end two characters before the edit cannot change
             if at + len(piece) > start - 2:
                 break
-            at, used = at + len(piece), used + len(self.piece(piece))
+            at, used = at + len(piece), used + len(self.encode(piece))
             head.append(piece)
         if head:  # but the last of them may have looked ahead
             last = head.pop()
-            at, used = at - len(last), used - len(self.piece(last))
-        return edited, ids[:used] + b"".join(map(self.piece, self.find(edited[at:])))
+            at, used = at - len(last), used - len(self.encode(last))
+        return edited, ids[:used] + self.encode(edited[at:])
 
 
 def encoder(path: str, pattern: str) -> Encoder:
@@ -189,15 +237,14 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _loaded[path, pattern]
 
 
-def _encode(path: str, pattern: str, with_ids: bool, with_text: bool):
+def _encode(path: str, pattern: str, text: int | None, with_ids: bool, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)
         for batch in batches:
             row = batch.column("__row")
-            for i, j, data, offsets in tb.chunks(batch, batch.schema.get_field_index("__text")):
+            for i, j, data, offsets in tb.chunks(batch, batch.column("__text") if text is None else tb.field(row, text)):
                 n, ids_hash, text_hash, all_ids, texts = [], [], [], [], []
-                for p, q in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                    ids = e.encode(data[p:q].tobytes().decode("utf-8", "replace"))
+                for ids in e.encode_many([data[p:q].tobytes().decode("utf-8", "replace") for p, q in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]):
                     back = e.decode(ids)
                     n.append(len(ids) // 4)
                     ids_hash.append(hashlib.sha256(ids).hexdigest())
@@ -222,13 +269,10 @@ def bpe_round_trip(docs: DataFrame, vocabulary: str, pattern: str, text: str = "
     unless switched off, ids (such bytes) and decoded (the text). Columns of these names are replaced. A null text
     counts as empty: no ids. Repeated rows each give a row; an empty table gives an empty one; other nulls pass through.
     """
-    packed = shared.packed(docs, text).withColumnRenamed(f"__{text}", "__text")
-    ddl = f"__row {packed.schema['__row'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary, decoded string"
-    if not (with_ids or with_text):  # the text itself need not travel twice
-        others = [c for c in docs.columns if c != text] or [text]
-        packed = packed.selectExpr(f"struct({', '.join(f'__row.`{c}` AS `{c}`' for c in others)}) AS __row", "__text")
-        ddl = f"__row {packed.schema['__row'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary, decoded string"
-        out = packed.mapInArrow(_encode(vocabulary, pattern, False, False), ddl)
-        return shared.unpacked(out, others, ["n_tokens", "ids_sha256", "decoded_sha256"])
-    out = packed.mapInArrow(_encode(vocabulary, pattern, with_ids, with_text), ddl)
-    return shared.unpacked(out, docs.columns, ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else []), *(["decoded"] if with_text else [])])
+    shared.lean(docs.sparkSession)
+    columns = docs.columns if with_ids or with_text else [c for c in docs.columns if c != text] or docs.columns
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), *([] if text in columns else [F.col(f"`{text}`").alias("__text")]))
+    added = ["n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else []), *(["decoded"] if with_text else [])]
+    ddl = f"__row {rows.schema['__row'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary, decoded string"
+    out = rows.mapInArrow(_encode(vocabulary, pattern, columns.index(text) if text in columns else None, with_ids, with_text), ddl)
+    return shared.unpacked(out, columns, added)
