@@ -1,5 +1,9 @@
 """Rows of Spark and DuckDB, compared without regard to order."""
 
+import os
+
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 
 def plain(v):
     if isinstance(v, float):

@@ -1,11 +1,5 @@
-import os
-import sys
-
 import pytest
-
-sys.path.insert(0, os.path.dirname(__file__))
-from compare import assert_same
-from conftest import DATA
+from compare import DATA, assert_same
 
 from strandline.plans import catalogue
 
