@@ -112,51 +112,31 @@ class WordEncoder:
         self.sizes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.sizes[i] = len(token)
-        self._known: dict[str, bytes] = {}
+        self._known = chunks.Kept()
+        self.cuts = self.cuts and len(self._many(["\n"])[0]) == self.width
+        self.marks = dict(zip(chunks.MARKS, self._many(list(chunks.MARKS)), strict=True))
 
     def _many(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, f"<u{self.width}").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _parts(self, parts: list[str]) -> list[bytes]:
-        """Ids of parts, each after a blank: encoded as long texts, and cut where the bytes of the tokens add up to a part's.
+        return chunks.by_stems(parts, self._known, self._joined, self.marks)
 
-        A part begins with the blank of its first match of the pattern, so no token reaches over its ends.
-        """
+    def _joined(self, parts: list[str]) -> list[bytes]:
+        """Ids of parts: encoded as long texts, and cut where the bytes of the tokens add up to a part's."""
+        shown = list(map(chunks.shown, parts))
+        texts = ["".join(shown[k : k + 100]) for k in range(0, len(shown), 100)]
         out: list[bytes] = []
-        for k in range(0, len(parts), 20_000):
-            some = parts[k : k + 20_000]
-            joined = " " + " ".join(some)
-            ids = np.array(self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, f"<u{self.width}")
-            ends = np.cumsum(np.fromiter(map(len, map(str.encode, some)), np.int64, len(some)) + 1)
-            at = np.searchsorted(np.cumsum(self.sizes[ids]), ends, "left") + 1
+        for k, x in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+            ids = np.array(x.ids, f"<u{self.width}")
+            ends = np.cumsum([len(p.encode()) for p in shown[k * 100 : (k + 1) * 100]])
+            at = (np.searchsorted(np.cumsum(self.sizes[ids]), ends, "left") + 1) * self.width
             raw = ids.tobytes()
-            out += [raw[p:q] for p, q in zip([0, *(at[:-1] * self.width).tolist()], (at * self.width).tolist(), strict=True)]
+            out += [raw[p:q] for p, q in zip([0, *at[:-1].tolist()], at.tolist(), strict=True)]
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        known = self._known
-        if len(known) >= chunks.CACHED:
-            known.clear()
-        parts = [chunks.split(t) if self.cuts else None for t in texts]
-        heads = self._many([t if x is None else x[0] for t, x in zip(texts, parts, strict=True)])
-        found, gaps, new = [], [], {}
-        for x in parts:
-            row = list(map(known.get, x[1:])) if x else []
-            gap = [i for i, v in enumerate(row) if v is None] if None in row else []
-            for i in gap:
-                new[x[i + 1]] = None
-            found.append(row)
-            gaps.append(gap)
-        if new:
-            new = dict(zip(new, self._parts(list(new)), strict=True))
-        for x, row, gap in zip(parts, found, gaps, strict=True):
-            for i in gap:
-                row[i] = new[x[i + 1]]
-        known.update(new)
-        for p in new:
-            if len(p) > chunks.LONGEST:
-                del known[p]
-        return [h + b"".join(row) for h, row in zip(heads, found, strict=True)]
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        return chunks.encode(texts, self._known, self._parts, self._many, self.width, self.cuts)
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -211,9 +191,8 @@ def _pack(tokenizer: str, end_id: int | None):
         names, held, size = [], [], 0
         for batch in batches:
             doc_ids = batch.column("doc_id").to_pylist()
-            for i, j, data, offsets in tb.chunks(batch, batch.schema.get_field_index("text"), 1 << 20):
-                texts = [data[p:q].tobytes().decode("utf-8", "replace") for p, q in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                new = [x + end for x in e.encode(texts)]
+            for i, j, _, _ in tb.chunks(batch, batch.schema.get_field_index("text"), 8 << 20):
+                new = [x.tobytes() + end for x in e.encode(batch.column("text").slice(i, j - i))]
                 names += doc_ids[i:j]
                 held += new
                 size += sum(map(len, new))
