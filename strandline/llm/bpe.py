@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,8 @@ from pyspark.sql import functions as F
 from strandline.llm import chunks, shared
 from strandline.llm import textbytes as tb
 
+# Fixed value: the pattern of pre-tokens of GPT-2.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _loaded: dict[tuple[str, str], Encoder] = {}
 
 
@@ -28,6 +31,9 @@ class Vocabulary:
         self.ranks = ranks
         self.token = {i: t for t, i in ranks.items()}
         self.longest = max(map(len, ranks))
+        self.sizes = [0] * (max(ranks.values()) + 1)
+        for t, i in ranks.items():
+            self.sizes[i] = len(t)
         self.parts: dict[int, tuple[int, int]] = {}
         self.merged: dict[tuple[int, int], int] = {}
         #: Pairs looked at before, as a << 20 | b.
@@ -138,15 +144,6 @@ class PrefixTable:
         return out[::-1]
 
 
-def _common(a: bytes, b: bytes) -> int:
-    n = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        n += 1
-    return n
-
-
 class Encoder:
     """Texts to ids and back; ``pattern`` cuts texts into pre-tokens, which are encoded one by one."""
 
@@ -154,62 +151,64 @@ class Encoder:
         import regex
 
         self.v, self.find = vocabulary, regex.compile(pattern).findall
-        self._known: dict[str, bytes] = {}
-        self._heads: dict[str, bytes] = {}
+        self._known = chunks.Kept()
+        #: Only with this pattern are the cuts of ``chunks`` safe, and a line feed must be one token.
+        self.cuts = pattern == PATTERN and b"\n" in vocabulary.ranks
+        self.marks = {m: vocabulary.ranks[m.encode()].to_bytes(4, "little") for m in chunks.MARKS}
 
-    def pieces(self, pieces: list[str]) -> dict[str, bytes]:
+    def pieces(self, pieces: set[str]) -> dict[str, bytes]:
         """Ids of pre-tokens as little-endian unsigned 32-bit integers. In sorted order each one keeps the entries of the
-        prefix that it shares with the one before."""
-        out, table = {}, PrefixTable(self.v)
-        for piece in sorted(pieces):
-            data = piece.encode()
-            whole = self.v.ranks.get(data)
+        prefix that it shares with the one before: ``PrefixTable``, with all that it needs at hand."""
+        v = self.v
+        step, ends, sizes, known, look, rank = v.step, v.ends, v.sizes, v.known.get, v.look, v.ranks.get
+        out, before, last = {}, b"", [-1]
+        for data, piece in sorted([(p.encode(), p) for p in pieces]):
+            whole = rank(data)
             if whole is not None:
                 out[piece] = whole.to_bytes(4, "little")
                 continue
-            same = _common(table.data, data)
-            ids = table.edit(same, len(table.data), data[same:]).ids()
-            out[piece] = np.array(ids, "<u4").tobytes()
+            same, most = 0, min(len(before), len(data))
+            while same < most and before[same] == data[same]:
+                same += 1
+            del last[same + 1 :]
+            for i in range(same, len(data)):
+                node = 0
+                while True:
+                    node = step[node << 8 | data[i]]
+                    t = ends[node]
+                    if t >= 0:
+                        if not i:
+                            break
+                        left = last[i]
+                        fits = known(left << 20 | t)
+                        if fits or fits is None and look(left, t):
+                            break
+                    i -= 1
+                last.append(t)
+            before, at, ids = data, len(data), []
+            while at:
+                t = last[at]
+                ids.append(t)
+                at -= sizes[t]
+            ids.reverse()
+            out[piece] = array("I", ids).tobytes()
         return out
 
-    def encode_many(self, texts: list[str]) -> list[bytes]:
-        # What follows a blank is kept without it; a piece that begins otherwise is kept among the heads.
-        known, heads = self._known, self._heads
-        for kept in (known, heads):
-            if len(kept) >= chunks.CACHED:
-                kept.clear()
-        rows, gaps, first, missing = [], [], [], set()
-        for text in texts:
-            parts = chunks.split(text)
-            pieces = self.find(text if parts is None else parts[0])
-            first.append(pieces)
-            missing.update([p for p in pieces if p not in heads])
-            row = [] if parts is None else list(map(known.get, parts[1:]))
-            gap = [(i, parts[i + 1]) for i, v in enumerate(row) if v is None] if None in row else []
-            gaps.append(gap)
-            rows.append(row)
-        cut = {p: self.find(" " + p) for gap in gaps for _, p in gap}
-        wanted = {q for pieces in cut.values() for q in pieces if (q[1:] not in known if q[0] == " " else q not in heads)}
-        new = self.pieces(wanted | missing)
-        for q, ids in new.items():
-            if len(q) > chunks.LONGEST:
-                continue
-            if q[0] == " " and q not in missing:
-                known[q[1:]] = ids  # the same as the part that has no other piece
-            else:
-                heads[q] = ids
-        found = {}
-        for p, pieces in cut.items():
-            ids = found[p] = new[pieces[0]] if len(pieces) == 1 else b"".join([new[q] if q in new else heads[q] if q in heads else known[q[1:]] for q in pieces])
-            if len(p) <= chunks.LONGEST:
-                known[p] = ids
-        for row, gap in zip(rows, gaps, strict=True):
-            for i, p in gap:
-                row[i] = found[p]
-        return [b"".join([new[q] if q in new else heads[q] for q in pieces]) + b"".join(row) for pieces, row in zip(first, rows, strict=True)]
+    def _parts(self, parts: list[str]) -> list[bytes]:
+        return chunks.by_stems(parts, self._known, lambda some: self._cut([[" " + p] if p.isalpha() else self.find(chunks.shown(p)) for p in some]), self.marks)
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return self._cut(list(map(self.find, texts)))
+
+    def _cut(self, cut: list[list[str]]) -> list[bytes]:
+        new = self.pieces({p for pieces in cut for p in pieces})
+        return [new[pieces[0]] if len(pieces) == 1 else b"".join(map(new.__getitem__, pieces)) for pieces in cut]
+
+    def encode_column(self, texts: pa.Array) -> list[bytes]:
+        return [ids.tobytes() for ids in chunks.encode(texts, self._known, self._parts, self._whole, 4, self.cuts)]
 
     def encode(self, text: str) -> bytes:
-        return self.encode_many([text])[0]
+        return self.encode_column(pa.array([text], pa.string()))[0]
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.v.token.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -242,9 +241,10 @@ def _encode(path: str, pattern: str, text: int | None, with_ids: bool, with_text
         e = encoder(path, pattern)
         for batch in batches:
             row = batch.column("__row")
-            for i, j, data, offsets in tb.chunks(batch, batch.column("__text") if text is None else tb.field(row, text)):
+            column = batch.column("__text") if text is None else tb.field(row, text)
+            for i, j, _, _ in tb.chunks(batch, column, 8 << 20):
                 n, ids_hash, text_hash, all_ids, texts = [], [], [], [], []
-                for ids in e.encode_many([data[p:q].tobytes().decode("utf-8", "replace") for p, q in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]):
+                for ids in e.encode_column(column.slice(i, j - i)):
                     back = e.decode(ids)
                     n.append(len(ids) // 4)
                     ids_hash.append(hashlib.sha256(ids).hexdigest())
