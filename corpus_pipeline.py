@@ -15,6 +15,8 @@ from strandline.llm.mixing import mix, repeat_copies
 from strandline.llm.quality import quality_scores
 from strandline.llm.substring_dedup import substring_dedup
 
+#: Weights of the domains: what the quality classifier let pass of the low one is not built up again.
+TARGETS = {"low": 0.0, "clean": 0.97, "toxic": 0.03}
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -44,7 +46,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its rate says."""
-    return _documents(repeat_copies(mix(docs, _labels(spark, sf_dir))))
+    return _documents(repeat_copies(mix(docs, _labels(spark, sf_dir), TARGETS)))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

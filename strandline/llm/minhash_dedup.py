@@ -106,7 +106,7 @@ def _signatures(size: int, bands: int, rows: int):
             for i, j, data, offsets in tb.chunks(batch, batch.schema.get_field_index("__text")):
                 keys, n, band, sketch = [], [], [], []
                 for values in shingle_sets(data, offsets, size):
-                    keys.append(hashlib.blake2b(values, digest_size=16).digest())
+                    keys.append(set_key(values))
                     n.append(len(values))
                     if not len(values):
                         band.append(None)
@@ -123,6 +123,23 @@ def _signatures(size: int, bands: int, rows: int):
     return run
 
 
+def _keyed(size: int):
+    """Rows without doc_id, with the key and the size of their set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = batch.column("__row")
+            for i, j, data, offsets in tb.chunks(batch, batch.schema.get_field_index("__text")):
+                sets = shingle_sets(data, offsets, size)
+                yield pa.record_batch([row.slice(i, j - i), pa.array([set_key(v) for v in sets], pa.binary()), pa.array([len(v) for v in sets], pa.int64())], names=["__row", "key", "n"])
+
+    return run
+
+
+def set_key(values: np.ndarray) -> bytes:
+    return hashlib.blake2b(values, digest_size=16).digest()
+
+
 def _named(filter_bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -308,6 +325,10 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
         out = verdicts.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id")
         return out.withColumn("kept", F.coalesce(F.col(doc_id) == F.col("component_id"), F.col("component_id").isNull()))
     per_id = verdicts.groupBy("id").agg(F.max("n").alias("n_shingles"), F.min("component_id").alias("component_id")).filter("id IS NOT NULL")
-    joined = packed.join(per_id.withColumnRenamed("id", "__match"), F.col(f"__{doc_id}").cast("long") == F.col("__match"), "left")
-    joined = joined.withColumn("kept", F.coalesce(F.col("__match") == F.col("component_id"), F.col("component_id").isNull()))
-    return shared.unpacked(joined, docs.columns, added)
+    known = F.col(f"__{doc_id}").cast("long")
+    named = packed.filter(known.isNotNull()).join(per_id.withColumnRenamed("id", "__match"), known == F.col("__match"))
+    named = named.select("__row", *added[:2], (F.col("__match") == F.col("component_id")).alias("kept"))
+    unnamed = packed.filter(known.isNull()).select("__row", F.col(f"__{text}").alias("__text"))
+    keyed = unnamed.mapInArrow(_keyed(shingle), f"__row {packed.schema['__row'].dataType.simpleString()}, key binary, n long").join(result, "key", "left")
+    unnamed = keyed.select("__row", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("comp")).alias("component_id"))
+    return shared.unpacked(named.unionByName(unnamed.withColumn("kept", F.col("component_id").isNull())), docs.columns, added)

@@ -26,7 +26,7 @@ DOMAINS = ("low", "clean", "toxic")
 #: Expected share of the tokens, and most labelled rows that the classifier is fitted on.
 TARGETS, FITTED = {"low": 0.02, "clean": 0.95, "toxic": 0.03}, 8_000
 #: Sums are counted in whole thousandths of tokens, so that they do not depend on the order of adding.
-UNIT, STEPS, CLOSE = 1000, 40, 1e-6
+UNIT, STEPS, CLOSE = 1000, 60, 1e-6
 _BITS, _LEAST = 16, 5
 
 
@@ -105,11 +105,15 @@ def fit_domains(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
     return DomainModel(x, [flat[cuts[i] : cuts[i + 1]] for i in order], np.array([label[i] for i in at[order]]))
 
 
-def rates(posteriors: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
-    r = np.ones(len(posteriors))
-    for g in steps:
-        r = np.maximum(0, r - posteriors @ g)
-    return r
+def rates(posteriors: np.ndarray, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(rates, points from which the next step goes) after the steps so far: each step is a gradient in domain space, put
+    into effect on every document, held at 0, and carried on with Nesterov's momentum."""
+    r = ahead = np.ones(len(posteriors))
+    for k, g in enumerate(steps):
+        new = np.maximum(0, ahead - posteriors @ g)
+        ahead = new + k / (k + 3) * (new - r)
+        r = new
+    return r, ahead
 
 
 def _posterior(model, n_domains: int):
@@ -123,13 +127,13 @@ def _posterior(model, n_domains: int):
 
 
 def _sums(steps: list[np.ndarray], square: bool):
-    """Of each batch: expected tokens of each domain in thousandths, or of each pair of domains."""
+    """Of each batch: tokens of each pair of domains in thousandths, or expected ones of each domain, at the rates and ahead of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.column(0).to_numpy()
             p = np.column_stack([batch.column(k).to_numpy() for k in range(1, batch.num_columns)])
-            w = p[:, :, None] * p[:, None, :] if square else p * rates(p, steps)[:, None]
+            w = p[:, :, None] * p[:, None, :] if square else p[:, None, :] * np.stack(rates(p, steps), axis=1)[:, :, None]
             got = np.rint(w.reshape(len(n), -1) * (n * UNIT)[:, None]).astype(np.int64).sum(axis=0)
             yield pa.record_batch([pa.array([list(got)], pa.list_(pa.int64()))], names=["v"])
 
@@ -152,13 +156,14 @@ def fit_rates(table: DataFrame, targets: dict[str, float], total: float | None =
     metric = _total(table, [], len(names) ** 2, True).reshape(len(names), -1)
     inverse = np.linalg.pinv(metric + np.eye(len(names)) * (1e-9 * np.trace(metric) + 1e-9), hermitian=True)
     steps: list[np.ndarray] = []
-    now = _total(table, steps, len(names), False)
+    now = ahead = _total(table, steps, 2 * len(names), False)[: len(names)]
     goal = share * (now[names.index(anchor)] / max(share[names.index(anchor)], 1e-9) if total is None else total)
     for _ in range(STEPS):
         if np.abs(now - goal).sum() <= CLOSE * max(goal.sum(), 1):
             break
-        steps.append(inverse @ (now - goal))
-        before, now = now, _total(table, steps, len(names), False)
+        steps.append(inverse @ (ahead - goal))
+        before, sums = now, _total(table, steps, 2 * len(names), False)
+        now, ahead = sums[: len(names)], sums[len(names) :]
         if np.abs(before - now).sum() <= CLOSE * max(goal.sum(), 1):
             break  # the targets cannot be met with rates of 0 or more; this is the nearest
     return steps, now, goal
@@ -172,7 +177,7 @@ def _mixed(model, steps: list[np.ndarray], names: list[str], text: int | None):
             for i, j, data, offsets in tb.chunks(batch, batch.column("__text") if text is None else tb.field(row, text)):
                 p, n = model(data, offsets)
                 p = np.round(p, 6)
-                r = rates(p, steps)
+                r = rates(p, steps)[0]
                 copies = np.where(n > 0, np.floor(r + luck[i:j]), 1).astype(np.int64)
                 yield pa.record_batch([row.slice(i, j - i), pa.array(n, pa.int64()), *[pa.array(p[:, d]) for d in range(len(names))], pa.array(r), pa.array(copies)], names=["__row", "n_tokens", *[f"p_{d}" for d in names], "rate", "copies"])
 

@@ -16,8 +16,8 @@ from strandline.llm.textfeatures import NAMES, Scaler, features
 #: Most trusted positives and most unlabelled rows that the model is fitted on (those of least hash of doc_id).
 FITTED = 10_000
 THRESHOLD = 0.7
-#: Features that tell of the form of a text; what it mentions (numbers, quoted or very long strings) is left out.
-_FORM = [NAMES.index(n) for n in NAMES if n not in ("digit", "quote", "bracket", "control", "wide", "long_words")]
+#: Features that tell of the form of a text. Its length, and what it mentions (numbers, quoted or very long strings), are left out.
+_FORM = [NAMES.index(n) for n in ("upper", "lower", "blank", "stop", "shout", "bar", "mark", "distinct", "top_word", "adjacent", "upper_words", "marked_words")]
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -54,7 +54,7 @@ class PUModel:
     While the estimate of the negatives' risk is below 0, steps go against it instead, as the non-negative estimator asks.
     """
 
-    def __init__(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 3e-3):
+    def __init__(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-3):
         self.scale = Scaler(np.vstack([positive, unlabelled]))
         p, u = self.scale(positive), self.scale(unlabelled)
         w = np.zeros(p.shape[1])

@@ -46,7 +46,7 @@ class Spec:
 
     @property
     def reach(self) -> int:
-        return self.window - self.levels[-1] + 1
+        return self.window - max(self.gram, self.levels[-1]) + 1
 
 
 class Units:
