@@ -205,7 +205,7 @@ class Encoder:
         return [new[pieces[0]] if len(pieces) == 1 else b"".join(map(new.__getitem__, pieces)) for pieces in cut]
 
     def encode_column(self, texts: pa.Array) -> list[bytes]:
-        return [ids.tobytes() for ids in chunks.encode(texts, self._known, self._parts, self._whole, 4, self.cuts)]
+        return [ids.tobytes() for ids in chunks.encode(texts, chunks.kept_ids(self._known, self._parts, 4), self._whole, 4, self.cuts)]
 
     def encode(self, text: str) -> bytes:
         return self.encode_column(pa.array([text], pa.string()))[0]

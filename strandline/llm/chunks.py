@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+#: Ids one after the other, and the start and the number of those of each part.
+Pool = tuple[np.ndarray, np.ndarray, np.ndarray]
 #: Marks that are matches of their own after letters.
 MARKS = ".,;:"
 #: Parts, and bytes of a part's text, that a worker keeps.
@@ -60,12 +62,38 @@ def by_stems(parts: list[str], known: Kept, encode: Callable[[list[str]], list[b
     return [found[s] if len(s) == len(p) else found[s] + marks[p[-1]] for s, p in zip(stems, parts, strict=True)]
 
 
-def encode(texts: pa.Array, known: Kept, parts: Callable[[list[str]], list[bytes]], whole: Callable[[list[str]], list[bytes]], width: int, cuts: bool = True) -> list[np.ndarray]:
-    """Ids of each text, from ``parts`` (ids of strings as ``shown``) and ``whole`` (ids of any strings).
+def kept_ids(known: Kept, parts: Callable[[list[str]], list[bytes]], width: int) -> Callable[[pa.Array], Pool]:
+    """Ids of distinct parts, from those kept or else from ``parts``."""
+
+    def run(distinct: pa.Array) -> Pool:
+        known.young[""] = b""
+        all_parts = distinct.to_pylist()
+        found = known.find(all_parts)
+        gaps = [i for i, ids in enumerate(found) if ids is None]
+        missing = [all_parts[i] for i in gaps]
+        new = parts(missing) if missing else []
+        for i, ids in zip(gaps, new, strict=True):
+            found[i] = ids
+        known.add(missing, new)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // width
+        return np.frombuffer(b"".join(found), f"<u{width}"), np.cumsum(sizes) - sizes, sizes
+
+    return run
+
+
+def places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each stretch, one after the other."""
+    ends = np.cumsum(sizes)
+    out = np.repeat(starts - (ends - sizes), sizes)
+    out += np.arange(len(out), dtype=out.dtype)
+    return out
+
+
+def encode(texts: pa.Array, distinct_ids: Callable[[pa.Array], Pool], whole: Callable[[list[str]], list[bytes]], width: int, cuts: bool = True) -> list[np.ndarray]:
+    """Ids of each text, from ``distinct_ids`` (all ids, and start and number for each distinct part, as ``shown``) and ``whole`` (ids of any strings).
 
     A text is taken to begin with a line feed, whose id, one only, is left out again.
     """
-    kind = f"<u{width}"
     n = len(texts)
     out: list[np.ndarray] = [None] * n
     texts = pc.fill_null(texts, "")
@@ -73,29 +101,19 @@ def encode(texts: pa.Array, known: Kept, parts: Callable[[list[str]], list[bytes
     odd = pc.match_substring_regex(led, _ODD).to_numpy(zero_copy_only=False) if cuts else np.ones(n, bool)
     at = np.flatnonzero(odd)
     for i, ids in zip(at.tolist(), whole(texts.take(pa.array(at)).to_pylist()) if len(at) else (), strict=True):
-        out[i] = np.frombuffer(ids, kind)
+        out[i] = np.frombuffer(ids, f"<u{width}")
     at = np.flatnonzero(~odd)
     if not len(at):
         return out
     # each text begins with a part of no characters, which stands for nothing
-    lists = pc.split_pattern(pc.replace_substring(led.take(pa.array(at)), "\n", " \n"), " ")
+    lists = pc.split_pattern(pc.replace_substring(led if len(at) == n else led.take(pa.array(at)), "\n", " \n"), " ")
     coded = lists.flatten().dictionary_encode()
-    index, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-    known.young[""] = b""
-    found = known.find(distinct)
-    gaps = [i for i, ids in enumerate(found) if ids is None]
-    missing = [distinct[i] for i in gaps]
-    new = parts(missing) if missing else []
-    for i, ids in zip(gaps, new, strict=True):
-        found[i] = ids
-    known.add(missing, new)
-    sizes = np.fromiter(map(len, found), np.int64, len(found)) // width
-    pool, starts = np.frombuffer(b"".join(found), kind), np.cumsum(sizes) - sizes
-    size = sizes[index]
-    ends = np.cumsum(size)
-    ids = pool[np.repeat(starts[index] - (ends - size), size) + np.arange(ends[-1])]
-    words = np.cumsum(lists.value_lengths().to_numpy())
-    stops = ends[words - 1]
+    number = np.int32 if texts.nbytes < 1 << 30 else np.int64  # a text has no more ids than bytes
+    pool, starts, sizes = distinct_ids(coded.dictionary)
+    index = coded.indices.to_numpy()
+    size = sizes.astype(number)[index]
+    ids = pool[places(starts.astype(number)[index], size)]
+    stops = np.cumsum(size, dtype=np.int64)[np.cumsum(lists.value_lengths().to_numpy()) - 1]
     for i, p, q in zip(at.tolist(), [0, *stops[:-1].tolist()], stops.tolist(), strict=True):
         out[i] = ids[p + 1 : q]
     return out

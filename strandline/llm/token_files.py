@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,8 +35,10 @@ from strandline.llm import textbytes as tb
 
 MAGIC, HEAD = b"SLTOKEN1", struct.Struct("<8sIIQQQQq")
 SAMPLE = 256
-#: Ids after which a segment ends.
-SEGMENT = 16 << 20
+#: Ids after which a segment ends, and bytes of texts that are encoded at once.
+SEGMENT, TOGETHER = 16 << 20, 12 << 20
+#: Letters (those of Latin scripts, which every Unicode version has) and one mark.
+_MARKED = r"\A[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]+[" + chunks.MARKS + r"]\z"
 _EF = struct.Struct("<IBQ")
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 _loaded: dict[str, object] = {}
@@ -97,7 +100,7 @@ class EliasFano:
 
 
 class WordEncoder:
-    """Whole texts with the tokenizers library; ids of parts seen before are reused, within bounds."""
+    """Whole texts with the tokenizers library; parts that occur several times in a call are encoded once."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -112,31 +115,39 @@ class WordEncoder:
         self.sizes = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
             self.sizes[i] = len(token)
-        self._known = chunks.Kept()
         self.cuts = self.cuts and len(self._many(["\n"])[0]) == self.width
-        self.marks = dict(zip(chunks.MARKS, self._many(list(chunks.MARKS)), strict=True))
+        self.marks = {m: int(np.frombuffer(x, f"<u{self.width}")[0]) for m, x in zip(chunks.MARKS, self._many(list(chunks.MARKS)), strict=True)}
 
     def _many(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, f"<u{self.width}").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _parts(self, parts: list[str]) -> list[bytes]:
-        return chunks.by_stems(parts, self._known, self._joined, self.marks)
-
-    def _joined(self, parts: list[str]) -> list[bytes]:
-        """Ids of parts: encoded as long texts, and cut where the bytes of the tokens add up to a part's."""
-        shown = list(map(chunks.shown, parts))
-        texts = ["".join(shown[k : k + 100]) for k in range(0, len(shown), 100)]
-        out: list[bytes] = []
-        for k, x in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-            ids = np.array(x.ids, f"<u{self.width}")
-            ends = np.cumsum([len(p.encode()) for p in shown[k * 100 : (k + 1) * 100]])
-            at = (np.searchsorted(np.cumsum(self.sizes[ids]), ends, "left") + 1) * self.width
-            raw = ids.tobytes()
-            out += [raw[p:q] for p, q in zip([0, *at[:-1].tolist()], at.tolist(), strict=True)]
-        return out
+    def _distinct(self, parts: pa.Array) -> chunks.Pool:
+        """Ids of distinct parts: encoded as long texts, and cut where the bytes of the tokens add up to a part's.
+
+        A mark after letters is a match of its own, so the letters are encoded alone, and once for all marks.
+        """
+        marked = pc.match_substring_regex(parts, _MARKED)
+        stems = pc.if_else(marked, pc.utf8_slice_codeunits(parts, 0, -1), parts).dictionary_encode()
+        stem = stems.dictionary
+        bare = pc.or_(pc.starts_with(stem, "\n"), pc.equal(stem, ""))
+        shown = pc.if_else(bare, stem, pc.binary_join_element_wise(" ", stem, ""))
+        cuts = pa.array([*range(0, len(shown), 100), len(shown)], pa.int32())
+        texts = pc.binary_join(pa.ListArray.from_arrays(cuts, shown), "").to_pylist()
+        ids = np.concatenate([np.array(x.ids, f"<u{self.width}") for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+        stops = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(pc.binary_length(shown).to_numpy(), dtype=np.int64), "right")
+        begins = np.concatenate(([0], stops[:-1]))
+        index, mark = stems.indices.to_numpy(), marked.to_numpy(zero_copy_only=False)
+        size = (stops - begins)[index]
+        sizes = size + mark
+        starts = np.cumsum(sizes) - sizes
+        pool = np.empty(sizes.sum(), ids.dtype)
+        pool[chunks.places(starts, size)] = ids[chunks.places(begins[index], size)]
+        last = pc.utf8_slice_codeunits(parts.filter(marked), -1).dictionary_encode()
+        pool[(starts + size)[mark]] = np.array([self.marks[m] for m in last.dictionary.to_pylist()], ids.dtype)[last.indices.to_numpy()]
+        return pool, starts, sizes
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        return chunks.encode(texts, self._known, self._parts, self._many, self.width, self.cuts)
+        return chunks.encode(texts, self._distinct, self._many, self.width, self.cuts)
 
 
 def _encoder(path: str) -> WordEncoder:
@@ -189,22 +200,36 @@ def _pack(tokenizer: str, end_id: int | None):
         part, e = TaskContext.get().partitionId(), _encoder(tokenizer)
         end = b"" if end_id is None else np.array([end_id], f"<u{e.width}").tobytes()
         names, held, size = [], [], 0
-        for batch in batches:
-            doc_ids = batch.column("doc_id").to_pylist()
-            for i, j, _, _ in tb.chunks(batch, batch.schema.get_field_index("text"), 8 << 20):
-                new = [x.tobytes() + end for x in e.encode(batch.column("text").slice(i, j - i))]
-                names += doc_ids[i:j]
-                held += new
-                size += sum(map(len, new))
-                if size >= SEGMENT * e.width:
-                    yield pa.record_batch([pa.array([pack_segment(part, e.width, names, held)], pa.binary())], names=["segment"])
-                    names, held, size = [], [], 0
+        for doc_ids, texts in _together(batches):
+            new = [x.tobytes() + end for x in e.encode(texts)]
+            names += doc_ids
+            held += new
+            size += sum(map(len, new))
+            if size >= SEGMENT * e.width:
+                yield pa.record_batch([pa.array([pack_segment(part, e.width, names, held)], pa.binary())], names=["segment"])
+                names, held, size = [], [], 0
         if held:
             yield pa.record_batch([pa.array([pack_segment(part, e.width, names, held)], pa.binary())], names=["segment"])
 
     return run
 
 
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Array]]:
+    """doc_ids and texts of about TOGETHER bytes, whatever the batches are."""
+    doc_ids, texts, size = [], [], 0
+    for batch in batches:
+        ids = batch.column("doc_id").to_pylist()
+        for i, j, data, _ in tb.chunks(batch, batch.schema.get_field_index("text"), TOGETHER):
+            if size and size + len(data) > TOGETHER:
+                yield doc_ids, pa.concat_arrays(texts)
+                doc_ids, texts, size = [], [], 0
+            doc_ids += ids[i:j]
+            texts.append(batch.column("text").slice(i, j - i))
+            size += len(data)
+    if doc_ids:
+        yield doc_ids, pa.concat_arrays(texts)
+
+
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int | None = 2) -> None:
     """Encode each whole text and write files in ascending doc_id order: one file for each range of doc_id.
 
