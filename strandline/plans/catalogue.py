@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from strandline import schemas
 from strandline.functions import scalars, strict_json
-from strandline.operators import manifest, motion, quality, recovery, retrieval, scope, sessions
+from strandline.operators import jobs, manifest, motion, quality, recovery, retrieval, scope, sessions
 from strandline.sources import sinks
 from strandline.sources.readers import driver_table as table
 from strandline.sources.readers import keyset_page
+from strandline.streaming import stateful
 
 HOUR = 3_600_000
 #: Name to (query, SQL or None).
@@ -406,6 +407,101 @@ def strict_json_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strict_json.verdicts(table(spark, sf_dir, "events").select("event_id", "props"), "props").select("event_id", "ok", "reason", "document")
 
 
+@_query("""
+SELECT l_orderkey AS batch_id, list_sort(list(l_linenumber)) AS lines, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 6""")
+def batch_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers come back in input order: the places of a batch, sorted, and its distinct keys."""
+    l = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("batch_id"))  # noqa: E741
+    return l.agg(F.array_sort(F.collect_list("l_linenumber")).alias("lines"), F.count_distinct("l_partkey").alias("parts"), F.count("*").alias("n")).filter("n >= 6").drop("n")
+
+
+@_query("SELECT l_orderkey, l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.duplicates(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey", "l_suppkey"])
+
+
+@_query("SELECT o_custkey, CASE WHEN count(o_orderkey) = 0 THEN 0 ELSE count(o_orderkey) END AS n FROM (SELECT c_custkey AS o_custkey FROM customer WHERE c_nationkey < 5) LEFT JOIN orders USING (o_custkey) GROUP BY o_custkey HAVING count(o_orderkey) <> 1")
+def exactly_one_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wanted = table(spark, sf_dir, "customer").filter("c_nationkey < 5").select(F.col("c_custkey").alias("o_custkey"))
+    return quality.exactly_one(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), wanted, ["o_custkey"])
+
+
+@_query("SELECT o_orderstatus AS value, count(*) AS n FROM orders WHERE o_orderstatus NOT IN ('O', 'F') GROUP BY o_orderstatus")
+def closed_set_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").filter(~F.col("o_orderstatus").isin("O", "F")).groupBy(F.col("o_orderstatus").alias("value")).agg(F.count("*").alias("n"))
+
+
+@_query("""
+SELECT event_id, floor(least(value, 120.0)) BETWEEN 0 AND 100 AS ok, CASE WHEN floor(least(value, 120.0)) BETWEEN 0 AND 100 THEN floor(least(value, 120.0)) * 100.0 / 100 END AS percent FROM events""")
+def battery_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = scalars.battery(F.floor(F.least(F.col("value"), F.lit(120.0))).cast("int"), F.lit(100))
+    e = table(spark, sf_dir, "events").select("event_id", b.alias("b"))
+    return e.select("event_id", scalars.battery_consistent(F.col("b.level"), F.col("b.scale"), F.col("b.percent")).alias("ok"), F.col("b.percent").alias("percent"))
+
+
+@_query("""
+SELECT event_id, (epoch_us(ts) // 3600000000) || ':' || lpad(((epoch_us(ts) // 60000000) % 60)::VARCHAR, 2, '0') || ':' || lpad(((epoch_us(ts) // 1000000) % 60)::VARCHAR, 2, '0') AS clock,
+  strftime(ts, '%Y%m%d-%H%M%S') AS stamp, strftime(ts, '%Y-%m-%dT%H:%M:%S') || rtrim(rtrim('.' || lpad((epoch_us(ts) % 1000000)::VARCHAR, 6, '0'), '0'), '.') || 'Z' AS rfc3339 FROM events""")
+def time_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = _millis(F.col("ts"))
+    return table(spark, sf_dir, "events").select("event_id", scalars.duration_text(at).alias("clock"), F.date_format("ts", "yyyyMMdd-HHmmss").alias("stamp"), scalars.rfc3339(F.col("ts")).alias("rfc3339"))
+
+
+@_query("""
+WITH n AS (SELECT o_custkey, count(*) AS tries, bool_or(o_orderstatus = 'F' AND o_orderkey % 5 = 0) AS done, max_by(o_orderstatus = 'O' AND o_orderkey % 2 = 0, o_orderkey) AS live, count(*) FILTER (WHERE NOT (o_orderstatus = 'O' AND o_orderkey % 2 = 0)) AS over FROM orders GROUP BY o_custkey)
+SELECT c_custkey AS job_id, CASE WHEN done THEN 'done' WHEN live THEN 'running' WHEN over >= 3 THEN 'quarantined' ELSE 'ready' END AS state, coalesce(tries, 0) AS tries FROM customer LEFT JOIN n ON o_custkey = c_custkey""")
+def job_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    live = (F.col("o_orderstatus") == "O") & (F.col("o_orderkey") % 2 == 0)
+    a = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("job_id"), F.lit(0).alias("started_ms"), F.when(~live, 1).alias("ended_ms"), ((F.col("o_orderstatus") == "F") & (F.col("o_orderkey") % 5 == 0)).alias("ok"), F.col("o_orderkey").alias("attempt_seq"))
+    return jobs.job_states(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("job_id")), a, 5, 10)
+
+
+@_query("SELECT label, list_sort(list(vec_id)) AS frames FROM (SELECT label, vec_id FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY embedding[1]::DOUBLE DESC, vec_id) <= 3) GROUP BY label")
+def keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings").select("label", "vec_id", F.col("embedding")[0].cast("double").alias("q"))
+    return retrieval.keyframes(e, "label", "q", "vec_id", 3).groupBy("label").agg(F.array_sort(F.collect_list("vec_id")).alias("frames"))
+
+
+@_query("""
+WITH h AS (SELECT vec_id, list_sum([CASE WHEN embedding[i + 1] > 0 THEN 1::BIGINT << i ELSE 0 END FOR i IN range(63)])::BIGINT AS h FROM embeddings), u AS (SELECT h, min(vec_id) AS id FROM h GROUP BY h)
+SELECT a.id AS a, b.id AS b, bit_count(xor(a.h, b.h))::INTEGER AS distance FROM u a JOIN u b ON a.id < b.id AND bit_count(xor(a.h, b.h)) <= 3""")
+def similar_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bits = F.aggregate(F.sequence(F.lit(0), F.lit(62)), F.lit(0).cast("long"), lambda h, i: h.bitwiseOR(F.when(F.get(F.col("embedding"), i) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))))
+    return retrieval.similar_hashes(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame_id"), bits.alias("phash")))
+
+
+@_query("""
+WITH q AS (SELECT user_id AS query_id, event_id AS item_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank, event_type = 'error' AS good FROM events), b AS (SELECT query_id, min(rank) FILTER (WHERE good) AS best FROM q GROUP BY query_id HAVING bool_or(good))
+SELECT round(avg((best <= 5)::INTEGER), 6) AS recall_5, round(avg((best <= 20)::INTEGER), 6) AS recall_20, round(avg((best <= 100)::INTEGER), 6) AS recall_100 FROM b""")
+def recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("item_id"), "event_type", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id")).alias("rank"))
+    x = retrieval.recall_at(e, e.filter("event_type = 'error'").select("query_id", "item_id"), [5, 20, 100])
+    return x.select(*[F.round(c, 6).alias(c) for c in x.columns])
+
+
+@_query("""
+WITH x AS (SELECT user_id, event_id, epoch_us(ts) // 1000 AS t, min(epoch_us(ts) // 1000) OVER (PARTITION BY user_id) AS s FROM events), y AS (SELECT *, (t - s) // 86400000 AS b FROM x)
+SELECT user_id, event_id FROM y WHERE b >= 1 QUALIFY row_number() OVER (PARTITION BY user_id, b ORDER BY t, event_id) = 1""")
+def periodic_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", _millis(F.col("ts")).alias("t"))
+    starts = e.groupBy("user_id").agg(F.min("t").alias("start_elapsed_ms"))
+    return stateful.periodic(e, starts, 24 * HOUR, "user_id", "t", "event_id").select("user_id", "event_id")
+
+
+@_query("SELECT c_nationkey, string_agg(c_mktsegment, ',' ORDER BY k) AS segments FROM (SELECT c_nationkey, c_mktsegment, min(c_custkey) AS k FROM customer GROUP BY ALL) GROUP BY c_nationkey")
+def episode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", "c_mktsegment")
+    return retrieval.episode_text(c, "c_nationkey", ["c_custkey"], "c_mktsegment").select("c_nationkey", F.array_join("texts", ",").alias("segments"))
+
+
+@_query("SELECT CAST(ts AS DATE) AS day, count(*) AS frames, min(epoch_us(ts) // 1000) AS first_ms, max(epoch_us(ts) // 1000) AS last_ms, count(DISTINCT event_type) AS contents FROM events GROUP BY 1")
+def daily_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.lit(1).alias("state"), F.lit(1).alias("bytes"), _millis(F.col("ts")).alias("saved_wall_ms"), F.col("event_type").alias("sha256"))
+    return sessions.daily_facts(e).drop("bytes")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: q for name, (q, _) in _CATALOGUE.items()}
 
