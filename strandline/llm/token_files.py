@@ -36,7 +36,7 @@ from strandline.llm import textbytes as tb
 MAGIC, HEAD = b"SLTOKEN1", struct.Struct("<8sIIQQQQq")
 SAMPLE = 256
 #: Ids after which a segment ends, and bytes of texts that are encoded at once.
-SEGMENT, TOGETHER = 16 << 20, 12 << 20
+SEGMENT, TOGETHER = 2 << 20, 5 << 20
 #: Letters (those of Latin scripts, which every Unicode version has) and one mark.
 _MARKED = r"\A[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]+[" + chunks.MARKS + r"]\z"
 _EF = struct.Struct("<IBQ")
@@ -202,6 +202,8 @@ def _pack(tokenizer: str, end_id: int | None):
         names, held, size = [], [], 0
         for doc_ids, texts in _together(batches):
             new = [x.tobytes() + end for x in e.encode(texts)]
+            del texts
+            pa.default_memory_pool().release_unused()
             names += doc_ids
             held += new
             size += sum(map(len, new))
