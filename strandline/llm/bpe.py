@@ -231,18 +231,20 @@ class Encoder:
 
 def encoder(path: str, pattern: str) -> Encoder:
     """One for each worker process."""
+    tb.kept["bpe"] = _loaded.clear
     if (path, pattern) not in _loaded:
         _loaded[path, pattern] = Encoder(Vocabulary.load(path), pattern)
     return _loaded[path, pattern]
 
 
 def _encode(path: str, pattern: str, text: int | None, with_ids: bool, with_text: bool):
+    @tb.task("bpe")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path, pattern)
         for batch in batches:
             row = batch.column("__row")
             column = batch.column("__text") if text is None else tb.field(row, text)
-            for i, j, _, _ in tb.chunks(batch, column, 8 << 20):
+            for i, j, _, _ in tb.chunks(batch, column, 4 << 20):
                 n, ids_hash, text_hash, all_ids, texts = [], [], [], [], []
                 for ids in e.encode_column(column.slice(i, j - i)):
                     back = e.decode(ids)

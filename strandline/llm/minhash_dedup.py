@@ -100,6 +100,7 @@ def most_ones_bins(smaller, similarity: float, exp=np.exp, sqrt=np.sqrt):
 
 
 def _signatures(size: int, bands: int, rows: int):
+    @tb.task("minhash_dedup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("__id")
@@ -126,6 +127,7 @@ def _signatures(size: int, bands: int, rows: int):
 def _keyed(size: int):
     """Rows without doc_id, with the key and the size of their set."""
 
+    @tb.task("minhash_dedup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row = batch.column("__row")
@@ -141,6 +143,7 @@ def set_key(values: np.ndarray) -> bytes:
 
 
 def _named(filter_bytes):
+    @tb.task("minhash_dedup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("__id")
@@ -150,6 +153,7 @@ def _named(filter_bytes):
     return run
 
 
+@tb.task("minhash_dedup")
 def _mixed(ids: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in ids:
         yield pa.record_batch([tb.long_array(tb.mix(batch.column("id").to_numpy().view(np.uint64), 9))], names=["key"])
@@ -158,6 +162,7 @@ def _mixed(ids: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _confirm(size: int, part: int, whole: int):
     """Rows sorted by (a, salt, b): the text of a comes first, with b null."""
 
+    @tb.task("minhash_dedup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, mine = None, None
         for batch in batches:
@@ -211,6 +216,7 @@ def _across(similarity: float, most: int):
             b.append(np.maximum(ids[k], id_of[ok]))
         return a, b, cut
 
+    @tb.task("minhash_dedup")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         out_a, out_b, cut_bands = [], [], []

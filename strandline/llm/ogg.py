@@ -179,6 +179,7 @@ def features(payload: bytes, streams: dict[int, Stream]) -> str:
     return f"streams={len(streams)};pages={sum(v.pages for v in streams.values())};packets={len(s.packets)};seconds={s.seconds(RATE):.4f};stamps={stamps};mean={float(x.mean()):.4f};rms={level:.4f};crossings={crossings}"
 
 
+@tb.task("ogg")
 def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         row = batch.column("__row")
@@ -201,6 +202,7 @@ def media_columns(docs: DataFrame, text: str = "text") -> DataFrame:
 _FIELDS = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("error", pa.string())]
 
 
+@tb.task("ogg")
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         row, media = batch.column("__row"), batch.column("__media")

@@ -104,6 +104,7 @@ def _columns(texts: list[str], following: list[str]) -> list[pa.Array]:
 def _ordered(size: int = 512 << 10):
     """Rows of one range of doc_id in order: results, but for the last row, which needs the next range's first text."""
 
+    @tb.task("order_minhash")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -142,6 +143,7 @@ def _ordered(size: int = 512 << 10):
     return run
 
 
+@tb.task("order_minhash")
 def _last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if batch.num_rows:

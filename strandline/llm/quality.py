@@ -36,6 +36,7 @@ def sampled_texts(docs: DataFrame, ids: list[int], doc_id: str, text: str) -> Da
     return docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("__text")).join(F.broadcast(wanted), "id", "left_semi")
 
 
+@tb.task("quality")
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i, j, data, offsets in tb.chunks(batch, batch.schema.get_field_index("__text")):
@@ -99,6 +100,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 
 def _score(model, text: int | None):
+    @tb.task("quality")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row = batch.column("__row")

@@ -109,6 +109,7 @@ def left(spec: Spec, u: Units, filters: list) -> tuple[np.ndarray, np.ndarray, n
 
 
 def _pairs(spec: Spec, filters: list, level: int):
+    @tb.task("repeats")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in tb.chunks(batch, batch.schema.get_field_index("__text")):
@@ -131,6 +132,7 @@ def count_level(texts: DataFrame, spec: Spec, filters: list, level: int) -> tupl
 def _suspects(spec: Spec, filters: list):
     """(key of the whole text, text) of texts that may have a repeated window."""
 
+    @tb.task("repeats")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k = batch.schema.get_field_index("__text")
@@ -153,6 +155,7 @@ def _strings(spec: Spec, filters: list, hot):
     """Packed strings of the super windows that are left, with the key of their anchor."""
     last = spec.levels[-1]
 
+    @tb.task("repeats")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uids = batch.column("uid").to_numpy()
@@ -232,6 +235,7 @@ def _sorted_windows(spec: Spec, hot=None):
             none = np.full(len(first), None)
             yield pa.record_batch([pa.array(uids[row[first]]), *[pa.array(none, pa.int64())] * 2, pa.array(keys[row[first]]), pa.array(at[first]), tb.binary_array([u.data[p:q].tobytes().strip() if spec.unit == "word" else u.data[p:q].tobytes() for p, q in zip(b, e, strict=True)])], names=["uid", "s", "e", "key", "start", "packed"])
 
+    @tb.task("repeats")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[list, list, list, list] = ([], [], [], [])
         size, key_now = 0, None
@@ -302,6 +306,7 @@ def _arrays(cut: dict[str, list], with_kept: bool) -> list[pa.Array]:
 
 
 def _cut_distinct(spec: Spec, with_kept: bool):
+    @tb.task("repeats")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ranges, many = batch.column("ranges").to_pylist(), batch.column("copies").to_numpy() > 1
@@ -316,6 +321,7 @@ def _cut_distinct(spec: Spec, with_kept: bool):
 def _first_look(spec: Spec, filters: list, with_kept: bool):
     """Final values for texts without suspects; for others the key of the text alone."""
 
+    @tb.task("repeats")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row = batch.column("__row")

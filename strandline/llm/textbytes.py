@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,39 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _powers = {"n": 0, "up": np.empty(0, U64), "down": np.empty(0, U64)}
 
 
+#: What a worker process keeps between tasks: by operator, how to let go of it.
+kept: dict[str, Callable[[], None]] = {}
+
+
+def task(owner: str):
+    """Of a map over Arrow batches: other operators' kept objects go first, and freed memory is given back at the end.
+
+    Workers are used again by later stages, so what one operator leaves behind would add to the next one's needs.
+    """
+
+    def wrap(run):
+        @functools.wraps(run)
+        def go(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for name in [n for n in kept if n != owner]:
+                kept.pop(name)()
+            try:
+                yield from run(batches)
+            finally:
+                give_back()
+
+        return go
+
+    return wrap
+
+
+def give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i below n."""
     if _powers["n"] < n:

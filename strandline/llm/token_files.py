@@ -151,6 +151,7 @@ class WordEncoder:
 
 
 def _encoder(path: str) -> WordEncoder:
+    tb.kept["token_files"] = _loaded.clear
     if path not in _loaded:
         _loaded[path] = WordEncoder(path)
     return _loaded[path]
@@ -194,6 +195,7 @@ def segments(data: bytes) -> Iterator[Segment]:
 
 
 def _pack(tokenizer: str, end_id: int | None):
+    @tb.task("token_files")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -203,7 +205,7 @@ def _pack(tokenizer: str, end_id: int | None):
         for doc_ids, texts in _together(batches):
             new = [x.tobytes() + end for x in e.encode(texts)]
             del texts
-            pa.default_memory_pool().release_unused()
+            tb.give_back()
             names += doc_ids
             held += new
             size += sum(map(len, new))
@@ -246,6 +248,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, doc_id: str =
     packed.select(F.col("segment").cast("string").alias("value")).write.text(path)
 
 
+@tb.task("token_files")
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column("content"):
@@ -254,6 +257,7 @@ def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _documents(before, with_ids: bool):
+    @tb.task("token_files")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
