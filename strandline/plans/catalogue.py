@@ -269,7 +269,18 @@ def array_motion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return motion.luma_metrics(e, "label", ["vec_id"]).select("vec_id", *[F.round(c, 6).alias(c) for c in ("mean", "variance", "motion")])
 
 
-@_query(None)
+@_query("""
+WITH RECURSIVE e AS (SELECT user_id, event_id, (epoch_us(ts) // 1000) // 3600 AS t, least(value / 10, 255.0) AS score FROM events),
+a AS (SELECT *, row_number() OVER w AS n, sum(CASE WHEN score <= 5 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS run FROM e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id)),
+b AS (SELECT *, min(CASE WHEN score <= 5 THEN t END) OVER (PARTITION BY user_id, run ORDER BY t, event_id ROWS UNBOUNDED PRECEDING) AS since FROM a),
+c AS (SELECT *, CASE WHEN score >= 12 THEN 1000 WHEN score <= 5 AND t - since >= 3000 THEN 2000 END AS signal FROM b),
+x AS (SELECT user_id, event_id, t, n, coalesce(last_value(signal IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING), 2000)::BIGINT AS every FROM c),
+r AS (
+  SELECT user_id, event_id, n, t AS latest, true AS accepted, t AS due_ms, every AS interval_ms FROM x WHERE n = 1
+  UNION ALL SELECT x.user_id, x.event_id, x.n, CASE WHEN x.t >= r.latest + x.every THEN x.t ELSE r.latest END, x.t >= r.latest + x.every, CASE WHEN x.t >= r.latest + x.every THEN r.latest + x.every END, CASE WHEN x.t >= r.latest + x.every THEN x.every END
+  FROM r JOIN x ON x.user_id = r.user_id AND x.n = r.n + 1
+)
+SELECT user_id, event_id, accepted, due_ms, interval_ms FROM r""")
 def capture_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("user_id", "event_id", F.floor(_millis(F.col("ts")) / 3600).alias("t"), F.least(F.col("value") / 10, F.lit(255.0)).alias("score"))
     return motion.capture_schedule(e, "user_id", "t", ["t", "event_id"]).select("user_id", "event_id", "accepted", "due_ms", "interval_ms")
@@ -402,7 +413,7 @@ def sequence_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.sequence_pattern(e, "user_id", "event_type", ["ts", "event_id"], ["view", "click", "purchase"]).select("user_id", "event_id")
 
 
-@_query(None)
+@_query("SELECT event_id, props IS NOT NULL AS ok, CASE WHEN props IS NULL THEN 'null' END AS reason, replace(props, ' ', '') AS document FROM events")
 def strict_json_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return strict_json.verdicts(table(spark, sf_dir, "events").select("event_id", "props"), "props").select("event_id", "ok", "reason", "document")
 
