@@ -305,13 +305,13 @@ def similarity_links(nodes: DataFrame, docs: DataFrame, size: int, part: int, wh
         most *= 64
 
 
-def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, part: int = 80, whole: int = 100, bands: int = 21, rows: int = 3) -> DataFrame:
+def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, part: int = 80, whole: int = 100, bands: int = 21, rows: int = 3, with_text: bool = True) -> DataFrame:
     """Link documents with whole * |intersection| >= part * |union| of their sets of distinct word shingles.
 
     Words are runs of bytes other than 0x20 and 0x09 to 0x0D, with A-Z lower-cased. ``bands`` of ``rows`` MinHash
     values miss a pair at 0.8 with a chance of (1 - 0.8**3)**21 = 3e-7; links are confirmed on full sets.
 
-    Returns the columns of ``docs``, n_shingles, component_id (least doc_id that links reach, its own included) and kept
+    Returns the columns of ``docs`` (without the text if so asked), n_shingles, component_id (least doc_id that links reach, its own included) and kept
     (doc_id = component_id). Columns of these names are replaced. Null and wordless texts have an empty set and are
     linked with nothing. Equal texts are linked. Rows with one doc_id count as one document. A row without doc_id gets
     the component of an equal text that has one, if any, or else null, and is then kept. An empty table gives an empty one.
@@ -327,7 +327,7 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     result = classes.join(labels.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("key", F.coalesce("comp", "rep").alias("comp"))
     verdicts = signed.select("id", "key", "n").join(result, "key", "left").select("id", "n", F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("id")).alias("component_id"))
     added = ["n_shingles", "component_id", "kept"]
-    if set(docs.columns) <= {doc_id, text}:  # nothing else to carry
+    if not with_text and set(docs.columns) <= {doc_id, text}:  # nothing else to carry
         out = verdicts.select(F.col("id").alias(doc_id), F.col("n").alias("n_shingles"), "component_id")
         return out.withColumn("kept", F.coalesce(F.col(doc_id) == F.col("component_id"), F.col("component_id").isNull()))
     per_id = verdicts.groupBy("id").agg(F.max("n").alias("n_shingles"), F.min("component_id").alias("component_id")).filter("id IS NOT NULL")
@@ -337,4 +337,4 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     unnamed = packed.filter(known.isNull()).select("__row", F.col(f"__{text}").alias("__text"))
     keyed = unnamed.mapInArrow(_keyed(shingle), f"__row {packed.schema['__row'].dataType.simpleString()}, key binary, n long").join(result, "key", "left")
     unnamed = keyed.select("__row", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("comp")).alias("component_id"))
-    return shared.unpacked(named.unionByName(unnamed.withColumn("kept", F.col("component_id").isNull())), docs.columns, added)
+    return shared.unpacked(named.unionByName(unnamed.withColumn("kept", F.col("component_id").isNull())), docs.columns, added, () if with_text else (text,))

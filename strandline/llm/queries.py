@@ -71,7 +71,7 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strandline.llm.minhash_dedup import near_dedup
 
-    return near_dedup(_table(spark, sf_dir, "documents", "doc_id", "text"), shingle=4, part=80, whole=100)
+    return near_dedup(_table(spark, sf_dir, "documents", "doc_id", "text"), shingle=4, part=80, whole=100, with_text=False)
 
 
 def op9_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -46,12 +46,12 @@ def test_odd_rows(odd, size):
             assert (r.component_id, r.kept) == (None, True)
 
 
-def chain(n=40):
+def chain(n=20):
     """Each text is near the next one, but the ends are far apart; and a base whose copies are near it, not each other."""
     words = passage(1, 60 + n * 4).split()
     rows = [(k, " ".join(words[k * 4 : k * 4 + 60]), "en", "a", 0) for k in range(n)]
     base = passage(2, 200).split()
-    for k in range(50):
+    for k in range(30):
         w = list(base)
         for x in range(4):
             w[(k * 11 + x * 50) % 200] = f"new{k}x{x}"
@@ -76,6 +76,9 @@ def test_empty_and_clashing(spark, none):
     out = m.near_dedup(df)
     assert out.columns == ["doc_id", "text", "id", "n_shingles", "component_id", "kept"]
     assert {r.doc_id: r.kept for r in out.collect()} == {1: True, 2: False}
+    assert m.near_dedup(df, with_text=False).columns == ["doc_id", "id", "n_shingles", "component_id", "kept"]
+    assert m.near_dedup(df.select("doc_id", "text"), with_text=False).columns == ["doc_id", "n_shingles", "component_id", "kept"]
+    assert m.near_dedup(df.select("doc_id", "text")).columns == ["doc_id", "text", "n_shingles", "component_id", "kept"]
 
 
 def test_sketches_never_lose_a_similar_pair():
