@@ -16,7 +16,7 @@ from strandline.llm.quality import quality_scores
 from strandline.llm.substring_dedup import substring_dedup
 
 #: Weights of the domains: what the quality classifier let pass of the low one is not built up again.
-TARGETS = {"low": 0.0, "clean": 0.97, "toxic": 0.03}
+TARGETS = {"low": 0.005, "clean": 0.965, "toxic": 0.03}
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 

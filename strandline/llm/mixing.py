@@ -27,8 +27,9 @@ DOMAINS = ("low", "clean", "toxic")
 TARGETS, FITTED = {"low": 0.02, "clean": 0.95, "toxic": 0.03}, 8_000
 #: Sums are counted in whole thousandths of tokens, so that they do not depend on the order of adding.
 UNIT, STEPS, CLOSE = 1000, 60, 1e-6
-#: Where no total is asked for, the rate of a document that is clean beyond doubt: so small doubts drop none.
-CLEAN_RATE = 1.02
+#: Share of the largest eigenvalue that is added to the metric: directions in which there are hardly any tokens, and targets
+#: that cannot be met there, then move no rate by much.
+DAMPING = 0.05
 _BITS, _LEAST = 16, 5
 
 
@@ -153,13 +154,13 @@ def _total(table: DataFrame, steps: list[np.ndarray], width: int, square: bool)
 def fit_rates(table: DataFrame, targets: dict[str, float], total: float | None = None, anchor: str = "clean") -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """(steps, expected tokens by domain, target tokens) for a table (n, p0, p1, ...) of tokens and posteriors.
 
-    Without a total, it is such that the tokens of ``anchor`` at rate 1 have their share. The metric of a step is the inverse of
-    sum(tokens * p p'), so that where no rate is held at 0 one step reaches the targets.
+    Without a total, it is such that the tokens of ``anchor`` at rate 1 have their share. Errors are weighed by the inverse of the
+    damped sum(tokens * p p'), which is also the metric of a step: no step is too long.
     """
     names = list(targets)
     share = np.array([targets[d] for d in names]) / sum(targets.values())
     metric = _total(table, [], len(names) ** 2, True).reshape(len(names), -1)
-    inverse = np.linalg.pinv(metric + np.eye(len(names)) * (1e-9 * np.trace(metric) + 1e-9), hermitian=True)
+    inverse = np.linalg.inv(metric + np.eye(len(names)) * (DAMPING * np.linalg.eigvalsh(metric)[-1] + 1e-9))
     steps: list[np.ndarray] = []
     now = ahead = _total(table, steps, 2 * len(names), False)[: len(names)]
     goal = share * (now[names.index(anchor)] / max(share[names.index(anchor)], 1e-9) if total is None else total)
@@ -174,7 +175,7 @@ def fit_rates(table: DataFrame, targets: dict[str, float], total: float | None =
     return steps, now, goal
 
 
-def _mixed(model, steps: list[np.ndarray], factor: float, names: list[str], text: int | None):
+def _mixed(model, steps: list[np.ndarray], names: list[str], text: int | None):
     @tb.task("mixing")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,7 +184,7 @@ def _mixed(model, steps: list[np.ndarray], factor: float, names: list[str], text
             for i, j, data, offsets in tb.chunks(batch, batch.column("__text") if text is None else tb.field(row, text)):
                 p, n = model(data, offsets)
                 p = np.round(p, 6)
-                r = rates(p, steps)[0] * factor
+                r = rates(p, steps)[0]
                 copies = np.where(n > 0, np.floor(r + luck[i:j]), 1).astype(np.int64)
                 yield pa.record_batch([row.slice(i, j - i), pa.array(n, pa.int64()), *[pa.array(p[:, d]) for d in range(len(names))], pa.array(r), pa.array(copies)], names=["__row", "n_tokens", *[f"p_{d}" for d in names], "rate", "copies"])
 
@@ -201,8 +202,8 @@ class Even:
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, total: float | None = None, doc_id: str = "doc_id", text: str = "text", fitted: int = FITTED, with_text: bool = True) -> DataFrame:
     """The columns of ``docs``, n_tokens (words), p_low, p_clean, p_toxic, rate and copies.
 
-    ``targets`` are weights of the domains; ``total`` is the wanted number of tokens. Without it only the weights count, and
-    all rates are scaled so that a document that is clean beyond doubt has CLEAN_RATE. Columns of these names are replaced. A null or wordless text has no tokens, so no rate
+    ``targets`` are weights of the domains; ``total`` is the wanted number of tokens (by default such that the
+    clean domain keeps its own). Columns of these names are replaced. A null or wordless text has no tokens, so no rate
     can matter: it stays once. Rows with equal texts have equal rates; copies are drawn by the hash of doc_id and text,
     so repeated rows get equal numbers; rows without doc_id are drawn by their text. An empty table gives an empty one.
     """
@@ -213,14 +214,12 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     model = fit_domains(docs, labels, doc_id, text, fitted) or Even()
     table = shared.keep(docs.select(F.col(f"`{text}`").alias("__text")).mapInArrow(_posterior(model, len(DOMAINS)), "n long, p0 double, p1 double, p2 double"), "posteriors")
     steps, _, _ = fit_rates(table, targets, total)
-    sure = rates(np.eye(len(DOMAINS)), steps)[0][DOMAINS.index("clean")]
-    factor = CLEAN_RATE / sure if total is None and sure > 0 else 1.0
     columns = docs.columns if with_text else [c for c in docs.columns if c != text]
     luck = F.pmod(F.xxhash64(F.col(f"`{doc_id}`"), F.coalesce(F.col(f"`{text}`"), F.lit(""))), F.lit(1 << 30)) / float(1 << 30)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), *([] if with_text else [F.col(f"`{text}`").alias("__text")]), luck.alias("__luck"))
     added = ["n_tokens", *[f"p_{d}" for d in DOMAINS], "rate", "copies"]
     ddl = f"__row {rows.schema['__row'].dataType.simpleString()}, n_tokens long, {', '.join(f'p_{d} double' for d in DOMAINS)}, rate double, copies long"
-    return shared.unpacked(rows.mapInArrow(_mixed(model, steps, factor, list(DOMAINS), columns.index(text) if with_text else None), ddl), columns, added)
+    return shared.unpacked(rows.mapInArrow(_mixed(model, steps, list(DOMAINS), columns.index(text) if with_text else None), ddl), columns, added)
 
 
 def repeat_copies(mixed: DataFrame) -> DataFrame:

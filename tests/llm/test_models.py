@@ -86,7 +86,8 @@ def test_rates_match_a_dense_solver(spark):
     table = spark.createDataFrame([(int(k), *map(float, np.round(x, 6))) for k, x in zip(n, p, strict=True)], "n long, p0 double, p1 double, p2 double").repartition(7)
     steps, got, goal = mixing.fit_rates(table, {"low": 0.0, "clean": 0.9, "toxic": 0.1})
     a = (p * n[:, None]).T
-    m = np.linalg.inv(a @ p)
+    m = a @ p
+    m = np.linalg.inv(m + mixing.DAMPING * np.linalg.eigvalsh(m)[-1] * np.eye(3))
     r = np.ones(300)
     for _ in range(4000):
         r = np.maximum(0, r - p @ (m @ (a @ r - goal)))
