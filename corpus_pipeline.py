@@ -17,6 +17,8 @@ from strandline.llm.substring_dedup import substring_dedup
 
 #: Weights of the domains: what the quality classifier let pass of the low one is not built up again.
 TARGETS = {"low": 0.005, "clean": 0.965, "toxic": 0.03}
+#: Least and most rate by likeliest domain: no clean document is lost, and no low one is drawn more than once.
+BOUNDS = {"clean": (1, float("inf")), "low": (0, 1)}
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
@@ -45,8 +47,8 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its rate says."""
-    return _documents(repeat_copies(mix(docs, _labels(spark, sf_dir), TARGETS)))
+    """Each document as often as its rate says; one whose likeliest domain is clean, once at least."""
+    return _documents(repeat_copies(mix(docs, _labels(spark, sf_dir), TARGETS, bounds=BOUNDS)))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

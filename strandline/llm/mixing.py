@@ -109,12 +109,19 @@ def fit_domains(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text
     return DomainModel(x, [flat[cuts[i] : cuts[i + 1]] for i in order], np.array([label[i] for i in at[order]]))
 
 
-def rates(posteriors: np.ndarray, steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _limits(posteriors: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and most rate of each document, from those of its likeliest domain; of domains as likely, the greatest."""
+    top = posteriors == posteriors.max(axis=1, keepdims=True)
+    return np.where(top, bounds[:, 0], 0).max(axis=1), np.where(top, bounds[:, 1], 0).max(axis=1)
+
+
+def rates(posteriors: np.ndarray, steps: list[np.ndarray], bounds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(rates, points from which the next step goes) after the steps so far: each step is a gradient in domain space, put
-    into effect on every document, held at 0, and carried on with Nesterov's momentum."""
+    into effect on every document, held at 0 or within its bounds, and carried on with Nesterov's momentum."""
+    least, most = (0, np.inf) if bounds is None else _limits(posteriors, bounds)
     r = ahead = np.ones(len(posteriors))
     for k, g in enumerate(steps):
-        new = np.maximum(0, ahead - posteriors @ g)
+        new = np.minimum(most, np.maximum(least, ahead - posteriors @ g))
         ahead = new + k / (k + 3) * (new - r)
         r = new
     return r, ahead
@@ -131,7 +138,7 @@ def _posterior(model, n_domains: int):
     return run
 
 
-def _sums(steps: list[np.ndarray], square: bool):
+def _sums(steps: list[np.ndarray], square: bool, bounds: np.ndarray | None):
     """Of each batch: tokens of each pair of domains in thousandths, or expected ones of each domain, at the rates and ahead of them."""
 
     @tb.task("mixing")
@@ -139,43 +146,44 @@ def _sums(steps: list[np.ndarray], square: bool):
         for batch in batches:
             n = batch.column(0).to_numpy()
             p = np.column_stack([batch.column(k).to_numpy() for k in range(1, batch.num_columns)])
-            w = p[:, :, None] * p[:, None, :] if square else p[:, None, :] * np.stack(rates(p, steps), axis=1)[:, :, None]
+            w = p[:, :, None] * p[:, None, :] if square else p[:, None, :] * np.stack(rates(p, steps, bounds), axis=1)[:, :, None]
             got = np.rint(w.reshape(len(n), -1) * (n * UNIT)[:, None]).astype(np.int64).sum(axis=0)
             yield pa.record_batch([pa.array([list(got)], pa.list_(pa.int64()))], names=["v"])
 
     return run
 
 
-def _total(table: DataFrame, steps: list[np.ndarray], width: int, square: bool) -> np.ndarray:
-    got = table.mapInArrow(_sums(steps, square), "v array<long>").agg(*[F.coalesce(F.sum(F.col("v")[k]), F.lit(0)) for k in range(width)]).first()
+def _total(table: DataFrame, steps: list[np.ndarray], width: int, square: bool, bounds: np.ndarray | None = None) -> np.ndarray:
+    got = table.mapInArrow(_sums(steps, square, bounds), "v array<long>").agg(*[F.coalesce(F.sum(F.col("v")[k]), F.lit(0)) for k in range(width)]).first()
     return np.array(got, np.float64) / UNIT
 
 
-def fit_rates(table: DataFrame, targets: dict[str, float], total: float | None = None, anchor: str = "clean") -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def fit_rates(table: DataFrame, targets: dict[str, float], total: float | None = None, anchor: str = "clean", bounds: np.ndarray | None = None) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """(steps, expected tokens by domain, target tokens) for a table (n, p0, p1, ...) of tokens and posteriors.
 
     Without a total, it is such that the tokens of ``anchor`` at rate 1 have their share. Errors are weighed by the inverse of the
-    damped sum(tokens * p p'), which is also the metric of a step: no step is too long.
+    damped sum(tokens * p p'), which is also the metric of a step: no step is too long. ``bounds`` has a row (least, most) for
+    each domain, for the rates of the documents that are likeliest in it.
     """
     names = list(targets)
     share = np.array([targets[d] for d in names]) / sum(targets.values())
     metric = _total(table, [], len(names) ** 2, True).reshape(len(names), -1)
     inverse = np.linalg.inv(metric + np.eye(len(names)) * (DAMPING * np.linalg.eigvalsh(metric)[-1] + 1e-9))
     steps: list[np.ndarray] = []
-    now = ahead = _total(table, steps, 2 * len(names), False)[: len(names)]
+    now = ahead = _total(table, steps, 2 * len(names), False, bounds)[: len(names)]
     goal = share * (now[names.index(anchor)] / max(share[names.index(anchor)], 1e-9) if total is None else total)
     for _ in range(STEPS):
         if np.abs(now - goal).sum() <= CLOSE * max(goal.sum(), 1):
             break
         steps.append(inverse @ (ahead - goal))
-        before, sums = now, _total(table, steps, 2 * len(names), False)
+        before, sums = now, _total(table, steps, 2 * len(names), False, bounds)
         now, ahead = sums[: len(names)], sums[len(names) :]
         if np.abs(before - now).sum() <= CLOSE * max(goal.sum(), 1):
-            break  # the targets cannot be met with rates of 0 or more; this is the nearest
+            break  # the targets cannot be met with rates of 0 or more, or within bounds; this is the nearest
     return steps, now, goal
 
 
-def _mixed(model, steps: list[np.ndarray], names: list[str], text: int | None):
+def _mixed(model, steps: list[np.ndarray], bounds: np.ndarray | None, names: list[str], text: int | None):
     @tb.task("mixing")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -184,7 +192,7 @@ def _mixed(model, steps: list[np.ndarray], names: list[str], text: int | None):
             for i, j, data, offsets in tb.chunks(batch, batch.column("__text") if text is None else tb.field(row, text)):
                 p, n = model(data, offsets)
                 p = np.round(p, 6)
-                r = rates(p, steps)[0]
+                r = rates(p, steps, bounds)[0]
                 copies = np.where(n > 0, np.floor(r + luck[i:j]), 1).astype(np.int64)
                 yield pa.record_batch([row.slice(i, j - i), pa.array(n, pa.int64()), *[pa.array(p[:, d]) for d in range(len(names))], pa.array(r), pa.array(copies)], names=["__row", "n_tokens", *[f"p_{d}" for d in names], "rate", "copies"])
 
@@ -199,27 +207,31 @@ class Even:
         return np.full((len(at) - 1, len(DOMAINS)), 1 / len(DOMAINS)), np.diff(at)
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, total: float | None = None, doc_id: str = "doc_id", text: str = "text", fitted: int = FITTED, with_text: bool = True) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, total: float | None = None, doc_id: str = "doc_id", text: str = "text", fitted: int = FITTED, with_text: bool = True, bounds: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """The columns of ``docs``, n_tokens (words), p_low, p_clean, p_toxic, rate and copies.
 
     ``targets`` are weights of the domains; ``total`` is the wanted number of tokens (by default such that the
-    clean domain keeps its own). Columns of these names are replaced. A null or wordless text has no tokens, so no rate
+    clean domain keeps its own). ``bounds`` are the least and most rate (the least at most 1, the most at least 1) of documents
+    whose likeliest domain it is; the other rates make up for them, as far as they can. Columns of these names are replaced. A null or wordless text has no tokens, so no rate
     can matter: it stays once. Rows with equal texts have equal rates; copies are drawn by the hash of doc_id and text,
     so repeated rows get equal numbers; rows without doc_id are drawn by their text. An empty table gives an empty one.
     """
     if set(targets) != set(DOMAINS) or min(targets.values()) < 0 or sum(targets.values()) <= 0:
         raise ValueError(f"targets must be weights of 0 or more for {DOMAINS}, not all 0")
+    if any(d not in DOMAINS or not 0 <= least <= 1 <= most for d, (least, most) in (bounds or {}).items()):
+        raise ValueError(f"bounds must hold 1 and be 0 or more, for {DOMAINS}")
     targets = {d: targets[d] for d in DOMAINS}
     shared.lean(docs.sparkSession)
     model = fit_domains(docs, labels, doc_id, text, fitted) or Even()
     table = shared.keep(docs.select(F.col(f"`{text}`").alias("__text")).mapInArrow(_posterior(model, len(DOMAINS)), "n long, p0 double, p1 double, p2 double"), "posteriors")
-    steps, _, _ = fit_rates(table, targets, total)
+    limits = np.array([bounds.get(d, (0, np.inf)) for d in DOMAINS]) if bounds else None
+    steps, _, _ = fit_rates(table, targets, total, bounds=limits)
     columns = docs.columns if with_text else [c for c in docs.columns if c != text]
     luck = F.pmod(F.xxhash64(F.col(f"`{doc_id}`"), F.coalesce(F.col(f"`{text}`"), F.lit(""))), F.lit(1 << 30)) / float(1 << 30)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), *([] if with_text else [F.col(f"`{text}`").alias("__text")]), luck.alias("__luck"))
     added = ["n_tokens", *[f"p_{d}" for d in DOMAINS], "rate", "copies"]
     ddl = f"__row {rows.schema['__row'].dataType.simpleString()}, n_tokens long, {', '.join(f'p_{d} double' for d in DOMAINS)}, rate double, copies long"
-    return shared.unpacked(rows.mapInArrow(_mixed(model, steps, list(DOMAINS), columns.index(text) if with_text else None), ddl), columns, added)
+    return shared.unpacked(rows.mapInArrow(_mixed(model, steps, limits, list(DOMAINS), columns.index(text) if with_text else None), ddl), columns, added)
 
 
 def repeat_copies(mixed: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from compare import DATA
 from fixtures import held_out
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from strandline.llm import mixing, quality
 
 LABELS = "doc_id long, quality int, toxic int"
@@ -96,6 +97,23 @@ def test_rates_match_a_dense_solver(spark):
     assert error(got) <= error(a @ r) * 1.5 + 1e-3 * error(a @ np.ones(300))
 
 
+def test_pipeline_mixing_keeps_clean_documents(big):
+    """A document whose likeliest domain is clean is never drawn 0 times, and one of low quality never twice."""
+    docs, labels = big
+    free = mixing.mix(docs, labels, corpus_pipeline.TARGETS).toPandas()
+    clean = lambda x: x.p_clean >= x[["p_low", "p_toxic"]].max(axis=1)
+    assert (free.copies[clean(free)] == 0).any()
+    x = mixing.mix(docs, labels, corpus_pipeline.TARGETS, bounds=corpus_pipeline.BOUNDS).toPandas()
+    assert (x.copies[clean(x)] >= 1).all() and (x.copies[~clean(x) & (x.p_low > x.p_toxic)] <= 1).all()
+    folder = DATA.replace("sf0.001", "sf0.01")
+    drawn = corpus_pipeline.mixing(docs.sparkSession, docs, folder).select("doc_id").distinct().toPandas()
+    assert set(x.doc_id[clean(x)].dropna()) <= set(drawn.doc_id.dropna())
+    even = mixing.mix(docs.limit(50), labels.limit(0), corpus_pipeline.TARGETS, bounds=corpus_pipeline.BOUNDS)
+    assert even.filter("copies < 1").isEmpty()
+    with pytest.raises(ValueError):
+        mixing.mix(docs, labels, bounds={"clean": (2, 3)})
+
+
 def test_mixing_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(1, 1, 0), (12, 0, 0), (9, 1, 1), (9, 1, 1), (None, 0, 0), (8, None, None)], LABELS)
     out = mixing.mix(odd, labels).collect()
