@@ -12,7 +12,7 @@ from strandline.llm import shared
 from strandline.llm.bpe import bpe_round_trip
 from strandline.llm.minhash_dedup import near_dedup
 from strandline.llm.mixing import mix, repeat_copies
-from strandline.llm.quality import quality_scores
+from strandline.llm.quality import accepted
 from strandline.llm.substring_dedup import substring_dedup
 
 #: Weights of the domains: what the quality classifier let pass of the low one is not built up again.
@@ -31,8 +31,8 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts."""
-    return _documents(quality_scores(docs, _labels(spark, sf_dir)).filter("predicted = 1"))
+    """Documents that the classifier accepts; all of them where there is nothing to learn it from."""
+    return _documents(accepted(docs, _labels(spark, sf_dir)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

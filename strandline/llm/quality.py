@@ -78,9 +78,10 @@ class PUModel:
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", fitted: int = FITTED) -> PUModel | None:
-    """The model, or None where there is no positive or no unlabelled row to learn from.
+    """The model, or None where there is no positive to learn from.
 
-    Positives are labelled 1; unlabelled rows are documents without a label, whatever they are. Rows held out take no part.
+    Positives are labelled 1; unlabelled rows are documents without a label, whatever they are, or where labels cover all
+    documents, all of them with their labels ignored. Rows held out take no part.
     The prior is the share of label 1 among the labelled rows, kept between 0.05 and 0.95.
     """
     learnt = labels.select(F.col("doc_id").alias("id"), "quality").filter(~held_out("id"))
@@ -88,15 +89,15 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     ids = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id")).filter(~held_out("id"))
     positives = sample_ids(learnt.filter("quality = 1").join(ids, "id", "left_semi").select("id"), fitted)
     unlabelled = sample_ids(ids.join(labels.select(F.col("doc_id").alias("id")), "id", "left_anti"), fitted)
-    if not positives or not unlabelled:
+    if not positives:
         return None
+    unlabelled = unlabelled or sample_ids(ids, fitted)
     rows = sampled_texts(docs, positives + unlabelled, doc_id, text).mapInArrow(_features, "id long, x array<double>").toArrow()
     x = rows["x"].combine_chunks()
     x, at = np.asarray(x.flatten()).reshape(-1, len(_FORM)), rows["id"].to_numpy()
     order = np.argsort(at, kind="stable")  # the same sums for any order of the rows
     x, at = x[order], at[order]
-    chosen = np.isin(at, positives)
-    return PUModel(x[chosen], x[~chosen], min(0.95, max(0.05, good / known)))
+    return PUModel(x[np.isin(at, positives)], x[np.isin(at, unlabelled)], min(0.95, max(0.05, good / known)))
 
 
 def _score(model, text: int | None):
@@ -111,6 +112,13 @@ def _score(model, text: int | None):
     return run
 
 
+def accepted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", fitted: int = FITTED) -> DataFrame:
+    """Rows that are predicted 1; all of them where nothing can be learnt, as a score of 0.5 for all rejects no one."""
+    shared.lean(docs.sparkSession)
+    model = fit(docs, labels, doc_id, text, fitted)
+    return docs if model is None else _scored(docs, model, doc_id, text, True).filter("predicted = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", fitted: int = FITTED, with_text: bool = True) -> DataFrame:
     """The columns of ``docs``, held_out, score (0 to 1, higher: label 1 likelier) and predicted (1 from 0.7 on).
 
@@ -120,7 +128,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     gives an empty one.
     """
     shared.lean(docs.sparkSession)
-    model = fit(docs, labels, doc_id, text, fitted)
+    return _scored(docs, fit(docs, labels, doc_id, text, fitted), doc_id, text, with_text)
+
+
+def _scored(docs: DataFrame, model: PUModel | None, doc_id: str, text: str, with_text: bool) -> DataFrame:
     columns = docs.columns if with_text else [c for c in docs.columns if c != text]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), *([] if with_text else [F.col(f"`{text}`").alias("__text")]))
     out = rows.mapInArrow(_score(model, columns.index(text) if with_text else None), f"__row {rows.schema['__row'].dataType.simpleString()}, score double, predicted int")

@@ -54,6 +54,18 @@ def test_quality_odd_rows(spark, odd, none):
     assert quality.quality_scores(odd.withColumn("score", F.lit("x")), labels).columns == [*odd.columns, "held_out", "score", "predicted"]
 
 
+def test_labels_for_all_documents_or_none(big, tmp_path):
+    """Labels that cover every document teach a model; where there are none, the pipeline's stage passes everything."""
+    docs, labels = big
+    known = docs.join(labels.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    x = quality.quality_scores(known, labels, with_text=False).join(labels, "doc_id").filter("held_out").toPandas()
+    assert x.score.nunique() > 2 and auc(x.score.to_numpy(), x.quality.to_numpy()) > 0.95
+    some = corpus_pipeline.quality(docs.sparkSession, known, DATA.replace("sf0.001", "sf0.01"))
+    assert 0 < some.count() < known.count() and some.columns == docs.columns
+    labels.limit(0).write.parquet(f"file://{tmp_path}/labels.parquet")
+    assert corpus_pipeline.quality(docs.sparkSession, docs, f"file://{tmp_path}").count() == docs.count()
+
+
 def test_non_negative_risk():
     """Positives alone on one side, a mixture unlabelled: the model parts them although it sees no negative label."""
     rnd = np.random.default_rng(1)
