@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from strandline.llm import textbytes as tb
+
 #: Ids one after the other, and the start and the number of those of each part.
 Pool = tuple[np.ndarray, np.ndarray, np.ndarray]
 #: Marks that are matches of their own after letters.
@@ -81,14 +83,6 @@ def kept_ids(known: Kept, parts: Callable[[list[str]], list[bytes]], width: int)
     return run
 
 
-def places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The places start, start + 1, ... of each stretch, one after the other."""
-    ends = np.cumsum(sizes)
-    out = np.repeat(starts - (ends - sizes), sizes)
-    out += np.arange(len(out), dtype=out.dtype)
-    return out
-
-
 def encode(texts: pa.Array, distinct_ids: Callable[[pa.Array], Pool], whole: Callable[[list[str]], list[bytes]], width: int, cuts: bool = True) -> list[np.ndarray]:
     """Ids of each text, from ``distinct_ids`` (all ids, and start and number for each distinct part, as ``shown``) and ``whole`` (ids of any strings).
 
@@ -112,7 +106,7 @@ def encode(texts: pa.Array, distinct_ids: Callable[[pa.Array], Pool], whole: Cal
     pool, starts, sizes = distinct_ids(coded.dictionary)
     index = coded.indices.to_numpy()
     size = sizes.astype(number)[index]
-    ids = pool[places(starts.astype(number)[index], size)]
+    ids = pool[tb.places(starts.astype(number)[index], size)]
     stops = np.cumsum(size, dtype=np.int64)[np.cumsum(lists.value_lengths().to_numpy()) - 1]
     for i, p, q in zip(at.tolist(), [0, *stops[:-1].tolist()], stops.tolist(), strict=True):
         out[i] = ids[p + 1 : q]

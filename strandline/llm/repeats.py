@@ -1,25 +1,25 @@
-"""Repeated windows of texts, found exactly: the engine under substring and suffix-array dedup.
-
-A window is ``window`` consecutive units (words or bytes) of one text. Steps:
-
-1. Each window has an anchor: the leftmost position of the least gram hash among its first
-   ``window - levels[-1] + 1`` positions. Equal windows have equal anchors, wherever they stand.
-2. For each level L (growing), Spark sorts and counts the pairs (rank of the first L/2 units at the anchor,
-   rank of the L/2 units at offset L/2). An anchor whose pair is unique leaves: no window of it can repeat.
-   Ranks are 64-bit fingerprints, so a text and its copies agree on them without moving. Equal fingerprints of
-   unequal strings would only keep an anchor for step 3.
-3. Consecutive windows that share an anchor that is left travel as one packed string to the anchor's
-   partition, where sorting groups their windows; bytes of grouped windows are compared, so results are exact.
-
-Copies of a whole text are merged before step 3, and keys shared by very many texts are dealt over ``SALTS``
-partitions, each of which passes on one copy of each distinct window: no partition gets a group whole.
+"""Repeated windows of texts, found exactly: what substring dedup and suffix-array dedup have in common.
+
+A window is ``window`` consecutive units (words or bytes) of one text. Its anchor is the leftmost position of the least
+gram hash among its first ``reach`` positions, so equal windows have equal anchors, wherever they stand. Consecutive
+windows that share an anchor form a super window. An operator says which super windows may repeat (``Search``); then
+
+1. copies of a whole text are merged: such texts go whole, and one of them stands for all;
+2. each super window that is left travels as one packed string to the partition of its key, where sorting groups its
+   windows and the bytes of grouped windows are compared;
+3. keys with more than ``HOT`` strings do not travel. Their windows are counted by fingerprint, with partial sums, and
+   those whose fingerprint repeats are marked where they stand. Then each distinct window of a run of texts is counted
+   by a 128-bit digest of its bytes; what is found once only was marked by chance and is taken back. So no task and no
+   table ever holds the strings of one key, however many there are.
+
+What is held at a time is bounded: about ``CHUNK`` bytes of texts (or one longer text), about ``SORTED`` bytes of
+strings (and one key's, at most some ``HOT``), filters of 128 MB at most.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -27,14 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm import bloom
-from strandline.llm import shared
+from strandline.llm import bloom, shared
 from strandline.llm import textbytes as tb
 
-#: Ways in which an anchor key with more than ``HOT`` strings (or a 50,000th of all, if that is more) is dealt out.
-SALTS, HOT = 32, 4096
-#: Units in a stretch whose minima are taken at once, and bytes of packed strings that are sorted at once.
-STRETCH, SORTED = 1 << 22, 2 << 20
+#: Strings of one key that are sorted in one place, at most; it does not depend on the size of the data.
+HOT = 256
+#: Bytes of texts that are hashed at once, units whose minima are taken at once, and bytes of strings sorted at once.
+CHUNK, STRETCH, SORTED = 1 << 18, 1 << 20, 1 << 19
 
 
 @dataclass(frozen=True)
@@ -42,50 +41,60 @@ class Spec:
     unit: str  # "word" or "byte"
     window: int
     gram: int
-    levels: tuple[int, ...]
-
-    @property
-    def reach(self) -> int:
-        return self.window - max(self.gram, self.levels[-1]) + 1
+    reach: int  # the first positions of a window, of which one is its anchor
 
 
 class Units:
     """The units of a run of texts: values, prefix sums, and the byte and unit places of each text."""
 
-    def __init__(self, spec: Spec, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, spec: Spec, data: np.ndarray, offsets: np.ndarray, hashed: bool = True):
         self.data, self.offsets = data, offsets
         if spec.unit == "word":
             self.starts, self.ends, self.at = tb.words(data, offsets)
-            values = tb.word_hashes(data, self.starts, self.ends)
+            self.n = len(self.starts)
         else:
-            self.at, values = offsets, tb.byte_values(data)
-        self.n, self.prefix = len(values), tb.sums(values)
+            self.at, self.n = offsets, len(data)
+        if hashed:
+            self.prefix = tb.sums(tb.word_hashes(data, self.starts, self.ends) if spec.unit == "word" else tb.byte_values(data))
 
-    def byte_range(self, spec: Spec, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return (self.starts[s], self.ends[e - 1]) if spec.unit == "word" else (s, e)
+    def plain(self, spec: Spec) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """The bytes, in which equal windows are equal strings (one blank after each word), and each unit's start and end."""
+        if spec.unit == "word":
+            return tb.joined_words(self.data, self.starts, self.ends)
+        at = np.arange(self.n + 1)
+        return self.data.tobytes(), at[:-1], at[1:]
 
+    def texts(self, places: np.ndarray) -> np.ndarray:
+        """The text of each unit."""
+        return np.searchsorted(self.at, places, "right") - 1
 
-def window_starts(at: np.ndarray, window: int, n: int) -> np.ndarray:
-    """Starts of all windows within texts."""
+
+def window_starts(at: np.ndarray, window: int, n: int, least: int = 0) -> np.ndarray:
+    """Starts of all windows within texts of ``least`` units or more."""
     edge = np.zeros(n + 1, np.int32)
-    fits = np.diff(at) >= window
+    fits = np.diff(at) >= max(window, least)
     np.add.at(edge, at[:-1][fits], 1)
     np.add.at(edge, at[1:][fits] - window + 1, -1)
     return np.flatnonzero(np.cumsum(edge[:n]))
 
 
-def super_windows(spec: Spec, u: Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, number of windows, anchor) of the runs of consecutive windows that share an anchor."""
-    v = window_starts(u.at, spec.window, u.n)
-    if not len(v):
-        return v, v, v
+def anchors(spec: Spec, u: Units) -> np.ndarray:
+    """For each position the leftmost place of the least gram among the ``reach`` positions from there."""
     g = tb.mix(tb.fixed_spans(u.prefix, spec.gram))
     low = np.uint64(STRETCH * 2 - 1)
-    anchor = np.empty(len(g), np.int64)
+    out = np.empty(len(g), np.int64)
     for s in range(0, len(g), STRETCH):
         part = g[s : s + STRETCH + spec.reach - 1]
         least = tb.running_min((part & ~low) | np.arange(len(part), dtype=np.uint64), min(spec.reach, len(part)))
-        anchor[s : s + len(least)] = (least & low).astype(np.int64) + s
+        out[s : s + len(least)] = (least & low).astype(np.int64) + s
+    return out
+
+
+def super_windows(spec: Spec, u: Units, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, number of windows, anchor) of the runs of consecutive windows that share an anchor."""
+    v = window_starts(u.at, spec.window, u.n)
+    if not len(v):
+        return v, v, v
     a = anchor[v]
     new = np.ones(len(v), bool)
     new[1:] = (a[1:] != a[:-1]) | (v[1:] != v[:-1] + 1)
@@ -93,118 +102,129 @@ def super_windows(spec: Spec, u: Units) -> tuple[np.ndarray, np.ndarray, np.ndar
     return v[first], np.diff(np.append(first, len(v))), a[first]
 
 
-def ranks(u: Units, anchor: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    half = level // 2
-    return tb.mix(tb.spans(u.prefix, anchor, anchor + half), 1), tb.mix(tb.spans(u.prefix, anchor + half, anchor + level), 2)
+class Search:
+    """What an operator adds: the super windows that may repeat, told by counts over all texts."""
 
+    def __init__(self, spec: Spec):
+        self.spec = spec
 
-def left(spec: Spec, u: Units, filters: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Super windows whose anchors were not unique at the levels counted so far."""
-    s, n, a = super_windows(spec, u)
-    for level, f in filters:
-        r1, r2 = ranks(u, a, level)
-        ok = bloom.passes(f.value, r1 ^ r2)
-        s, n, a = s[ok], n[ok], a[ok]
-    return s, n, a
+    def suspects(self, texts: DataFrame) -> Callable[[Units], np.ndarray]:
+        """From all texts (``__text``): how a worker finds the starts of super windows that may repeat."""
+        raise NotImplementedError
 
+    def picks(self, distinct: DataFrame) -> tuple[Callable, bytes | None]:
+        """From distinct texts (uid, ``__text``): how a worker finds (start, number of windows, key) of the super windows
+        that may repeat, given the units and the uid of each text; and the filter of hot keys, if there are any."""
+        raise NotImplementedError
 
-def _pairs(spec: Spec, filters: list, level: int):
-    @tb.task("repeats")
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for _, _, data, offsets in tb.chunks(batch, batch.schema.get_field_index("__text")):
-                u = Units(spec, data, offsets)
-                r1, r2 = ranks(u, left(spec, u, filters)[2], level)
-                yield pa.record_batch([tb.long_array(r1), tb.long_array(r2)], names=["r1", "r2"])
 
-    return run
+def counted(keys: DataFrame) -> tuple[DataFrame, int]:
+    """(key, n) of keys that occur more than once, as a table, and how many there are."""
+    table = shared.keep(keys.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1"), "counted")
+    return table, table.count()
+
+
+def hot_filter(table: DataFrame) -> bytes | None:
+    """The filter of keys with more than ``HOT`` strings."""
+    hot = table.filter(F.col("n") > HOT).select("key")
+    n = hot.count()
+    return bloom.build(hot, "key", n) if n else None
+
 
+def key_batch(keys: np.ndarray) -> pa.RecordBatch:
+    """The distinct keys of a run of texts with their numbers."""
+    distinct, n = np.unique(keys, return_counts=True)
+    return pa.record_batch([tb.long_array(distinct), tb.long_array(n)], names=["key", "n"])
 
-def count_level(texts: DataFrame, spec: Spec, filters: list, level: int) -> tuple[DataFrame, int, int]:
-    """The repeated rank pairs at a level, their number, and the number of positions behind them."""
-    pairs = texts.select("__text").mapInArrow(_pairs(spec, filters, level), "r1 long, r2 long")
-    counted = pairs.groupBy("r1", "r2").count().filter("count > 1")
-    repeated = shared.keep(counted.select(F.expr("r1 ^ r2").alias("key"), "count"), "pairs")
-    n, total = repeated.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
-    return repeated, n, total
 
+def text_key(data: np.ndarray) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
+def _short(key: bytes) -> int:
+    return int.from_bytes(key[:8], "little", signed=True)
 
-def _suspects(spec: Spec, filters: list):
-    """(key of the whole text, text) of texts that may have a repeated window."""
+
+def _suspect_texts(spec: Spec, starts: Callable[[Units], np.ndarray]):
+    """Texts that may have a repeated window, with their keys."""
 
     @tb.task("repeats")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k = batch.schema.get_field_index("__text")
-            for i, j, data, offsets in tb.chunks(batch, k):
+            for _, _, data, offsets in tb.chunks(batch, 0, CHUNK):
                 u = Units(spec, data, offsets)
-                hit = np.unique(np.searchsorted(u.at, left(spec, u, filters)[0], "right") - 1)
+                hit = np.unique(u.texts(starts(u)))
                 if len(hit):
                     keys = [text_key(data[offsets[t] : offsets[t + 1]]) for t in hit]
-                    texts = pa.array([data[offsets[t] : offsets[t + 1]].tobytes() for t in hit], pa.binary())
-                    yield pa.record_batch([tb.binary_array(keys), texts], names=["h", "__text"])
+                    texts = [data[offsets[t] : offsets[t + 1]].tobytes() for t in hit]
+                    yield pa.record_batch([tb.binary_array(keys), pa.array(list(map(_short, keys)), pa.int64()), tb.binary_array(texts)], names=["h", "short", "__text"])
 
     return run
 
 
-def text_key(data: np.ndarray) -> bytes:
-    return hashlib.blake2b(data, digest_size=16).digest()
-
-
-def _strings(spec: Spec, filters: list, hot):
-    """Packed strings of the super windows that are left, with the key of their anchor."""
-    last = spec.levels[-1]
+def _strings(spec: Spec, pick: Callable, hot):
+    """Packed strings of the super windows that are left, without those of hot keys."""
 
     @tb.task("repeats")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uids = batch.column("uid").to_numpy()
-            for i, j, data, offsets in tb.chunks(batch, batch.schema.get_field_index("__text")):
+            for i, j, data, offsets in tb.chunks(batch, batch.schema.get_field_index("__text"), CHUNK):
                 u = Units(spec, data, offsets)
-                s, n, a = left(spec, u, filters)
+                s, n, key = pick(u, uids[i:j])
+                if hot is not None:
+                    cold = ~bloom.passes(hot.value, key)
+                    s, n, key = s[cold], n[cold], key[cold]
                 if not len(s):
                     continue
-                text = np.searchsorted(u.at, s, "right") - 1
-                b, e = u.byte_range(spec, s, s + n - 1 + spec.window)
-                r1, r2 = ranks(u, a, last)
-                key, uid = r1 ^ r2, uids[i:j][text]
-                salt = np.where(np.isin(key, hot.value), tb.mix(uid.astype(np.uint64)) % np.uint64(SALTS), 0).astype(np.int32)
-                if spec.unit == "word":  # other white space becomes one blank, so that equal windows are equal bytes
-                    packs = [b" ".join(data[p:q].tobytes().split()) if spec.unit == "word" else None for p, q in zip(b.tolist(), e.tolist(), strict=True)]
-                else:
-                    packs = [data[p:q].tobytes() for p, q in zip(b.tolist(), e.tolist(), strict=True)]
-                for k in range(0, len(packs), 20000):
-                    c = slice(k, k + 20000)
-                    yield pa.record_batch([tb.long_array(key[c]), pa.array(salt[c]), tb.long_array(uid[c]), tb.long_array((s - u.at[text])[c]), tb.binary_array(packs[c])], names=["key", "salt", "uid", "start", "packed"])
+                text = u.texts(s)
+                whole, starts, ends = u.plain(spec)
+                packs = [whole[p:q] for p, q in zip(starts[s].tolist(), ends[s + n - 2 + spec.window].tolist(), strict=True)]
+                yield pa.record_batch([tb.long_array(key), tb.long_array(uids[i:j][text]), tb.long_array(s - u.at[text]), tb.binary_array(packs)], names=["key", "uid", "start", "packed"])
 
     return run
 
 
-_FOUND = "uid long, s long, e long, key long, start long, packed binary"
+def grouped(data: bytes, b: np.ndarray, e: np.ndarray, row: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """For windows of strings (bytes b to e of ``data``, in order, each window followed by the next of its string): the
+    index of the first equal window. Equal hashes are followed up by comparing bytes, a run of windows at a time."""
+    group = np.arange(len(hashes))
+    order = np.argsort(hashes)
+    ordered = hashes[order]
+    same = np.zeros(len(order) + 1, bool)
+    same[1:-1] = ordered[1:] == ordered[:-1]
+    number = np.cumsum(~same[:-1])
+    at = np.flatnonzero(same[:-1] | same[1:])
+    if not len(at):
+        return group
+    both = (number[at] << 32) | order[at]
+    both.sort()
+    index, number = both & 0xFFFFFFFF, both >> 32
+    again = np.flatnonzero(number[1:] == number[:-1]) + 1
+    mine, other = index[again], index[again - 1]
+    by = np.argsort(mine)
+    m, o = mine[by], other[by]
+    cut = np.flatnonzero((np.diff(m) != 1) | (np.diff(o) != 1) | (np.diff(row[m]) != 0) | (np.diff(row[o]) != 0)) + 1
+    first, last = np.concatenate(([0], cut)), np.append(cut, len(m)) - 1
+    if all(data[p:q] == data[r:t] for p, q, r, t in zip(b[m[first]].tolist(), e[m[last]].tolist(), b[o[first]].tolist(), e[o[last]].tolist(), strict=True)):
+        lead = np.ones(len(index), bool)
+        lead[again] = False
+        group[index] = index[np.maximum.accumulate(np.where(lead, np.arange(len(index)), 0))]
+    else:  # two strings with one hash: group by the strings themselves
+        seen: dict[bytes, int] = {}
+        for k in index.tolist():
+            group[k] = seen.setdefault(data[b[k] : e[k]], k)
+    return group
 
 
-def repeated_windows(spec: Spec, rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, Units]:
+def repeated_windows(spec: Spec, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, Units]:
     """For all windows of packed strings: string, start unit, and the index of the first equal window."""
-    joined = b"".join(rows)
-    data = np.frombuffer(joined, np.uint8)
-    u = Units(spec, data, np.concatenate(([0], np.cumsum([len(r) for r in rows]))))
+    u = Units(spec, data, offsets)
     v = window_starts(u.at, spec.window, u.n)
-    hashes = tb.fixed_spans(u.prefix, spec.window)[v]
-    order = np.argsort(hashes, kind="stable")
-    sorted_h = hashes[order]
-    same = np.flatnonzero(sorted_h[1:] == sorted_h[:-1]) + 1
-    b, e = u.byte_range(spec, v, v + spec.window)
-    mine, other = order[same], order[same - 1]
-    equal = all(joined[p:q] == joined[r:t] for p, q, r, t in zip(b[mine].tolist(), e[mine].tolist(), b[other].tolist(), e[other].tolist(), strict=True))
-    if equal:
-        lead = np.ones(len(v), bool)
-        lead[same] = False
-        group = np.empty(len(v), np.int64)
-        group[order] = order[np.maximum.accumulate(np.where(lead, np.arange(len(v)), 0))]
-    else:  # two strings with one fingerprint: group by the strings themselves
-        seen: dict[bytes, int] = {}
-        group = np.array([seen.setdefault(joined[p:q], k) for k, (p, q) in enumerate(zip(b.tolist(), e.tolist(), strict=True))], np.int64)
-    return np.searchsorted(u.at, v, "right") - 1, v, group, u
+    row = u.texts(v)
+    plain, starts, ends = u.plain(spec)
+    group = grouped(plain, starts[v], ends[v + spec.window - 1], row, tb.fixed_spans(u.prefix, spec.window)[v])
+    return row, v, group, u
 
 
 def _runs(row: np.ndarray, v: np.ndarray, flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -216,164 +236,218 @@ def _runs(row: np.ndarray, v: np.ndarray, flag: np.ndarray) -> tuple[np.ndarray,
     return k[np.concatenate(([0], cut))], k[np.append(cut, len(k)) - 1]
 
 
-def _sorted_windows(spec: Spec, hot=None):
-    def flush(keys: list, uids: list, starts: list, rows: list) -> Iterator[pa.RecordBatch]:
-        row, v, group, u = repeated_windows(spec, rows)
-        if not len(v):
-            return
-        repeated = (np.bincount(group, minlength=len(v)) > 1)[group]
-        uids, starts = np.asarray(uids, np.int64), np.asarray(starts, np.int64)
-        first, last = _runs(row, v, repeated)
-        at = starts[row] + v - u.at[row]  # in units of the text
-        none = np.full(len(first), None)
-        yield pa.record_batch([pa.array(uids[row[first]]), pa.array(at[first]), pa.array(at[last] + spec.window), *[pa.array(none, t) for t in (pa.int64(), pa.int64(), pa.binary())]], names=["uid", "s", "e", "key", "start", "packed"])
-        if hot is not None and len(hot.value):
-            keys = np.asarray(keys, np.int64)
-            go = np.isin(keys.view(np.uint64), hot.value)[row] & (group == np.arange(len(v)))
-            first, last = _runs(row, v, go)
-            b, e = u.byte_range(spec, v[first], v[last] + spec.window)
-            none = np.full(len(first), None)
-            yield pa.record_batch([pa.array(uids[row[first]]), *[pa.array(none, pa.int64())] * 2, pa.array(keys[row[first]]), pa.array(at[first]), tb.binary_array([u.data[p:q].tobytes().strip() if spec.unit == "word" else u.data[p:q].tobytes() for p, q in zip(b, e, strict=True)])], names=["uid", "s", "e", "key", "start", "packed"])
+def _sorted_windows(spec: Spec):
+    """Runs of repeated windows, as starts s to e (not included), from strings sorted by key."""
+
+    def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held).combine_chunks()
+        (batch,) = table.to_batches()
+        data, offsets = tb.column_bytes(batch.column("packed"))
+        row, v, group, u = repeated_windows(spec, data[offsets[0] : offsets[-1]], offsets - offsets[0])
+        first, last = _runs(row, v, (np.bincount(group, minlength=len(v)) > 1)[group])
+        at = batch.column("start").to_numpy()[row] + v - u.at[row]
+        return pa.record_batch([tb.long_array(batch.column("uid").to_numpy()[row[first]]), tb.long_array(at[first]), tb.long_array(at[last] + 1)], names=["uid", "s", "e"])
 
     @tb.task("repeats")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[list, list, list, list] = ([], [], [], [])
+        held: list[pa.RecordBatch] = []
         size, key_now = 0, None
         for batch in batches:
-            for key, uid, start, packed in zip(*[batch.column(c).to_pylist() for c in ("key", "uid", "start", "packed")], strict=True):
-                if size > SORTED and key != key_now:
-                    yield from flush(*held)
-                    held, size = ([], [], [], []), 0
-                for part, x in zip(held, (key, uid, start, packed), strict=True):
-                    part.append(x)
-                size, key_now = size + len(packed), key
-        if size:
-            yield from flush(*held)
+            keys, (_, offsets) = batch.column("key").to_numpy(), tb.column_bytes(batch.column("packed"))
+            ends = [*(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+            begin, at = 0, 0
+            for end in ends:  # one key's rows at a time, or a run of keys together
+                if size + offsets[at] - offsets[begin] > SORTED and keys[at] != key_now:
+                    if at > begin:
+                        held.append(batch.slice(begin, at - begin))
+                    yield flush(held)
+                    held, size, begin = [], 0, at
+                key_now, at = keys[at], end
+            if len(keys) > begin:
+                held.append(batch.slice(begin))
+                size += int(offsets[-1] - offsets[begin])
+        if held:
+            yield flush(held)
 
     return run
 
 
-def _covered(ranges: list, n: int) -> np.ndarray:
+def _hot_windows(spec: Spec, pick: Callable, hot, u: Units, uids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of all windows of hot keys."""
+    s, n, key = pick(u, uids)
+    warm = bloom.passes(hot.value, key)
+    s, n = s[warm], n[warm]
+    ends = np.cumsum(n)
+    v = np.repeat(s - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+    v.sort()
+    return v, tb.mix(tb.fixed_spans(u.prefix, spec.window)[v], 5)
+
+
+def _hot_prints(spec: Spec, pick: Callable, hot):
+    @tb.task("repeats")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            uids = batch.column("uid").to_numpy()
+            for i, j, data, offsets in tb.chunks(batch, batch.schema.get_field_index("__text"), CHUNK):
+                yield key_batch(_hot_windows(spec, pick, hot, Units(spec, data, offsets), uids[i:j])[1])
+
+    return run
+
+
+def _hot_marks(spec: Spec, pick: Callable, hot, seen):
+    """Windows of hot keys whose fingerprint repeats: runs of them (uid, s, e), and with a digest each distinct one."""
+
+    @tb.task("repeats")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["uid", "s", "e", "digest", "n"]
+        for batch in batches:
+            uids = batch.column("uid").to_numpy()
+            for i, j, data, offsets in tb.chunks(batch, batch.schema.get_field_index("__text"), CHUNK):
+                u = Units(spec, data, offsets)
+                v, h = _hot_windows(spec, pick, hot, u, uids[i:j])
+                again = bloom.passes(seen.value, h)
+                v, h = v[again], h[again]
+                if not len(v):
+                    continue
+                text = u.texts(v)
+                uid, at = uids[i:j][text], v - u.at[text]
+                first, last = _runs(text, v, np.ones(len(v), bool))
+                none = np.full(len(first), None)
+                yield pa.record_batch([tb.long_array(uid[first]), tb.long_array(at[first]), tb.long_array(at[last] + 1), pa.array(none, pa.binary()), pa.array(none, pa.int64())], names=names)
+                plain, starts, ends = u.plain(spec)
+                b, e = starts[v], ends[v + spec.window - 1]
+                group = grouped(plain, b, e, text, h)
+                lead = np.flatnonzero(group == np.arange(len(v)))
+                n = np.bincount(group, minlength=len(v))[lead]
+                digests = [hashlib.blake2b(plain[p:q], digest_size=16).digest() for p, q in zip(b[lead].tolist(), e[lead].tolist(), strict=True)]
+                yield pa.record_batch([tb.long_array(uid[lead]), tb.long_array(at[lead]), pa.array(np.full(len(lead), None), pa.int64()), tb.binary_array(digests), tb.long_array(n)], names=names)
+
+    return run
+
+
+def _hot_found(distinct: DataFrame, spec: Spec, pick: Callable, hot) -> tuple[DataFrame, DataFrame]:
+    """(uid, s, e) of marked runs of windows, and (uid, s, null) of windows that were marked by chance; the table behind them."""
+    sc = distinct.sparkSession.sparkContext
+    table, n = counted(distinct.mapInArrow(_hot_prints(spec, pick, hot), "key long, n long"))
+    seen = sc.broadcast(bloom.build(table, "key", n))
+    shared.drop(distinct.sparkSession, table)
+    marks = shared.keep(distinct.mapInArrow(_hot_marks(spec, pick, hot, seen), "uid long, s long, e long, digest binary, n long"), "marks")
+    once = marks.filter("digest IS NOT NULL").groupBy("digest").agg(F.sum("n").alias("n"), F.min("uid").alias("uid"), F.min("s").alias("s")).filter("n = 1")
+    return marks.filter("digest IS NULL").select("uid", "s", "e").unionByName(once.select("uid", "s", F.lit(None).cast("long").alias("e"))), marks
+
+
+def covered(n: int, at: np.ndarray, window: int, text: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Units covered by the windows that start at s to e (not included) of the texts; a negative e takes a start back."""
+    run = e >= 0
     edge = np.zeros(n + 1, np.int32)
-    for s, e in ranges:
-        edge[s] += 1
-        edge[e] -= 1
-    return np.cumsum(edge[:n]) > 0
+    np.add.at(edge, at[text[run]] + s[run], 1)
+    np.add.at(edge, at[text[run]] + e[run], -1)
+    flag = np.cumsum(edge[:n]) > 0
+    flag[at[text[~run]] + s[~run]] = False
+    before = np.concatenate((np.zeros(window, np.int64), np.cumsum(flag)))
+    return before[window:] > before[: len(before) - window]
 
 
-def cut_texts(spec: Spec, data: np.ndarray, offsets: np.ndarray, removed: list | None) -> dict[str, list]:
-    """What is left of each text; removed: for each text None, True (all) or ranges of units."""
-    out: dict[str, list] = defaultdict(list)
-    u = Units(spec, data, offsets)
-    gone = np.zeros(u.n, bool)
-    for t, x in enumerate(removed or ()):
-        if x is True:
-            gone[u.at[t] : u.at[t + 1]] = True
-        elif x:
-            gone[u.at[t] : u.at[t + 1]] = _covered(x, u.at[t + 1] - u.at[t])
+def cut_texts(spec: Spec, u: Units, gone: np.ndarray) -> tuple[list, bytes, np.ndarray]:
+    """n_units, n_removed and n_spans of each text, and the kept bytes of all with their offsets."""
+    data, offsets = u.data, u.offsets
     if spec.unit == "word":
         stay = np.flatnonzero(~gone)
         edge = np.zeros(len(data) + 1, np.int8)
         edge[u.starts[stay]] += 1
         np.add.at(edge, u.ends[stay], -1)
         keep = np.cumsum(edge[:-1], dtype=np.int8) > 0
-        text = np.searchsorted(u.at, stay, "right") - 1
+        text = u.texts(stay)
         joint = u.ends[stay[:-1][text[:-1] == text[1:]]]  # white space between two kept words of one text
         keep[joint] = True
         data = data.copy()
         data[joint] = 0x20
     else:
         keep = ~gone
-    kept, sums = data[keep].tobytes(), np.concatenate(([0], np.cumsum(keep)))
-    begins = np.concatenate(([False], gone))[1:] & ~np.concatenate(([False], gone))[:-1] if u.n else gone
-    if u.n:
-        begins[u.at[:-1][np.diff(u.at) > 0]] = gone[u.at[:-1][np.diff(u.at) > 0]]
-    for name, x in (("n_units", np.diff(u.at)), ("n_removed", np.diff(np.concatenate(([0], np.cumsum(gone)))[u.at])), ("n_spans", np.diff(np.concatenate(([0], np.cumsum(begins)))[u.at]))):
-        out[name] = x.tolist()
-    for p, q in zip(sums[offsets[:-1]].tolist(), sums[offsets[1:]].tolist(), strict=True):
-        out["kept"].append(part := kept[p:q])
-        out["kept_sha256"].append(hashlib.sha256(part).hexdigest())
-    return out
+    begins = gone.copy()
+    begins[1:] &= ~gone[:-1]
+    heads = u.at[:-1][np.diff(u.at) > 0]
+    begins[heads] = gone[heads]
+
+    def total(flags: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return np.concatenate(([0], np.cumsum(flags)))[at]
+
+    return [np.diff(u.at), np.diff(total(gone, u.at)), np.diff(total(begins, u.at))], data[keep].tobytes(), total(keep, offsets)
 
 
-_RESULT = ["n_units", "n_removed", "n_spans", "kept_sha256", "kept"]
-_RESULT_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
 _RESULT_DDL = "n_units long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+_RESULT = [x.split()[0] for x in _RESULT_DDL.split(", ")]
 
 
-def _arrays(cut: dict[str, list], with_kept: bool) -> list[pa.Array]:
-    return [pa.array(cut[c] if with_kept or c != "kept" else [None] * len(cut["kept"]), t) for c, t in zip(_RESULT, _RESULT_TYPES, strict=True)]
+def _arrays(spec: Spec, u: Units, gone: np.ndarray, with_kept: bool) -> list[pa.Array]:
+    numbers, kept, at = cut_texts(spec, u, gone)
+    parts = [kept[p:q] for p, q in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+    return [*map(tb.long_array, numbers), pa.array([hashlib.sha256(x).hexdigest() for x in parts], pa.string()), pa.array(parts if with_kept else [None] * len(parts), pa.binary())]
 
 
 def _cut_distinct(spec: Spec, with_kept: bool):
     @tb.task("repeats")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ranges, many = batch.column("ranges").to_pylist(), batch.column("copies").to_numpy() > 1
-            for i, j, data, offsets in tb.chunks(batch, batch.schema.get_field_index("__text")):
-                at = Units(spec, data, offsets).at
-                removed = [True if many[i + t] and at[t + 1] - at[t] >= spec.window else [(x["s"], x["e"]) for x in ranges[i + t] or ()] for t in range(j - i)]
-                yield pa.record_batch([batch.column("h").slice(i, j - i), *_arrays(cut_texts(spec, data, offsets, removed), with_kept)], names=["h", *_RESULT])
+            many = batch.column("copies").to_numpy() > 1
+            ranges, (_, at) = batch.column("ranges"), tb.list_places(batch.column("ranges"))
+            s, e = [x.to_numpy(zero_copy_only=False) for x in (tb.field(ranges.values, 0), tb.field(ranges.values, 1).fill_null(-1))]
+            for i, j, data, offsets in tb.chunks(batch, batch.schema.get_field_index("__text"), CHUNK):
+                u = Units(spec, data, offsets, hashed=False)
+                here = slice(at[i], at[j])
+                gone = covered(u.n, u.at, spec.window, np.repeat(np.arange(j - i), np.diff(at[i : j + 1])), s[here], e[here])
+                gone |= np.repeat(many[i:j] & (np.diff(u.at) >= spec.window), np.diff(u.at))
+                yield pa.record_batch([batch.column("h").slice(i, j - i), *_arrays(spec, u, gone, with_kept)], names=["h", *_RESULT])
 
     return run
 
 
-def _first_look(spec: Spec, filters: list, with_kept: bool):
-    """Final values for texts without suspects; for others the key of the text alone."""
+def _plain(spec: Spec, suspects, with_kept: bool):
+    """What each row has if nothing of it repeats, and the key of its text if it may have repeats."""
 
     @tb.task("repeats")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row = batch.column("__row")
-            for i, j, data, offsets in tb.chunks(batch, batch.schema.get_field_index("__text")):
-                u = Units(spec, data, offsets)
-                hit = np.zeros(j - i, bool)
-                hit[np.searchsorted(u.at, left(spec, u, filters)[0], "right") - 1] = True
-                cut = cut_texts(spec, data, offsets, None)
-                for t in np.flatnonzero(hit).tolist():
-                    for c in _RESULT:
-                        cut[c][t] = None
-                keys = [text_key(data[offsets[t] : offsets[t + 1]]) if hit[t] else None for t in range(j - i)]
-                yield pa.record_batch([row.slice(i, j - i), pa.array(keys, pa.binary()), *_arrays(cut, with_kept)], names=["__row", "h", *_RESULT])
+            for i, j, data, offsets in tb.chunks(batch, batch.schema.get_field_index("__text"), CHUNK):
+                u = Units(spec, data, offsets, hashed=False)
+                keys = [text_key(data[p:q]) for p, q in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+                hit = bloom.passes(suspects.value, np.array(list(map(_short, keys)), np.int64).view(np.uint64))
+                named = pa.array([k if x else None for k, x in zip(keys, hit.tolist(), strict=True)], pa.binary())
+                yield pa.record_batch([row.slice(i, j - i), named, *_arrays(spec, u, np.zeros(u.n, bool), with_kept)], names=["__row", "h", *_RESULT])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, text: str, spec: Spec, with_kept: bool) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str, search: Search, with_kept: bool) -> DataFrame:
     """``__row`` (all columns but the text) and n_units, n_removed, n_spans, kept_sha256, kept for each row of ``docs``."""
-    spark = docs.sparkSession
+    spark, spec = docs.sparkSession, search.spec
     sc = spark.sparkContext
     shared.lean(spark)
     packed = shared.packed(docs, text).withColumnRenamed(f"__{text}", "__text")
     others = [c for c in docs.columns if c != text]
     row = F.struct(*[F.col("__row").getField(c).alias(c) for c in others]) if others else F.struct(F.lit(0).alias("__none"))
     rows = packed.select(row.alias("__row"), F.col("__text").cast("binary").alias("__text"))
-    filters: list = []
-    repeated, n, _ = count_level(rows, spec, [], spec.levels[0])
-    filters.append((spec.levels[0], sc.broadcast(bloom.build(repeated, "key", n))))
-    suspects = rows.select("__text").mapInArrow(_suspects(spec, filters), "h binary, __text binary")
-    distinct = shared.keep(suspects.groupBy("h", "__text").agg(F.count("*").alias("copies")).withColumn("uid", F.monotonically_increasing_id()), "distinct")
-    first = list(filters)
-    later = []
-    for level in spec.levels:  # the first one again, as copies of whole texts now count once
-        more, n, total = count_level(distinct, spec, [*first, *later], level)
-        later.append((level, sc.broadcast(bloom.build(more, "key", n))))
-        shared.drop(spark, repeated)
-        repeated = more
-    hot_keys = [r[0] for r in repeated.filter(F.col("count") > max(HOT, total // 50_000)).select("key").collect()]  # 50,000 at most
-    shared.drop(spark, repeated)
-    hot = sc.broadcast(np.array(hot_keys, np.int64).view(np.uint64))
-    strings = distinct.select("uid", "__text").mapInArrow(_strings(spec, later, hot), "key long, salt int, uid long, start long, packed binary")
-    dealt = strings.repartition(shared.partitions(spark), "key", "salt").sortWithinPartitions("key", "salt")
-    found = dealt.mapInArrow(_sorted_windows(spec, hot), _FOUND)
-    if hot_keys:
-        found = shared.keep(found, "found")
-        again = found.filter("packed IS NOT NULL").repartition(shared.partitions(spark), "key").sortWithinPartitions("key")
-        found = found.filter("packed IS NULL").unionByName(again.mapInArrow(_sorted_windows(spec), _FOUND))
-    ranges = found.groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
-    cut = distinct.join(ranges, "uid", "left").select("h", "__text", "copies", "ranges").mapInArrow(_cut_distinct(spec, with_kept), f"h binary, {_RESULT_DDL}")
-    results = shared.keep(cut, "cut")
-    look = rows.mapInArrow(_first_look(spec, filters, with_kept), f"__row {rows.schema['__row'].dataType.simpleString()}, h binary, {_RESULT_DDL}")
-    looked = look.filter("h IS NULL").drop("h")
-    joined = look.filter("h IS NOT NULL").select("__row", "h").join(results, "h").drop("h")
-    return looked.unionByName(joined)
+    found = rows.select("__text").mapInArrow(_suspect_texts(spec, search.suspects(rows.select("__text"))), "h binary, short long, __text binary")
+    distinct = shared.keep(found.groupBy("h", "short", "__text").agg(F.count("*").alias("copies")).withColumn("uid", F.monotonically_increasing_id()), "distinct")
+    texts = distinct.select("uid", "__text")
+    pick, hot_keys = search.picks(texts)
+    hot = None if hot_keys is None else sc.broadcast(hot_keys)
+    strings = texts.mapInArrow(_strings(spec, pick, hot), "key long, uid long, start long, packed binary")
+    dealt = strings.repartition(shared.partitions(spark), "key").sortWithinPartitions("key")
+    runs = dealt.mapInArrow(_sorted_windows(spec), "uid long, s long, e long")
+    used = [distinct]
+    if hot is not None:
+        more, marks = _hot_found(texts, spec, pick, hot)
+        runs = runs.unionByName(more)
+        used.append(marks)
+    ranges = runs.groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
+    marked = distinct.join(ranges, "uid", "left").select("h", "__text", "copies", F.coalesce("ranges", F.array().cast("array<struct<s:bigint,e:bigint>>")).alias("ranges"))
+    results = shared.keep(marked.mapInArrow(_cut_distinct(spec, with_kept), f"h binary, {_RESULT_DDL}"), "cut")
+    suspects = sc.broadcast(bloom.build(distinct.select("short"), "short", distinct.count()))
+    shared.drop(spark, *used)
+    look = rows.mapInArrow(_plain(spec, suspects, with_kept), f"__row {rows.schema['__row'].dataType.simpleString()}, h binary, {_RESULT_DDL}")
+    later = results.select(F.col("h").alias("h2"), *[F.col(c).alias(f"{c}2") for c in _RESULT])
+    joined = look.filter("h IS NOT NULL").join(later, F.col("h") == F.col("h2"), "left")
+    cut = joined.select("__row", *[F.when(F.col("h2").isNotNull(), F.col(f"{c}2")).otherwise(F.col(c)).alias(c) for c in _RESULT])
+    return look.filter("h IS NULL").drop("h").unionByName(cut)

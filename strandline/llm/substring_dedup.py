@@ -2,18 +2,72 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm import shared
-from strandline.llm.repeats import Spec, remove_repeats
+from strandline.llm import bloom, repeats, shared
+from strandline.llm import textbytes as tb
 
 
-def spec(window: int = 35, minimiser: int = 8) -> Spec:
+def spec(window: int = 35, minimiser: int = 8) -> repeats.Spec:
     """window: words in a window; minimiser: words in the gram whose least hash names a window's bucket."""
     if not 2 <= minimiser <= window:
         raise ValueError("the minimiser must have 2 words at least, and fit into the window")
-    return Spec("word", window, minimiser, (minimiser - minimiser % 2,))
+    return repeats.Spec("word", window, minimiser, window - minimiser + 1)
+
+
+def super_kmers(spec: repeats.Spec, u: repeats.Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, number of windows, minimiser's hash) of runs of windows that share a minimiser."""
+    s, n, a = repeats.super_windows(spec, u, repeats.anchors(spec, u))
+    return s, n, tb.mix(tb.spans(u.prefix, a, a + spec.gram), 1)
+
+
+class SuperKmers(repeats.Search):
+    """Windows whose minimiser is found once only in all texts cannot repeat. It is counted twice: over all texts,
+    and again over distinct texts, where copies of whole texts no longer count."""
+
+    def _counted(self, texts: DataFrame, known) -> tuple[DataFrame, int]:
+        spec = self.spec
+
+        @tb.task("repeats")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for _, _, data, offsets in tb.chunks(batch, batch.schema.get_field_index("__text"), repeats.CHUNK):
+                    key = super_kmers(spec, repeats.Units(spec, data, offsets))[2]
+                    yield repeats.key_batch(key if known is None else key[bloom.passes(known.value, key)])
+
+        return repeats.counted(texts.mapInArrow(run, "key long, n long"))
+
+    def _filter(self, texts: DataFrame, known=None) -> tuple:
+        table, n = self._counted(texts, known)
+        spark = texts.sparkSession
+        out = spark.sparkContext.broadcast(bloom.build(table, "key", n)), repeats.hot_filter(table)
+        shared.drop(spark, table)
+        return out
+
+    def suspects(self, texts: DataFrame) -> Callable[[repeats.Units], np.ndarray]:
+        spec, (self._first, _) = self.spec, self._filter(texts)
+        first = self._first
+
+        def starts(u: repeats.Units) -> np.ndarray:
+            s, _, key = super_kmers(spec, u)
+            return s[bloom.passes(first.value, key)]
+
+        return starts
+
+    def picks(self, distinct: DataFrame) -> tuple[Callable, bytes | None]:
+        spec, (again, hot) = self.spec, self._filter(distinct, self._first)
+
+        def pick(u: repeats.Units, _: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            s, n, key = super_kmers(spec, u)
+            ok = bloom.passes(again.value, key)
+            return s[ok], n[ok], key[ok]
+
+        return pick, hot
 
 
 def substring_dedup(docs: DataFrame, text: str = "text", window: int = 35, minimiser: int = 8, with_text: bool = True) -> DataFrame:
@@ -21,14 +75,15 @@ def substring_dedup(docs: DataFrame, text: str = "text", window: int = 35, minim
 
     Words are runs of bytes other than 0x20 and 0x09 to 0x0D, unchanged. Windows are judged on the input.
     Consecutive windows that share a minimiser travel as one packed string to its bucket, where sorting counts
-    windows exactly (see ``repeats``).
+    windows exactly; windows of minimisers with very many strings are counted one by one instead (see ``repeats``).
 
     Returns the columns of ``docs`` with ``text`` replaced by the kept words joined by one blank (left out without
     ``with_text``), and n_words, n_removed, n_spans (removed runs) and kept_sha256. Columns of these names are replaced.
     A null text has no words and becomes empty; a text shorter than a window stays whole; rows with equal texts,
     repeated rows too, are copies of each other; an empty table gives an empty one; nulls elsewhere pass through.
+    One text of n bytes, and what is worked out of it, must fit into a worker's memory (about 100 n).
     """
-    out = remove_repeats(docs, text, spec(window, minimiser), with_text)
+    out = repeats.remove_repeats(docs, text, SuperKmers(spec(window, minimiser)), with_text)
     out = out.withColumnRenamed("n_units", "n_words")
     added = ["n_words", "n_removed", "n_spans", "kept_sha256"]
     if with_text:

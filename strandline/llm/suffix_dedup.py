@@ -1,36 +1,172 @@
-"""Suffix-array dedup: byte strings of a given length that start more than once are cut out of all texts."""
+"""Suffix-array dedup by distributed prefix doubling: byte strings of a length that start more than once are cut out.
+
+The sorted positions are the anchors of ``repeats`` (the least gram of some run of ``reach`` positions). Between the first
+and the last anchor of a ``length``-byte string all anchors are its own, wherever it stands, and they are ``span`` bytes
+apart at least. So texts are cut at anchors into phrases, and doubling goes by phrases:
+
+* round 1 ranks pairs (phrase at a position, next phrase); a filter first takes out pairs found once in all texts;
+* in round r Spark joins each position's rank with the rank of the position 2**(r - 1) phrases on, sorts the distinct
+  pairs that repeat, and numbers them in that order: the ranks of the next round;
+* a position leaves when its pair is unique, or when its neighbour has left, as then it is unique too;
+* a position is past the threshold when its prefix would go beyond ``span`` bytes. Its last pair overlaps, so that its
+  last rank stands for all the phrases that fit into ``span``. Positions with very short phrases (runs of one character)
+  stop after ``ROUNDS`` rounds.
+
+Strings of ``length`` bytes whose first anchor is left are then sorted and compared byte by byte (``repeats``).
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from strandline.llm import bloom, repeats, shared
+from strandline.llm import textbytes as tb
+
+#: Rounds of doubling, at most.
+ROUNDS = 4
+
+
+def spec(length: int = 400) -> repeats.Spec:
+    if length < 8:
+        raise ValueError("the length must be 8 at least")
+    return repeats.Spec("byte", length, min(16, length // 8), length // 5)
+
+
+def span(spec: repeats.Spec) -> int:
+    """Bytes between the first and the last anchor of a string, at least."""
+    return spec.window + 2 - spec.gram - 2 * spec.reach
+
+
+class Phrases:
+    """The phrases of a run of texts, and the super windows of the anchors at which they begin."""
+
+    def __init__(self, spec: repeats.Spec, u: repeats.Units):
+        anchor = repeats.anchors(spec, u)
+        a = anchor[repeats.window_starts(u.at, spec.reach + spec.gram - 1, u.n, spec.window)]
+        self.a = a = a[np.diff(a, prepend=-1) != 0]
+        self.text = u.texts(a)
+        k = np.arange(len(a))
+        ends = np.searchsorted(self.text, self.text, "right") - 1  # the last anchor of the text
+        #: How many phrases from here on fit into the span.
+        self.m = np.minimum(np.searchsorted(a, a + span(spec), "right") - 1, ends) - k
+        following = np.append(a[1:], 0) if len(a) else a
+        self.names = tb.mix(tb.spans(u.prefix, a, np.where(k < ends, following, a)))
+        self.next = self.names[np.minimum(k + 1, ends)]
+        self.pair = tb.mix(self.names, 1) ^ tb.mix(self.next, 2)
+        #: Of the bytes of all phrases that fit: equal strings have equal keys.
+        self.key = tb.mix(tb.spans(u.prefix, a, a[k + self.m]) if len(a) else a.astype(np.uint64), 3)
+        s, n, first = repeats.super_windows(spec, u, anchor)
+        self.start, self.windows = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
+        own = np.searchsorted(a, first)
+        self.start[own], self.windows[own] = s, n
+        self.index = k - np.searchsorted(self.text, self.text)
+        self.place = a - u.at[self.text]
+
+    def ids(self, uids: np.ndarray) -> np.ndarray:
+        """One number for each position of all texts; only a filter is built of them."""
+        return tb.mix(tb.mix(uids.astype(np.uint64)[self.text], 6) + self.place.astype(np.uint64), 7)
+
+
+def _positions(spec: repeats.Spec, known):
+    """Positions whose first pair is found elsewhere."""
+
+    @tb.task("repeats")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            uids = batch.column("uid").to_numpy()
+            for i, j, data, offsets in tb.chunks(batch, batch.schema.get_field_index("__text"), repeats.CHUNK):
+                p = Phrases(spec, repeats.Units(spec, data, offsets))
+                ok = np.flatnonzero((p.m >= 2) & bloom.passes(known.value, p.pair))
+                longs = [uids[i:j][p.text], p.index, p.m, p.ids(uids[i:j]), p.key, p.names, p.next]
+                yield pa.record_batch([*[tb.long_array(x[ok]) for x in longs], pa.array(p.windows[ok] > 0)], names=["uid", "i", "m", "id", "key", "ra", "rb", "own"])
+
+    return run
+
+
+def doubled(positions: DataFrame) -> DataFrame:
+    """(id, key) of the positions with windows of their own whose last ranks are shared."""
+    spark = positions.sparkSession
+    parts, done = shared.partitions(spark), []
+    pairs = positions.withColumn("off", F.lit(1).cast("long"))
+    for r in range(1, ROUNDS + 1):
+        width = 1 << r
+        repeated = pairs.groupBy("ra", "rb", "off").agg(F.count("*").alias("shared")).filter("shared > 1")
+        order = ("ra", "rb", "off")
+        ranks = shared.keep(repeated.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(*order, F.monotonically_increasing_id().alias("rank")), "ranks")
+        left = shared.keep(pairs.join(ranks, list(order)).select("uid", "i", "m", "id", "key", "own", "rank"), "positions")
+        shared.drop(spark, ranks)
+        over = F.col("m") <= width
+        done.append(left.filter(over & F.col("own")).select("id", "key"))
+        more = left.filter(~over)
+        if r == ROUNDS or more.isEmpty():
+            done.append(more.filter("own").select("id", "key"))
+            break
+        # the ranks of this round, those of prefixes that end too early for it left out, meet their neighbours'
+        whole = left.filter(F.col("m") >= width)
+        ahead = more.withColumn("off", F.least(F.lit(width), F.col("m") - width)).withColumn("at", F.col("i") + F.col("off")).withColumnRenamed("rank", "ra")
+        pairs = ahead.join(whole.select("uid", F.col("i").alias("at"), F.col("rank").alias("rb")), ["uid", "at"]).drop("at")
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+class Doubling(repeats.Search):
+    def suspects(self, texts: DataFrame) -> Callable[[repeats.Units], np.ndarray]:
+        spec, spark = self.spec, texts.sparkSession
+
+        @tb.task("repeats")
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for _, _, data, offsets in tb.chunks(batch, 0, repeats.CHUNK):
+                    p = Phrases(spec, repeats.Units(spec, data, offsets))
+                    yield repeats.key_batch(p.pair[p.m >= 2])
+
+        table, n = repeats.counted(texts.mapInArrow(run, "key long, n long"))
+        self._first = first = spark.sparkContext.broadcast(bloom.build(table, "key", n))
+        shared.drop(spark, table)
+
+        def starts(u: repeats.Units) -> np.ndarray:
+            p = Phrases(spec, u)
+            return p.start[(p.windows > 0) & bloom.passes(first.value, p.pair)]
+
+        return starts
 
-from strandline.llm import shared
-from strandline.llm.repeats import Spec, remove_repeats
+    def picks(self, distinct: DataFrame) -> tuple[Callable, bytes | None]:
+        spec, spark = self.spec, distinct.sparkSession
+        ddl = "uid long, i long, m long, id long, key long, ra long, rb long, own boolean"
+        positions = shared.keep(distinct.mapInArrow(_positions(spec, self._first), ddl), "positions")
+        left = shared.keep(doubled(positions), "doubled")
+        shared.drop(spark, positions)
+        ids = spark.sparkContext.broadcast(bloom.build(left, "id", left.count()))
+        hot = repeats.hot_filter(left.groupBy("key").agg(F.count("*").alias("n")))
+        shared.drop(spark, left)
 
+        def pick(u: repeats.Units, uids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            p = Phrases(spec, u)
+            ok = (p.windows > 0) & bloom.passes(ids.value, p.ids(uids))
+            return p.start[ok], p.windows[ok], p.key[ok]
 
-def spec(length: int = 400) -> Spec:
-    """Doubling from an eighth of the length at most, while twice the step still fits into two thirds of it."""
-    first = 2
-    while first * 8 <= length:
-        first *= 2
-    levels = [first]
-    while levels[-1] * 2 <= length * 2 // 3:
-        levels.append(levels[-1] * 2)
-    return Spec("byte", length, min(32, first), tuple(levels))
+        return pick, hot
 
 
 def suffix_dedup(docs: DataFrame, text: str = "text", length: int = 400, with_text: bool = True) -> DataFrame:
     """Cut each byte covered by a ``length``-byte string that starts anywhere else too, in the same row or another.
 
-    Prefix doubling over sampled suffixes: at each round Spark sorts pairs (rank of the prefix at a position, rank at
-    the growing offset: 32, 64, 128 for 400 bytes), positions with a unique pair leave, and those past the last
-    round are sorted by whole ``length``-byte prefixes, which are compared byte by byte. Positions are those that
-    any ``length``-byte string must contain in its head (see ``repeats``), so none is missed.
+    Prefix doubling over sampled suffixes, as described above: Spark sorts pairs of ranks at growing offsets and ranks
+    them anew, until a position is unique or past the threshold; the strings of those past it are compared byte by byte.
+    Positions are such that any ``length``-byte string has one in its head, so none is missed.
 
     Returns the columns of ``docs`` with ``text`` replaced by binary ``kept`` (left out without ``with_text``), and
     n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256. Columns of these names are replaced.
     A null text counts as empty; a shorter text stays whole; rows with equal texts, repeated rows too, are copies
-    of each other; an empty table gives an empty one; nulls elsewhere pass through.
+    of each other; an empty table gives an empty one; nulls elsewhere pass through. ``length`` is 8 at least.
+    One text of n bytes, and what is worked out of it, must fit into a worker's memory (about 150 n).
     """
-    out = remove_repeats(docs, text, spec(length), with_text).withColumnRenamed("n_units", "n_bytes")
+    out = repeats.remove_repeats(docs, text, Doubling(spec(length)), with_text).withColumnRenamed("n_units", "n_bytes")
     return shared.unpacked(out, docs.columns, ["n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])], (text,))

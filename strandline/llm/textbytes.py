@@ -107,6 +107,11 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)), at
 
 
+def list_places(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The values of a list column without nulls, and the place of each row's first one in them (and the end)."""
+    return column.values, column.offsets.to_numpy().astype(np.int64)
+
+
 def field(rows: pa.StructArray, k: int) -> pa.Array:
     """Member k of a struct column, without a copy."""
     return pc.struct_field(rows, [k])
@@ -135,6 +140,23 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def joined_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray, np.ndarray]:
+    """All words with one blank after each, and their starts and ends there."""
+    sizes = ends - starts
+    at = np.cumsum(sizes + 1) - sizes - 1
+    out = np.full(int(sizes.sum()) + len(sizes), 0x20, np.uint8)
+    out[places(at, sizes)] = data[places(starts, sizes)]
+    return out.tobytes(), at, at + sizes
+
+
+def places(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each stretch, one after the other."""
+    ends = np.cumsum(sizes)
+    out = np.repeat(starts - (ends - sizes), sizes)
+    out += np.arange(len(out), dtype=out.dtype)
+    return out
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return mix(spans(sums(byte_values(data)), starts, ends))
 

@@ -6,6 +6,7 @@ import pytest
 from fixtures import DOCS, covered_bytes, covered_words, odd_rows, passage
 
 from strandline.llm import bloom, repeats
+import strandline.llm.suffix_dedup as suffix_dedup_module
 from strandline.llm import textbytes as tb
 from strandline.llm.substring_dedup import spec as word_spec
 from strandline.llm.substring_dedup import substring_dedup
@@ -56,7 +57,7 @@ def test_small_runs_of_texts(spark, monkeypatch):
 
 def test_equal_fingerprints_are_told_apart(monkeypatch):
     monkeypatch.setattr(tb, "fixed_spans", lambda prefix, length: np.zeros(max(0, len(prefix) - length), np.uint64))
-    row, v, group, _ = repeats.repeated_windows(repeats.Spec("byte", 3, 2, (2,)), [b"abcabd", b"abc"])
+    row, v, group, _ = repeats.repeated_windows(repeats.Spec("byte", 3, 2, 2), np.frombuffer(b"abcabdabc", np.uint8), np.array([0, 6, 9]))
     assert [group[k] for k in range(len(v))] == [0, 1, 2, 3, 0]
 
 
@@ -72,11 +73,40 @@ def test_empty_and_clashing(spark, none):
     assert suffix_dedup(df.select("text"), length=50).count() == 2
 
 
-def test_levels():
-    assert byte_spec(400).levels[-1] <= 400 and byte_spec(400).reach > 1
-    assert word_spec().levels == (8,)
+def test_specs():
+    for length in (8, 17, 50, 400, 1000):
+        x = byte_spec(length)
+        assert suffix_dedup_module.span(x) >= 2 * x.reach  # two phrases fit, so each string has a first pair
+    assert word_spec().reach == 28
     with pytest.raises(ValueError):
         word_spec(5, 6)
+    with pytest.raises(ValueError):
+        byte_spec(7)
+
+
+def test_each_round_ranks_longer_prefixes(spark, monkeypatch):
+    """Positions left after r rounds have prefixes of as many phrases as fit, up to 2 ** r, in common with others."""
+    x = byte_spec(100)
+    rows = [(1, passage(1, 60)), (2, passage(1, 22) + passage(2, 60)), (3, passage(1, 30) + passage(3, 60)), (4, "ab" * 400)]
+    left = {}
+    for rounds in (1, 2, 3, 4):
+        monkeypatch.setattr(suffix_dedup_module, "ROUNDS", rounds)
+        search = suffix_dedup_module.Doubling(x)
+        texts = spark.createDataFrame(rows, "uid long, t string").selectExpr("uid", "cast(t as binary) as __text")
+        search.suspects(texts.select("__text"))
+        pick, _ = search.picks(texts)
+        data = "".join(t for _, t in rows).encode()
+        at = np.concatenate(([0], np.cumsum([len(t) for _, t in rows])))
+        u = repeats.Units(x, np.frombuffer(data, np.uint8), at)
+        left[rounds] = set(pick(u, np.array([1, 2, 3, 4]))[0].tolist())
+        p = suffix_dedup_module.Phrases(x, u)
+        ends = p.a[np.arange(len(p.a)) + np.minimum(p.m, 1 << rounds)]
+        prefix = [data[b:e] for b, e in zip(p.a.tolist(), ends.tolist(), strict=True)]
+        n = Counter((m, y) for m, y in zip(np.minimum(p.m, 1 << rounds).tolist(), prefix, strict=True))
+        want = {s for s, w, m, y in zip(p.start.tolist(), p.windows.tolist(), np.minimum(p.m, 1 << rounds).tolist(), prefix, strict=True) if w and n[m, y] > 1}
+        assert want <= left[rounds]
+        assert len(left[rounds] - want) <= 2  # ranks tell prefixes of one length apart only if they have as many phrases
+    assert left[4] < left[1]
 
 
 def test_bloom(spark):
