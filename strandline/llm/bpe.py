@@ -93,7 +93,7 @@ class Vocabulary:
 
     def look(self, a: int, b: int) -> bool:
         """As ``_apart``, and kept for the next time."""
-        if len(self.known) > 400_000:
+        if len(self.known) > 200_000:
             self.known.clear()
         found = self.known[a << 20 | b] = self._apart(a, b)
         return found
@@ -244,7 +244,7 @@ def _encode(path: str, pattern: str, text: int | None, with_ids: bool, with_text
         for batch in batches:
             row = batch.column("__row")
             column = batch.column("__text") if text is None else tb.field(row, text)
-            for i, j, _, _ in tb.chunks(batch, column, 4 << 20):
+            for i, j, _, _ in tb.chunks(batch, column, 3 << 19):
                 n, ids_hash, text_hash, all_ids, texts = [], [], [], [], []
                 for ids in e.encode_column(column.slice(i, j - i)):
                     back = e.decode(ids)

@@ -20,7 +20,7 @@ Pool = tuple[np.ndarray, np.ndarray, np.ndarray]
 #: Marks that are matches of their own after letters.
 MARKS = ".,;:"
 #: Parts, and bytes of a part's text, that a worker keeps.
-CACHED, LONGEST = 500_000, 48
+CACHED, LONGEST = 160_000, 48
 #: White space (as Python and Unicode have it) other than blank and line feed; two in a row; or one at the end.
 _ODD = r"[\t\r\f\x0b\x1c-\x1f\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]|[ \n][ \n]|[ \n]\z"
 
