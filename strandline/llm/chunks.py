@@ -83,16 +83,19 @@ def kept_ids(known: Kept, parts: Callable[[list[str]], list[bytes]], width: int)
     return run
 
 
-def encode(texts: pa.Array, distinct_ids: Callable[[pa.Array], Pool], whole: Callable[[list[str]], list[bytes]], width: int, cuts: bool = True) -> list[np.ndarray]:
+def encode(texts: pa.Array, distinct_ids: Callable[[pa.Array], Pool], whole: Callable[[list[str]], list[bytes]], width: int, cuts: bool = True, apart: list[str] = ()) -> list[np.ndarray]:
     """Ids of each text, from ``distinct_ids`` (all ids, and start and number for each distinct part, as ``shown``) and ``whole`` (ids of any strings).
 
-    A text is taken to begin with a line feed, whose id, one only, is left out again.
+    A text is taken to begin with a line feed, whose id, one only, is left out again. Texts that contain a string of
+    ``apart`` are encoded whole.
     """
     n = len(texts)
     out: list[np.ndarray] = [None] * n
     texts = pc.fill_null(texts, "")
     led = pc.binary_join_element_wise(pa.scalar("\n", texts.type), texts, pa.scalar("", texts.type))
     odd = pc.match_substring_regex(led, _ODD).to_numpy(zero_copy_only=False) if cuts else np.ones(n, bool)
+    for string in apart:
+        odd = odd | pc.match_substring(texts, string).to_numpy(zero_copy_only=False)
     at = np.flatnonzero(odd)
     for i, ids in zip(at.tolist(), whole(texts.take(pa.array(at)).to_pylist()) if len(at) else (), strict=True):
         out[i] = np.frombuffer(ids, f"<u{width}")

@@ -3,16 +3,19 @@
 A file is a row of segments, each with a line feed after it (Spark's writer of raw lines puts it there). A segment,
 all integers little-endian:
 
-    8 bytes  magic "SLTOKEN1"           4 bytes  partition number          4 bytes  bytes of an id (2 or 4)
+    8 bytes  magic "SLTOKEN2"           8 bytes  number of the segment     4 bytes  bytes of an id (2 or 4)
     8 bytes  bytes of the segment       8 bytes  documents                 8 bytes  ids
     8 bytes  documents without doc_id   8 bytes  doc_id of the first that has one
     Elias-Fano sequence of the ends of the documents, counted in ids
     Elias-Fano sequence of doc_id less the first doc_id
     the ids of all documents, one after the other
 
+The number of a segment is its partition times 2**32, plus its place there. A file has ``IN_FILE`` segments at most, so that
+files stay small however large a partition is (a segment ends with the document that fills it).
+
 An Elias-Fano sequence of n rising values below u keeps floor(log2(u / n)) low bits of each value packed, and the
 rest in unary as one bit vector: at most 2 + log2(u / n) bits a value. A 32-bit place of each 256th one bit leads
-``select`` to any value without unpacking the rest.
+``select`` to any value without unpacking the rest; documents are read by it, a run of neighbours at a time.
 
     4 bytes n   1 byte low bits   8 bytes high bits (a multiple of 8)   places, low and high bits follow
 """
@@ -33,10 +36,10 @@ from pyspark.sql import functions as F
 from strandline.llm import chunks, shared
 from strandline.llm import textbytes as tb
 
-MAGIC, HEAD = b"SLTOKEN1", struct.Struct("<8sIIQQQQq")
+MAGIC, HEAD = b"SLTOKEN2", struct.Struct("<8sQIQQQQq")
 SAMPLE = 256
-#: Ids after which a segment ends, and bytes of texts that are encoded at once.
-SEGMENT, TOGETHER = 2 << 20, 5 << 20
+#: Ids after which a segment ends, segments of a file, and bytes of texts that are encoded at once.
+SEGMENT, IN_FILE, TOGETHER = 2 << 20, 16, 5 << 20
 #: Letters (those of Latin scripts, which every Unicode version has) and one mark.
 _MARKED = r"\A[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]+[" + chunks.MARKS + r"]\z"
 _EF = struct.Struct("<IBQ")
@@ -91,23 +94,38 @@ class EliasFano:
             bits &= bits - 1
         return byte * 8 + (bits & -bits).bit_length() - 1 - i << self.low | self._low(i)
 
-    def all(self) -> np.ndarray:
-        if not self.n:
+    def run(self, i: int, j: int) -> np.ndarray:
+        """Values i to j (not included): ``select`` of neighbours, which unpacks the high bits between two sampled places only."""
+        if not 0 <= i <= j <= self.n:
+            raise IndexError(i, j)
+        if i == j:
             return np.empty(0, np.uint64)
-        highs = np.flatnonzero(np.unpackbits(self.highs, bitorder="little"))[: self.n] - np.arange(self.n)
-        lows = np.unpackbits(self.lows, bitorder="little")[: self.n * self.low].reshape(self.n, self.low).astype(np.uint64)
+        first, after = i // SAMPLE, -(-j // SAMPLE)
+        begin = int(self.places[first])
+        end = int(self.places[after]) if after < len(self.places) else len(self.highs) * 8
+        bits = np.unpackbits(self.highs[begin // 8 : -(-end // 8)], bitorder="little")
+        bits[: begin % 8] = 0
+        ones = np.flatnonzero(bits)[i - first * SAMPLE : j - first * SAMPLE] + begin // 8 * 8
+        highs = ones - np.arange(i, j)
+        p, q = i * self.low, j * self.low
+        lows = np.unpackbits(self.lows[p // 8 : -(-q // 8)], bitorder="little")[p % 8 : p % 8 + q - p].reshape(j - i, self.low).astype(np.uint64)
         return (highs.astype(np.uint64) << np.uint64(self.low)) | (lows << np.arange(self.low, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
 
 
 class WordEncoder:
-    """Whole texts with the tokenizers library; parts that occur several times in a call are encoded once."""
+    """Whole texts with the tokenizers library; parts that occur several times in a call are encoded once.
+
+    The library finds added tokens (such as ``<|endoftext|>``) in texts. With ``plain`` they are ordinary text instead.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain
+        #: Texts with one of these are encoded whole: such a token also changes what stands beside it.
+        self.added = [] if plain else [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         #: Only then do matches of the pattern never cross the cuts of chunks.split.
         self.cuts = str(self.tokenizer.pre_tokenizer).startswith("ByteLevel(add_prefix_space=False") and "use_regex=False" not in str(self.tokenizer.pre_tokenizer) and self.tokenizer.normalizer is None
@@ -141,23 +159,23 @@ class WordEncoder:
         sizes = size + mark
         starts = np.cumsum(sizes) - sizes
         pool = np.empty(sizes.sum(), ids.dtype)
-        pool[chunks.places(starts, size)] = ids[chunks.places(begins[index], size)]
+        pool[tb.places(starts, size)] = ids[tb.places(begins[index], size)]
         last = pc.utf8_slice_codeunits(parts.filter(marked), -1).dictionary_encode()
         pool[(starts + size)[mark]] = np.array([self.marks[m] for m in last.dictionary.to_pylist()], ids.dtype)[last.indices.to_numpy()]
         return pool, starts, sizes
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
-        return chunks.encode(texts, self._distinct, self._many, self.width, self.cuts)
+        return chunks.encode(texts, self._distinct, self._many, self.width, self.cuts, self.added)
 
 
-def _encoder(path: str) -> WordEncoder:
+def _encoder(path: str, plain: bool) -> WordEncoder:
     tb.kept["token_files"] = _loaded.clear
-    if path not in _loaded:
-        _loaded[path] = WordEncoder(path)
-    return _loaded[path]
+    if (path, plain) not in _loaded:
+        _loaded[path, plain] = WordEncoder(path, plain)
+    return _loaded[path, plain]
 
 
-def pack_segment(part: int, width: int, doc_ids: list[int | None], ids: list[bytes]) -> bytes:
+def pack_segment(number: int, width: int, doc_ids: list[int | None], ids: list[bytes]) -> bytes:
     """Documents in ascending doc_id order, those without one first."""
     none = sum(d is None for d in doc_ids)
     named = np.array(doc_ids[none:], np.int64)
@@ -166,20 +184,26 @@ def pack_segment(part: int, width: int, doc_ids: list[int | None], ids: list[byt
     names = EliasFano.pack((named - first).view(np.uint64))
     body = b"".join(ids)
     size = HEAD.size + len(ends) + len(names) + len(body)
-    return HEAD.pack(MAGIC, part, width, size, len(ids), len(body) // width, none, first) + ends + names + body
+    return HEAD.pack(MAGIC, number, width, size, len(ids), len(body) // width, none, first) + ends + names + body
 
 
 class Segment:
     def __init__(self, data: memoryview, at: int = 0):
-        magic, self.part, self.width, self.size, self.docs, self.n_ids, self.none, self.first = HEAD.unpack_from(data, at)
+        magic, self.number, self.width, self.size, self.docs, self.n_ids, self.none, self.first = HEAD.unpack_from(data, at)
         if magic != MAGIC:
             raise ValueError("not a token file")
         self.ends = EliasFano(data, at + HEAD.size)
         self.names = EliasFano(data, self.ends.end)
         self.ids = np.frombuffer(data, f"<u{self.width}", self.n_ids, self.names.end)
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.none + (self.names.all().view(np.int64) + self.first).tolist()
+    def doc_ids(self, i: int, j: int) -> list[int | None]:
+        """doc_id of documents i to j (not included)."""
+        named = self.names.run(max(0, i - self.none), max(0, j - self.none))
+        return [None] * (j - i - len(named)) + (named.view(np.int64) + self.first).tolist()
+
+    def bounds(self, i: int, j: int) -> np.ndarray:
+        """Start of document i and the ends of documents i to j (not included)."""
+        return np.concatenate(([self.ends.select(i - 1) if i else 0], self.ends.run(i, j).astype(np.int64)))
 
     def document(self, i: int) -> np.ndarray:
         """Ids of document i, found by select alone."""
@@ -194,12 +218,12 @@ def segments(data: bytes) -> Iterator[Segment]:
         at += found.size + 1
 
 
-def _pack(tokenizer: str, end_id: int | None):
+def _pack(tokenizer: str, end_id: int | None, plain: bool):
     @tb.task("token_files")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, e = TaskContext.get().partitionId(), _encoder(tokenizer)
+        number, e = TaskContext.get().partitionId() << 32, _encoder(tokenizer, plain)
         end = b"" if end_id is None else np.array([end_id], f"<u{e.width}").tobytes()
         names, held, size = [], [], 0
         for doc_ids, texts in _together(batches):
@@ -210,10 +234,10 @@ def _pack(tokenizer: str, end_id: int | None):
             held += new
             size += sum(map(len, new))
             if size >= SEGMENT * e.width:
-                yield pa.record_batch([pa.array([pack_segment(part, e.width, names, held)], pa.binary())], names=["segment"])
-                names, held, size = [], [], 0
+                yield pa.record_batch([pa.array([pack_segment(number, e.width, names, held)], pa.binary())], names=["segment"])
+                names, held, size, number = [], [], 0, number + 1
         if held:
-            yield pa.record_batch([pa.array([pack_segment(part, e.width, names, held)], pa.binary())], names=["segment"])
+            yield pa.record_batch([pa.array([pack_segment(number, e.width, names, held)], pa.binary())], names=["segment"])
 
     return run
 
@@ -234,8 +258,11 @@ def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, pa.Arra
         yield doc_ids, pa.concat_arrays(texts)
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int | None = 2) -> None:
-    """Encode each whole text and write files in ascending doc_id order: one file for each range of doc_id.
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, doc_id: str = "doc_id", text: str = "text", end_id: int | None = 2, plain: bool = False) -> None:
+    """Encode each whole text and write files in ascending doc_id order: some files for each range of doc_id.
+
+    Ids are those of the tokenizers library without special tokens added; where a text itself has the string of an added
+    token, the library gives that token's id, or with ``plain`` those of ordinary text.
 
     A null text counts as empty and has the end id alone. Rows without doc_id come first; equal doc_ids are all
     written, ordered by text. Other columns are not looked at. An empty table gives no segment.
@@ -244,16 +271,17 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, doc_id: str =
     shared.lean(spark)
     rows = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     ranged = rows.repartitionByRange(shared.partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
-    packed = ranged.mapInArrow(_pack(tokenizer, end_id), "segment binary")
-    packed.select(F.col("segment").cast("string").alias("value")).write.text(path)
+    packed = ranged.mapInArrow(_pack(tokenizer, end_id, plain), "segment binary")
+    packed.select(F.col("segment").cast("string").alias("value")).write.option("maxRecordsPerFile", IN_FILE).text(path)
 
 
 @tb.task("token_files")
 def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column("content"):
-            found = [(x.part, x.n_ids) for x in segments(content.as_buffer())]
-            yield pa.record_batch([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["part", "n_ids"])
+            found = [(x.number, x.n_ids) for x in segments(content.as_buffer())]
+            if found:
+                yield pa.record_batch([pa.array([found[0][0]], pa.int64()), pa.array([sum(x[1] for x in found)], pa.int64())], names=["number", "n_ids"])
 
 
 def _documents(before, with_ids: bool):
@@ -263,15 +291,15 @@ def _documents(before, with_ids: bool):
             for content in batch.column("content"):
                 base = None
                 for x in segments(content.as_buffer()):
-                    base = before.value[x.part] if base is None else base
-                    ends = x.ends.all().astype(np.int64)
-                    starts = np.concatenate(([0], ends[:-1]))
-                    wide = x.ids.astype("<u4")
-                    for k in range(0, x.docs, 1000):
-                        c = slice(k, k + 1000)
-                        parts = [wide[p:q].tobytes() for p, q in zip(starts[c].tolist(), ends[c].tolist(), strict=True)]
+                    base = before.value[x.number] if base is None else base
+                    for i in range(0, x.docs, 4 * SAMPLE):
+                        j = min(i + 4 * SAMPLE, x.docs)
+                        at = x.bounds(i, j)
+                        wide = x.ids[at[0] : at[-1]].astype("<u4")
+                        places = (at - at[0]).tolist()
+                        parts = [wide[p:q].tobytes() for p, q in zip(places[:-1], places[1:], strict=True)]
                         yield pa.record_batch(
-                            [pa.array(x.doc_ids()[c], pa.int64()), pa.array(starts[c] + base), pa.array((ends - starts)[c]), pa.array([zlib.crc32(p) for p in parts], pa.int64()), pa.array(parts if with_ids else [None] * len(parts), pa.binary())],
+                            [pa.array(x.doc_ids(i, j), pa.int64()), pa.array(at[:-1] + base), pa.array(np.diff(at)), pa.array([zlib.crc32(p) for p in parts], pa.int64()), pa.array(parts if with_ids else [None] * len(parts), pa.binary())],
                             names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
                         )
                     base += x.n_ids
@@ -282,11 +310,12 @@ def _documents(before, with_ids: bool):
 def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
     """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 and ids (little-endian unsigned 32-bit) of each document.
 
-    One number for each file reaches the driver, as when Spark numbers rows over partitions.
+    Starts and ends come from ``select``. Two numbers for each file reach the driver, as when Spark numbers rows over
+    partitions. Documents written without doc_id have a null there; a folder without segments gives an empty table.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
     before, total = {}, 0
-    for part, n in files.mapInArrow(_heads, "part long, n_ids long").groupBy("part").sum("n_ids").orderBy("part").collect():
-        before[part], total = total, total + n
+    for number, n in files.mapInArrow(_heads, "number long, n_ids long").orderBy("number").collect():
+        before[number], total = total, total + n
     out = files.mapInArrow(_documents(spark.sparkContext.broadcast(before), with_ids), "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
     return out if with_ids else out.drop("ids")

@@ -97,7 +97,10 @@ def test_bpe_operator(odd, none, spark, reference):
 def test_elias_fano(values):
     packed = b"pad" + tf.EliasFano.pack(np.array(values, np.uint64)) + b"more"
     e = tf.EliasFano(packed, 3)
-    assert e.all().tolist() == values == [e.select(i) for i in range(len(values))]
+    assert e.run(0, len(values)).tolist() == values == [e.select(i) for i in range(len(values))]
+    for i in range(0, len(values), 97):
+        for j in {i, i + 1, min(i + 300, len(values)), len(values)}:
+            assert e.run(i, j).tolist() == values[i:j]
     assert packed[e.end :] == b"more"
     with pytest.raises(IndexError):
         e.select(len(values))
@@ -112,17 +115,20 @@ def test_token_files(odd, none, spark, tmp_path):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(JSON)
-    t.encode_special_tokens = True
     path = f"file://{tmp_path}/t"
-    tf.write_token_files(odd, path, JSON)
+    told = [(20, "<|endoftext|>"), (21, "a <|endoftext|> b"), (22, "one two\n<|endoftext|>"), (23, "x<|endoftext|><|endoftext|> y z. <|endoftext"), (24, None)]
+    tf.write_token_files(odd.unionByName(spark.createDataFrame(told, "doc_id long, text string"), allowMissingColumns=True), path, JSON)
     out = tf.read_token_files(spark, path).collect()
-    rows = sorted(odd_rows(), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
+    rows = sorted([*odd_rows(), *told], key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode()))
     start, want = 0, []
     for r in rows:
         ids = [*t.encode(r[1] or "", add_special_tokens=False).ids, 2]
         want.append((r[0], start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), np.array(ids, "<u4").tobytes()))
         start += len(ids)
     assert [(r.doc_id, r.start, r.n_tokens, r.ids_crc32, bytes(r.ids)) for r in sorted(out, key=lambda r: r.start)] == want
+    plain = tf.WordEncoder(JSON, plain=True)
+    t.encode_special_tokens = True
+    assert [x.tolist() for x in plain.encode(pa.array([x[1] for x in told]))] == [t.encode(x[1] or "", add_special_tokens=False).ids for x in told]
     tf.write_token_files(none, f"file://{tmp_path}/none", JSON)
     assert tf.read_token_files(spark, f"file://{tmp_path}/none").count() == 0
 
@@ -130,7 +136,7 @@ def test_token_files(odd, none, spark, tmp_path):
 def test_several_segments(spark, tmp_path, monkeypatch):
     held = tf.pack_segment(3, 2, [None, 5, 9], [b"\x01\x00", b"", b"\x02\x00\x03\x00"]) + b"\n" + tf.pack_segment(3, 2, [10], [b"\x07\x00"]) + b"\n"
     a, b = list(tf.segments(held))
-    assert a.doc_ids() == [None, 5, 9] and a.document(2).tolist() == [2, 3] and a.document(1).tolist() == [] and b.document(0).tolist() == [7]
+    assert a.doc_ids(0, 3) == [None, 5, 9] and a.doc_ids(0, 1) == [None] and a.doc_ids(1, 2) == [5] and a.bounds(1, 3).tolist() == [1, 1, 3] and a.document(2).tolist() == [2, 3] and a.document(1).tolist() == [] and b.document(0).tolist() == [7]
     with pytest.raises(ValueError):
         list(tf.segments(b"x" * 80))
 
