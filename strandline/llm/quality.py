@@ -1,4 +1,11 @@
-"""A quality classifier from trusted positives and unlabelled text: non-negative positive-unlabelled learning."""
+"""A quality classifier from trusted positives and unlabelled text: non-negative positive-unlabelled learning.
+
+1. A first logistic model tells positives from unlabelled text.
+2. The class prior is the least ratio, over thresholds of that model, of the share of unlabelled texts above it and the
+   share of positives above it (best bin estimation). Both shares are counted over all rows but those held out; rows that
+   the model was fitted on are scored by models that have not seen them. Each ratio is judged by its upper bound.
+3. The classifier minimises the non-negative unbiased risk under that prior.
+"""
 
 from __future__ import annotations
 
@@ -13,9 +20,11 @@ from strandline.llm import shared
 from strandline.llm import textbytes as tb
 from strandline.llm.textfeatures import NAMES, Scaler, features
 
-#: Most trusted positives and most unlabelled rows that the model is fitted on (those of least hash of doc_id).
+#: Most trusted positives and most unlabelled rows that models are fitted on (those of least hash of doc_id).
 FITTED = 10_000
 THRESHOLD = 0.7
+#: Bins of the first model's log odds, from -LIMIT to LIMIT; chance with which a bin's bounds may be wrong.
+BINS, LIMIT, DELTA = 200, 10.0, 0.05
 #: Features that tell of the form of a text. Its length, and what it mentions (numbers, quoted or very long strings), are left out.
 _FORM = [NAMES.index(n) for n in ("upper", "lower", "blank", "stop", "shout", "bar", "mark", "distinct", "top_word", "adjacent", "upper_words", "marked_words")]
 
@@ -49,55 +58,147 @@ def _loss(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, -z)
 
 
-class PUModel:
-    """sigmoid(w x): minimises prior * R_P(+) + max(0, R_U(-) - prior * R_P(-)) with the logistic loss.
+def _sigmoid(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def negative_risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> float:
+    """R_U(-) - prior * R_P(-): the estimate of the negatives' risk, which is below 0 only when the model overfits."""
+    return _loss(-(u @ w)).mean() - prior * _loss(-(p @ w)).mean()
+
+
+def risk(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> float:
+    """prior * R_P(+) + max(0, R_U(-) - prior * R_P(-)) with the logistic loss."""
+    return prior * _loss(p @ w).mean() + max(0.0, negative_risk(w, p, u, prior))
+
+
+def direction(w: np.ndarray, p: np.ndarray, u: np.ndarray, prior: float) -> np.ndarray:
+    """The risk's gradient; while the negatives' risk is below 0, the way up that one instead."""
+    sp, su = _sigmoid(p @ w), _sigmoid(u @ w)
+    negative = su @ u / len(u) - prior * (sp @ p) / len(p)
+    return -prior * ((1 - sp) @ p) / len(p) + negative if negative_risk(w, p, u, prior) >= 0 else -negative
 
-    While the estimate of the negatives' risk is below 0, steps go against it instead, as the non-negative estimator asks.
-    """
 
-    def __init__(self, positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600, rate: float = 0.05, decay: float = 1e-3):
-        self.scale = Scaler(np.vstack([positive, unlabelled]))
-        p, u = self.scale(positive), self.scale(unlabelled)
-        w = np.zeros(p.shape[1])
-        w[-1] = np.log(prior / (1 - prior))
-        m, v = np.zeros_like(w), np.zeros_like(w)
-        ridge = np.full(len(w), decay)
-        ridge[-1] = 0
-        for t in range(1, steps + 1):
-            sp, su = 1 / (1 + np.exp(-p @ w)), 1 / (1 + np.exp(-u @ w))
-            negative = _loss(-(u @ w)).mean() - prior * _loss(-(p @ w)).mean()
-            g_negative = su @ u / len(u) - prior * (sp @ p) / len(p)
-            g = -prior * ((1 - sp) @ p) / len(p) + g_negative if negative >= 0 else -g_negative
-            g = g + ridge * w
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        self.w = w
+def _descend(w: np.ndarray, gradient, steps: int, rate: float = 0.05, decay: float = 1e-3) -> np.ndarray:
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    ridge = np.full(len(w), decay)
+    ridge[-1] = 0
+    for t in range(1, steps + 1):
+        g = gradient(w) + ridge * w
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w = w - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return w
+
+
+class Linear:
+    def __init__(self, scale: Scaler, w: np.ndarray):
+        self.scale, self.w = scale, w
+
+    def odds(self, x: np.ndarray) -> np.ndarray:
+        return self.scale(x) @ self.w
 
     def __call__(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.scale(x) @ self.w, -40, 40)))
+        return _sigmoid(self.odds(x))
+
+
+def told_apart(positive: np.ndarray, unlabelled: np.ndarray, steps: int = 300) -> Linear:
+    """Positives against unlabelled rows, both sides of one weight."""
+    scale = Scaler(np.vstack([positive, unlabelled]))
+    p, u = scale(positive), scale(unlabelled)
+    return Linear(scale, _descend(np.zeros(p.shape[1]), lambda w: (_sigmoid(u @ w) @ u / len(u) - (1 - _sigmoid(p @ w)) @ p / len(p)) / 2, steps))
+
+
+def pu_model(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 600) -> Linear:
+    """The classifier of least non-negative risk."""
+    scale = Scaler(np.vstack([positive, unlabelled]))
+    p, u = scale(positive), scale(unlabelled)
+    w = np.zeros(p.shape[1])
+    w[-1] = np.log(prior / (1 - prior))
+    return Linear(scale, _descend(w, lambda w: direction(w, p, u, prior), steps))
+
+
+def best_bin(positive: np.ndarray, unlabelled: np.ndarray) -> float:
+    """The class prior from counts of scores by bin, rising; between 0.05 and 0.95."""
+    n_p, n_u = positive.sum(), unlabelled.sum()
+    if not n_p or not n_u:
+        return 0.5
+    q_p, q_u = [np.cumsum(x[::-1])[::-1] / x.sum() for x in (positive, unlabelled)]
+    slack_p, slack_u = [np.sqrt(np.log(4 / DELTA) / 2 / n) for n in (n_p, n_u)]
+    bound = np.where(q_p > slack_p, (q_u + slack_u + slack_p) / np.maximum(q_p, 1e-12), np.inf)
+    k = int(np.argmin(bound))
+    return float(min(0.95, max(0.05, q_u[k] / q_p[k]))) if np.isfinite(bound[k]) else 0.5
+
+
+def _bins(model: Linear, x: np.ndarray) -> np.ndarray:
+    return np.clip((model.odds(x) + LIMIT) * (BINS / 2 / LIMIT), 0, BINS - 1).astype(np.int32)
+
+
+def crossed(positive: np.ndarray, unlabelled: np.ndarray, folds: int = 5) -> np.ndarray:
+    """Counts by kind and bin of the fitted rows, each by a model that has not seen it."""
+    counts = np.zeros((2, BINS), np.int64)
+    for k in range(folds):
+        in_p, in_u = np.arange(len(positive)) % folds != k, np.arange(len(unlabelled)) % folds != k
+        if in_p.any() and in_u.any():
+            model = told_apart(positive[in_p], unlabelled[in_u])
+            for kind, x in enumerate((positive[~in_p], unlabelled[~in_u])):
+                counts[kind] += np.bincount(_bins(model, x), minlength=BINS)
+    return counts
+
+
+def _binned(model: Linear):
+    """The bin of each row's log odds."""
+
+    @tb.task("quality")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, j, data, offsets in tb.chunks(batch, batch.schema.get_field_index("__text")):
+                yield pa.record_batch([batch.column("id").slice(i, j - i), pa.array(_bins(model, features(data, offsets)[0][:, _FORM]))], names=["id", "bin"])
+
+    return run
+
+
+def all_counts(model: Linear, texts: DataFrame, good: DataFrame, labelled: DataFrame | None, fitted: list[int]) -> np.ndarray:
+    """Counts by kind and bin of all ``texts`` (id, ``__text``) but the fitted ones: positives have their id in ``good``,
+    unlabelled rows have none in ``labelled``. Only ids and bins meet the labels, and 2 * BINS counts reach the driver."""
+    known = texts.sparkSession.createDataFrame([(i, True) for i in fitted], "id long, fitted boolean")
+    binned = texts.mapInArrow(_binned(model), "id long, bin int").join(F.broadcast(known), "id", "left").filter("fitted IS NULL")
+    rows = binned.join(good.withColumn("good", F.lit(True)), "id", "left")
+    if labelled is not None:
+        rows = rows.join(labelled.withColumn("labelled", F.lit(True)), "id", "left")
+    unknown = F.lit(True) if labelled is None else F.col("labelled").isNull()
+    counts = np.zeros((2, BINS), np.int64)
+    for k, n_good, n_unknown in rows.groupBy("bin").agg(F.count_if("good"), F.count_if(unknown)).collect():
+        counts[:, k] = n_good, n_unknown
+    return counts
 
 
-def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", fitted: int = FITTED) -> PUModel | None:
+def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", fitted: int = FITTED) -> Linear | None:
     """The model, or None where there is no positive to learn from.
 
     Positives are labelled 1; unlabelled rows are documents without a label, whatever they are, or where labels cover all
-    documents, all of them with their labels ignored. Rows held out take no part.
-    The prior is the share of label 1 among the labelled rows, kept between 0.05 and 0.95.
+    documents, all of them with their labels ignored. Rows held out take no part. Weights are fitted on ``fitted`` rows
+    of either kind at most; the prior is estimated from the scores of all of them.
     """
-    learnt = labels.select(F.col("doc_id").alias("id"), "quality").filter(~held_out("id"))
-    good, known = learnt.agg(F.count_if(F.col("quality") == 1), F.count_if(F.col("quality").isin(0, 1))).first()
+    learnt = labels.select(F.col("doc_id").cast("long").alias("id"), "quality").filter(~held_out("id"))
     ids = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id")).filter(~held_out("id"))
-    positives = sample_ids(learnt.filter("quality = 1").join(ids, "id", "left_semi").select("id"), fitted)
-    unlabelled = sample_ids(ids.join(labels.select(F.col("doc_id").alias("id")), "id", "left_anti"), fitted)
+    good = learnt.filter("quality = 1").select("id").distinct()
+    positives = sample_ids(good.join(ids, "id", "left_semi"), fitted)
     if not positives:
         return None
+    labelled = labels.select(F.col("doc_id").cast("long").alias("id")).distinct()
+    unlabelled = sample_ids(ids.join(labelled, "id", "left_anti"), fitted)
+    covered = not unlabelled
     unlabelled = unlabelled or sample_ids(ids, fitted)
     rows = sampled_texts(docs, positives + unlabelled, doc_id, text).mapInArrow(_features, "id long, x array<double>").toArrow()
     x = rows["x"].combine_chunks()
     x, at = np.asarray(x.flatten()).reshape(-1, len(_FORM)), rows["id"].to_numpy()
     order = np.argsort(at, kind="stable")  # the same sums for any order of the rows
     x, at = x[order], at[order]
-    return PUModel(x[np.isin(at, positives)], x[np.isin(at, unlabelled)], min(0.95, max(0.05, good / known)))
+    p, u = x[np.isin(at, positives)], x[np.isin(at, unlabelled)]
+    texts = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("__text")).filter(~held_out("id"))
+    counts = crossed(p, u) + all_counts(told_apart(p, u), texts, good, None if covered else labelled, positives + unlabelled)
+    prior = best_bin(*counts)
+    return pu_model(p, u, prior)
 
 
 def _score(model, text: int | None):
@@ -122,7 +223,8 @@ def accepted(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: s
 def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", fitted: int = FITTED, with_text: bool = True) -> DataFrame:
     """The columns of ``docs``, held_out, score (0 to 1, higher: label 1 likelier) and predicted (1 from 0.7 on).
 
-    A score depends on the text alone. Columns of these names are replaced. A null text counts as empty and has a score like
+    ``fitted`` bounds the positives, and the unlabelled rows, that the weights are fitted on; the class prior is estimated
+    over all rows (see above). A score depends on the text alone. Columns of these names are replaced. A null text counts as empty and has a score like
     any other; a row without doc_id is not held out and not learnt from; rows with equal texts have equal scores; labels
     that are null or other than 0 and 1 are not used; where nothing can be learnt, all scores are 0.5. An empty table
     gives an empty one.
@@ -131,7 +233,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     return _scored(docs, fit(docs, labels, doc_id, text, fitted), doc_id, text, with_text)
 
 
-def _scored(docs: DataFrame, model: PUModel | None, doc_id: str, text: str, with_text: bool) -> DataFrame:
+def _scored(docs: DataFrame, model: Linear | None, doc_id: str, text: str, with_text: bool) -> DataFrame:
     columns = docs.columns if with_text else [c for c in docs.columns if c != text]
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), *([] if with_text else [F.col(f"`{text}`").alias("__text")]))
     out = rows.mapInArrow(_score(model, columns.index(text) if with_text else None), f"__row {rows.schema['__row'].dataType.simpleString()}, score double, predicted int")

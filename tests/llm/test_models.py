@@ -70,10 +70,57 @@ def test_non_negative_risk():
     """Positives alone on one side, a mixture unlabelled: the model parts them although it sees no negative label."""
     rnd = np.random.default_rng(1)
     good, bad = np.abs(rnd.normal(1, 0.3, (2000, 2))), np.abs(rnd.normal(3, 0.3, (2000, 2)))
-    model = quality.PUModel(good[:1000], np.vstack([good[1000:], bad[:300]]), 1000 / 1300)
+    model = quality.pu_model(good[:1000], np.vstack([good[1000:], bad[:300]]), 1000 / 1300)
     assert model(good).mean() > 0.8 and model(bad[300:]).mean() < 0.3
 
 
+def plain_risk(w, p, u, prior):
+    """Row by row, from the definition."""
+
+    def mean(rows, sign):
+        return sum(np.log(1 + np.exp(-sign * sum(a * b for a, b in zip(w, x)))) for x in rows) / len(rows)
+
+    negative = mean(u, -1) - prior * mean(p, -1)
+    return prior * mean(p, 1) + max(0.0, negative), negative
+
+
+def test_risk_and_its_gradient():
+    rnd = np.random.default_rng(3)
+    signs = set()
+    for prior in (0.1, 0.5, 0.9, 0.95):
+        p, u, w = rnd.normal(0.5, 1, (40, 3)), rnd.normal(0.3, 1, (60, 3)), rnd.normal(0, 1.5, 3)
+        want, negative = plain_risk(w, p, u, prior)
+        assert np.isclose(quality.risk(w, p, u, prior), want) and np.isclose(quality.negative_risk(w, p, u, prior), negative)
+        signs.add(negative >= 0)
+        slope = [((lambda f: f(1e-6) - f(-1e-6))(lambda d: (plain_risk(w + d * e, p, u, prior)[0] if negative >= 0 else -plain_risk(w + d * e, p, u, prior)[1]))) / 2e-6 for e in np.eye(3)]
+        assert np.allclose(quality.direction(w, p, u, prior), slope, atol=1e-5)
+    p, u = rnd.normal(2, 1, (40, 3)), rnd.normal(-2, 1, (60, 3))  # the negatives' risk falls below 0
+    w = np.array([3.0, 3.0, 3.0])
+    assert quality.negative_risk(w, p, u, 0.9) < 0
+    slope = [-(quality.negative_risk(w + 1e-6 * e, p, u, 0.9) - quality.negative_risk(w - 1e-6 * e, p, u, 0.9)) / 2e-6 for e in np.eye(3)]
+    assert np.allclose(quality.direction(w, p, u, 0.9), slope, atol=1e-5)
+
+
+@pytest.mark.parametrize("prior", [0.2, 0.5, 0.85])
+def test_prior_is_estimated_without_negatives(prior):
+    rnd = np.random.default_rng(5)
+    n = 20_000
+    p = rnd.normal(2, 1, n)
+    u = np.where(rnd.random(n) < prior, rnd.normal(2, 1, n), rnd.normal(-2, 1, n))
+    counts = [np.histogram(x, bins=quality.BINS, range=(-10, 10))[0] for x in (p, u)]
+    assert abs(quality.best_bin(*counts) - prior) < 0.04
+    assert quality.best_bin(np.zeros(5, int), counts[1][:5]) == 0.5
+
+
+def test_prior_of_biased_labels(big):
+    """Labels that only some good documents have do not make the estimate: the share among labels would be 1."""
+    docs, labels = big
+    good = labels.filter("quality = 1")
+    x = quality.quality_scores(docs, good, with_text=False).join(labels, "doc_id").filter("held_out").toPandas()
+    y = x.quality.to_numpy()
+    assert x.predicted[y == 1].mean() > 0.95 and x.predicted[y == 0].mean() < 0.2
+
+
 def test_mixing_meets_its_targets(big):
     docs, labels = big
     out = mixing.mix(docs, labels)
