@@ -250,7 +250,7 @@ z AS (SELECT *, CASE WHEN value >= 120 THEN 1 WHEN value <= 50 AND t - since >=
 SELECT user_id, event_id, coalesce(last_value(signal IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t, event_id ROWS UNBOUNDED PRECEDING), 0) = 1 AS moving FROM z""")
 def motion_hysteresis(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("user_id", "event_id", _millis(F.col("ts")).alias("t"), "value")
-    return motion.motion_hysteresis(e, "user_id", "t", ["t", "event_id"], "value", 120.0, 50.0, 6 * HOUR).select("user_id", "event_id", "moving")
+    return motion.motion_hysteresis(e, "user_id", "t", ["t", "event_id"], "value", 120.0, 50.0, 6 * HOUR, highest=None).select("user_id", "event_id", "moving")
 
 
 @_query("""

@@ -3,25 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from strandline.operators.motion import Config, Policy
+from strandline.operators.motion import Action, Capture, Config, advance
 
-STATE = "state string, moving boolean, quiet_since long, last long, token long, pending long"
-
-
-def store(policy: Policy) -> tuple:
-    return policy.state, policy.moving, policy.quiet_since, policy.last, policy.token, policy.pending
-
-
-def restore(values: Row, config: Config) -> Policy:
-    p = Policy(config)
-    p.state, p.moving, p.quiet_since, p.last, p.token, p.pending = (values[k] for k in range(6))
-    return p
+STATE = "phase string, moving boolean, low_since long, accepted_at long, issued long, open long"
 
 
 class ScheduleProcessor(StatefulProcessor):
@@ -31,24 +22,19 @@ class ScheduleProcessor(StatefulProcessor):
         self.config = config
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.value = handle.getValueState("policy", STATE)
+        self.value = handle.getValueState("capture", STATE)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if self.value.exists():
-            policy = restore(self.value.get(), self.config)
-        else:
-            policy = Policy(self.config)
-            policy.start()
+        now = Capture(*self.value.get()) if self.value.exists() else Capture("RECORDING")
         ticks = pd.concat(list(rows)).sort_values("t_ms", kind="stable")
         out = []
         for t, score in zip(ticks.t_ms.tolist(), ticks.score.tolist(), strict=True):
-            if score is not None and score == score:
-                policy.motion(score, t)
-            got = policy.request(t)
-            if got is not None:
-                policy.complete(got[0], True)
-                out.append((key[0], t, got[1], got[2]))
-        self.value.update(store(policy))
+            now, _ = advance(now, Action("motion", t, score), self.config)
+            now, got = advance(now, Action("request", t), self.config)
+            if got.accepted:
+                now, _ = advance(now, Action("complete", t, token=got.token, success=True), self.config)
+                out.append((key[0], t, got.due_ms, got.interval_ms))
+        self.value.update(tuple(now))
         yield pd.DataFrame(out, columns=["session_id", "t_ms", "due_ms", "interval_ms"]).astype({"t_ms": "int64", "due_ms": "int64", "interval_ms": "int64"})
 
     def close(self) -> None:
@@ -60,50 +46,46 @@ def schedule_stream(ticks: DataFrame, config: Config = Config()) -> DataFrame:
     return ticks.groupBy("session_id").transformWithStateInPandas(ScheduleProcessor(config), "session_id string, t_ms long, due_ms long, interval_ms long", "Append", "None")
 
 
-class Coalescer:
-    """Requests while one is under way become one: thermal beats periodic, and of thermal ones the most severe stays."""
+class Request(NamedTuple):
+    reason: str
+    severity: int | None = None  # of thermal requests
+
+
+def urgency(r: Request) -> int:
+    return -1 if r.severity is None else r.severity
 
-    def __init__(self, active: bool = False, pending: tuple[str, int | None] | None = None):
-        self.active, self.pending = active, pending
 
-    def offer(self, reason: str, thermal: int | None = None) -> tuple[str, int | None] | None:
-        """The request to dispatch at once, if any."""
-        if not self.active:
-            self.active = True
-            return reason, thermal
-        held = self.pending[1] if self.pending else None
-        if thermal is not None:
-            self.pending = ("THERMAL_CHANGE", thermal if held is None else max(thermal, held))
-        elif held is None:
-            self.pending = (reason, None)
-        return None
+def coalesce(busy: bool, waiting: Request | None, new: Request | None) -> tuple[bool, Request | None, Request | None]:
+    """(busy, waiting, dispatched) after a request, or after (``new`` None) what was under way has ended.
 
-    def complete(self) -> tuple[str, int | None] | None:
-        if not self.active:
-            return None
-        following, self.pending = self.pending, None
-        self.active = following is not None
-        return following
+    Of requests that come while one is under way a single one waits: the most urgent, and of equal ones the newest.
+    """
+    if new is None:
+        return (waiting is not None, None, waiting) if busy else (False, waiting, None)
+    if not busy:
+        return True, waiting, new
+    return True, max([r for r in (new, waiting) if r is not None], key=urgency), None
 
 
 class CoalesceProcessor(StatefulProcessor):
     """Folds (session_id, ingest_seq, action offer or complete, reason, thermal) into dispatched requests."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.value = handle.getValueState("coalescer", "active boolean, reason string, thermal long")
+        self.value = handle.getValueState("coalesced", "busy boolean, reason string, severity long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        c = Coalescer()
+        busy, waiting = False, None
         if self.value.exists():
-            active, reason, thermal = self.value.get()
-            c = Coalescer(active, None if reason is None else (reason, thermal))
+            busy, reason, severity = self.value.get()
+            waiting = None if reason is None else Request(reason, severity)
         out = []
         for r in pd.concat(list(rows)).sort_values("ingest_seq", kind="stable").itertuples():
-            thermal = None if r.thermal is None or r.thermal != r.thermal else int(r.thermal)
-            got = c.offer(r.reason, thermal) if r.action == "offer" else c.complete()
+            severity = None if r.thermal is None or r.thermal != r.thermal else int(r.thermal)
+            new = Request(r.reason if severity is None else "THERMAL_CHANGE", severity) if r.action == "offer" else None
+            busy, waiting, got = coalesce(busy, waiting, new)
             if got:
                 out.append((key[0], r.ingest_seq, *got))
-        self.value.update((c.active, *(c.pending or (None, None))))
+        self.value.update((busy, *(waiting or (None, None))))
         yield pd.DataFrame(out, columns=["session_id", "ingest_seq", "reason", "thermal"]).astype({"ingest_seq": "int64", "thermal": "Int64"})
 
     def close(self) -> None:

@@ -21,11 +21,19 @@ def test_schedule_survives_a_restart(spark, tmp_path):
 
 
 def test_coalescer_golden(spark, tmp_path):
-    c = stateful.Coalescer()
-    assert c.offer("PERIODIC") == ("PERIODIC", None)
+    busy, waiting, got = stateful.coalesce(False, None, stateful.Request("PERIODIC"))
+    assert got == ("PERIODIC", None)
     for level in (2, 5, 3):
-        assert c.offer("THERMAL_CHANGE", level) is None
-    assert c.offer("PERIODIC") is None and c.complete() == ("THERMAL_CHANGE", 5) and c.complete() is None and not c.active
+        busy, waiting, got = stateful.coalesce(busy, waiting, stateful.Request("THERMAL_CHANGE", level))
+        assert got is None
+    busy, waiting, got = stateful.coalesce(busy, waiting, stateful.Request("PERIODIC"))
+    assert got is None
+    busy, waiting, got = stateful.coalesce(busy, waiting, None)
+    assert got == ("THERMAL_CHANGE", 5)
+    busy, waiting, got = stateful.coalesce(busy, waiting, None)
+    assert got is None and not busy
+    assert stateful.coalesce(False, None, None) == (False, None, None)
+    assert stateful.coalesce(True, stateful.Request("PERIODIC"), stateful.Request("END"))[1] == ("END", None)  # the newest
     rows = [("s", 1, "offer", "PERIODIC", None), ("s", 2, "offer", "THERMAL_CHANGE", 2), ("s", 3, "offer", "THERMAL_CHANGE", 5), ("s", 4, "offer", "THERMAL_CHANGE", 3), ("s", 5, "complete", None, None)]
     df = spark.createDataFrame(rows, "session_id string, ingest_seq long, action string, reason string, thermal long")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
