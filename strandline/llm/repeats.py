@@ -2,12 +2,14 @@
 
 A window is ``window`` consecutive units (words or bytes) of one text. Its anchor is the leftmost position of the least
 gram hash among its first ``reach`` positions, so equal windows have equal anchors, wherever they stand. Consecutive
-windows that share an anchor form a super window. An operator says which super windows may repeat (``Search``); then
-
-1. copies of a whole text are merged: such texts go whole, and one of them stands for all;
-2. each super window that is left travels as one packed string to the partition of its key, where sorting groups its
-   windows and the bytes of grouped windows are compared;
-3. keys with more than ``HOT`` strings do not travel. Their windows are counted by fingerprint, with partial sums, and
+windows that share an anchor form a super window, kept as a mark. An operator says which marks may repeat (``Search``):
+
+1. Marks of all texts are counted by a key; texts without a repeated one are done. Of the others, copies of a whole text
+   are merged: they go whole, and one of them stands for all, with its marks beside it.
+2. The operator refines the marks of distinct texts; from here on no text is hashed again to find them.
+3. Each super window that is left travels as one packed string to the partition of its key, where sorting groups its
+   windows and the bytes of grouped windows are compared.
+4. Keys with more than ``HOT`` strings do not travel. Their windows are counted by fingerprint, with partial sums, and
    those whose fingerprint repeats are marked where they stand. Then each distinct window of a run of texts is counted
    by a 128-bit digest of its bytes; what is found once only was marked by chance and is taken back. So no task and no
    table ever holds the strings of one key, however many there are.
@@ -31,9 +33,14 @@ from strandline.llm import bloom, shared
 from strandline.llm import textbytes as tb
 
 #: Strings of one key that are sorted in one place, at most; it does not depend on the size of the data.
-HOT = 256
-#: Bytes of texts that are hashed at once, units whose minima are taken at once, and bytes of strings sorted at once.
-CHUNK, STRETCH, SORTED = 1 << 18, 1 << 20, 1 << 19
+HOT = 2048
+#: Bytes of texts that are hashed at once, positions whose minima are taken at once (a power of two), and bytes of strings
+#: sorted at once.
+CHUNK, STRETCH, SORTED = 1 << 18, 1 << 14, 1 << 19
+#: A super window: its anchor (number in the text, place), the phrases counted from there, its windows (first start, number),
+#: the names of its phrase and of the next one, and the key of its strings. Places are units of the text.
+MARK = np.dtype([("i", "<i4"), ("place", "<i4"), ("m", "<i4"), ("start", "<i4"), ("windows", "<i4"), ("name", "<u8"), ("next", "<u8"), ("key", "<u8")])
+_C1, _C2, _C3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 
 
 @dataclass(frozen=True)
@@ -45,17 +52,19 @@ class Spec:
 
 
 class Units:
-    """The units of a run of texts: values, prefix sums, and the byte and unit places of each text."""
+    """The units of a run of texts, and the byte and unit places of each text."""
 
-    def __init__(self, spec: Spec, data: np.ndarray, offsets: np.ndarray, hashed: bool = True):
+    def __init__(self, spec: Spec, data: np.ndarray, offsets: np.ndarray):
         self.data, self.offsets = data, offsets
         if spec.unit == "word":
             self.starts, self.ends, self.at = tb.words(data, offsets)
             self.n = len(self.starts)
         else:
             self.at, self.n = offsets, len(data)
-        if hashed:
-            self.prefix = tb.sums(tb.word_hashes(data, self.starts, self.ends) if spec.unit == "word" else tb.byte_values(data))
+
+    def prefix(self, spec: Spec) -> np.ndarray:
+        """Prefix sums, from which the hash of any stretch of units follows."""
+        return tb.sums(tb.word_hashes(self.data, self.starts, self.ends) if spec.unit == "word" else tb.byte_values(self.data))
 
     def plain(self, spec: Spec) -> tuple[bytes, np.ndarray, np.ndarray]:
         """The bytes, in which equal windows are equal strings (one blank after each word), and each unit's start and end."""
@@ -69,52 +78,81 @@ class Units:
         return np.searchsorted(self.at, places, "right") - 1
 
 
-def window_starts(at: np.ndarray, window: int, n: int, least: int = 0) -> np.ndarray:
-    """Starts of all windows within texts of ``least`` units or more."""
+def gram_hashes(spec: Spec, u: Units) -> np.ndarray:
+    """A 64-bit hash of the gram at each position; grams of bytes have 16 at most."""
+    n = u.n - spec.gram + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    if spec.unit == "word":
+        return tb.mix(tb.fixed_spans(u.prefix(spec), spec.gram))
+    eight = np.ndarray((u.n,), "<u8", np.concatenate((u.data, np.zeros(8, np.uint8))), strides=(1,))  # 8 bytes from each position on
+    if spec.gram < 8:
+        x = (eight[:n] & np.uint64((1 << 8 * spec.gram) - 1)) * _C1
+    else:
+        x = eight[:n] * _C1
+        x += eight[spec.gram - 8 : spec.gram - 8 + n] * _C2
+    x ^= x >> np.uint64(29)
+    x *= _C3
+    return x
+
+
+def anchors(spec: Spec, u: Units, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first position, end, anchor) of the runs of positions with one anchor, the least gram of ``reach`` from each on."""
+    n = len(grams) - spec.reach + 1
+    if n <= 0:
+        return (np.empty(0, np.int64),) * 3
+    low = np.uint32(STRETCH + spec.reach).item().bit_length()
+    mask = np.uint32((1 << low) - 1)
+    high, place = (grams >> np.uint64(32)).astype(np.uint32) & ~mask, np.arange(STRETCH + spec.reach, dtype=np.uint32)
+    begins, found = [], []
+    for s in range(0, n, STRETCH):
+        part = high[s : s + STRETCH + spec.reach - 1]
+        least = tb.running_min(part | place[: len(part)], spec.reach)
+        cut = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
+        begins.append(cut + s)
+        found.append((least[cut] & mask).astype(np.int64) + s)
+    begin, a = np.concatenate(begins), np.concatenate(found)
+    new = np.diff(a, prepend=-1) != 0
+    begin, a = begin[new], a[new]
+    return begin, np.append(begin[1:], n), a
+
+
+def within(u: Units, runs: tuple[np.ndarray, np.ndarray, np.ndarray], size: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text of the anchor, first start, number of starts) for each run: starts of ``size`` units within texts of ``least`` or more."""
+    begin, end, a = runs
+    text = u.texts(a)
+    first = np.maximum(begin, u.at[text])
+    number = np.maximum(np.minimum(end, u.at[text + 1] - size + 1) - first, 0)
+    number[np.diff(u.at)[text] < least] = 0
+    return text, first, number
+
+
+def window_starts(at: np.ndarray, window: int, n: int) -> np.ndarray:
+    """Starts of all windows within texts."""
     edge = np.zeros(n + 1, np.int32)
-    fits = np.diff(at) >= max(window, least)
+    fits = np.diff(at) >= window
     np.add.at(edge, at[:-1][fits], 1)
     np.add.at(edge, at[1:][fits] - window + 1, -1)
     return np.flatnonzero(np.cumsum(edge[:n]))
 
 
-def anchors(spec: Spec, u: Units) -> np.ndarray:
-    """For each position the leftmost place of the least gram among the ``reach`` positions from there."""
-    g = tb.mix(tb.fixed_spans(u.prefix, spec.gram))
-    low = np.uint64(STRETCH * 2 - 1)
-    out = np.empty(len(g), np.int64)
-    for s in range(0, len(g), STRETCH):
-        part = g[s : s + STRETCH + spec.reach - 1]
-        least = tb.running_min((part & ~low) | np.arange(len(part), dtype=np.uint64), min(spec.reach, len(part)))
-        out[s : s + len(least)] = (least & low).astype(np.int64) + s
-    return out
-
-
-def super_windows(spec: Spec, u: Units, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, number of windows, anchor) of the runs of consecutive windows that share an anchor."""
-    v = window_starts(u.at, spec.window, u.n)
-    if not len(v):
-        return v, v, v
-    a = anchor[v]
-    new = np.ones(len(v), bool)
-    new[1:] = (a[1:] != a[:-1]) | (v[1:] != v[:-1] + 1)
-    first = np.flatnonzero(new)
-    return v[first], np.diff(np.append(first, len(v))), a[first]
-
-
 class Search:
     """What an operator adds: the super windows that may repeat, told by counts over all texts."""
 
     def __init__(self, spec: Spec):
         self.spec = spec
 
-    def suspects(self, texts: DataFrame) -> Callable[[Units], np.ndarray]:
-        """From all texts (``__text``): how a worker finds the starts of super windows that may repeat."""
+    def marks(self, u: Units) -> tuple[np.ndarray, np.ndarray]:
+        """(text, mark) of all anchors of a run of texts, text by text."""
+        raise NotImplementedError
+
+    def first_keys(self, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether a mark has a key, its key) of marks; marks whose key is found once only in all texts do not repeat."""
         raise NotImplementedError
 
-    def picks(self, distinct: DataFrame) -> tuple[Callable, bytes | None]:
-        """From distinct texts (uid, ``__text``): how a worker finds (start, number of windows, key) of the super windows
-        that may repeat, given the units and the uid of each text; and the filter of hot keys, if there are any."""
+    def refine(self, marked: DataFrame) -> tuple[Callable, bytes | None]:
+        """From the marks of distinct texts (uid, marks): how a worker tells (uid of each mark, mark) which of them are left;
+        and the filter of hot keys, if there are any."""
         raise NotImplementedError
 
 
@@ -124,11 +162,25 @@ def counted(keys: DataFrame) -> tuple[DataFrame, int]:
     return table, table.count()
 
 
-def hot_filter(table: DataFrame) -> bytes | None:
-    """The filter of keys with more than ``HOT`` strings."""
+def counted_filter(keys: DataFrame) -> tuple[bytes, bytes | None]:
+    """The filter of keys (key, n) that occur more than once, and that of those that occur more than ``HOT`` times, if any."""
+    table, n = counted(keys)
     hot = table.filter(F.col("n") > HOT).select("key")
-    n = hot.count()
-    return bloom.build(hot, "key", n) if n else None
+    n_hot = hot.count()
+    out = bloom.build(table, "key", n), bloom.build(hot, "key", n_hot) if n_hot else None
+    shared.drop(keys.sparkSession, table)
+    return out
+
+
+def read_marks(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All marks of a binary column, and the place of each row's first one in them (and the end)."""
+    data, offsets = tb.column_bytes(column)
+    return np.frombuffer(data[offsets[0] : offsets[-1]].tobytes(), MARK), (offsets - offsets[0]) // MARK.itemsize
+
+
+def write_marks(marks: np.ndarray, at: np.ndarray) -> pa.Array:
+    data = marks.tobytes()
+    return tb.binary_array([data[p:q] for p, q in zip((at[:-1] * MARK.itemsize).tolist(), (at[1:] * MARK.itemsize).tolist(), strict=True)])
 
 
 def key_batch(keys: np.ndarray) -> pa.RecordBatch:
@@ -137,31 +189,50 @@ def key_batch(keys: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([tb.long_array(distinct), tb.long_array(n)], names=["key", "n"])
 
 
-def text_key(data: np.ndarray) -> bytes:
+def text_key(data: np.ndarray | bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def _short(key: bytes) -> int:
-    return int.from_bytes(key[:8], "little", signed=True)
+def _first_keys(search: Search):
+    @tb.task("repeats")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in tb.chunks(batch, 0, CHUNK):
+                has, keys = search.first_keys(search.marks(Units(search.spec, data, offsets))[1])
+                yield key_batch(keys[has])
+
+    return run
 
 
-def _suspect_texts(spec: Spec, starts: Callable[[Units], np.ndarray]):
-    """Texts that may have a repeated window, with their keys."""
+def _suspects(search: Search, known):
+    """Texts that may have a repeated window, with their keys and marks."""
 
     @tb.task("repeats")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in tb.chunks(batch, 0, CHUNK):
-                u = Units(spec, data, offsets)
-                hit = np.unique(u.texts(starts(u)))
+                text, marks = search.marks(Units(search.spec, data, offsets))
+                has, keys = search.first_keys(marks)
+                ok = has & bloom.passes(known.value, keys)
+                text, marks = text[ok], marks[ok]
+                hit = np.unique(text[marks["windows"] > 0])
                 if len(hit):
-                    keys = [text_key(data[offsets[t] : offsets[t + 1]]) for t in hit]
+                    stay = np.isin(text, hit)
+                    at = np.append(np.searchsorted(text[stay], hit), np.count_nonzero(stay))
                     texts = [data[offsets[t] : offsets[t + 1]].tobytes() for t in hit]
-                    yield pa.record_batch([tb.binary_array(keys), pa.array(list(map(_short, keys)), pa.int64()), tb.binary_array(texts)], names=["h", "short", "__text"])
+                    yield pa.record_batch([tb.binary_array(list(map(text_key, texts))), tb.binary_array(texts), write_marks(marks[stay], at)], names=["h", "__text", "marks"])
 
     return run
 
 
+def _picked(batch: pa.RecordBatch, pick: Callable) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of each mark, mark) of the marks with windows that are left."""
+    marks, at = read_marks(batch.column("marks"))
+    row = np.repeat(np.arange(batch.num_rows), np.diff(at))
+    ok = (marks["windows"] > 0) & pick(batch.column("uid").to_numpy()[row], marks)
+    return row[ok], marks[ok]
+
+
 def _strings(spec: Spec, pick: Callable, hot):
     """Packed strings of the super windows that are left, without those of hot keys."""
 
@@ -169,18 +240,19 @@ def _strings(spec: Spec, pick: Callable, hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             uids = batch.column("uid").to_numpy()
+            row, marks = _picked(batch, pick)
+            if hot is not None:
+                cold = ~bloom.passes(hot.value, marks["key"])
+                row, marks = row[cold], marks[cold]
             for i, j, data, offsets in tb.chunks(batch, batch.schema.get_field_index("__text"), CHUNK):
-                u = Units(spec, data, offsets)
-                s, n, key = pick(u, uids[i:j])
-                if hot is not None:
-                    cold = ~bloom.passes(hot.value, key)
-                    s, n, key = s[cold], n[cold], key[cold]
-                if not len(s):
+                here = slice(*np.searchsorted(row, (i, j)).tolist())
+                if here.start == here.stop:
                     continue
-                text = u.texts(s)
+                u, own, mine = Units(spec, data, offsets), row[here], marks[here]
+                s = u.at[own - i] + mine["start"]
                 whole, starts, ends = u.plain(spec)
-                packs = [whole[p:q] for p, q in zip(starts[s].tolist(), ends[s + n - 2 + spec.window].tolist(), strict=True)]
-                yield pa.record_batch([tb.long_array(key), tb.long_array(uids[i:j][text]), tb.long_array(s - u.at[text]), tb.binary_array(packs)], names=["key", "uid", "start", "packed"])
+                packs = [whole[p:q] for p, q in zip(starts[s].tolist(), ends[s + mine["windows"] - 2 + spec.window].tolist(), strict=True)]
+                yield pa.record_batch([tb.long_array(mine["key"]), tb.long_array(uids[own]), tb.long_array(mine["start"]), tb.binary_array(packs)], names=["key", "uid", "start", "packed"])
 
     return run
 
@@ -223,10 +295,18 @@ def repeated_windows(spec: Spec, data: np.ndarray, offsets: np.ndarray) -> tuple
     v = window_starts(u.at, spec.window, u.n)
     row = u.texts(v)
     plain, starts, ends = u.plain(spec)
-    group = grouped(plain, starts[v], ends[v + spec.window - 1], row, tb.fixed_spans(u.prefix, spec.window)[v])
+    group = grouped(plain, starts[v], ends[v + spec.window - 1], row, tb.fixed_spans(u.prefix(spec), spec.window)[v])
     return row, v, group, u
 
 
+def distinct_strings(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first string with the same bytes, for each string; how many there are of it)."""
+    bytes_, ends = data.tobytes(), offsets.tolist()
+    seen: dict[bytes, int] = {}
+    first = np.array([seen.setdefault(bytes_[p:q], k) for k, (p, q) in enumerate(zip(ends[:-1], ends[1:], strict=True))], np.int64)
+    return first, np.bincount(first, minlength=len(first))[first]
+
+
 def _runs(row: np.ndarray, v: np.ndarray, flag: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First and last index of maximal runs of flagged consecutive windows of one string."""
     k = np.flatnonzero(flag)
@@ -240,13 +320,24 @@ def _sorted_windows(spec: Spec):
     """Runs of repeated windows, as starts s to e (not included), from strings sorted by key."""
 
     def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(held).combine_chunks()
-        (batch,) = table.to_batches()
+        (batch,) = pa.Table.from_batches(held).combine_chunks().to_batches()
         data, offsets = tb.column_bytes(batch.column("packed"))
-        row, v, group, u = repeated_windows(spec, data[offsets[0] : offsets[-1]], offsets - offsets[0])
-        first, last = _runs(row, v, (np.bincount(group, minlength=len(v)) > 1)[group])
-        at = batch.column("start").to_numpy()[row] + v - u.at[row]
-        return pa.record_batch([tb.long_array(batch.column("uid").to_numpy()[row[first]]), tb.long_array(at[first]), tb.long_array(at[last] + 1)], names=["uid", "s", "e"])
+        data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+        uid, start = batch.column("uid").to_numpy(), batch.column("start").to_numpy()
+        # of equal strings all windows repeat, and one of them stands for all before the others
+        first, copies = distinct_strings(data, offsets)
+        lead = first == np.arange(len(first))
+        sizes = np.diff(offsets)
+        kept = data[tb.places(offsets[:-1][lead], sizes[lead])]
+        row, v, group, u = repeated_windows(spec, kept, np.concatenate(([0], np.cumsum(sizes[lead]))))
+        begin, end = _runs(row, v, (np.bincount(group, minlength=len(v)) > 1)[group] & (copies[lead] == 1)[row])
+        single = np.flatnonzero(lead)
+        at = start[single][row] + v - u.at[row]
+        many = np.flatnonzero(copies > 1)
+        number = np.zeros(len(first), np.int64)
+        number[single] = np.diff(u.at) - spec.window + 1
+        found = [(uid[single][row[begin]], at[begin], at[end] + 1), (uid[many], start[many], start[many] + number[first[many]])]
+        return pa.record_batch([tb.long_array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["uid", "s", "e"])
 
     @tb.task("repeats")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,24 +363,28 @@ def _sorted_windows(spec: Spec):
     return run
 
 
-def _hot_windows(spec: Spec, pick: Callable, hot, u: Units, uids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of all windows of hot keys."""
-    s, n, key = pick(u, uids)
-    warm = bloom.passes(hot.value, key)
-    s, n = s[warm], n[warm]
-    ends = np.cumsum(n)
-    v = np.repeat(s - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-    v.sort()
-    return v, tb.mix(tb.fixed_spans(u.prefix, spec.window)[v], 5)
+def _hot_windows(spec: Spec, pick: Callable, hot, batch: pa.RecordBatch) -> Iterator[tuple[Units, np.ndarray, np.ndarray, np.ndarray]]:
+    """(units, row of the batch, start, hash) of all windows of hot keys, for runs of texts; others are not hashed."""
+    row, marks = _picked(batch, pick)
+    warm = bloom.passes(hot.value, marks["key"])
+    row, marks = row[warm], marks[warm]
+    texts = np.unique(row)
+    for i, j, data, offsets in tb.chunks(batch.take(pa.array(texts)), batch.schema.get_field_index("__text"), CHUNK):
+        here = slice(*np.searchsorted(row, (texts[i], texts[j - 1] + 1)).tolist())
+        u = Units(spec, data, offsets)
+        n = marks["windows"][here].astype(np.int64)
+        own = np.searchsorted(texts, row[here]) - i
+        v = tb.places(u.at[own] + marks["start"][here], n)
+        v.sort()
+        yield u, texts[i:j], v, tb.mix(tb.fixed_spans(u.prefix(spec), spec.window)[v], 5)
 
 
 def _hot_prints(spec: Spec, pick: Callable, hot):
     @tb.task("repeats")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            uids = batch.column("uid").to_numpy()
-            for i, j, data, offsets in tb.chunks(batch, batch.schema.get_field_index("__text"), CHUNK):
-                yield key_batch(_hot_windows(spec, pick, hot, Units(spec, data, offsets), uids[i:j])[1])
+            for _, _, _, h in _hot_windows(spec, pick, hot, batch):
+                yield key_batch(h)
 
     return run
 
@@ -302,15 +397,13 @@ def _hot_marks(spec: Spec, pick: Callable, hot, seen):
         names = ["uid", "s", "e", "digest", "n"]
         for batch in batches:
             uids = batch.column("uid").to_numpy()
-            for i, j, data, offsets in tb.chunks(batch, batch.schema.get_field_index("__text"), CHUNK):
-                u = Units(spec, data, offsets)
-                v, h = _hot_windows(spec, pick, hot, u, uids[i:j])
+            for u, rows, v, h in _hot_windows(spec, pick, hot, batch):
                 again = bloom.passes(seen.value, h)
                 v, h = v[again], h[again]
                 if not len(v):
                     continue
                 text = u.texts(v)
-                uid, at = uids[i:j][text], v - u.at[text]
+                uid, at = uids[rows[text]], v - u.at[text]
                 first, last = _runs(text, v, np.ones(len(v), bool))
                 none = np.full(len(first), None)
                 yield pa.record_batch([tb.long_array(uid[first]), tb.long_array(at[first]), tb.long_array(at[last] + 1), pa.array(none, pa.binary()), pa.array(none, pa.int64())], names=names)
@@ -393,7 +486,7 @@ def _cut_distinct(spec: Spec, with_kept: bool):
             ranges, (_, at) = batch.column("ranges"), tb.list_places(batch.column("ranges"))
             s, e = [x.to_numpy(zero_copy_only=False) for x in (tb.field(ranges.values, 0), tb.field(ranges.values, 1).fill_null(-1))]
             for i, j, data, offsets in tb.chunks(batch, batch.schema.get_field_index("__text"), CHUNK):
-                u = Units(spec, data, offsets, hashed=False)
+                u = Units(spec, data, offsets)
                 here = slice(at[i], at[j])
                 gone = covered(u.n, u.at, spec.window, np.repeat(np.arange(j - i), np.diff(at[i : j + 1])), s[here], e[here])
                 gone |= np.repeat(many[i:j] & (np.diff(u.at) >= spec.window), np.diff(u.at))
@@ -402,19 +495,17 @@ def _cut_distinct(spec: Spec, with_kept: bool):
     return run
 
 
-def _plain(spec: Spec, suspects, with_kept: bool):
-    """What each row has if nothing of it repeats, and the key of its text if it may have repeats."""
+def _plain(spec: Spec, with_kept: bool):
+    """What each row has if nothing of it repeats, and the key of its text."""
 
     @tb.task("repeats")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row = batch.column("__row")
             for i, j, data, offsets in tb.chunks(batch, batch.schema.get_field_index("__text"), CHUNK):
-                u = Units(spec, data, offsets, hashed=False)
+                u = Units(spec, data, offsets)
                 keys = [text_key(data[p:q]) for p, q in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-                hit = bloom.passes(suspects.value, np.array(list(map(_short, keys)), np.int64).view(np.uint64))
-                named = pa.array([k if x else None for k, x in zip(keys, hit.tolist(), strict=True)], pa.binary())
-                yield pa.record_batch([row.slice(i, j - i), named, *_arrays(spec, u, np.zeros(u.n, bool), with_kept)], names=["__row", "h", *_RESULT])
+                yield pa.record_batch([row.slice(i, j - i), tb.binary_array(keys), *_arrays(spec, u, np.zeros(u.n, bool), with_kept)], names=["__row", "h", *_RESULT])
 
     return run
 
@@ -428,11 +519,12 @@ def remove_repeats(docs: DataFrame, text: str, search: Search, with_kept: bool)
     others = [c for c in docs.columns if c != text]
     row = F.struct(*[F.col("__row").getField(c).alias(c) for c in others]) if others else F.struct(F.lit(0).alias("__none"))
     rows = packed.select(row.alias("__row"), F.col("__text").cast("binary").alias("__text"))
-    found = rows.select("__text").mapInArrow(_suspect_texts(spec, search.suspects(rows.select("__text"))), "h binary, short long, __text binary")
-    distinct = shared.keep(found.groupBy("h", "short", "__text").agg(F.count("*").alias("copies")).withColumn("uid", F.monotonically_increasing_id()), "distinct")
-    texts = distinct.select("uid", "__text")
-    pick, hot_keys = search.picks(texts)
+    known = sc.broadcast(counted_filter(rows.select("__text").mapInArrow(_first_keys(search), "key long, n long"))[0])
+    found = rows.select("__text").mapInArrow(_suspects(search, known), "h binary, __text binary, marks binary")
+    distinct = shared.keep(found.groupBy("h", "__text", "marks").agg(F.count("*").alias("copies")).withColumn("uid", F.monotonically_increasing_id()), "distinct")
+    pick, hot_keys = search.refine(distinct.select("uid", "marks"))
     hot = None if hot_keys is None else sc.broadcast(hot_keys)
+    texts = distinct.select("uid", "__text", "marks")
     strings = texts.mapInArrow(_strings(spec, pick, hot), "key long, uid long, start long, packed binary")
     dealt = strings.repartition(shared.partitions(spark), "key").sortWithinPartitions("key")
     runs = dealt.mapInArrow(_sorted_windows(spec), "uid long, s long, e long")
@@ -443,11 +535,9 @@ def remove_repeats(docs: DataFrame, text: str, search: Search, with_kept: bool)
         used.append(marks)
     ranges = runs.groupBy("uid").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
     marked = distinct.join(ranges, "uid", "left").select("h", "__text", "copies", F.coalesce("ranges", F.array().cast("array<struct<s:bigint,e:bigint>>")).alias("ranges"))
-    results = shared.keep(marked.mapInArrow(_cut_distinct(spec, with_kept), f"h binary, {_RESULT_DDL}"), "cut")
-    suspects = sc.broadcast(bloom.build(distinct.select("short"), "short", distinct.count()))
+    results = shared.keep(marked.filter("size(ranges) > 0 OR copies > 1").mapInArrow(_cut_distinct(spec, with_kept), f"h binary, {_RESULT_DDL}"), "cut")
     shared.drop(spark, *used)
-    look = rows.mapInArrow(_plain(spec, suspects, with_kept), f"__row {rows.schema['__row'].dataType.simpleString()}, h binary, {_RESULT_DDL}")
+    look = rows.mapInArrow(_plain(spec, with_kept), f"__row {rows.schema['__row'].dataType.simpleString()}, h binary, {_RESULT_DDL}")
     later = results.select(F.col("h").alias("h2"), *[F.col(c).alias(f"{c}2") for c in _RESULT])
-    joined = look.filter("h IS NOT NULL").join(later, F.col("h") == F.col("h2"), "left")
-    cut = joined.select("__row", *[F.when(F.col("h2").isNotNull(), F.col(f"{c}2")).otherwise(F.col(c)).alias(c) for c in _RESULT])
-    return look.filter("h IS NULL").drop("h").unionByName(cut)
+    joined = look.join(later, F.col("h") == F.col("h2"), "left")
+    return joined.select("__row", *[F.when(F.col("h2").isNotNull(), F.col(f"{c}2")).otherwise(F.col(c)).alias(c) for c in _RESULT])

@@ -20,54 +20,33 @@ def spec(window: int = 35, minimiser: int = 8) -> repeats.Spec:
     return repeats.Spec("word", window, minimiser, window - minimiser + 1)
 
 
-def super_kmers(spec: repeats.Spec, u: repeats.Units) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, number of windows, minimiser's hash) of runs of windows that share a minimiser."""
-    s, n, a = repeats.super_windows(spec, u, repeats.anchors(spec, u))
-    return s, n, tb.mix(tb.spans(u.prefix, a, a + spec.gram), 1)
-
-
 class SuperKmers(repeats.Search):
     """Windows whose minimiser is found once only in all texts cannot repeat. It is counted twice: over all texts,
     and again over distinct texts, where copies of whole texts no longer count."""
 
-    def _counted(self, texts: DataFrame, known) -> tuple[DataFrame, int]:
-        spec = self.spec
-
+    def marks(self, u: repeats.Units) -> tuple[np.ndarray, np.ndarray]:
+        grams = repeats.gram_hashes(self.spec, u)
+        runs = repeats.anchors(self.spec, u, grams)
+        text, start, n = repeats.within(u, runs, self.spec.window, self.spec.window)
+        own = n > 0
+        text = text[own]
+        out = np.zeros(len(text), repeats.MARK)
+        out["place"], out["start"], out["windows"] = runs[2][own] - u.at[text], start[own] - u.at[text], n[own]
+        out["key"] = tb.mix(grams[runs[2][own]], 1)
+        return text, out
+
+    def first_keys(self, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.ones(len(marks), bool), marks["key"]
+
+    def refine(self, marked: DataFrame) -> tuple[Callable, bytes | None]:
         @tb.task("repeats")
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for _, _, data, offsets in tb.chunks(batch, batch.schema.get_field_index("__text"), repeats.CHUNK):
-                    key = super_kmers(spec, repeats.Units(spec, data, offsets))[2]
-                    yield repeats.key_batch(key if known is None else key[bloom.passes(known.value, key)])
-
-        return repeats.counted(texts.mapInArrow(run, "key long, n long"))
-
-    def _filter(self, texts: DataFrame, known=None) -> tuple:
-        table, n = self._counted(texts, known)
-        spark = texts.sparkSession
-        out = spark.sparkContext.broadcast(bloom.build(table, "key", n)), repeats.hot_filter(table)
-        shared.drop(spark, table)
-        return out
-
-    def suspects(self, texts: DataFrame) -> Callable[[repeats.Units], np.ndarray]:
-        spec, (self._first, _) = self.spec, self._filter(texts)
-        first = self._first
-
-        def starts(u: repeats.Units) -> np.ndarray:
-            s, _, key = super_kmers(spec, u)
-            return s[bloom.passes(first.value, key)]
-
-        return starts
-
-    def picks(self, distinct: DataFrame) -> tuple[Callable, bytes | None]:
-        spec, (again, hot) = self.spec, self._filter(distinct, self._first)
-
-        def pick(u: repeats.Units, _: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            s, n, key = super_kmers(spec, u)
-            ok = bloom.passes(again.value, key)
-            return s[ok], n[ok], key[ok]
+                yield repeats.key_batch(repeats.read_marks(batch.column("marks"))[0]["key"])
 
-        return pick, hot
+        again, hot = repeats.counted_filter(marked.select("marks").mapInArrow(run, "key long, n long"))
+        found = marked.sparkSession.sparkContext.broadcast(again)
+        return lambda _, marks: bloom.passes(found.value, marks["key"]), hot
 
 
 def substring_dedup(docs: DataFrame, text: str = "text", window: int = 35, minimiser: int = 8, with_text: bool = True) -> DataFrame:

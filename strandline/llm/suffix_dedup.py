@@ -4,7 +4,7 @@ The sorted positions are the anchors of ``repeats`` (the least gram of some run
 and the last anchor of a ``length``-byte string all anchors are its own, wherever it stands, and they are ``span`` bytes
 apart at least. So texts are cut at anchors into phrases, and doubling goes by phrases:
 
-* round 1 ranks pairs (phrase at a position, next phrase); a filter first takes out pairs found once in all texts;
+* round 1 ranks pairs (name of the phrase at a position, of the next one); pairs found once in all texts are taken out before;
 * in round r Spark joins each position's rank with the rank of the position 2**(r - 1) phrases on, sorts the distinct
   pairs that repeat, and numbers them in that order: the ranks of the next round;
 * a position leaves when its pair is unique, or when its neighbour has left, as then it is unique too;
@@ -42,50 +42,19 @@ def span(spec: repeats.Spec) -> int:
     return spec.window + 2 - spec.gram - 2 * spec.reach
 
 
-class Phrases:
-    """The phrases of a run of texts, and the super windows of the anchors at which they begin."""
+def position_ids(uids: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """One number for each position of all texts; only a filter is built of them."""
+    return tb.mix(tb.mix(uids.astype(np.uint64), 6) + places.astype(np.uint64), 7)
 
-    def __init__(self, spec: repeats.Spec, u: repeats.Units):
-        anchor = repeats.anchors(spec, u)
-        a = anchor[repeats.window_starts(u.at, spec.reach + spec.gram - 1, u.n, spec.window)]
-        self.a = a = a[np.diff(a, prepend=-1) != 0]
-        self.text = u.texts(a)
-        k = np.arange(len(a))
-        ends = np.searchsorted(self.text, self.text, "right") - 1  # the last anchor of the text
-        #: How many phrases from here on fit into the span.
-        self.m = np.minimum(np.searchsorted(a, a + span(spec), "right") - 1, ends) - k
-        following = np.append(a[1:], 0) if len(a) else a
-        self.names = tb.mix(tb.spans(u.prefix, a, np.where(k < ends, following, a)))
-        self.next = self.names[np.minimum(k + 1, ends)]
-        self.pair = tb.mix(self.names, 1) ^ tb.mix(self.next, 2)
-        #: Of the bytes of all phrases that fit: equal strings have equal keys.
-        self.key = tb.mix(tb.spans(u.prefix, a, a[k + self.m]) if len(a) else a.astype(np.uint64), 3)
-        s, n, first = repeats.super_windows(spec, u, anchor)
-        self.start, self.windows = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
-        own = np.searchsorted(a, first)
-        self.start[own], self.windows[own] = s, n
-        self.index = k - np.searchsorted(self.text, self.text)
-        self.place = a - u.at[self.text]
-
-    def ids(self, uids: np.ndarray) -> np.ndarray:
-        """One number for each position of all texts; only a filter is built of them."""
-        return tb.mix(tb.mix(uids.astype(np.uint64)[self.text], 6) + self.place.astype(np.uint64), 7)
-
-
-def _positions(spec: repeats.Spec, known):
-    """Positions whose first pair is found elsewhere."""
-
-    @tb.task("repeats")
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            uids = batch.column("uid").to_numpy()
-            for i, j, data, offsets in tb.chunks(batch, batch.schema.get_field_index("__text"), repeats.CHUNK):
-                p = Phrases(spec, repeats.Units(spec, data, offsets))
-                ok = np.flatnonzero((p.m >= 2) & bloom.passes(known.value, p.pair))
-                longs = [uids[i:j][p.text], p.index, p.m, p.ids(uids[i:j]), p.key, p.names, p.next]
-                yield pa.record_batch([*[tb.long_array(x[ok]) for x in longs], pa.array(p.windows[ok] > 0)], names=["uid", "i", "m", "id", "key", "ra", "rb", "own"])
-
-    return run
+
+@tb.task("repeats")
+def _positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each mark."""
+    for batch in batches:
+        marks, at = repeats.read_marks(batch.column("marks"))
+        uid = np.repeat(batch.column("uid").to_numpy(), np.diff(at))
+        longs = [uid, marks["i"], marks["m"], position_ids(uid, marks["place"]), marks["key"], marks["name"], marks["next"]]
+        yield pa.record_batch([*map(tb.long_array, longs), pa.array(marks["windows"] > 0)], names=["uid", "i", "m", "id", "key", "ra", "rb", "own"])
 
 
 def doubled(positions: DataFrame) -> DataFrame:
@@ -117,42 +86,38 @@ def doubled(positions: DataFrame) -> DataFrame:
 
 
 class Doubling(repeats.Search):
-    def suspects(self, texts: DataFrame) -> Callable[[repeats.Units], np.ndarray]:
-        spec, spark = self.spec, texts.sparkSession
-
-        @tb.task("repeats")
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for _, _, data, offsets in tb.chunks(batch, 0, repeats.CHUNK):
-                    p = Phrases(spec, repeats.Units(spec, data, offsets))
-                    yield repeats.key_batch(p.pair[p.m >= 2])
-
-        table, n = repeats.counted(texts.mapInArrow(run, "key long, n long"))
-        self._first = first = spark.sparkContext.broadcast(bloom.build(table, "key", n))
-        shared.drop(spark, table)
-
-        def starts(u: repeats.Units) -> np.ndarray:
-            p = Phrases(spec, u)
-            return p.start[(p.windows > 0) & bloom.passes(first.value, p.pair)]
-
-        return starts
-
-    def picks(self, distinct: DataFrame) -> tuple[Callable, bytes | None]:
-        spec, spark = self.spec, distinct.sparkSession
-        ddl = "uid long, i long, m long, id long, key long, ra long, rb long, own boolean"
-        positions = shared.keep(distinct.mapInArrow(_positions(spec, self._first), ddl), "positions")
+    def marks(self, u: repeats.Units) -> tuple[np.ndarray, np.ndarray]:
+        spec = self.spec
+        grams = repeats.gram_hashes(spec, u)
+        runs = repeats.anchors(spec, u, grams)
+        text, start, n = repeats.within(u, runs, spec.window, spec.window)
+        chain = repeats.within(u, runs, spec.reach + spec.gram - 1, spec.window)[2] > 0
+        a, text, start, n = runs[2][chain], text[chain], start[chain], n[chain]
+        out = np.zeros(len(a), repeats.MARK)
+        if not len(a):
+            return text, out
+        k = np.arange(len(a))
+        first, last = np.searchsorted(text, text), np.searchsorted(text, text, "right") - 1
+        m = np.minimum(np.searchsorted(a, a + span(spec), "right") - 1, last) - k
+        names = tb.mix(np.add.reduceat(grams, a))  # of a phrase with the grams that begin in it
+        out["i"], out["place"], out["m"], out["start"], out["windows"] = k - first, a - u.at[text], m, np.where(n > 0, start - u.at[text], 0), n
+        out["name"], out["next"] = names, names[np.minimum(k + 1, last)]
+        out["key"] = tb.mix(tb.spans(tb.sums(names), k, k + m), 3)
+        return text, out
+
+    def first_keys(self, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return marks["m"] >= 2, tb.mix(marks["name"], 1) ^ tb.mix(marks["next"], 2)
+
+    def refine(self, marked: DataFrame) -> tuple[Callable, bytes | None]:
+        spark = marked.sparkSession
+        positions = marked.mapInArrow(_positions, "uid long, i long, m long, id long, key long, ra long, rb long, own boolean")
         left = shared.keep(doubled(positions), "doubled")
-        shared.drop(spark, positions)
         ids = spark.sparkContext.broadcast(bloom.build(left, "id", left.count()))
-        hot = repeats.hot_filter(left.groupBy("key").agg(F.count("*").alias("n")))
+        hot = left.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > repeats.HOT)
+        n_hot = hot.count()
+        hot_keys = bloom.build(hot, "key", n_hot) if n_hot else None
         shared.drop(spark, left)
-
-        def pick(u: repeats.Units, uids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            p = Phrases(spec, u)
-            ok = (p.windows > 0) & bloom.passes(ids.value, p.ids(uids))
-            return p.start[ok], p.windows[ok], p.key[ok]
-
-        return pick, hot
+        return lambda uids, marks: bloom.passes(ids.value, position_ids(uids, marks["place"])), hot_keys
 
 
 def suffix_dedup(docs: DataFrame, text: str = "text", length: int = 400, with_text: bool = True) -> DataFrame:
