@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Limits, and the patterns of ids, hashes, tokens and file names.
 MAX_TIME, MAX_BYTES, MAX_SIDE, MAX_PIXELS = 9007199254740991, 16 * 1024 * 1024, 16384, 40_000_000
 UUID = "^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
 HEX64 = "^[0-9a-f]{64}$"
@@ -44,6 +45,11 @@ def new_id(seed: Column) -> Column:
     return F.concat_ws("-", F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("4"), F.substring(h, 14, 3)), F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12))
 
 
+def new_token(seed: Column) -> Column:
+    """A token that follows from a secret ``seed``: 32 bytes as 43 characters of base64url."""
+    return F.rtrim(F.translate(F.base64(F.unhex(F.sha2(seed.cast("string"), 256))), "+/", "-_"), F.lit("="))
+
+
 def valid_text(x: Column, least: int, most: int) -> Column:
     """Code points within bounds, and no NUL."""
     return F.char_length(x).between(least, most) & ~F.contains(x, F.lit("\u0000"))
@@ -110,8 +116,7 @@ def battery_consistent(level: Column, scale: Column, percent: Column) -> Column:
 
 
 def duration_text(ms: Column) -> Column:
-    s = F.expr("1000")
-    whole = F.floor(ms / s)
+    whole = F.floor(ms / 1000)
     return F.format_string("%d:%02d:%02d", F.floor(whole / 3600), F.floor(whole / 60) % 60, whole % 60)
 
 
@@ -153,8 +158,9 @@ def content_uri_ok(x: Column) -> Column:
 
 
 def sample_size(width: Column, height: Column, most: Column) -> Column:
-    """Least power of two by which both sides fit into ``most``."""
-    return F.pow(F.lit(2), F.greatest(F.ceil(F.log2(F.greatest(width, height) / most)), F.lit(0))).cast("int")
+    """Least power of two by which both sides (up to MAX_SIDE) fit into ``most``, in whole numbers; null for larger sides."""
+    steps = F.array(*[F.lit(1 << k) for k in range(MAX_SIDE.bit_length())])
+    return F.get(F.filter(steps, lambda p: F.greatest(width, height).cast("long") <= most.cast("long") * p), 0)
 
 
 def seconds_since(now_ms: Column, then_ms: Column) -> Column:

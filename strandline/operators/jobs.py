@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -32,5 +32,5 @@ def facts(states: DataFrame) -> DataFrame:
 
 def first_success(attempts: DataFrame) -> DataFrame:
     """Of the attempts of each job the first that succeeded: its output counts, later ones do not."""
-    w = Window.partitionBy("job_id").orderBy("attempt_seq")
-    return attempts.filter("ok").withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    row = F.struct(*[F.col(f"`{c}`") for c in attempts.columns])
+    return attempts.filter("ok").groupBy("job_id").agg(F.min_by(row, F.col("attempt_seq")).alias("__r")).select("__r.*")

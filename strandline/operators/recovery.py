@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,10 +54,14 @@ def check_originals(files: DataFrame, catalog: DataFrame) -> DataFrame:
     return bad.unionByName(sized)
 
 
-def recovery_actions(catalog: DataFrame, checked: DataFrame, staged: DataFrame | None = None) -> DataFrame:
-    """(archive_id, id, action) for pending frames: complete (sound bytes), wait (no bytes yet) or block (bytes that do not fit)."""
+def recovery_actions(catalog: DataFrame, checked: DataFrame, known: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(archive_id, id, action) for pending frames: complete (sound bytes), wait (no bytes yet) or block (bytes that do not fit).
+
+    ``known`` is asked before anything is decided: it gets the pending frames, and what it leaves out is left alone.
+    """
     found = checked.select("archive_id", F.col("frame_id").alias("id"), "code", F.lit(True).alias("__there"))
-    x = catalog.filter("committed_at IS NULL").join(found, ["archive_id", "id"], "left")
+    pending = catalog.filter("committed_at IS NULL")
+    x = (known(pending) if known else pending).join(found, ["archive_id", "id"], "left")
     return x.select("archive_id", "id", F.when(F.col("__there").isNull(), "wait").when(F.col("code").isNull(), "complete").otherwise("block").alias("action"))
 
 

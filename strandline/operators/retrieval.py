@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.scope import scoped
+
+
+def visible(df: DataFrame, owner: str | None) -> DataFrame:
+    """What a channel of retrieval may see: with the column ``owner``, rows of the session's owner only (see ``scope``)."""
+    return df if owner is None else scoped(df, owner)
+
 
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def vector_topk(vectors: DataFrame, query: list[float], k: int, vector: str = "embedding", tie: str = "vec_id", same: dict[str, object] | None = None) -> DataFrame:
-    """The k rows most similar to ``query``; ``same`` are hard equalities such as model and version."""
+def vector_topk(vectors: DataFrame, query: list[float], k: int, vector: str = "embedding", tie: str = "vec_id", same: dict[str, object] | None = None, owner: str | None = None) -> DataFrame:
+    """The k rows most similar to ``query``; ``same`` are hard equalities such as model and version. Vectors of texts make
+    this the semantic search of texts."""
+    vectors = visible(vectors, owner)
     for name, value in (same or {}).items():
         vectors = vectors.filter(F.col(name) == value)
     q = F.array(*[F.lit(float(x)) for x in query])
@@ -23,11 +35,18 @@ def tokenise(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
 
 
-def bm25(docs: DataFrame, query: list[str], doc_id: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(doc_id, score) of documents with a query word; words are those of ``tokenise``."""
+def bm25(docs: DataFrame, query: list[str], doc_id: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75, owner: str | None = None) -> DataFrame:
+    """(doc_id, score) of documents with a query word; words are those of ``tokenise``.
+
+    All texts are read for their length, which counts words without making them; only texts that contain the
+    letters of a query word are cut into words.
+    """
     words = sorted({w.lower() for w in query})
-    x = docs.select(F.col(doc_id).alias("doc_id"), tokenise(F.col(text)).alias("words")).withColumn("length", F.size("words"))
-    totals = x.agg(F.count("*").alias("n"), F.avg("length").alias("average"))  # one row
+    lower = F.lower(F.col(text))
+    docs = visible(docs, owner)
+    totals = docs.agg(F.count("*").alias("n"), F.avg(F.regexp_count(lower, F.lit("[\\p{L}\\p{N}]+"))).alias("average"))  # one row
+    likely = reduce(lambda p, q: p | q, [F.contains(lower, F.lit(w)) for w in words])
+    x = docs.filter(likely).select(F.col(doc_id).alias("doc_id"), tokenise(F.col(text)).alias("words")).withColumn("length", F.size("words"))
     hits = x.select("doc_id", "length", F.explode(F.filter("words", lambda w: w.isin(words))).alias("word")).groupBy("doc_id", "length", "word").agg(F.count("*").alias("tf"))
     df = hits.groupBy("word").agg(F.count("*").alias("df"))
     scored = hits.join(F.broadcast(df), "word").crossJoin(F.broadcast(totals))  # one row for each query word, and one row
@@ -47,8 +66,9 @@ def scene_ranges(df: DataFrame, by: list[str], time: str, order: list[str], gap:
     return scenes(df, by, time, order, gap).groupBy(*by, "scene").agg(F.min(time).alias("start"), F.max(time).alias("end"), F.count("*").alias("frames"))
 
 
-def neighbours(hits: DataFrame, frames: DataFrame, by: str, time: str, within: int, hit_id: str = "hit_id") -> DataFrame:
+def neighbours(hits: DataFrame, frames: DataFrame, by: str, time: str, within: int, hit_id: str = "hit_id", owner: str | None = None) -> DataFrame:
     """(hit_id, frame columns) of frames at most ``within`` before or after a hit: an equi-join on buckets of time."""
+    hits, frames = (visible(hits, owner) if owner in hits.columns else hits), visible(frames, owner)
     bucket = lambda t: F.floor(t / within)
     h = hits.select(F.col(hit_id).alias("hit_id"), F.col(by).alias("__by"), F.col(time).alias("__at"), F.explode(F.array(*[bucket(F.col(time)) + d for d in (-1, 0, 1)])).alias("__bucket"))
     f = frames.withColumn("__frame_bucket", bucket(F.col(time)))
@@ -103,13 +123,18 @@ def hamming(a: Column, b: Column) -> Column:
 def similar_hashes(frames: DataFrame, frame_id: str = "frame_id", hash_: str = "phash", most: int = 3) -> DataFrame:
     """(a, b, distance) of frames whose hashes differ in ``most`` bits or fewer (3 at most).
 
-    Of four 16-bit parts, at least one is equal then: an equi-join on parts finds every pair. Frames with one hash are
+    Of six parts at least three are equal then: an equi-join on any three of them, 31 bits or more, finds every pair, and
+    few others: n hashes that spread well meet n * n / 2**33 times in each of the 20 joins. Frames with one hash are
     taken as one, the least id, so that copies do not multiply.
     """
     if most > 3:
-        raise ValueError("four parts find pairs of up to 3 differing bits")
+        raise ValueError("six parts find pairs of up to 3 differing bits")
     x = frames.groupBy(F.col(hash_).alias("h")).agg(F.min(frame_id).alias("id"))
-    parts = x.select("id", "h", F.posexplode(F.array(*[F.shiftrightunsigned("h", 16 * k).bitwiseAND(F.lit(0xFFFF)) for k in range(4)])).alias("k", "part"))
+    ends = [0, 11, 22, 33, 44, 54, 64]
+    masks = [((1 << q) - (1 << p)) for p, q in zip(ends[:-1], ends[1:], strict=True)]
+    three = [sum(c) for c in combinations(masks, 3)]
+    signed = [m - (1 << 64) if m >> 63 else m for m in three]
+    parts = x.select("id", "h", F.posexplode(F.array(*[F.col("h").bitwiseAND(F.lit(m).cast("long")) for m in signed])).alias("k", "part"))
     a, b = [parts.select("k", "part", F.col("id").alias(n), F.col("h").alias(f"h{n}")) for n in "ab"]
     return a.join(b, ["k", "part"]).filter("a < b").select("a", "b", hamming(F.col("ha"), F.col("hb")).alias("distance")).filter(F.col("distance") <= most).distinct()
 
@@ -135,3 +160,16 @@ def episode_text(rows: DataFrame, by: str, order: list[str], text: str) -> DataF
 def answer(df: DataFrame, least: float, score: str = "score") -> DataFrame:
     """basis: fact from ``least`` on, hypothesis below it, insufficient_data without a score."""
     return df.withColumn("basis", F.when(F.col(score).isNull(), "insufficient_data").when(F.col(score) >= least, "fact").otherwise("hypothesis"))
+
+
+def quality_score(mean: Column, variance: Column) -> Column:
+    """0 to 1 from the luma of a frame: flat (blurred, covered) and very dark or bright frames score low."""
+    contrast = F.least(variance / 400.0, F.lit(1.0))
+    return contrast * (1 - F.abs(mean - 127.5) / 127.5)
+
+
+def indexed(frames: DataFrame, least: float = 0.1, all_frames: bool = False) -> DataFrame:
+    """Frames (mean, variance) with their quality; those below ``least`` are left out of the index unless asked for, and stay
+    where they are stored."""
+    x = frames.withColumn("quality", quality_score(F.col("mean"), F.col("variance")))
+    return x if all_frames else x.filter(F.col("quality") >= least)

@@ -29,9 +29,11 @@ def authenticate(devices: DataFrame, token_hash: str) -> DataFrame:
 
 
 def redeem(invitations: DataFrame, archives: DataFrame, requests: DataFrame, now) -> DataFrame:
-    """Devices to append for requests (token_hash, device_token_hash, name): each valid invitation once, to the first request."""
+    """Devices to append for requests (token_hash, device_token_hash, name, ingest_seq): each valid invitation once, to the
+    request that came first; without an order of arrival, or of equal ones, to the least hash."""
     valid = invitations.filter(~F.col("consumed") & (F.col("expires_at") > F.lit(now))).join(archives.select(F.col("id").alias("archive_id"), "owner_id"), "archive_id")
-    first = requests.groupBy("token_hash").agg(F.min(F.struct("device_token_hash", "name")).alias("r"))
+    arrival = [c for c in ("ingest_seq",) if c in requests.columns]
+    first = requests.groupBy("token_hash").agg(F.min(F.struct(*arrival, "device_token_hash", "name")).alias("r"))
     from strandline.functions.scalars import new_id
 
     return valid.join(first, "token_hash").select(new_id(F.concat("token_hash", "r.device_token_hash")).alias("id"), "owner_id", "archive_id", F.col("r.device_token_hash").alias("token_hash"), F.col("r.name").alias("name"), F.lit(False).alias("revoked"), F.col("token_hash").alias("invitation_hash"))

@@ -26,10 +26,17 @@ def distribution(name: str) -> Column:
     return F.when(F.count(name) > 0, F.struct(nearest_rank(name, 0.5).cast("long").alias("p50"), nearest_rank(name, 0.95).cast("long").alias("p95"), F.max(name).alias("max")))
 
 
-def floor_rank(name: str, p: float = 0.95) -> Column:
-    """Element floor(p * (n - 1)), counted from 0: a second definition of a percentile, kept apart from the first."""
-    values = F.array_sort(F.collect_list(name))
-    return F.get(values, F.floor(F.lit(p) * (F.size(values) - 1)).cast("int"))
+def floor_ranks(df: DataFrame, by: str, value: str, p: float = 0.95, name: str = "floor_rank") -> DataFrame:
+    """For each group element floor(p * (n - 1)), counted from 0, of its sorted values: a second definition of a
+    percentile, kept apart from the first. Null where all values are null.
+
+    Equal values are counted before they move, and only running totals of distinct values are looked at.
+    """
+    n = df.groupBy(by, F.col(value).alias("__v")).agg(F.count(value).alias("__n"))
+    w = Window.partitionBy(by)
+    x = n.withColumn("__upto", F.sum("__n").over(w.orderBy("__v"))).withColumn("__all", F.sum("__n").over(w))
+    wanted = F.floor(F.lit(p) * (F.col("__all") - 1))
+    return x.groupBy(by).agg(F.min(F.when(F.col("__upto") > wanted, F.col("__v"))).alias(name))
 
 
 def gaps(attempts: DataFrame, by: str = "session_id", at: str = "request_elapsed_ms", order: str = "ingest_seq") -> DataFrame:
@@ -104,9 +111,12 @@ def session_diagnostics(sessions: DataFrame, samples: DataFrame, attempts: DataF
 
 
 def latest(df: DataFrame, by: list[str], order: str = "ingest_seq") -> DataFrame:
-    """The row of each group that was inserted last; wall clocks can go backwards, the insertion order cannot."""
-    w = Window.partitionBy(*by).orderBy(F.col(order).desc())
-    return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    """The row of each group that was inserted last; wall clocks can go backwards, the insertion order cannot.
+
+    Rows without an order are not looked at. One row a group and task is shuffled.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return df.filter(F.col(order).isNotNull()).groupBy(*by).agg(F.max_by(row, F.col(order)).alias("__r")).select("__r.*")
 
 
 def select_session(sessions: DataFrame, preferred: str | None = None) -> DataFrame:
@@ -206,9 +216,22 @@ def reportable(sessions: DataFrame) -> DataFrame:
 
 
 def daily_facts(frames: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
-    """For each day of saving: frames, bytes, time range, distinct contents (an extension)."""
+    """For each day of saving: frames, bytes, time range, distinct contents, and a checksum of all contents (an extension).
+
+    The checksum is the sum of the first 60 bits of the contents' hashes, so it does not depend on the order of frames.
+    With ``jobs`` (frame_id, state) also synced: whether each frame of the day has a job that is done.
+    """
+    x = frames.filter("state = 1").withColumn("__part", F.conv(F.substring("sha256", 1, 15), 16, 10).cast("decimal(38,0)"))
+    more = []
+    if jobs is not None:
+        done = jobs.groupBy(F.col("frame_id").alias("__frame")).agg(F.bool_or(F.col("state") == "done").alias("__done"))
+        x = x.join(done, F.col("id") == F.col("__frame"), "left")
+        more = [F.bool_and(F.coalesce("__done", F.lit(False))).alias("synced")]
     day = F.to_date(F.timestamp_millis("saved_wall_ms"))
-    return frames.filter("state = 1").groupBy(day.alias("day")).agg(F.count("*").alias("frames"), F.sum("bytes").alias("bytes"), F.min("saved_wall_ms").alias("first_ms"), F.max("saved_wall_ms").alias("last_ms"), F.count_distinct("sha256").alias("contents"))
+    return x.groupBy(day.alias("day")).agg(
+        F.count("*").alias("frames"), F.sum("bytes").alias("bytes"), F.min("saved_wall_ms").alias("first_ms"), F.max("saved_wall_ms").alias("last_ms"),
+        F.count_distinct("sha256").alias("contents"), F.sum("__part").cast("string").alias("checksum"), *more,
+    )
 
 
 def coverage(blocks: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandline import schemas
@@ -80,7 +80,9 @@ def session_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_A + f"SELECT session_id, {_sql_dist('gap_ms', 'gap')}, list_sort(list(gap_ms) FILTER (WHERE gap_ms IS NOT NULL))[floor(0.95 * (count(gap_ms) - 1))::BIGINT + 1] AS gap_floor95 FROM a GROUP BY session_id")
 def request_gap_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = sessions.gaps(_attempts(spark, sf_dir)).groupBy("session_id").agg(sessions.distribution("gap_ms").alias("gap"), sessions.floor_rank("gap_ms").alias("gap_floor95"))
+    gaps = sessions.gaps(_attempts(spark, sf_dir))
+    x = gaps.groupBy("session_id").agg(sessions.distribution("gap_ms").alias("gap"))
+    x = x.join(sessions.floor_ranks(gaps, "session_id", "gap_ms", 0.95, "gap_floor95"), "session_id")
     return x.select("session_id", *_dist(x, "gap"), "gap_floor95")
 
 
@@ -133,12 +135,33 @@ def uniform_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.sample_facts(x).join(steady, "session_id").select("session_id", "steady", "battery_delta")
 
 
-@_query(_A + "SELECT session_id, greatest((SELECT max(t) FROM e) - max(t), 0)::BIGINT AS sample_age_ms FROM a GROUP BY session_id")
+#: The clock of ``sample_age``: late in January 2024, before the last samples of some sessions.
+NOW = 1_706_300_000_000
+
+
+def _sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user as a session: open, complete (ended 5 s after the last event) or interrupted, by turns."""
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.min(_millis(F.col("ts"))).alias("first"), F.max(_millis(F.col("ts"))).alias("last"))
+    status = F.when(F.col("user_id") % 3 == 0, "OPEN").when(F.col("user_id") % 3 == 1, "COMPLETE").otherwise("INTERRUPTED")
+    return e.select(F.col("user_id").alias("id"), status.alias("completion_status"), F.col("first").alias("start_elapsed_ms"), F.when(status == "COMPLETE", F.col("last") + 5000).alias("end_elapsed_ms"))
+
+
+def _frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views as committed frames, clicks as pending ones."""
+    e = table(spark, sf_dir, "events").filter("event_type IN ('view', 'click')")
+    return e.select(F.col("user_id").alias("session_id"), F.when(F.col("event_type") == "view", 1).otherwise(0).alias("state"), (F.col("event_id") * 10).alias("bytes"), (F.col("event_id") % 3 + 1).cast("int").alias("actual_width"), (F.col("event_id") % 2 + 1).cast("int").alias("actual_height"))
+
+
+@_query(_A + f"""
+, x AS (SELECT session_id, CASE session_id % 3 WHEN 0 THEN 'OPEN' WHEN 1 THEN 'COMPLETE' ELSE 'INTERRUPTED' END AS s, min(t) AS a, max(t) AS z FROM e GROUP BY session_id),
+y AS (SELECT *, CASE s WHEN 'OPEN' THEN {NOW} WHEN 'COMPLETE' THEN z + 5000 END AS u FROM x),
+f AS (SELECT user_id AS session_id, count(*) AS n, sum(event_id * 10) AS b FROM events WHERE event_type = 'view' GROUP BY user_id),
+h AS (SELECT session_id, string_agg(w || 'x' || h || ' (' || n || ')', ', ' ORDER BY w, h) AS sizes FROM (SELECT user_id AS session_id, event_id % 3 + 1 AS w, event_id % 2 + 1 AS h, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY ALL) GROUP BY session_id)
+SELECT session_id, CASE WHEN u - a >= 0 THEN u - a END AS duration_ms, CASE WHEN u - z >= 0 THEN u - z END AS sample_age_ms, coalesce(n, 0) AS frames, coalesce(b, 0)::BIGINT AS frame_bytes, coalesce(sizes, 'unknown') AS actual_sizes
+FROM y LEFT JOIN f USING (session_id) LEFT JOIN h USING (session_id)""")
 def sample_age(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _attempts(spark, sf_dir)
-    now = a.agg(F.max("request_elapsed_ms").alias("now"))  # one row
-    last = a.groupBy("session_id").agg(F.max("request_elapsed_ms").alias("last"))
-    return last.crossJoin(F.broadcast(now)).select("session_id", F.greatest(F.col("now") - F.col("last"), F.lit(0)).alias("sample_age_ms"))
+    x = sessions.session_diagnostics(_sessions(spark, sf_dir), _samples(spark, sf_dir), _attempts(spark, sf_dir), _frames(spark, sf_dir), NOW)
+    return x.select("session_id", "duration_ms", "sample_age_ms", "frames", "frame_bytes", "actual_sizes")
 
 
 @_query("""
@@ -154,8 +177,6 @@ WITH x AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_
 y AS (SELECT *, min(ordinal) OVER (PARTITION BY user_id, k) AS f FROM x)
 SELECT user_id, event_id, ordinal, CASE WHEN k IS NOT NULL THEN dense_rank() OVER (PARTITION BY user_id, k IS NULL ORDER BY f) END AS key_ordinal, (epoch_us(ts) // 1000) - s AS offset_ms FROM y""")
 def report_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", F.nullif("event_type", F.lit("error")).alias("k"), _millis(F.col("ts")).alias("at"))
     x = sessions.first_seen_ordinals(sessions.ordinals(e, "user_id", ["ts", "event_id"]), "user_id", "k", ["ts", "event_id"])
     x = x.withColumn("start", F.min("at").over(Window.partitionBy("user_id")))
@@ -181,8 +202,8 @@ def exists_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT doc_id, md5(text) AS digest FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def unknown_originals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("digest"))
-    return recovery.unknown_originals(docs, table(spark, sf_dir, "labels"), ["doc_id"])
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return recovery.unknown_originals(docs, table(spark, sf_dir, "labels"), ["doc_id"]).select("doc_id", F.md5("text").alias("digest"))
 
 
 @_query("""
@@ -200,10 +221,13 @@ def reference_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""
-SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'missing' WHEN doc_id % 11 = 0 THEN 'changed' ELSE 'ok' END AS status FROM documents""")
+SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'unindexed' WHEN d.doc_id IS NULL THEN 'missing' WHEN strlen(text) <> n_chars THEN 'changed' ELSE 'ok' END AS status
+FROM (SELECT * FROM documents WHERE source <> 'src3') d FULL JOIN (SELECT doc_id, n_chars AS known FROM labels JOIN documents USING (doc_id)) l ON d.doc_id = l.doc_id""")
 def expected_vs_actual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    catalog = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").alias("bytes"))
-    files = table(spark, sf_dir, "documents").filter("doc_id % 7 <> 0").select("doc_id", (F.char_length("text") + F.when(F.col("doc_id") % 11 == 0, 1).otherwise(0)).cast("long").alias("bytes"))
+    """Files are the texts of all sources but one, in bytes; the catalog has the labelled documents, and their size in characters."""
+    docs = table(spark, sf_dir, "documents")
+    catalog = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select("doc_id", F.col("n_chars").cast("long").alias("bytes"))
+    files = docs.filter("source <> 'src3'").select("doc_id", F.octet_length("text").cast("long").alias("bytes"))
     return recovery.compare_sides(files, catalog, ["doc_id"])
 
 
@@ -220,22 +244,45 @@ def owner_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.join(table(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("c_custkey")).select("c_custkey", "o_orderkey", "o_totalprice")
 
 
-@_query("SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders WHERE o_orderkey % 3 = 0 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 1) GROUP BY o_custkey")
+@_query("SELECT o_custkey, min(o_orderkey) AS o_orderkey FROM orders WHERE o_orderkey % 3 <> 1 AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 1) GROUP BY o_custkey")
 def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey")
-    return manifest.insert_if_absent(o.filter("o_orderkey % 3 = 0"), o.filter("o_orderkey % 3 = 1"), ["o_custkey"], ["o_orderkey"])
+    return manifest.insert_if_absent(o.filter("o_orderkey % 3 <> 1"), o.filter("o_orderkey % 3 = 1"), ["o_custkey"], ["o_orderkey"])
 
 
 @_query("""
-WITH k AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_linenumber = 7), x AS (SELECT l_orderkey AS batch_id, l_partkey, l_quantity <= 45 AS valid, k.l_partkey IS NULL OR l_quantity > 3 AS same FROM lineitem LEFT JOIN k USING (l_partkey))
-SELECT batch_id, count(*) AS frames, CASE WHEN NOT bool_and(valid) OR count(*) <> count(DISTINCT l_partkey) THEN 'invalid_request' WHEN NOT bool_and(same) THEN 'conflict' ELSE 'accepted' END AS verdict FROM x GROUP BY batch_id""")
+WITH k AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_linenumber = 7),
+x AS (SELECT l_orderkey AS batch_id, (l_linenumber::BIGINT * 100000 + l_partkey) * 10000 + l_suppkey AS pos, l_partkey, l_quantity <= 45 AS valid, l_quantity::INTEGER % 9 = 0 AS other, k.l_partkey IS NOT NULL AS known FROM lineitem LEFT JOIN k USING (l_partkey)),
+y AS (SELECT *, CASE WHEN known THEN false ELSE first_value(CASE WHEN valid THEN other END IGNORE NULLS) OVER (PARTITION BY l_partkey ORDER BY batch_id, pos ROWS UNBOUNDED PRECEDING) END AS agreed, count(*) OVER (PARTITION BY batch_id, l_partkey) > 1 AS repeated FROM x)
+SELECT batch_id, count(*) AS frames, CASE WHEN NOT bool_and(valid AND NOT repeated) THEN 'invalid_request' WHEN NOT bool_and(coalesce(agreed = other AND valid, false)) THEN 'conflict' ELSE 'accepted' END AS verdict FROM y GROUP BY batch_id""")
 def batch_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.batch_verdicts(_batches(spark, sf_dir), _catalog(spark, sf_dir)).groupBy("batch_id", "verdict").agg(F.count("*").alias("frames")).select("batch_id", "frames", "verdict")
+
+
+def _metadata(part: Column, bytes_: Column, other: Column) -> Column:
+    """Metadata of the frame that a part stands for; ``other`` contents have another hash."""
+    none = F.lit(None)
+    m = F.struct(_uuid(part).alias("frame_id"), F.lit(1).alias("request_wall_ms"), F.sha2(F.concat_ws("-", part, other), 256).alias("sha256"), bytes_.alias("byte_length"), *[none.alias(n) for n in ("session_id", "request_elapsed_ms", "saved_wall_ms", "capture_settings", "profile")])
+    return m.cast(schemas.METADATA)
+
+
+def _uuid(x: Column) -> Column:
+    return F.concat(F.lpad(F.lower(F.hex(x)), 8, "0"), F.lit("-0000-4000-8000-000000000000"))
+
+
+def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as batches of frames, one for each line: too long from 46 pieces on, and with other contents for every ninth quantity."""
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
-    known = l.filter("l_linenumber = 7").select("l_partkey", F.lit(True).alias("known")).distinct()
-    x = l.select(F.col("l_orderkey").alias("batch_id"), "l_partkey", (F.col("l_quantity") <= 45).alias("valid"), "l_quantity").join(known, "l_partkey", "left")
-    same = F.col("known").isNull() | (F.col("l_quantity") > 3)
-    one = x.groupBy("batch_id").agg(F.count("*").alias("frames"), F.bool_and("valid").alias("valid"), F.bool_and(same).alias("same"), (F.size(F.collect_set("l_partkey")) == F.count("*")).alias("distinct"))
-    return one.select("batch_id", "frames", F.when(~F.col("valid") | ~F.col("distinct"), "invalid_request").when(~F.col("same"), "conflict").otherwise("accepted").alias("verdict"))
+    size = F.count("*").over(Window.partitionBy("l_orderkey")).cast("int")
+    other = F.col("l_quantity").cast("int") % 9 == 0
+    return l.select(F.col("l_orderkey").alias("batch_id"), F.lit("a").alias("archive_id"), size.alias("batch_size"), ((F.col("l_linenumber").cast("long") * 100_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")).alias("pos"), _metadata(F.col("l_partkey"), F.when(F.col("l_quantity") <= 45, 10).otherwise(0), other).alias("metadata"))
+
+
+def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of parts that stand seventh in an order; those of even parts are committed."""
+    l = table(spark, sf_dir, "lineitem").filter("l_linenumber = 7").select("l_partkey").distinct()  # noqa: E741
+    at = F.when(F.col("l_partkey") % 2 == 0, F.timestamp_seconds(F.lit(1_700_000_000) + F.col("l_partkey")))
+    return l.select(F.lit("a").alias("archive_id"), _uuid(F.col("l_partkey")).alias("id"), F.lit("o").alias("owner_id"), F.lit("d").alias("registering_device_id"), _metadata(F.col("l_partkey"), F.lit(10), F.lit(False)).alias("metadata"), at.alias("committed_at"))
 
 
 @_query("SELECT sha256(text) AS sha256, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY 1")
@@ -399,8 +446,6 @@ def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def top(df: DataFrame, *order: Column) -> DataFrame:
         """The top 100 of a channel, ranked: a report of fixed size."""
-        from pyspark.sql import Window
-
         return df.orderBy(*order).limit(100).withColumn("rank", F.row_number().over(Window.orderBy(*order))).select(F.col("event_id").alias("frame_id"), "rank")
 
     x = retrieval.fuse({"score": top(e.filter("event_type = 'error'"), F.desc("value"), F.asc("event_id")), "time": top(e.filter("value > 100"), F.desc("event_id"))})
@@ -419,27 +464,33 @@ def strict_json_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""
-SELECT l_orderkey AS batch_id, list_sort(list(l_linenumber)) AS lines, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY l_orderkey HAVING count(*) >= 6""")
+WITH k AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_linenumber = 7),
+x AS (SELECT l_orderkey AS batch_id, (l_linenumber::BIGINT * 100000 + l_partkey) * 10000 + l_suppkey AS pos, printf('%08x', l_partkey) || '-0000-4000-8000-000000000000' AS id, CASE WHEN k.l_partkey IS NOT NULL AND l_partkey % 2 = 0 THEN 'committed' ELSE 'pending' END AS state, l_orderkey % 4 = 0 AS bad FROM lineitem LEFT JOIN k USING (l_partkey))
+SELECT batch_id, CASE WHEN NOT bad THEN string_agg(id || ':' || state, ',' ORDER BY pos) END AS frames, CASE WHEN bad THEN 'conflict' END AS error FROM x GROUP BY batch_id, bad""")
 def batch_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Answers come back in input order: the places of a batch, sorted, and its distinct keys."""
-    l = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("batch_id"))  # noqa: E741
-    return l.agg(F.array_sort(F.collect_list("l_linenumber")).alias("lines"), F.count_distinct("l_partkey").alias("parts"), F.count("*").alias("n")).filter("n >= 6").drop("n")
+    """Answers come back in input order: the states of each batch's frames, or its error."""
+    verdict = F.when(F.col("batch_id") % 4 == 0, "conflict").otherwise("accepted")
+    x = _batches(spark, sf_dir).select("batch_id", "archive_id", "pos", F.col("metadata.frame_id").alias("frame_id"), verdict.alias("verdict"))
+    x = manifest.responses(x, _catalog(spark, sf_dir))
+    return x.select("batch_id", F.array_join(F.transform("frames", lambda f: F.concat_ws(":", f["frame_id"], f["state"])), ",").alias("frames"), "error")
 
 
-@_query("SELECT l_orderkey, l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
+@_query("SELECT l_partkey, l_suppkey, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.duplicates(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey", "l_suppkey"])
+    return quality.duplicates(table(spark, sf_dir, "lineitem"), ["l_partkey", "l_suppkey"])
 
 
-@_query("SELECT o_custkey, CASE WHEN count(o_orderkey) = 0 THEN 0 ELSE count(o_orderkey) END AS n FROM (SELECT c_custkey AS o_custkey FROM customer WHERE c_nationkey < 5) LEFT JOIN orders USING (o_custkey) GROUP BY o_custkey HAVING count(o_orderkey) <> 1")
+@_query("SELECT c_custkey AS o_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey HAVING count(o_orderkey) <> 1")
 def exactly_one_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wanted = table(spark, sf_dir, "customer").filter("c_nationkey < 5").select(F.col("c_custkey").alias("o_custkey"))
+    wanted = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"))
     return quality.exactly_one(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), wanted, ["o_custkey"])
 
 
-@_query("SELECT o_orderstatus AS value, count(*) AS n FROM orders WHERE o_orderstatus NOT IN ('O', 'F') GROUP BY o_orderstatus")
+@_query("SELECT 'result' AS \"column\", o_orderpriority AS value, count(*) AS n FROM orders WHERE o_orderpriority <> '1-URGENT' GROUP BY o_orderpriority")
 def closed_set_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").filter(~F.col("o_orderstatus").isin("O", "F")).groupBy(F.col("o_orderstatus").alias("value")).agg(F.count("*").alias("n"))
+    """Priorities as results of attempts: urgent ones were saved, the others are no result at all."""
+    result = F.when(F.col("o_orderpriority") == "1-URGENT", "SAVED").otherwise(F.col("o_orderpriority"))
+    return quality.enum_violations(table(spark, sf_dir, "orders").select(result.alias("result")), "capture_attempts")
 
 
 @_query("""
@@ -455,7 +506,7 @@ SELECT event_id, (epoch_us(ts) // 3600000000) || ':' || lpad(((epoch_us(ts) // 6
   strftime(ts, '%Y%m%d-%H%M%S') AS stamp, strftime(ts, '%Y-%m-%dT%H:%M:%S') || rtrim(rtrim('.' || lpad((epoch_us(ts) % 1000000)::VARCHAR, 6, '0'), '0'), '.') || 'Z' AS rfc3339 FROM events""")
 def time_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = _millis(F.col("ts"))
-    return table(spark, sf_dir, "events").select("event_id", scalars.duration_text(at).alias("clock"), F.date_format("ts", "yyyyMMdd-HHmmss").alias("stamp"), scalars.rfc3339(F.col("ts")).alias("rfc3339"))
+    return table(spark, sf_dir, "events").select("event_id", scalars.duration_text(at).alias("clock"), scalars.path_stamp(at).alias("stamp"), scalars.rfc3339(F.col("ts")).alias("rfc3339"))
 
 
 @_query("""
@@ -474,19 +525,18 @@ def keyframes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""
-WITH h AS (SELECT vec_id, list_sum([CASE WHEN embedding[i + 1] > 0 THEN 1::BIGINT << i ELSE 0 END FOR i IN range(63)])::BIGINT AS h FROM embeddings), u AS (SELECT h, min(vec_id) AS id FROM h GROUP BY h)
+WITH h AS (SELECT p_partkey AS id, (p_size::BIGINT * 40503 * 65536) + (p_partkey::BIGINT % 32) * 5 + (CASE WHEN p_partkey % 5 = 0 THEN 4611686018427387904 ELSE 0 END) AS h FROM part), u AS (SELECT h, min(id) AS id FROM h GROUP BY h)
 SELECT a.id AS a, b.id AS b, bit_count(xor(a.h, b.h))::INTEGER AS distance FROM u a JOIN u b ON a.id < b.id AND bit_count(xor(a.h, b.h)) <= 3""")
 def similar_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bits = F.aggregate(F.sequence(F.lit(0), F.lit(62)), F.lit(0).cast("long"), lambda h, i: h.bitwiseOR(F.when(F.get(F.col("embedding"), i) > 0, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))))
-    return retrieval.similar_hashes(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame_id"), bits.alias("phash")))
+    """Hashes of parts that differ between sizes in many bits, and within a size in few."""
+    h = F.col("p_size").cast("long") * 40503 * 65536 + F.col("p_partkey") % 32 * 5 + F.when(F.col("p_partkey") % 5 == 0, F.lit(1 << 62)).otherwise(F.lit(0).cast("long"))
+    return retrieval.similar_hashes(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("frame_id"), h.alias("phash")))
 
 
 @_query("""
 WITH q AS (SELECT user_id AS query_id, event_id AS item_id, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank, event_type = 'error' AS good FROM events), b AS (SELECT query_id, min(rank) FILTER (WHERE good) AS best FROM q GROUP BY query_id HAVING bool_or(good))
 SELECT round(avg((best <= 5)::INTEGER), 6) AS recall_5, round(avg((best <= 20)::INTEGER), 6) AS recall_20, round(avg((best <= 100)::INTEGER), 6) AS recall_100 FROM b""")
 def recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("query_id"), F.col("event_id").alias("item_id"), "event_type", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("value"), "event_id")).alias("rank"))
     x = retrieval.recall_at(e, e.filter("event_type = 'error'").select("query_id", "item_id"), [5, 20, 100])
     return x.select(*[F.round(c, 6).alias(c) for c in x.columns])
@@ -507,15 +557,18 @@ def episode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.episode_text(c, "c_nationkey", ["c_custkey"], "c_mktsegment").select("c_nationkey", F.array_join("texts", ",").alias("segments"))
 
 
-@_query("SELECT CAST(ts AS DATE) AS day, count(*) AS frames, min(epoch_us(ts) // 1000) AS first_ms, max(epoch_us(ts) // 1000) AS last_ms, count(DISTINCT event_type) AS contents FROM events GROUP BY 1")
+@_query("SELECT CAST(ts AS DATE) AS day, count(*) AS frames, min(epoch_us(ts) // 1000) AS first_ms, max(epoch_us(ts) // 1000) AS last_ms, count(DISTINCT event_type) AS contents, sum(('0x' || substr(sha256(event_type), 1, 15))::BIGINT)::VARCHAR AS checksum FROM events GROUP BY 1")
 def daily_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select(F.lit(1).alias("state"), F.lit(1).alias("bytes"), _millis(F.col("ts")).alias("saved_wall_ms"), F.col("event_type").alias("sha256"))
+    e = table(spark, sf_dir, "events").select(F.lit(1).alias("state"), F.lit(1).alias("bytes"), _millis(F.col("ts")).alias("saved_wall_ms"), F.sha2("event_type", 256).alias("sha256"))
     return sessions.daily_facts(e).drop("bytes")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from strandline.plans import rules  # noqa: F401  registers its queries
+
     return {name: q for name, (q, _) in _CATALOGUE.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return {name: sql for name, (_, sql) in _CATALOGUE.items() if sql}

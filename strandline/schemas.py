@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 VERSION = 4
@@ -88,6 +89,23 @@ def create_tables(spark: SparkSession, database: str | None = None) -> None:
         spark.sql(f"CREATE TABLE IF NOT EXISTS {where}`{name}` ({ddl}) USING parquet")
 
 
+def catalog_columns(spark: SparkSession, database: str | None = None) -> DataFrame:
+    """(table, column, type) of all tables that the session's catalog has; names only, so the size is that of the schema."""
+    names = [t.name for t in spark.catalog.listTables(database) if not t.isTemporary]
+    found = [(n, c.name, c.dataType) for n in names for c in spark.catalog.listColumns(f"`{database}`.`{n}`" if database else f"`{n}`")]
+    return spark.createDataFrame(found, "table string, column string, type string")
+
+
+def catalog_differences(spark: SparkSession, database: str | None = None) -> DataFrame:
+    """(table, column, status) where the catalog and the schemas of this module do not agree: missing, extra or type."""
+    expected = [(t, f.name, f.dataType.simpleString()) for t in DDL for f in schema(t).fields]
+    want = spark.createDataFrame(expected, "table string, column string, wanted string")
+    ours = want.select("table").distinct()
+    both = catalog_columns(spark, database).join(ours, "table", "left_semi").join(want, ["table", "column"], "full_outer")
+    status = F.when(F.col("type").isNull(), "missing").when(F.col("wanted").isNull(), "extra").when(F.col("type") != F.col("wanted"), "type")
+    return both.select("table", "column", status.alias("status")).filter("status IS NOT NULL")
+
+
 def error_dimension(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ERRORS, "code string, http_status int, retryable boolean")
 

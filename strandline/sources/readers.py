@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -77,14 +76,15 @@ def keyset_page(df: DataFrame, columns: list[str], after: list | None = None, si
 
 
 def originals(spark: SparkSession, folder: str, content: bool = False, most: int = scalars.MAX_BYTES) -> DataFrame:
-    """(name, bytes, modified[, content]) of the files of a folder; contents only of files up to ``most`` bytes.
+    """(name, bytes, modified[, content]) of the files of a folder; the content of a file of more than ``most`` bytes is null.
 
     Without contents nothing but the listing is read. Spark passes over names that begin with a dot or underscore: see ``staged``.
     """
     files = spark.read.format("binaryFile").load(folder)
     name = F.element_at(F.split("path", "/"), -1)
     if content:
-        return files.filter(F.col("length") <= most).select(name.alias("name"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), "content")
+        small = F.when(F.col("length") <= most, F.col("content"))
+        return files.select(name.alias("name"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"), small.alias("content"))
     return files.select(name.alias("name"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
 
 
@@ -132,7 +132,3 @@ def media(entries: DataFrame, *conditions: Column, pending: bool = False, trashe
     if not trashed:
         entries = entries.filter(~F.col("trashed"))
     return where(entries, *conditions).select(*columns)
-
-
-def local_files(folder: str) -> list[str]:
-    return sorted(os.listdir(folder))

@@ -7,14 +7,15 @@ import json
 import zipfile
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions import scalars
 from strandline.operators.manifest import insert_if_absent
-from strandline.operators.sessions import first_seen_ordinals, ordinals, reportable
+from strandline.operators.sessions import first_seen_ordinals, latest, ordinals, reportable
 
 REPORT_SCHEMA = "strandline-long-run-report-v1"
+# The columns of the report's tables, in their order.
 SESSION_COLUMNS = {
     "session_ordinal": "session_ordinal", "profile_id": "profile_id", "requested_width": "requested_width", "requested_height": "requested_height", "quality": "jpeg_quality", "start_offset_ms": "start_offset_ms", "end_offset_ms": "end_offset_ms",
     "recovery_detected": "recovery_detected", "terminal_reason": "terminal_reason", "completion_status": "completion_status", "manufacturer": "manufacturer", "model": "model", "android_release": "android_release", "sdk_int": "sdk_int",
@@ -126,7 +127,7 @@ def csv_text(df: DataFrame) -> str:
 
 
 def manifest_json() -> str:
-    return json.dumps({"schema": REPORT_SCHEMA, "session_ordinal": 1, "measurement_scope": "battery and temperature values are measured for the whole device", "latency_scope": "pipeline: request to commit; save: drained to commit; neither is shutter time", "timing_scope": "all times are milliseconds since the start of the session"}, separators=(",", ":")) + "\n"
+    return json.dumps({"schema": REPORT_SCHEMA, "session_ordinal": 1, "invocation_scope": "one session that has ended, chosen by whoever asks for the report", "measurement_scope": "battery and temperature values are measured for the whole device", "latency_scope": "pipeline: request to commit; save: drained to commit; neither is shutter time", "timing_scope": "all times are milliseconds since the start of the session"}, separators=(",", ":")) + "\n"
 
 
 def zip_bytes(entries: dict[str, str]) -> bytes:
@@ -139,7 +140,10 @@ def zip_bytes(entries: dict[str, str]) -> bytes:
 
 
 def long_run_report(sessions: DataFrame, samples: DataFrame, attempts: DataFrame, session_id: str) -> bytes | None:
-    """The report of one ended session as a ZIP of four entries; None while it is open or unknown."""
+    """The report of one ended session as a ZIP of four entries; None while it is open or unknown.
+
+    A ZIP is one file made in one place: the lines of this one session reach the driver. For all sessions use ``csv_lines``.
+    """
     one = reportable(sessions).filter(F.col("id") == session_id)
     if one.isEmpty():
         return None
@@ -148,8 +152,7 @@ def long_run_report(sessions: DataFrame, samples: DataFrame, attempts: DataFrame
 
 
 def last_state(changes: DataFrame, keys: list[str], order: str) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(F.col(order).desc())
-    return changes.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    return latest(changes, keys, order)
 
 
 def all_of(*conditions: Column) -> Column:
