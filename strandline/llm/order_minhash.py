@@ -20,7 +20,8 @@ from strandline.llm import shared
 from strandline.llm import textbytes as tb
 
 K, SLOTS, TUPLE = 12, 64, 2
-#: Bits for the text, the k-mer's code, its rank in a bin and its place, when texts are sorted together.
+#: Bits for the text, the head of the k-mer's hash, that of its rank in a bin, and its place, when texts are sorted together.
+#: Where heads are equal, whole 64-bit hashes decide.
 _TEXT, _CODE, _RANK, _PLACE = 12, 30, 24, 22
 
 
@@ -47,7 +48,16 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
     code = kmer >> np.uint64(64 - _CODE)
     order = _sorted(text, code, _CODE, place)
     first = np.ones(len(order), bool)
-    first[1:] = (code[order][1:] != code[order][:-1]) | (text[order][1:] != text[order][:-1])
+    by_text, by_kmer = text[order], kmer[order]
+    first[1:] = (by_kmer[1:] != by_kmer[:-1]) | (by_text[1:] != by_text[:-1])
+    mixed = np.flatnonzero(first[1:] & (code[order][1:] == code[order][:-1]) & (by_text[1:] == by_text[:-1])) + 1
+    if len(mixed):  # different k-mers with one head: put them into the order of their whole hashes
+        heads = np.flatnonzero(np.concatenate(([True], (code[order][1:] != code[order][:-1]) | (by_text[1:] != by_text[:-1]), [True])))
+        for run in np.unique(np.searchsorted(heads, mixed, "right") - 1).tolist():
+            part = order[heads[run] : heads[run + 1]]
+            order[heads[run] : heads[run + 1]] = part[np.lexsort((part, kmer[part]))]
+        by_kmer = kmer[order]
+        first[1:] = (by_kmer[1:] != by_kmer[:-1]) | (by_text[1:] != by_text[:-1])
     number = np.empty(len(order), np.int64)
     number[order] = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
     element = tb.mix(kmer ^ tb.mix(number.astype(np.uint64), 3), 4)
@@ -57,6 +67,10 @@ def fingerprints(texts: list[bytes]) -> np.ndarray:
     group = text[order] * SLOTS + slot[order].astype(np.int64)
     begin = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1]))) if len(group) else np.empty(0, np.int64)
     size = np.diff(np.append(begin, len(group)))
+    more = np.flatnonzero(size > TUPLE)
+    for g in more[middle[order[begin[more] + TUPLE - 1]] == middle[order[begin[more] + TUPLE]]].tolist():
+        part = order[begin[g] : begin[g] + size[g]]  # heads are equal where the least elements end
+        order[begin[g] : begin[g] + size[g]] = part[np.lexsort((part, element[part]))]
     picked = np.stack([np.where(size > k, order[np.minimum(begin + k, len(order) - 1)], np.iinfo(np.int64).max) for k in range(TUPLE)], axis=1) if len(begin) else np.empty((0, TUPLE), np.int64)
     picked.sort(axis=1)  # text order
     value = np.zeros(len(begin), np.uint64)

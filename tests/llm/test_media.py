@@ -80,10 +80,9 @@ def plain_fingerprints(text):
     kmers = [int(tb.mix(tb.spans(prefix, np.array([k]), np.array([min(k + om.K, len(text))])))[0]) for k in range(n)]
     seen, slots = {}, {}
     for k, x in enumerate(kmers):
-        code = x >> (64 - om._CODE)
-        seen[code] = seen.get(code, -1) + 1
-        e = int(tb.mix(np.array([x ^ int(tb.mix(np.array([seen[code]], np.uint64), 3)[0])], np.uint64), 4)[0])
-        slots.setdefault(e % om.SLOTS, []).append((e >> (64 - om._RANK), k))
+        seen[text[k : k + om.K]] = seen.get(text[k : k + om.K], -1) + 1
+        e = int(tb.mix(np.array([x ^ int(tb.mix(np.array([seen[text[k : k + om.K]]], np.uint64), 3)[0])], np.uint64), 4)[0])
+        slots.setdefault(e % om.SLOTS, []).append((e, k))
     out = [0] * om.SLOTS
     for s, x in slots.items():
         value = np.zeros(1, np.uint64)
@@ -102,6 +101,33 @@ def test_fingerprints_match_a_plain_version(monkeypatch):
         assert g.tolist() == plain_fingerprints(t)
     monkeypatch.setattr(om, "_PLACE", 3)
     assert (om.fingerprints(texts) == got).all()
+    monkeypatch.undo()
+    for code, rank in ((3, 24), (30, 2), (5, 5)):  # short heads: many k-mers and elements share one, whole hashes decide
+        monkeypatch.setattr(om, "_CODE", code)
+        monkeypatch.setattr(om, "_RANK", rank)
+        assert (om.fingerprints(texts) == got).all()
+
+
+def test_long_texts_keep_their_kmers_apart():
+    """A text of 1.5 MB: far more k-mers than a head of 30 bits can tell apart."""
+    rnd = np.random.default_rng(8)
+    text = rnd.integers(97, 123, 1_500_000).astype(np.uint8).tobytes()
+    got = om.fingerprints([text])[0]
+    from strandline.llm import textbytes as tb
+
+    prefix = tb.sums(tb.byte_values(np.frombuffer(text, np.uint8)))
+    kmer = tb.mix(tb.fixed_spans(prefix, om.K))
+    order = np.argsort(kmer, kind="stable")
+    first = np.concatenate(([True], kmer[order][1:] != kmer[order][:-1]))
+    number = np.empty(len(kmer), np.int64)
+    number[order] = np.arange(len(kmer)) - np.maximum.accumulate(np.where(first, np.arange(len(kmer)), 0))
+    element = tb.mix(kmer ^ tb.mix(number.astype(np.uint64), 3), 4)
+    for s in range(om.SLOTS):
+        own = np.flatnonzero(element % np.uint64(om.SLOTS) == s)
+        value = np.zeros(1, np.uint64)
+        for i, k in enumerate(np.sort(own[np.argsort(element[own], kind="stable")[: om.TUPLE]])):
+            value = tb.mix(value ^ kmer[k], 10 + i)
+        assert int(value[0]) >> 48 == int(got[s])
 
 
 def test_order_matters():
