@@ -31,11 +31,14 @@ from strandline.llm.components import components
 BINS, SKETCH, WHOLE = 512, 16, 1600
 #: Standard deviations by which the estimate from bins may fall short and the pair still passes.
 SLACK = 5
-#: Pairs of one first document, and rows of one band, for a task; of more, each part gets a copy of the other side.
-PAIRS, ROWS = 2000, 20_000
+#: Pairs of one first document for a task, and rows of either side of one band; larger bands are dealt out as a grid of
+#: parts of the asking rows by parts of all rows, so that a task compares ROWS by ROWS at most.
+PAIRS, ROWS = 2000, 3000
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SEEDS = np.random.default_rng(7).integers(1, 1 << 63, (2, 1024), dtype=np.uint64)
+#: MinHash values that there are seeds for.
+VALUES = 1024
+_SEEDS = np.random.default_rng(7).integers(1, 1 << 63, (2, VALUES), dtype=np.uint64)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> list[np.ndarray]:
@@ -283,24 +286,30 @@ def similarity_links(nodes: DataFrame, docs: DataFrame, size: int, part: int, wh
     n = members.agg(F.approx_count_distinct("id")).first()[0]
     texts = shared.keep(docs.mapInArrow(_named(spark.sparkContext.broadcast(bloom.build(keys, "key", n))), "id long, text string").join(wanted, "id", "left_semi"), "texts")
     links = shared.keep(confirm(tested, texts, size, part, whole), "links")
-    most = 1
+    most, labels = 1, components(links)
     while True:
-        labels = components(links)
         labelled = members.join(labels, "id", "left").select("band", "id", F.coalesce("comp", "id").alias("comp"))
         open_bands = labelled.groupBy("band").agg(F.min("comp").alias("least"), F.max("comp").alias("top"), F.mode("comp").alias("main"), F.count("*").alias("size")).filter("least < top")
-        parts = F.ceil(F.col("size") / ROWS).cast("int")
-        open_rows = shared.keep(labelled.join(open_bands, "band").join(sketches, "id").select("band", "id", "comp", "n", "sketch", "main", parts.alias("parts")), "open")
-        held = open_rows.select("band", "id", "comp", "n", "sketch", F.lit(False).alias("asks"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"))
-        asking = open_rows.filter("comp <> main").select("band", "id", "comp", "n", "sketch", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+        rows_of = shared.keep(labelled.join(open_bands, "band").select("band", "id", "comp", (F.col("comp") != F.col("main")).alias("asking")), "open")
+        grid = rows_of.groupBy("band").agg(F.ceil(F.count_if("asking") / ROWS).cast("int").alias("down"), F.ceil(F.count("*") / ROWS).cast("int").alias("across"))
+        open_rows = rows_of.join(grid, "band").join(sketches, "id")
+        place = lambda side: F.pmod(F.xxhash64("id"), F.col(side)).cast("int")
+        each = lambda side: F.explode(F.sequence(F.lit(0), F.col(side) - 1))
+        held = open_rows.withColumn("d", each("down")).select("band", "id", "comp", "n", "sketch", F.lit(False).alias("asks"), (F.col("d") * F.col("across") + place("across")).alias("part"))
+        asking = open_rows.filter("asking").withColumn("a", each("across")).select("band", "id", "comp", "n", "sketch", F.lit(True).alias("asks"), (place("down") * F.col("across") + F.col("a")).alias("part"))
         dealt = held.unionByName(asking).repartition(shared.partitions(spark), "band", "part").sortWithinPartitions("band", "part")
         found = shared.keep(dealt.mapInArrow(_across(similarity, most), "a long, b long, cut long"), "across")
         more = shared.keep(found.filter("a IS NOT NULL").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "pairs")
         if not more.isEmpty():
+            old = (links, tested)
             links = shared.keep(links.unionByName(confirm(more, texts, size, part, whole)), "links")
             tested = shared.keep(tested.unionByName(more), "pairs")
+            shared.drop(spark, *old, more, rows_of)
+            labels = components(links)
         cut = found.filter("cut IS NOT NULL").select(F.col("cut").alias("band")).distinct()
         if cut.isEmpty():  # all pairs across components that pass have been compared
-            return components(links)
+            shared.drop(spark, texts, links, tested, found)
+            return labels
         members = members.join(cut, "band", "left_semi")
         most *= 64
 
@@ -316,6 +325,8 @@ def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     linked with nothing. Equal texts are linked. Rows with one doc_id count as one document. A row without doc_id gets
     the component of an equal text that has one, if any, or else null, and is then kept. An empty table gives an empty one.
     """
+    if bands * rows > VALUES:
+        raise ValueError(f"bands * rows must be {VALUES} at most")
     shared.lean(docs.sparkSession)
     packed = shared.packed(docs, doc_id, text)
     plain = packed.select(F.col(f"__{doc_id}").cast("long").alias("__id"), F.col(f"__{text}").alias("__text"))
