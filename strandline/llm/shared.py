@@ -7,6 +7,7 @@ executors share; a lost executor costs its running tasks only.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -15,9 +16,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local one is set only where the setting is absent (tests)."""
+    """The cluster's shared folder; a local one is set only where the setting is absent and all runs on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "strandline-shared")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
