@@ -8,6 +8,7 @@ from fixtures import DOCS, covered_bytes, covered_words, odd_rows, passage
 from strandline.llm import bloom, repeats
 import strandline.llm.suffix_dedup as suffix_dedup_module
 from strandline.llm import textbytes as tb
+from strandline.llm.substring_dedup import SuperKmers
 from strandline.llm.substring_dedup import spec as word_spec
 from strandline.llm.substring_dedup import substring_dedup
 from strandline.llm.suffix_dedup import spec as byte_spec
@@ -48,11 +49,83 @@ def test_hot_keys_are_dealt_out_twice(spark, monkeypatch):
     check_bytes(suffix_dedup(df, length=200), rows, 200)
 
 
-def test_small_runs_of_texts(spark, monkeypatch):
-    monkeypatch.setattr(repeats, "SORTED", 500)
-    monkeypatch.setattr(repeats, "STRETCH", 64)
-    rows = hot_rows()
-    check_words(substring_dedup(spark.createDataFrame(rows, DOCS)), rows, 35)
+class Held:
+    """Stands for a broadcast value."""
+
+    def __init__(self, value):
+        self.value = value
+
+
+def packed(rows, unit):
+    """Batches of three rows (key, uid, start, packed), sorted by key."""
+    import pyarrow as pa
+
+    for k in range(0, len(rows), 3):
+        columns = list(zip(*rows[k : k + 3], strict=True))
+        yield pa.record_batch([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.binary())], names=["key", "uid", "start", "packed"])
+
+
+@pytest.mark.parametrize("unit", ["word", "byte"])
+@pytest.mark.parametrize("most", [1, 60, 1 << 19])
+def test_small_runs_of_strings(monkeypatch, unit, most):
+    """However few bytes are sorted at once, one key's strings meet; equal strings, and strings that repeat themselves, too."""
+    monkeypatch.setattr(repeats, "SORTED", most)
+    x = repeats.Spec(unit, 4, 2, 2)
+    texts = [b"a b c d e f", b"z a b c d e", b"a b c d e f", b"q q q q q q q", b"ore here per se", b"a b c d"]
+    own_letters = {1: bytes.maketrans(b"", b""), 2: bytes.maketrans(b"abqer", b"ABQER"), 3: bytes.maketrans(b"abqer", b"12345")}  # equal windows have one key
+    rows = sorted((key, 10 * key + k, 7 * k, t.translate(own_letters[key])) for key in (1, 2, 3) for k, t in enumerate(texts[: 3 + key]))
+    want = set()
+    for key in (1, 2, 3):
+        own = [(u, s, t.split() if unit == "word" else [bytes([c]) for c in t]) for k2, u, s, t in rows if k2 == key]
+        n = Counter(tuple(w[i : i + 4]) for _, _, w in own for i in range(len(w) - 3))
+        want |= {(u, s + i) for u, s, w in own for i in range(len(w) - 3) if n[tuple(w[i : i + 4])] > 1}
+    got = Counter()
+    for batch in repeats._sorted_windows(x)(packed(rows, unit)):
+        for r in batch.to_pylist():
+            got.update((r["uid"], k) for k in range(r["s"], r["e"]))
+    assert set(got) == want and set(got.values()) <= {1}
+
+
+@pytest.mark.parametrize("unit", ["word", "byte"])
+def test_windows_marked_by_chance_are_taken_back(unit):
+    """With filters that let everything pass, what is taken back are the windows that are found once."""
+    import pyarrow as pa
+
+    x = repeats.Spec(unit, 4, 2, 2)
+    search = SuperKmers(x)
+    texts = [b"a b  c d e f", b"z a b\tc d e", b"q q q q q q q", b"ore here per se"]
+    data, at = np.frombuffer(b"".join(texts), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    text, marks = search.marks(repeats.Units(x, data, at))
+    column = repeats.write_marks(marks, np.searchsorted(text, np.arange(len(texts) + 1)))
+    batch = pa.record_batch([pa.array([5, 6, 7, 8], pa.int64()), pa.array(texts, pa.binary()), column], names=["uid", "__text", "marks"])
+    everything = Held(b"\xff" * 1024)
+    run = repeats._hot_marks(x, lambda uids, m: np.ones(len(m), bool), everything, everything)
+    rows = [r for b in run(iter([batch])) for r in b.to_pylist()]
+    marked = {(r["uid"], k) for r in rows if r["digest"] is None for k in range(r["s"], r["e"])}
+    once = {(r["uid"], r["s"]) for r in rows if r["digest"] is not None and r["n"] == 1}
+    units = {u: (t.split() if unit == "word" else [bytes([c]) for c in t]) for u, t in zip((5, 6, 7, 8), texts, strict=True)}
+    n = Counter(tuple(w[i : i + 4]) for w in units.values() for i in range(len(w) - 3))
+    assert marked == {(u, i) for u, w in units.items() for i in range(len(w) - 3)}
+    assert marked - once == {(u, i) for u, w in units.items() for i in range(len(w) - 3) if n[tuple(w[i : i + 4])] > 1}
+    prints = [r for b in repeats._hot_prints(x, lambda uids, m: np.ones(len(m), bool), everything)(iter([batch])) for r in b.to_pylist()]
+    assert sum(r["n"] for r in prints) == sum(n.values())
+
+
+def test_long_texts(spark):
+    """A text of several MB, which repeats itself here and there and has a copy of a part elsewhere."""
+    rnd = np.random.default_rng(12)
+    long = rnd.integers(97, 123, 3_000_000).astype(np.uint8)
+    long[rnd.random(len(long)) < 0.15] = 32
+    long[2_000_000:2_000_700] = long[1_000_000:1_000_700]
+    text = long.tobytes().decode()
+    part = "x" * 50 + text[500_000:500_900] + "y" * 50
+    docs = spark.createDataFrame([(1, text), (2, part)], "doc_id long, text string")
+    a, b = suffix_dedup(docs).orderBy("doc_id").collect()
+    # neighbours may agree by chance, by a byte or two
+    assert 2 * 700 + 900 <= a.n_removed <= 2 * 704 + 904 and a.n_spans == 3 and 900 <= b.n_removed <= 904 and b.n_spans == 1
+    assert len(a.kept) == len(text) - a.n_removed
+    a, b = substring_dedup(docs).orderBy("doc_id").collect()
+    assert a.n_spans == 3 and b.n_spans == 1 and a.n_words == len(text.split())
 
 
 def test_equal_fingerprints_are_told_apart(monkeypatch):
