@@ -112,6 +112,8 @@ def test_scope(spark):
     req = spark.createDataFrame([("t", "x", "n"), ("t", "y", "n"), ("u", "z", "n")], "token_hash string, device_token_hash string, name string")
     new = scope.redeem(inv, arch, req, datetime.datetime(2025, 1, 1))
     assert [(r.token_hash, r.archive_id) for r in new.collect()] == [("x", "a")]
+    later = req.withColumn("ingest_seq", F.when(F.col("device_token_hash") == "y", 1).otherwise(2))
+    assert [r.token_hash for r in scope.redeem(inv, arch, later, datetime.datetime(2025, 1, 1)).collect()] == ["y"]  # the first to ask
     assert sinks.consume(inv, new).filter("consumed").count() == 1
     assert scope.authenticate(new, "x").count() == 1 and scope.authenticate(sinks.revoke(new, new.first().id), "x").count() == 0
 
@@ -179,3 +181,23 @@ def test_scalars(spark):
 def test_conditional_rules(spark):
     df = spark.createDataFrame([("pending", None, "unavailable", True), ("committed", None, "conflict", True)], "state string, receipt string, code string, retryable boolean")
     assert [tuple(r) for r in df.select(*[c.alias(n) for n, c in quality.document_violations().items()]).collect()] == [(True, True), (False, False)]
+
+
+def test_catalog_differences(spark):
+    spark.sql("CREATE DATABASE IF NOT EXISTS strandline_test")
+    try:
+        schemas.create_tables(spark, "strandline_test")
+        assert schemas.catalog_differences(spark, "strandline_test").count() == 0
+        spark.sql("DROP TABLE strandline_test.owners")
+        spark.sql("CREATE TABLE strandline_test.owners (id INT, more STRING) USING parquet")
+        got = {(r.table, r.column, r.status) for r in schemas.catalog_differences(spark, "strandline_test").collect()}
+        assert got == {("owners", "id", "type"), ("owners", "more", "extra")}
+    finally:
+        spark.sql("DROP DATABASE strandline_test CASCADE")
+
+
+def test_large_originals_are_told(spark, tmp_path):
+    (tmp_path / "a.jpg").write_bytes(b"12345")
+    (tmp_path / "b.jpg").write_bytes(b"1")
+    got = {r["name"]: r["content"] for r in readers.originals(spark, f"file://{tmp_path}", content=True, most=3).collect()}
+    assert got["a.jpg"] is None and bytes(got["b.jpg"]) == b"1"

@@ -40,3 +40,29 @@ def test_neighbours_at_edges(spark):
     hits = spark.createDataFrame([(1, "u", 1000)], "hit_id long, u string, t long")
     frames = spark.createDataFrame([("u", t) for t in (899, 900, 1000, 1100, 1101)] + [("v", 1000)], "u string, t long")
     assert sorted(x.t for x in r.neighbours(hits, frames, "u", "t", 100).collect()) == [900, 1000, 1100]
+
+
+def test_every_channel_is_scoped(spark):
+    from strandline.operators import scope
+
+    scope.declare(spark, "owner")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0], "o"), (2, [1.0, 0.1], "p")], "vec_id long, embedding array<double>, owner_id string")
+    texts = spark.createDataFrame([(1, "a bird", "o"), (2, "a bird", "p")], "doc_id long, text string, owner_id string")
+    hits = spark.createDataFrame([(1, "u", 5, "o")], "hit_id long, u string, t long, owner_id string")
+    frames = spark.createDataFrame([("u", 5, "o", 1), ("u", 6, "p", 2)], "u string, t long, owner_id string, n long")
+    for owner, want in ((None, []), ("o", [1]), ("p", [2])):
+        scope.set_owner(spark, owner)
+        assert [x.vec_id for x in r.vector_topk(vectors, [1.0, 0.0], 5, owner="owner_id").collect()] == want
+        assert [x.doc_id for x in r.bm25(texts, ["bird"], owner="owner_id").collect()] == want
+    scope.set_owner(spark, "o")
+    assert [x.n for x in r.neighbours(hits, frames.withColumnRenamed("owner_id", "frame_owner"), "u", "t", 10, owner="frame_owner").collect()] == [1]
+
+
+def test_bm25_counts_words_not_letters(spark):
+    docs = spark.createDataFrame([(1, "bird birds"), (2, "Bird, bird!"), (3, "thunderbird"), (4, None)], "doc_id long, text string")
+    assert sorted(x.doc_id for x in r.bm25(docs, ["Bird"]).collect()) == [1, 2]
+
+
+def test_flat_frames_are_not_indexed(spark):
+    df = spark.createDataFrame([(1, 128.0, 900.0), (2, 128.0, 1.0), (3, 2.0, 900.0)], "id long, mean double, variance double")
+    assert [x.id for x in r.indexed(df).collect()] == [1] and r.indexed(df, all_frames=True).count() == 3

@@ -61,3 +61,40 @@ def test_registration_is_idempotent(spark, tmp_path):
         q = stateful.register_stream(spark.readStream.schema(batch.schema).parquet(src), catalog, str(tmp_path / f"check{k}"))
         q.awaitTermination(120)
     assert spark.read.parquet(catalog).count() == 1
+
+
+def test_counts_and_windows_on_streams(spark, tmp_path):
+    import datetime
+
+    frames = spark.createDataFrame([("s", 1, 10), ("s", 1, 5), ("s", 0, 7), ("r", 1, 1)], "session_id string, state int, bytes long")
+    frames.coalesce(1).write.parquet(str(tmp_path / "frames"))
+    q = stateful.count_stream(spark.readStream.schema(frames.schema).parquet(str(tmp_path / "frames"))).writeStream.format("memory").queryName("counted").outputMode("update").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(map(tuple, spark.table("counted").collect())) == [("r", 1, 1), ("s", 2, 15)]
+    at = lambda m: datetime.datetime(2024, 1, 1, 0, m)
+    src, schema = str(tmp_path / "events"), "ts timestamp, event_type string"
+    out, check = str(tmp_path / "w"), str(tmp_path / "wc")
+    for rows in ([(at(1), "a"), (at(4), "a"), (at(30), "b")], [(at(2), "late"), (at(59), "b")], [(at(59), "c")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        _run(stateful.windowed_counts(spark.readStream.schema(schema).parquet(src)), check, out)
+    got = sorted((r.window.start.minute, r.event_type, r.n) for r in spark.read.parquet(out).collect())
+    assert got == [(0, "a", 2), (30, "b", 1)]  # the row that came after the watermark is not counted
+
+
+def test_timeout_of_silent_sessions(spark, tmp_path):
+    import time
+
+    src = str(tmp_path / "beats")
+    rows = spark.createDataFrame([("s", 5), ("s", 9), ("r", 1)], "session_id string, t_ms long")
+    rows.coalesce(1).write.parquet(src)
+    out = str(tmp_path / "silent")
+    q = stateful.timeout_stream(spark.readStream.schema(rows.schema).parquet(src), 500).writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="300 milliseconds").start()
+    try:
+        for _ in range(120):
+            time.sleep(0.5)
+            if q.lastProgress and sorted(map(tuple, spark.read.schema("session_id string, last_ms long").parquet(out).collect())) == [("r", 1), ("s", 9)]:
+                break
+        else:
+            raise AssertionError("no timeout was told")
+    finally:
+        q.stop()
