@@ -142,6 +142,29 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
 FROM f GROUP BY conv_id
 """
 
+_OP5 = r"""
+WITH t AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, ''))::BIGINT AS n FROM documents
+), blocks AS (
+  SELECT doc_id, n, j, substr(x, 2000 * j + 1, 2798) AS y FROM (SELECT *, unnest(range(0, (n + 999) // 1000)) AS j FROM t)
+), w AS (
+  SELECT doc_id, 1000 * j + o AS p, sha256(substr(y, 2 * o + 1, 800)) AS s FROM (SELECT *, unnest(range(0, greatest(0, least(1000, n - 399 - 1000 * j)))) AS o FROM blocks)
+), begins AS (
+  SELECT doc_id, p FROM w WHERE s IN (SELECT s FROM w GROUP BY s HAVING count(*) > 1)
+), b AS (
+  SELECT doc_id, 1000 * j + o AS p, substr(y, 2 * o + 1, 2) AS h FROM (SELECT *, unnest(range(0, least(1000, n - 1000 * j))) AS o FROM blocks)
+), f AS (
+  SELECT b.doc_id, b.p, h, max((begins.p IS NOT NULL)::INTEGER) OVER (PARTITION BY b.doc_id ORDER BY b.p ROWS BETWEEN 399 PRECEDING AND CURRENT ROW) AS gone
+  FROM b LEFT JOIN begins ON begins.doc_id = b.doc_id AND begins.p = b.p
+), g AS (
+  SELECT *, lag(gone, 1, 0) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM f
+), k AS (
+  SELECT doc_id, sum(gone) AS n_removed, count(*) FILTER (WHERE gone = 1 AND before = 0) AS n_spans, string_agg(h, '' ORDER BY p) FILTER (WHERE gone = 0) AS kept FROM g GROUP BY doc_id
+)
+SELECT t.doc_id, n AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM t LEFT JOIN k USING (doc_id)
+"""
+
 _OP8 = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
@@ -167,4 +190,4 @@ FROM c LEFT JOIN n ON n.doc_id = c.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": _OP1, "op2_chat_format": _OP2, "op8_minhash_dedup": _OP8}
+    return {"op1_substring_dedup": _OP1, "op2_chat_format": _OP2, "op5_suffix_dedup": _OP5, "op8_minhash_dedup": _OP8}

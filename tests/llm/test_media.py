@@ -1,3 +1,4 @@
+import hashlib
 import random
 import zlib
 
@@ -62,6 +63,7 @@ def test_media_operator(odd, none, spark):
         data = (r.text or "").encode()
         padded = data + b" " * (-len(data) % 192 if data else 192)
         assert (r.n_bytes, r.payload_bytes, r.tail_crc32, r.error) == (len(data), len(padded), zlib.crc32(padded[-16:]), None)
+        assert r.payload_sha256 == hashlib.sha256(padded).hexdigest()
     assert len({r.media_sha256 for r in out}) == len({r.text or "" for r in out})
     assert ogg.read_media(ogg.media_columns(none)).count() == 0
     df = spark.createDataFrame([(1, None), (2, bytearray(b"OggS")), (3, bytearray(ogg.encode(b"x")))], "feature long, media binary")
