@@ -78,7 +78,11 @@ def format_chats(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
 
 
 def digests(chats: DataFrame) -> DataFrame:
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, from the turns read back."""
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, from the turns read back.
+
+    A row for each row of ``chats`` (conv_id, formatted, turns); null turns have null digests, no turns those of empty
+    strings, and other columns are not looked at. An empty table gives an empty one.
+    """
     every = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
     loss = F.array_join(F.transform(F.filter("turns", lambda x: x["loss"]), lambda x: x["text"]), "")
     return chats.select(

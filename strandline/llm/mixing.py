@@ -10,6 +10,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +28,8 @@ DOMAINS = ("low", "clean", "toxic")
 TARGETS, FITTED = {"low": 0.02, "clean": 0.95, "toxic": 0.03}, 8_000
 #: Sums are counted in whole thousandths of tokens, so that they do not depend on the order of adding.
 UNIT, STEPS, CLOSE = 1000, 60, 1e-6
+#: Share of the wanted tokens that may be missed without a warning.
+MISSED = 0.02
 #: Share of the largest eigenvalue that is added to the metric: directions in which there are hardly any tokens, and targets
 #: that cannot be met there, then move no rate by much.
 DAMPING = 0.05
@@ -212,7 +215,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
 
     ``targets`` are weights of the domains; ``total`` is the wanted number of tokens (by default such that the
     clean domain keeps its own). ``bounds`` are the least and most rate (the least at most 1, the most at least 1) of documents
-    whose likeliest domain it is; the other rates make up for them, as far as they can. Columns of these names are replaced. A null or wordless text has no tokens, so no rate
+    whose likeliest domain it is; the other rates make up for them, as far as they can; a warning tells by how much targets are
+    missed. Columns of these names are replaced. A null or wordless text has no tokens, so no rate
     can matter: it stays once. Rows with equal texts have equal rates; copies are drawn by the hash of doc_id and text,
     so repeated rows get equal numbers; rows without doc_id are drawn by their text. An empty table gives an empty one.
     """
@@ -225,7 +229,9 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
     model = fit_domains(docs, labels, doc_id, text, fitted) or Even()
     table = shared.keep(docs.select(F.col(f"`{text}`").alias("__text")).mapInArrow(_posterior(model, len(DOMAINS)), "n long, p0 double, p1 double, p2 double"), "posteriors")
     limits = np.array([bounds.get(d, (0, np.inf)) for d in DOMAINS]) if bounds else None
-    steps, _, _ = fit_rates(table, targets, total, bounds=limits)
+    steps, met, goal = fit_rates(table, targets, total, bounds=limits)
+    if np.abs(met - goal).sum() > MISSED * max(goal.sum(), 1):
+        warnings.warn(f"targets are missed: expected tokens {dict(zip(DOMAINS, np.rint(met).astype(int).tolist(), strict=True))}, wanted {np.rint(goal).astype(int).tolist()}", stacklevel=2)
     columns = docs.columns if with_text else [c for c in docs.columns if c != text]
     luck = F.pmod(F.xxhash64(F.col(f"`{doc_id}`"), F.coalesce(F.col(f"`{text}`"), F.lit(""))), F.lit(1 << 30)) / float(1 << 30)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"), *([] if with_text else [F.col(f"`{text}`").alias("__text")]), luck.alias("__luck"))
@@ -235,5 +241,5 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS,
 
 
 def repeat_copies(mixed: DataFrame) -> DataFrame:
-    """Each row as often as ``copies`` says."""
+    """Each row as often as ``copies`` says; rows with null or 0 copies go. An empty table gives an empty one."""
     return mixed.filter("copies > 0").withColumn("__copy", F.explode(F.expr("sequence(1L, copies)"))).drop("__copy")
