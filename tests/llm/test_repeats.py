@@ -197,3 +197,25 @@ def test_real_rows(spark):
     rows = [tuple(r) for r in docs.collect()]
     check_words(substring_dedup(spark.createDataFrame(rows, docs.schema)), rows, 35)
     check_bytes(suffix_dedup(spark.createDataFrame(rows, docs.schema)), rows, 400)
+
+
+def test_planted_passages(spark):
+    """Passages that several documents share: of 80 words both operators cut them, of 55 words (less than 400 bytes) only the
+    one that counts in words; clean documents are left alone by both."""
+    rnd = np.random.default_rng(17)
+
+    def prose(n):
+        return " ".join(f"w{x}" for x in rnd.integers(1000, 100_000, n))
+
+    planted = {0: prose(80), 1: prose(55), 2: ""}
+    rows = [(k, f"{prose(60)} {planted[k % 3]} {prose(60)}") for k in range(45)]
+    assert len(planted[1]) < 390 and len(planted[0]) > 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    by_words = {r.doc_id % 3: set() for r in docs.collect()}
+    by_bytes = {k: set() for k in by_words}
+    for r in substring_dedup(docs, with_text=False).collect():
+        by_words[r.doc_id % 3].add(r.n_removed)
+    for r in suffix_dedup(docs, with_text=False).collect():
+        by_bytes[r.doc_id % 3].add(r.n_removed > 0)
+    assert by_words == {0: {80}, 1: {55}, 2: {0}}
+    assert by_bytes == {0: {True}, 1: {False}, 2: {False}}
