@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline import schemas
@@ -208,6 +208,12 @@ def recovered_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.recover_sessions(x, 77).select("id", "end_elapsed_ms", "recovery_detected_wall_ms", "terminal_reason", "completion_status")
 
 
+@_query("SELECT user_id AS session_id, event_id AS sample_id, epoch_us(ts) // 1000 AS elapsed_ms FROM events WHERE user_id = 7")
+def ordered_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The samples of one session, as a reader asks for them."""
+    return readers.session_samples(_samples(spark, sf_dir), 7).select("session_id", "sample_id", "elapsed_ms")
+
+
 def _entries(orders: DataFrame) -> DataFrame:
     """Media entries of orders: those that end in 3 have none, others are trashed, pending, of another owner or of another size."""
     k = F.col("o_orderkey")
@@ -320,10 +326,9 @@ def owners_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scope.recovery_owners(n).join(n, "id")
 
 
-_ONE = "SELECT 7 AS session_id, row_number() OVER (ORDER BY ts, event_id) AS sample_ordinal, epoch_us(ts) // 1000 - min(epoch_us(ts) // 1000) OVER () AS sample_offset_ms, CASE event_type WHEN 'click' THEN 'START' WHEN 'purchase' THEN 'END' ELSE 'PERIODIC' END AS reason, CASE WHEN event_type = 'error' THEN 2 END AS thermal_status, event_id * 1000 AS public_free_bytes FROM events WHERE user_id = 7"
-
-
-@_query(_ONE.replace("7 AS session_id", "user_id AS session_id").replace("OVER (ORDER", "OVER (PARTITION BY user_id ORDER").replace("OVER ()", "OVER (PARTITION BY user_id)").replace(" WHERE user_id = 7", ""))
+@_query("""
+SELECT user_id AS session_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sample_ordinal, epoch_us(ts) // 1000 - min(epoch_us(ts) // 1000) OVER (PARTITION BY user_id) AS sample_offset_ms,
+  CASE event_type WHEN 'click' THEN 'START' WHEN 'purchase' THEN 'END' ELSE 'PERIODIC' END AS reason, CASE WHEN event_type = 'error' THEN 2 END AS thermal_status, event_id * 1000 AS public_free_bytes FROM events""")
 def sample_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report's rows of samples, for all sessions at once."""
     samples = _samples(spark, sf_dir).withColumns({n: F.lit(None).cast("long") for n in ("charge_counter_uah", "current_now_ua", "current_average_ua", "energy_counter_nwh")})
@@ -417,13 +422,9 @@ def frames_not_registered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.insert_if_absent(x, _catalog(spark, sf_dir).select("id"), ["id"]).agg(F.count("*").alias("frames"))
 
 
-def _same(a: Column, b: Column) -> Column:
-    return scalars.same_metadata(a, b)
-
-
 @_query("SELECT p_partkey, p_size % 2 = 0 AS same FROM part")
 def metadata_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null and absent members are the same; any other difference is one."""
     a = F.struct("p_partkey", F.lit(None).cast("int").alias("size"))
     b = F.struct("p_partkey", F.when(F.col("p_size") % 2 != 0, F.col("p_size")).cast("int").alias("size"))
-    return table(spark, sf_dir, "part").select("p_partkey", _same(a, b).alias("same"))
+    return table(spark, sf_dir, "part").select("p_partkey", scalars.same_metadata(a, b).alias("same"))

@@ -201,3 +201,9 @@ def test_large_originals_are_told(spark, tmp_path):
     (tmp_path / "b.jpg").write_bytes(b"1")
     got = {r["name"]: r["content"] for r in readers.originals(spark, f"file://{tmp_path}", content=True, most=3).collect()}
     assert got["a.jpg"] is None and bytes(got["b.jpg"]) == b"1"
+
+
+def test_new_archives(spark):
+    owners, archives = sinks.create_archive("o", "a", spark)
+    assert owners.first().id == "o" and scope.archive_owner(archives, "a").first().owner_id == "o"
+    assert scope.archive_owner(archives, "b").count() == 0
