@@ -86,6 +86,15 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents", "doc_id", "text", "source"), _table(spark, sf_dir, "labels"), with_text=False)
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.shared import new_path
+    from strandline.llm.warc import read_archives, write_archives
+
+    path = new_path(spark, "warc")
+    write_archives(_table(spark, sf_dir, "pages", "page_id", "url", "html"), path)
+    return read_archives(spark, path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -98,6 +107,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_minhash_dedup": op8_minhash_dedup,
         "op9_order_minhash": op9_order_minhash,
         "op10_mixing": op10_mixing,
+        "op11_warc": op11_warc,
     }
 
 
@@ -189,5 +199,19 @@ FROM c LEFT JOIN n ON n.doc_id = c.doc_id
 """
 
 
+_OP11 = r"""
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), d AS (
+  SELECT h, min(page_id) AS first,
+    array_to_string(list_transform(range(8), lambda g: array_to_string(list_transform([15, 10, 5, 0],
+      lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + 5 * g::INTEGER, 5))::BIGINT >> s) & 31)::INTEGER, 1)), '')), '') AS payload_digest
+  FROM p GROUP BY h
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM p JOIN d USING (h)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": _OP1, "op2_chat_format": _OP2, "op5_suffix_dedup": _OP5, "op8_minhash_dedup": _OP8}
+    return {"op1_substring_dedup": _OP1, "op2_chat_format": _OP2, "op5_suffix_dedup": _OP5, "op8_minhash_dedup": _OP8, "op11_warc": _OP11}

@@ -67,5 +67,15 @@ def unpacked(df: DataFrame, columns: list[str], added: list[str], without: tuple
     return df.select(*[F.col("__row").getField(c).alias(c) for c in old], *[F.col(f"`{c}`") for c in added])
 
 
+def over_salts(rows: DataFrame, key: str, salt: str, partial, total) -> DataFrame:
+    """(key, salt, total) for all pairs of ``rows``: ``partial`` is worked out by pair, ``total`` over the pairs of a key.
+
+    A join with it on both columns deals a hot key's rows over as many tasks as it has salts. Rows are aggregated before
+    they move, and what is gathered for a key is a list of its salts.
+    """
+    pairs = rows.groupBy(key, salt).agg(partial)
+    return pairs.groupBy(key).agg(total, F.collect_list(salt).alias(salt)).withColumn(salt, F.explode(salt))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
