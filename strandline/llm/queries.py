@@ -95,6 +95,12 @@ def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(spark, path)
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.periodic import periodic_runs, planted
+
+    return periodic_runs(_table(spark, sf_dir, "documents", "doc_id", "text"), least=6, times=4, rewrite=planted, with_text=False)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -108,6 +114,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_order_minhash": op9_order_minhash,
         "op10_mixing": op10_mixing,
         "op11_warc": op11_warc,
+        "op12_periodic_runs": op12_periodic_runs,
     }
 
 
