@@ -101,6 +101,13 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(_table(spark, sf_dir, "documents", "doc_id", "text"), least=6, times=4, rewrite=planted, with_text=False)
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strandline.llm.resampling import importance_resample
+
+    docs, target = _table(spark, sf_dir, "documents", "doc_id", "text"), _table(spark, sf_dir, "benchmark", "text")
+    return importance_resample(docs, target, most_words=1, buckets=10_000, least_words=20, part=(10, 100), seed="2024")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_substring_dedup": op1_substring_dedup,
@@ -115,6 +122,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_mixing": op10_mixing,
         "op11_warc": op11_warc,
         "op12_periodic_runs": op12_periodic_runs,
+        "op13_importance_resampling": op13_importance_resampling,
     }
 
 
@@ -220,5 +228,43 @@ FROM p JOIN d USING (h)
 """
 
 
+#: DuckDB has no CRC-32: its table by eight shifts, and a fold over the bytes of each distinct word.
+_OP13 = r"""
+WITH RECURSIVE bits(i, k, c) AS (
+  SELECT i, 0, i FROM (SELECT unnest(range(256)) AS i) UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM bits WHERE k < 8
+), crc AS (
+  SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8
+), d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), e AS (
+  SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w FROM benchmark
+), f AS (
+  SELECT doc_id, unnest(ws) AS w FROM d
+), u AS (
+  SELECT w, hex(encode(w)) AS x FROM (SELECT w FROM f UNION SELECT w FROM e)
+), b AS (
+  SELECT w, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(x) // 2), lambda i: ('0x' || substr(x, 2 * i::INTEGER + 1, 2))::BIGINT)),
+    lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) % 10000 AS b
+  FROM u, crc
+), s AS (
+  SELECT b, count(*) AS s FROM f JOIN b USING (w) GROUP BY b
+), t AS (
+  SELECT b, count(*) AS t FROM e JOIN b USING (w) GROUP BY b
+), g AS (
+  SELECT k.b, floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM f) + 10000)::DOUBLE / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM e) + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM (SELECT unnest(range(10000)) AS b) AS k LEFT JOIN s ON s.b = k.b LEFT JOIN t ON t.b = k.b
+), w AS (
+  SELECT doc_id, sum(gain)::BIGINT AS weight FROM f JOIN b USING (w) JOIN g USING (b) GROUP BY doc_id
+), c AS (
+  SELECT d.doc_id, len(ws)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+    coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || d.doc_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM d LEFT JOIN w ON w.doc_id = d.doc_id
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS k FROM c
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND k <= (SELECT 10 * count(*) // 100 FROM c WHERE n_features >= 20) THEN k END AS rank FROM r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": _OP1, "op2_chat_format": _OP2, "op5_suffix_dedup": _OP5, "op8_minhash_dedup": _OP8, "op11_warc": _OP11}
+    return {"op1_substring_dedup": _OP1, "op2_chat_format": _OP2, "op5_suffix_dedup": _OP5, "op8_minhash_dedup": _OP8, "op11_warc": _OP11, "op13_importance_resampling": _OP13}
