@@ -51,6 +51,13 @@ class Scaler:
         x = np.sqrt(x)
         self.mean, self.std = x.mean(axis=0), x.std(axis=0) + 1e-3
 
+    @classmethod
+    def of(cls, mean: np.ndarray, std: np.ndarray) -> Scaler:
+        """From the mean and standard deviation of square roots."""
+        out = cls.__new__(cls)
+        out.mean, out.std = mean, std + 1e-3
+        return out
+
     def __call__(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((np.sqrt(x) - self.mean) / self.std, -3, 3)
         return np.column_stack([z, np.ones(len(z))])

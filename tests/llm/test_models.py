@@ -66,16 +66,26 @@ def test_labels_for_all_documents_or_none(big, tmp_path):
     assert corpus_pipeline.quality(docs.sparkSession, docs, f"file://{tmp_path}").count() == docs.count()
 
 
+def local(x, good, fold):
+    """Sums and bins of rows that are all here."""
+    return lambda models: quality.totals(x, good, fold, models), lambda models: quality.bins(x, good, fold, models)
+
+
 def test_non_negative_risk():
     """Positives alone on one side, a mixture unlabelled: the model parts them although it sees no negative label."""
     rnd = np.random.default_rng(1)
     good, bad = np.abs(rnd.normal(1, 0.3, (2000, 2))), np.abs(rnd.normal(3, 0.3, (2000, 2)))
-    model = quality.pu_model(good[:1000], np.vstack([good[1000:], bad[:300]]), 1000 / 1300)
-    assert model(good).mean() > 0.8 and model(bad[300:]).mean() < 0.3
+    rows = np.vstack([good, bad[:600]])
+    scale = quality.Scaler(rows)
+    known = np.arange(len(rows)) < 1000
+    sums, binned = local(scale(rows), known, np.arange(len(rows)) % quality.FOLDS)
+    for w in (quality.pu_weights(sums, 3, 2000 / 2600), quality.learnt(sums, binned, 3)):
+        model = quality.Linear(scale, w)
+        assert model(good).mean() > 0.8 and model(bad[600:]).mean() < 0.3
 
 
 def plain_risk(w, p, u, prior):
-    """Row by row, from the definition."""
+    """Row by row, from the definition: the non-negative risk, and the negatives' part of it."""
 
     def mean(rows, sign):
         return sum(np.log(1 + np.exp(-sign * sum(a * b for a, b in zip(w, x)))) for x in rows) / len(rows)
@@ -84,21 +94,146 @@ def plain_risk(w, p, u, prior):
     return prior * mean(p, 1) + max(0.0, negative), negative
 
 
+def means(p, u, w):
+    x, good = np.vstack([p, u]), np.arange(len(p) + len(u)) < len(p)
+    both, positives = quality.totals(x, good, np.zeros(len(x), int), [(-1, w)])[0]
+    return quality.Means(both - positives, len(w)), quality.Means(positives, len(w))
+
+
 def test_risk_and_its_gradient():
+    """Loss, slope and curvature that the sums give, against differences of the definition."""
     rnd = np.random.default_rng(3)
     signs = set()
     for prior in (0.1, 0.5, 0.9, 0.95):
         p, u, w = rnd.normal(0.5, 1, (40, 3)), rnd.normal(0.3, 1, (60, 3)), rnd.normal(0, 1.5, 3)
         want, negative = plain_risk(w, p, u, prior)
-        assert np.isclose(quality.risk(w, p, u, prior), want) and np.isclose(quality.negative_risk(w, p, u, prior), negative)
-        signs.add(negative >= 0)
-        slope = [((lambda f: f(1e-6) - f(-1e-6))(lambda d: (plain_risk(w + d * e, p, u, prior)[0] if negative >= 0 else -plain_risk(w + d * e, p, u, prior)[1]))) / 2e-6 for e in np.eye(3)]
-        assert np.allclose(quality.direction(w, p, u, prior), slope, atol=1e-5)
-    p, u = rnd.normal(2, 1, (40, 3)), rnd.normal(-2, 1, (60, 3))  # the negatives' risk falls below 0
+        _, loss, slope, curve, room = quality.unbiased_risk(prior)(*means(p, u, w), w)
+        allowed = room >= 0
+        assert np.isclose(quality.negative_risk(*means(p, u, w), prior), negative, atol=1e-6) and allowed == (negative >= 0)
+        assert not allowed or np.isclose(loss, want, atol=1e-6)
+        signs.add(allowed)
+        unbiased = lambda d: (lambda r, m: r - max(0.0, m) + m)(*plain_risk(w + d, p, u, prior))
+        assert np.allclose(slope, [(unbiased(1e-5 * e) - unbiased(-1e-5 * e)) / 2e-5 for e in np.eye(3)], atol=1e-5)
+        steps = [(unbiased(1e-3 * (a + b)) - unbiased(1e-3 * (a - b)) - unbiased(1e-3 * (b - a)) + unbiased(-1e-3 * (a + b))) / 4e-6 for a in np.eye(3) for b in np.eye(3)]
+        assert np.allclose(curve.ravel(), steps, atol=1e-4)
+    p, u = rnd.normal(2, 1, (40, 3)), rnd.normal(-2, 1, (60, 3))
     w = np.array([3.0, 3.0, 3.0])
-    assert quality.negative_risk(w, p, u, 0.9) < 0
-    slope = [-(quality.negative_risk(w + 1e-6 * e, p, u, 0.9) - quality.negative_risk(w - 1e-6 * e, p, u, 0.9)) / 2e-6 for e in np.eye(3)]
-    assert np.allclose(quality.direction(w, p, u, 0.9), slope, atol=1e-5)
+    assert quality.unbiased_risk(0.9)(*means(p, u, w), w).room < 0
+
+
+@pytest.mark.parametrize("prior", [0.3, 0.6, 0.8, 0.99])
+def test_descent_ends_at_least_risk_or_at_the_edge(prior):
+    """Where the negatives' risk is well above 0, no point nearby has less risk; else the descent went as far as it may."""
+    rnd = np.random.default_rng(8)
+    p, u = np.column_stack([rnd.normal(1, 1, (300, 2)), np.ones(300)]), np.column_stack([rnd.normal(0, 1.5, (500, 2)), np.ones(500)])
+    x, good = np.vstack([p, u]), np.arange(800) < 300
+    w = quality.pu_weights(lambda models: quality.totals(x, good, np.zeros(800, int), models), 3, prior)
+    ridge = lambda v: quality.RIDGE * (v[:-1] ** 2).sum() / 2
+    here, negative = plain_risk(w, p, x, prior)
+    start = plain_risk(np.array([0, 0, np.log(prior / (1 - prior))]), p, x, prior)[0]
+    assert negative > -1e-6 and here + ridge(w) <= start
+    if prior > 0.9:  # unlabelled rows rule such a prior out: any step of use takes the negatives' risk below 0
+        return
+    assert here + ridge(w) < start
+    steps = np.vstack([np.eye(3), -np.eye(3)]) * 0.02
+    lower = [e for e in steps if plain_risk(w + e, p, x, prior)[0] + ridge(w + e) < here + ridge(w) - 1e-5]
+    assert not lower or negative < 0.01
+
+
+def plain_scores(rows, labels):
+    """The whole operator in one place: all rows in memory, sums of floats, Newton steps that are halved until they gain."""
+    from strandline.llm.textfeatures import features
+
+    def x_of(text):
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        return features(data, np.array([0, len(data)]))[0][0][quality._FORM]
+
+    x = np.array([x_of(t) for _, t in rows])
+    learn = np.array([i is not None and not held_out(i) for i, _ in rows])
+    good = learn & np.array([i in labels and labels[i] == 1 for i, _ in rows])
+    mean, std = np.sqrt(x[learn]).mean(axis=0), np.sqrt(x[learn]).std(axis=0) + 1e-3
+    z = np.column_stack([np.clip((np.sqrt(x) - mean) / std, -3, 3), np.ones(len(x))])
+    ridge = np.array([quality.RIDGE] * (z.shape[1] - 1) + [0])
+
+    def newton(w, of, parts):
+        value = lambda v: (lambda f: f[0] + (ridge * v * v).sum() / 2 if f else np.inf)(of(v))
+        while True:
+            _, slope, curve = of(w)
+            step = np.linalg.solve(curve + np.diag(ridge + 1e-9), -(slope + ridge * w))
+            best = min((w + s * step for s in parts), key=value)
+            if value(best) < value(w):
+                gain, w = value(w) - value(best), best
+            if value(best) >= value(w) + 1e-12 or gain < quality.CLOSE:
+                return w
+
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+    curved = lambda v, w: (v * (lambda s: s * (1 - s))(sigmoid(v @ w))[:, None]).T @ v / len(v)
+
+    def apart(p, u):
+        return lambda w: ((np.logaddexp(0, -p @ w).mean() + np.logaddexp(0, u @ w).mean()) / 2, ((sigmoid(p @ w) - 1) @ p / len(p) + sigmoid(u @ w) @ u / len(u)) / 2, (curved(p, w) + curved(u, w)) / 2)
+
+    def risk(p, u, prior):
+        def of(w):
+            if np.logaddexp(0, u @ w).mean() < prior * np.logaddexp(0, p @ w).mean():
+                return None
+            return prior * np.logaddexp(0, -p @ w).mean() + np.logaddexp(0, u @ w).mean() - prior * np.logaddexp(0, p @ w).mean(), sigmoid(u @ w) @ u / len(u) - prior * p.mean(axis=0), curved(u, w)
+
+        return of
+
+    return z, learn, good, newton, apart, risk
+
+
+def test_scores_match_a_version_in_one_place(big, spark):
+    docs, labels = big
+    table = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    known = {r.doc_id: r.quality for r in labels.collect()}
+    z, learn, good, newton, apart, risk = plain_scores(table, known)
+    ids = spark.createDataFrame([(i,) for i, _ in table], "id long")
+    fold_of = {r.id: r.fold for r in ids.select("id", F.pmod(F.xxhash64("id"), F.lit(quality.FOLDS)).alias("fold")).collect()}
+    fold = np.array([fold_of[i] for i, _ in table])
+    counts = np.zeros((2, quality.BINS), int)
+    for k in range(quality.FOLDS):
+        w = newton(np.zeros(z.shape[1]), apart(z[good & (fold != k)], z[learn & (fold != k)]), quality.STEPS[::2])
+        for kind, rows in enumerate((good & (fold == k), learn & (fold == k))):
+            counts[kind] += np.histogram(np.clip(z[rows] @ w, -quality.LIMIT, quality.LIMIT - 1e-9), bins=quality.BINS, range=(-quality.LIMIT, quality.LIMIT))[0]
+    prior = quality.best_bin(*counts)
+    start = np.zeros(z.shape[1])
+    start[-1] = np.log(prior / (1 - prior))
+    want = 1 / (1 + np.exp(-z @ newton(start, risk(z[good], z[learn], prior), quality.STEPS)))
+    got = {r.doc_id: r.score for r in quality.quality_scores(docs.select("doc_id", "text"), labels, with_text=False).collect()}
+    assert max(abs(got[i] - x) for (i, _), x in zip(table, want, strict=True)) < 2e-3
+
+
+@pytest.mark.parametrize("unlabelled", [0, 1, 3, 10, 30, 100, None])
+def test_any_number_of_unlabelled_documents(big, tmp_path, unlabelled):
+    """Labels may cover all documents, nearly all, or some: junk goes and the rest stays."""
+    docs, labels = big
+    rest = docs.join(labels.select("doc_id"), "doc_id", "left_anti").select(*docs.columns).orderBy("doc_id")
+    some = docs.join(labels.select("doc_id"), "doc_id", "left_semi").select(*docs.columns).unionByName(rest if unlabelled is None else rest.limit(unlabelled))
+    x = quality.quality_scores(some, labels, with_text=False).join(labels, "doc_id").toPandas()
+    for rows in (x, x[x.held_out]):
+        assert rows.predicted[rows.quality == 1].mean() >= 0.97 and rows.predicted[rows.quality == 0].mean() <= 0.1
+    kept = corpus_pipeline.quality(docs.sparkSession, some, DATA.replace("sf0.001", "sf0.01")).join(labels, "doc_id")
+    assert kept.filter("quality = 0").count() <= 0.1 * (x.quality == 0).sum() and kept.filter("quality = 1").count() >= 0.97 * (x.quality == 1).sum()
+
+
+@pytest.mark.parametrize("positives", [1, 2, 40])
+def test_few_positives(spark, big, positives):
+    """Two positives bound no prior: it is 0.5 then; scores stay between 0 and 1 and differ."""
+    docs, labels = big
+    few = labels.filter("quality = 1").filter(~quality.held_out()).orderBy("doc_id").limit(positives)
+    scores = [r.score for r in quality.quality_scores(docs.select("doc_id", "text"), few, with_text=False).collect()]
+    assert len(set(scores)) > 100 and all(0 <= s <= 1 for s in scores)
+    counts = np.zeros(quality.BINS, int)
+    counts[100] = positives
+    assert (quality.best_bin(counts, counts * 50) == 0.5) == (positives < 3)
+
+
+def test_very_long_texts(spark):
+    """Texts of some megabytes beside short ones."""
+    rows = [(k, f"Some plain words, number {k}. " * (100_000 if k % 20 == 0 else 5)) for k in range(60)]
+    out = quality.quality_scores(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, 1, 0) for k in range(30)], LABELS)).collect()
+    assert len(out) == 60 and all(len(r.text) == len(rows[r.doc_id][1]) and 0 <= r.score <= 1 for r in out)
 
 
 @pytest.mark.parametrize("prior", [0.2, 0.5, 0.85])
