@@ -84,10 +84,27 @@ def object_frame(name: Column) -> Column:
     return F.nullif(F.regexp_extract(name, OBJECT_NAME, 2), F.lit(""))
 
 
+def utc_day(x: Column, unit: int = 1000) -> Column:
+    """The day of a time since 1970, in parts of a second, in UTC whatever the session's zone is."""
+    rest = F.pmod(x, F.lit(86_400 * unit))
+    return F.date_add(F.lit("1970-01-01").cast("date"), ((x - rest) / F.lit(86_400 * unit)).cast("int"))
+
+
+def _clock(x: Column, unit: int, form: str) -> Column:
+    """Hours, minutes and seconds of a time since 1970, in UTC."""
+    second = F.floor(F.pmod(x, F.lit(86_400 * unit)) / F.lit(unit))
+    return F.format_string(form, F.floor(second / 3600), F.floor(second / 60) % 60, second % 60)
+
+
+def rfc3339_micros(micros: Column) -> Column:
+    """Microseconds since 1970 as RFC 3339 in UTC, with no more fraction digits than needed."""
+    fraction = F.regexp_replace(F.format_string(".%06d", F.pmod(micros, F.lit(1_000_000))), "\\.?0+$", "")
+    return F.concat(utc_day(micros, 1_000_000).cast("string"), F.lit("T"), _clock(micros, 1_000_000, "%02d:%02d:%02d"), fraction, F.lit("Z"))
+
+
 def rfc3339(ts: Column) -> Column:
-    """UTC with no more fraction digits than needed; the session's time zone must be UTC."""
-    fraction = F.regexp_replace(F.date_format(ts, ".SSSSSS"), "\\.?0+$", "")
-    return F.concat(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss"), fraction, F.lit("Z"))
+    """A timestamp as RFC 3339 in UTC, whatever the session's zone is; null for null."""
+    return F.when(ts.isNotNull(), rfc3339_micros(F.unix_micros(ts)))
 
 
 def expires(start: Column, seconds: int) -> Column:
@@ -98,7 +115,9 @@ def expires(start: Column, seconds: int) -> Column:
 
 
 def path_stamp(wall_ms: Column) -> Column:
-    return F.date_format(F.timestamp_millis(wall_ms), "yyyyMMdd-HHmmss")
+    """Date and time of milliseconds since 1970, in UTC; null for null."""
+    wall_ms = wall_ms.cast("long")
+    return F.when(wall_ms.isNotNull(), F.concat(F.replace(utc_day(wall_ms).cast("string"), F.lit("-"), F.lit("")), F.lit("-"), _clock(wall_ms, 1000, "%02d%02d%02d")))
 
 
 def session_folder(profile: Column, wall_ms: Column, session: Column) -> Column:

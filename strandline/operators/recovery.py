@@ -30,10 +30,11 @@ def unknown_originals(listing: DataFrame, catalog: DataFrame, keys: list[str]) -
     return listing.join(catalog.select(*keys), keys, "left_anti")
 
 
-def compare_sides(files: DataFrame, catalog: DataFrame, keys: list[str], size: str = "bytes") -> DataFrame:
-    """keys and status: unindexed (file only), missing (catalog only), changed (sizes differ), or ok."""
-    a = files.select(*keys, F.col(size).alias("__file"), F.lit(True).alias("__a"))
-    b = catalog.select(*keys, F.col(size).alias("__known"), F.lit(True).alias("__b"))
+def compare_sides(files: DataFrame, catalog: DataFrame, keys: list[str], size: str = "bytes", digest: str | None = None) -> DataFrame:
+    """keys and status: unindexed (file only), missing (catalog only), changed (sizes, or with ``digest`` hashes, differ), or ok."""
+    of = F.struct(size, *([digest] if digest else []))
+    a = files.select(*keys, of.alias("__file"), F.lit(True).alias("__a"))
+    b = catalog.select(*keys, of.alias("__known"), F.lit(True).alias("__b"))
     status = F.when(F.col("__b").isNull(), "unindexed").when(F.col("__a").isNull(), "missing").when(~F.col("__file").eqNullSafe(F.col("__known")), "changed").otherwise("ok")
     return a.join(b, keys, "full_outer").select(*keys, status.alias("status"))
 
@@ -54,15 +55,21 @@ def check_originals(files: DataFrame, catalog: DataFrame) -> DataFrame:
     return bad.unionByName(sized)
 
 
-def recovery_actions(catalog: DataFrame, checked: DataFrame, known: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def recovery_actions(catalog: DataFrame, checked: DataFrame, known: Callable[[DataFrame], DataFrame] | None = None, publish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(archive_id, id, action) for pending frames: complete (sound bytes), wait (no bytes yet) or block (bytes that do not fit).
 
-    ``known`` is asked before anything is decided: it gets the pending frames, and what it leaves out is left alone.
+    ``known`` is asked before anything is decided: it gets the pending frames, and what it leaves out is left alone. ``publish``
+    gets (archive_id, id) of the frames with sound bytes and gives those whose bytes it has put in place; the others wait.
     """
     found = checked.select("archive_id", F.col("frame_id").alias("id"), "code", F.lit(True).alias("__there"))
     pending = catalog.filter("committed_at IS NULL")
     x = (known(pending) if known else pending).join(found, ["archive_id", "id"], "left")
-    return x.select("archive_id", "id", F.when(F.col("__there").isNull(), "wait").when(F.col("code").isNull(), "complete").otherwise("block").alias("action"))
+    x = x.select("archive_id", "id", F.when(F.col("__there").isNull(), "wait").when(F.col("code").isNull(), "complete").otherwise("block").alias("action"))
+    if publish is None:
+        return x
+    placed = publish(x.filter("action = 'complete'").select("archive_id", "id")).select("archive_id", "id", F.lit(True).alias("__placed")).distinct()
+    action = F.when((F.col("action") == "complete") & F.col("__placed").isNull(), "wait").otherwise(F.col("action"))
+    return x.join(placed, ["archive_id", "id"], "left").select("archive_id", "id", action.alias("action"))
 
 
 def namespace_ok(path: Column, prefix: str) -> Column:

@@ -35,13 +35,21 @@ def tokenise(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^\\p{L}\\p{N}]+"), lambda w: w != "")
 
 
+def query_words(df: DataFrame, query: list[str]) -> list[str]:
+    """The distinct words of a query's strings, cut by Spark as texts are."""
+    row = df.sparkSession.range(1).select(F.array_distinct(F.flatten(F.array(*[tokenise(F.lit(q)) for q in query] or [F.array().cast("array<string>")]))))
+    return row.first()[0]
+
+
 def bm25(docs: DataFrame, query: list[str], doc_id: str = "doc_id", text: str = "text", k1: float = 1.2, b: float = 0.75, owner: str | None = None) -> DataFrame:
-    """(doc_id, score) of documents with a query word; words are those of ``tokenise``.
+    """(doc_id, score) of documents with a query word; words, also those of the query's strings, are those of ``tokenise``.
 
     All texts are read for their length, which counts words without making them; only texts that contain the
     letters of a query word are cut into words.
     """
-    words = sorted({w.lower() for w in query})
+    words = query_words(docs, query)
+    if not words:
+        return docs.filter(F.lit(False)).select(F.col(doc_id).alias("doc_id"), F.lit(0.0).alias("score"))
     lower = F.lower(F.col(text))
     docs = visible(docs, owner)
     totals = docs.agg(F.count("*").alias("n"), F.avg(F.regexp_count(lower, F.lit("[\\p{L}\\p{N}]+"))).alias("average"))  # one row

@@ -79,7 +79,7 @@ def sample_facts(samples: DataFrame) -> DataFrame:
     first, last = [F.when(F.col(f"{e}.valid"), F.col(f"{e}.battery_percent")) for e in ("start", "end")]
     comparable = F.col("steady") & (F.col("least_scale") == F.col("most_scale"))
     return one.select(
-        "session_id", "samples", F.col("last.elapsed_ms").alias("last_sample_elapsed_ms"), first.alias("battery_start"), last.alias("battery_end"), F.when(comparable, last - first).alias("battery_delta"),
+        "session_id", "samples", F.col("last.elapsed_ms").alias("last_sample_elapsed_ms"), first.alias("battery_start"), last.alias("battery_end"), F.when(comparable, last - first).alias("battery_delta"), "steady",
         "min_temperature_tenths_c", "max_temperature_tenths_c", "max_thermal_status", F.col("start.public_free_bytes").alias("public_free_start"), F.col("end.public_free_bytes").alias("public_free_end"), "public_free_min",
         F.col("start.private_free_bytes").alias("private_free_start"), F.col("end.private_free_bytes").alias("private_free_end"), "private_free_min",
     )
@@ -216,7 +216,7 @@ def reportable(sessions: DataFrame) -> DataFrame:
 
 
 def daily_facts(frames: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
-    """For each day of saving: frames, bytes, time range, distinct contents, and a checksum of all contents (an extension).
+    """For each day of saving, in UTC: frames, bytes, time range, distinct contents, and a checksum of all contents (an extension).
 
     The checksum is the sum of the first 60 bits of the contents' hashes, so it does not depend on the order of frames.
     With ``jobs`` (frame_id, state) also synced: whether each frame of the day has a job that is done.
@@ -227,7 +227,7 @@ def daily_facts(frames: DataFrame, jobs: DataFrame | None = None) -> DataFrame:
         done = jobs.groupBy(F.col("frame_id").alias("__frame")).agg(F.bool_or(F.col("state") == "done").alias("__done"))
         x = x.join(done, F.col("id") == F.col("__frame"), "left")
         more = [F.bool_and(F.coalesce("__done", F.lit(False))).alias("synced")]
-    day = F.to_date(F.timestamp_millis("saved_wall_ms"))
+    day = scalars.utc_day(F.col("saved_wall_ms").cast("long"))
     return x.groupBy(day.alias("day")).agg(
         F.count("*").alias("frames"), F.sum("bytes").alias("bytes"), F.min("saved_wall_ms").alias("first_ms"), F.max("saved_wall_ms").alias("last_ms"),
         F.count_distinct("sha256").alias("contents"), F.sum("__part").cast("string").alias("checksum"), *more,

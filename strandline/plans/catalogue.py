@@ -32,10 +32,14 @@ def _query(sql: str | None) -> Callable:
     return add
 
 
-def _millis(ts: Column) -> Column:
-    """Milliseconds since 1970 of a time without zone, whatever the session's zone is."""
+def _parts(ts: Column, unit: int) -> Column:
+    """Parts of a second since 1970 of a time without zone, whatever the session's zone is."""
     days = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("long")
-    return days * 86_400_000 + F.hour(ts) * 3_600_000 + F.minute(ts) * 60_000 + F.floor(F.extract(F.lit("SECOND"), ts) * 1000).cast("long")
+    return (days * 86_400 + F.hour(ts) * 3600 + F.minute(ts) * 60) * unit + F.floor(F.extract(F.lit("SECOND"), ts) * unit).cast("long")
+
+
+def _millis(ts: Column) -> Column:
+    return _parts(ts, 1000)
 
 
 def _attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,11 +132,10 @@ def first_last_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.sample_facts(_samples(spark, sf_dir)).select("session_id", "samples", "last_sample_elapsed_ms", "battery_start", "battery_end", "min_temperature_tenths_c", "max_temperature_tenths_c", "max_thermal_status", "public_free_start", "public_free_end", "public_free_min")
 
 
-@_query(_S.replace("FROM events\n", "FROM events WHERE floor(least(value, 120.0)) BETWEEN 0 AND 100\n") + "SELECT session_id, steady, CASE WHEN steady THEN z.p - a.p END AS battery_delta FROM f")
+@_query(_S + "SELECT session_id, steady, CASE WHEN steady THEN z.p - a.p END AS battery_delta FROM f")
 def uniform_regime(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _samples(spark, sf_dir).filter("battery_percent IS NOT NULL")
-    steady = x.groupBy("session_id").agg(F.bool_and(F.col("battery_plugged") == 0).alias("steady"))
-    return sessions.sample_facts(x).join(steady, "session_id").select("session_id", "steady", "battery_delta")
+    """One invalid sample, or one on power, breaks a session's regime."""
+    return sessions.sample_facts(_samples(spark, sf_dir)).select("session_id", "steady", "battery_delta")
 
 
 #: The clock of ``sample_age``: late in January 2024, before the last samples of some sessions.
@@ -221,14 +224,17 @@ def reference_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("""
-SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'unindexed' WHEN d.doc_id IS NULL THEN 'missing' WHEN strlen(text) <> n_chars THEN 'changed' ELSE 'ok' END AS status
-FROM (SELECT * FROM documents WHERE source <> 'src3') d FULL JOIN (SELECT doc_id, n_chars AS known FROM labels JOIN documents USING (doc_id)) l ON d.doc_id = l.doc_id""")
+SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN l.doc_id IS NULL THEN 'unindexed' WHEN d.doc_id IS NULL THEN 'missing' WHEN strlen(text) <> known OR sha256(text) <> digest THEN 'changed' ELSE 'ok' END AS status
+FROM (SELECT * FROM documents WHERE source <> 'src3') d
+FULL JOIN (SELECT doc_id, n_chars AS known, sha256(CASE WHEN doc_id % 9 = 0 THEN reverse(text) ELSE text END) AS digest FROM labels JOIN documents USING (doc_id)) l ON d.doc_id = l.doc_id""")
 def expected_vs_actual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files are the texts of all sources but one, in bytes; the catalog has the labelled documents, and their size in characters."""
+    """Files are the texts of all sources but one; the catalog has the labelled documents, with their size in characters, and of every
+    ninth the hash of the text from its end: as long, but another content."""
     docs = table(spark, sf_dir, "documents")
-    catalog = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select("doc_id", F.col("n_chars").cast("long").alias("bytes"))
-    files = docs.filter("source <> 'src3'").select("doc_id", F.octet_length("text").cast("long").alias("bytes"))
-    return recovery.compare_sides(files, catalog, ["doc_id"])
+    known = F.when(F.col("doc_id") % 9 == 0, F.reverse("text")).otherwise(F.col("text"))
+    catalog = docs.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select("doc_id", F.col("n_chars").cast("long").alias("bytes"), F.sha2(known, 256).alias("sha256"))
+    files = docs.filter("source <> 'src3'").select("doc_id", F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("sha256"))
+    return recovery.compare_sides(files, catalog, ["doc_id"], digest="sha256")
 
 
 @_query("SELECT user_id, event_id, event_type FROM events WHERE user_id > 20 OR (user_id = 20 AND event_id > 500) ORDER BY user_id, event_id LIMIT 100")
@@ -250,11 +256,26 @@ def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.insert_if_absent(o.filter("o_orderkey % 3 <> 1"), o.filter("o_orderkey % 3 = 1"), ["o_custkey"], ["o_orderkey"])
 
 
+#: One batch after the other: the recurring table holds the number of the batch, the contents registered so far, and all verdicts.
 @_query("""
-WITH k AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_linenumber = 7),
-x AS (SELECT l_orderkey AS batch_id, (l_linenumber::BIGINT * 100000 + l_partkey) * 10000 + l_suppkey AS pos, l_partkey, l_quantity <= 45 AS valid, l_quantity::INTEGER % 9 = 0 AS other, k.l_partkey IS NOT NULL AS known FROM lineitem LEFT JOIN k USING (l_partkey)),
-y AS (SELECT *, CASE WHEN known THEN false ELSE first_value(CASE WHEN valid THEN other END IGNORE NULLS) OVER (PARTITION BY l_partkey ORDER BY batch_id, pos ROWS UNBOUNDED PRECEDING) END AS agreed, count(*) OVER (PARTITION BY batch_id, l_partkey) > 1 AS repeated FROM x)
-SELECT batch_id, count(*) AS frames, CASE WHEN NOT bool_and(valid AND NOT repeated) THEN 'invalid_request' WHEN NOT bool_and(coalesce(agreed = other AND valid, false)) THEN 'conflict' ELSE 'accepted' END AS verdict FROM y GROUP BY batch_id""")
+WITH RECURSIVE k AS (SELECT DISTINCT l_partkey FROM lineitem WHERE l_linenumber = 7),
+x AS (
+  SELECT l_orderkey AS batch_id, dense_rank() OVER (ORDER BY l_orderkey) AS n, l_partkey AS p, l_quantity <= 45 AS valid, l_quantity::INTEGER % 9 = 0 AS other, k.l_partkey IS NOT NULL AS known,
+    count(*) OVER (PARTITION BY l_orderkey, l_partkey) > 1 AS repeated
+  FROM lineitem LEFT JOIN k USING (l_partkey)
+), y AS (
+  SELECT batch_id, n, count(*) AS frames, CASE WHEN NOT bool_and(valid AND NOT repeated) THEN 'invalid_request' WHEN bool_or(known AND other) THEN 'conflict' END AS verdict,
+    list(struct_pack(p := p, other := other) ORDER BY p) FILTER (WHERE NOT known) AS fs
+  FROM x GROUP BY batch_id, n
+), z AS (
+  SELECT *, row_number() OVER (ORDER BY n) AS m FROM y WHERE verdict IS NULL
+), r(m, registered, ok) AS (
+  SELECT 0::BIGINT, MAP {}::MAP(BIGINT, BOOLEAN), true
+  UNION ALL
+  SELECT m, CASE WHEN ok THEN map_concat(registered, map_from_entries(coalesce(fs, []))) ELSE registered END, ok
+  FROM (SELECT z.m, r.registered, z.fs, coalesce(list_bool_and(list_transform(z.fs, lambda f: coalesce(r.registered[f.p] = f.other, true))), true) AS ok FROM r JOIN z ON z.m = r.m + 1)
+)
+SELECT batch_id, frames, coalesce(verdict, CASE WHEN (SELECT ok FROM r WHERE r.m = z.m) THEN 'accepted' ELSE 'conflict' END) AS verdict FROM y LEFT JOIN (SELECT batch_id, m FROM z) z USING (batch_id)""")
 def batch_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.batch_verdicts(_batches(spark, sf_dir), _catalog(spark, sf_dir)).groupBy("batch_id", "verdict").agg(F.count("*").alias("frames")).select("batch_id", "frames", "verdict")
 
@@ -506,7 +527,7 @@ SELECT event_id, (epoch_us(ts) // 3600000000) || ':' || lpad(((epoch_us(ts) // 6
   strftime(ts, '%Y%m%d-%H%M%S') AS stamp, strftime(ts, '%Y-%m-%dT%H:%M:%S') || rtrim(rtrim('.' || lpad((epoch_us(ts) % 1000000)::VARCHAR, 6, '0'), '0'), '.') || 'Z' AS rfc3339 FROM events""")
 def time_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = _millis(F.col("ts"))
-    return table(spark, sf_dir, "events").select("event_id", scalars.duration_text(at).alias("clock"), scalars.path_stamp(at).alias("stamp"), scalars.rfc3339(F.col("ts")).alias("rfc3339"))
+    return table(spark, sf_dir, "events").select("event_id", scalars.duration_text(at).alias("clock"), scalars.path_stamp(at).alias("stamp"), scalars.rfc3339_micros(_parts(F.col("ts"), 1_000_000)).alias("rfc3339"))
 
 
 @_query("""
@@ -557,10 +578,17 @@ def episode_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.episode_text(c, "c_nationkey", ["c_custkey"], "c_mktsegment").select("c_nationkey", F.array_join("texts", ",").alias("segments"))
 
 
-@_query("SELECT CAST(ts AS DATE) AS day, count(*) AS frames, min(epoch_us(ts) // 1000) AS first_ms, max(epoch_us(ts) // 1000) AS last_ms, count(DISTINCT event_type) AS contents, sum(('0x' || substr(sha256(event_type), 1, 15))::BIGINT)::VARCHAR AS checksum FROM events GROUP BY 1")
+@_query("""
+WITH o AS (SELECT o_custkey, count(*) AS n, bool_or(o_orderstatus = 'F') AS done FROM orders GROUP BY o_custkey)
+SELECT CAST(ts AS DATE) AS day, count(*) AS frames, min(epoch_us(ts) // 1000) AS first_ms, max(epoch_us(ts) // 1000) AS last_ms, count(DISTINCT event_type) AS contents,
+  sum(('0x' || substr(sha256(event_type), 1, 15))::BIGINT)::VARCHAR AS checksum, bool_and(coalesce(done, false)) AS synced
+FROM events LEFT JOIN o ON o_custkey = event_id % 1500 GROUP BY 1""")
 def daily_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events").select(F.lit(1).alias("state"), F.lit(1).alias("bytes"), _millis(F.col("ts")).alias("saved_wall_ms"), F.sha2("event_type", 256).alias("sha256"))
-    return sessions.daily_facts(e).drop("bytes")
+    """Events as frames, each with the jobs of a customer's orders: a day is synced if each of its frames has a job that is done."""
+    e = table(spark, sf_dir, "events")
+    frames = e.select((F.col("event_id") % 1500).alias("id"), F.lit(1).alias("state"), F.lit(1).alias("bytes"), _millis(F.col("ts")).alias("saved_wall_ms"), F.sha2("event_type", 256).alias("sha256"))
+    done = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("frame_id"), F.when(F.col("o_orderstatus") == "F", "done").otherwise("ready").alias("state"))
+    return sessions.daily_facts(frames, done).drop("bytes")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

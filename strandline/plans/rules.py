@@ -137,23 +137,28 @@ def metadata_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"""
 WITH k AS (SELECT DISTINCT l_partkey AS p FROM lineitem WHERE l_linenumber = 7)
-SELECT {_ID.format('p')} AS id, CASE WHEN p % 2 = 0 THEN 'committed' ELSE 'pending' END AS state, CASE WHEN p % 2 = 0 THEN 10 END::BIGINT AS byte_length,
-  CASE WHEN p % 2 = 0 THEN strftime(make_timestamp((1700000000 + p) * 1000000), '%Y-%m-%dT%H:%M:%SZ') END AS committed_at, true AS receipt_ok FROM k""")
+SELECT id, state, true AS receipt_ok, CASE WHEN done THEN '0.1.0' END AS contract_version, CASE WHEN done THEN 'a' END AS archive_id, CASE WHEN done THEN id END AS frame_id,
+  CASE WHEN done THEN sha256(p || '-false') END AS sha256, CASE WHEN done THEN 10 END::BIGINT AS byte_length,
+  CASE WHEN done THEN strftime(make_timestamp((1700000000 + p) * 1000000), '%Y-%m-%dT%H:%M:%SZ') END AS committed_at,
+  CASE WHEN done THEN 'sha256-byte-length-jpeg-header' END AS integrity, CASE WHEN done THEN 'archive_committed' END AS receipt_state
+FROM (SELECT p, {_ID.format('p')} AS id, p % 2 = 0 AS done, CASE WHEN p % 2 = 0 THEN 'committed' ELSE 'pending' END AS state FROM k)""")
 def frame_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = manifest.receipts(_catalog(spark, sf_dir))
-    return x.select("id", "state", F.col("receipt.byte_length").alias("byte_length"), F.col("receipt.committed_at").alias("committed_at"), quality.document_violations()["receipt"].alias("receipt_ok"))
+    """The whole receipt of each committed frame."""
+    x = manifest.receipts(_catalog(spark, sf_dir)).withColumn("receipt_ok", quality.document_violations()["receipt"])
+    members = ("contract_version", "archive_id", "frame_id", "sha256", "byte_length", "committed_at", "integrity")
+    return x.select("id", "state", "receipt_ok", *[F.col(f"receipt.{m}").alias(m) for m in members], F.col("receipt.state").alias("receipt_state"))
 
 
 @_query(f"""
 WITH k AS (SELECT DISTINCT l_partkey AS p FROM lineitem WHERE l_linenumber = 7)
-SELECT {_ID.format('p')} AS id, strftime(CASE WHEN p % 2 = 0 THEN make_timestamp((1700000000 + p) * 1000000) WHEN p % 3 = 0 THEN TIMESTAMP '2024-05-06 07:08:09' END, '%Y-%m-%d %H:%M:%S') AS committed_at, p % 2 <> 0 AND p % 3 = 0 AS job FROM k""")
+SELECT {_ID.format('p')} AS id, strftime(CASE WHEN p % 2 = 0 THEN make_timestamp((1700000000 + p) * 1000000) WHEN p % 3 = 0 THEN TIMESTAMP '2024-05-06 07:08:09' END, '%Y-%m-%dT%H:%M:%SZ') AS committed_at, p % 2 <> 0 AND p % 3 = 0 AS job FROM k""")
 def completed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verified frames get a time if they have none, and then a job each."""
     catalog = _catalog(spark, sf_dir)
     ours = table(spark, sf_dir, "lineitem").filter("l_partkey % 3 = 0").select(F.lit("a").alias("archive_id"), _uuid(F.col("l_partkey")).alias("id"))
-    now, new = manifest.complete(catalog, ours, datetime.datetime(2024, 5, 6, 7, 8, 9))
+    now, new = manifest.complete(catalog, ours, datetime.datetime(2024, 5, 6, 7, 8, 9, tzinfo=datetime.UTC))
     x = now.join(new.select(F.col("frame_id").alias("id"), F.lit(True).alias("job")), "id", "left")
-    return x.select("id", F.date_format("committed_at", "yyyy-MM-dd HH:mm:ss").alias("committed_at"), F.coalesce("job", F.lit(False)).alias("job"))
+    return x.select("id", scalars.rfc3339(F.col("committed_at")).alias("committed_at"), F.coalesce("job", F.lit(False)).alias("job"))
 
 
 @_query("""
@@ -256,14 +261,14 @@ def local_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"""
 WITH k AS (SELECT DISTINCT l_partkey AS p FROM lineitem WHERE l_linenumber = 7)
-SELECT {_ID.format('p')} AS id, CASE WHEN p % 5 = 0 THEN 'wait' WHEN p % 7 = 0 THEN 'block' ELSE 'complete' END AS action FROM k WHERE p % 2 <> 0 AND p % 11 <> 0""")
+SELECT {_ID.format('p')} AS id, CASE WHEN p % 5 = 0 THEN 'wait' WHEN p % 7 = 0 THEN 'block' WHEN p % 13 = 0 THEN 'wait' ELSE 'complete' END AS action FROM k WHERE p % 2 <> 0 AND p % 11 <> 0""")
 def roll_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pending frames: every fifth has no bytes yet, every seventh the wrong ones, and every eleventh is not asked about."""
+    """Pending frames: every fifth has no bytes yet, every seventh the wrong ones, every eleventh is not asked about, and every thirteenth is not put in place."""
     catalog = _catalog(spark, sf_dir)
     there = table(spark, sf_dir, "lineitem").filter("l_partkey % 5 <> 0").select("l_partkey").distinct()
     checked = there.select(F.lit("a").alias("archive_id"), _uuid(F.col("l_partkey")).alias("frame_id"), F.when(F.col("l_partkey") % 7 == 0, "checksum_mismatch").alias("code"))
-    asked = lambda df: df.filter(F.conv(F.substring("id", 1, 8), 16, 10).cast("long") % 11 != 0)
-    return recovery.recovery_actions(catalog, checked, known=asked).select("id", "action")
+    number = F.conv(F.substring("id", 1, 8), 16, 10).cast("long")
+    return recovery.recovery_actions(catalog, checked, known=lambda df: df.filter(number % 11 != 0), publish=lambda df: df.filter(number % 13 != 0)).select("id", "action")
 
 
 @_query(f"""

@@ -159,16 +159,19 @@ def all_of(*conditions: Column) -> Column:
     return reduce(lambda a, b: a & b, conditions)
 
 
+def month_of(time_ms: Column) -> Column:
+    """``yyyy-MM`` in UTC."""
+    return F.substring(scalars.utc_day(time_ms.cast("long")).cast("string"), 1, 7)
+
+
 def write_months(df: DataFrame, path: str, time_ms: str) -> None:
     """Partitioned by month, so that recent-first and backward searches read only the months that they need."""
-    month = F.date_format(F.timestamp_millis(time_ms), "yyyy-MM")
-    df.withColumn("year_month", month).repartition("year_month").sortWithinPartitions(time_ms).write.mode("append").partitionBy("year_month").parquet(path)
+    df.withColumn("year_month", month_of(F.col(time_ms))).repartition("year_month").sortWithinPartitions(time_ms).write.mode("append").partitionBy("year_month").parquet(path)
 
 
 def replace_months(df: DataFrame, path: str, time_ms: str) -> None:
     """Reprocessing: the months that occur in ``df`` are replaced, and no others."""
-    month = F.date_format(F.timestamp_millis(time_ms), "yyyy-MM")
-    df.withColumn("year_month", month).repartition("year_month").sortWithinPartitions(time_ms).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year_month").parquet(path)
+    df.withColumn("year_month", month_of(F.col(time_ms))).repartition("year_month").sortWithinPartitions(time_ms).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year_month").parquet(path)
 
 
 def response_json(df: DataFrame, *columns: str) -> DataFrame:

@@ -43,3 +43,14 @@ def test_filters_reach_the_scan(spark):
     assert "PushedFilters: [Or(" in plan and "TakeOrderedAndProject" in plan
     plan = catalogue.queries()["owner_scope"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(c_nationkey,7)" in plan
+
+
+@pytest.mark.parametrize("name", ["time_texts", "clocks_and_units", "daily_manifest", "frame_receipts", "completed_frames", "session_diagnostics", "pairing"])
+def test_results_do_not_depend_on_the_time_zone(spark, duck, name):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("America/Los_Angeles", "Pacific/Auckland"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            assert_same(catalogue.queries()[name](spark, DATA), duck, ORACLE[name])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
