@@ -32,6 +32,11 @@ def _query(sql: str | None) -> Callable:
     return add
 
 
+def oracle_of(name: str) -> str | None:
+    """The SQL of a query that is registered already: for another way to the same rows."""
+    return _CATALOGUE[name][1]
+
+
 def _parts(ts: Column, unit: int) -> Column:
     """Parts of a second since 1970 of a time without zone, whatever the session's zone is."""
     days = F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")).cast("long")
@@ -592,7 +597,7 @@ def daily_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from strandline.plans import rules  # noqa: F401  registers its queries
+    from strandline.plans import rules, search  # noqa: F401  they register their queries
 
     return {name: q for name, (q, _) in _CATALOGUE.items()}
 
