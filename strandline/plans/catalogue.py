@@ -597,7 +597,7 @@ def daily_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from strandline.plans import rules, search  # noqa: F401  they register their queries
+    from strandline.plans import reading, rules, search  # noqa: F401  they register their queries
 
     return {name: q for name, (q, _) in _CATALOGUE.items()}
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline import kept
-from strandline.operators import groups, history, retrieval, segments, sequences, text_index, vector_index
+from strandline.operators import definitions, distributions, groups, history, retrieval, segments, sequences, text_index, vector_index
 from strandline.plans.catalogue import HOUR, _attempts, _millis, _query, oracle_of
 from strandline.sources import commits
 from strandline.sources.readers import driver_table as table
@@ -115,3 +115,55 @@ def segmented_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = _attempts(spark, sf_dir).select("session_id", "ingest_seq", "request_elapsed_ms")
     x = segments.ordinals(segments.gaps(a, 24 * HOUR), "session_id", "request_elapsed_ms", ["request_elapsed_ms", "ingest_seq"], 24 * HOUR)
     return x.select("session_id", "ingest_seq", "ordinal", "gap_ms")
+
+
+@_query("""
+WITH x AS (SELECT o_orderkey AS k, o_orderkey % 8 AS m FROM orders)
+SELECT k AS o_orderkey, v.path, v.keyword FROM x JOIN (VALUES
+  (1, 'error/retryable', 'const'), (2, 'error/code', 'enum'), (3, 'error', 'additionalProperties'), (4, 'error', 'required'), (5, 'error/message', 'type'), (6, '', 'json'), (7, '', 'required'), (7, '', 'additionalProperties')
+) AS v(m, path, keyword) ON v.m = x.m""")
+def error_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as answers: a sound one, and one for each way in which an error can be wrong."""
+    texts = [
+        '{"error": {"code": "unavailable", "message": "#", "retryable": true}}', '{"error": {"code": "unavailable", "message": "#", "retryable": false}}', '{"error": {"code": "n#", "message": "", "retryable": false}}',
+        '{"error": {"code": "conflict", "message": "#", "retryable": false, "more": #}}', '{"error": {"code": "conflict", "retryable": false}}', '{"error": {"code": "conflict", "message": #, "retryable": false}}', '{"error": ', '{"e#": 1}',
+    ]
+    raw = F.element_at(F.array(*[F.lit(x) for x in texts]), (F.col("o_orderkey") % 8 + 1).cast("int"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.replace(raw, F.lit("#"), F.col("o_orderkey").cast("string")).alias("document"))
+    return definitions.violations(o, "document", "error").drop("document")
+
+
+@_query("""
+WITH f AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS i, l_quantity FROM lineitem
+), v AS (
+  SELECT l_orderkey, 'frames/' || i || '/frame_id' AS path, 'pattern' AS keyword FROM f WHERE l_partkey % 11 = 0
+  UNION ALL SELECT l_orderkey, 'frames/' || i || '/byte_length', 'maximum' FROM f WHERE l_quantity > 45
+  UNION ALL SELECT l_orderkey, 'frames/' || i || '/byte_length', 'minimum' FROM f WHERE l_quantity < 2
+  UNION ALL SELECT l_orderkey, 'frames/' || i, 'required' FROM f WHERE l_suppkey % 7 = 0
+  UNION ALL SELECT l_orderkey, 'frames/' || i || '/profile', 'anyOf' FROM f WHERE l_partkey % 5 = 0
+)
+SELECT l_orderkey, path, keyword FROM v""")
+def manifest_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as manifests of their lines, each rule broken by lines of its own."""
+    l = table(spark, sf_dir, "lineitem")  # noqa: E741
+    id_ = F.concat(F.lpad(F.lower(F.hex("l_partkey")), 8, "0"), F.lit("-0000-4000-8000-"), F.lpad(F.hex("l_partkey"), 12, "0"))
+    frame = F.struct(
+        F.when(F.col("l_partkey") % 11 == 0, F.concat(F.substring(id_, 1, 35), F.lit("G"))).otherwise(F.lower(id_)).alias("frame_id"), F.lit(1).alias("request_wall_ms"),
+        F.when(F.col("l_suppkey") % 7 != 0, F.sha2(F.col("l_partkey").cast("string"), 256)).alias("sha256"),
+        F.when(F.col("l_quantity") > 45, 1 << 40).when(F.col("l_quantity") < 2, 0).otherwise(10).alias("byte_length"),
+        F.when(F.col("l_partkey") % 5 == 0, F.struct(F.lit("p").alias("id"))).alias("profile"),
+    )
+    frames = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", frame.alias("frame")))), lambda x: x["frame"])
+    m = l.groupBy("l_orderkey").agg(F.to_json(F.struct(frames.alias("frames"))).alias("document"))
+    return definitions.violations(m, "document", "manifest").drop("document")
+
+
+@_query(oracle_of("request_gap_distribution"))
+def sketched_gap_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of gaps by session: sketches by day are merged, and a second pass makes them exact."""
+    a = segments.gaps(_attempts(spark, sf_dir).select("session_id", "ingest_seq", "request_elapsed_ms"), 24 * HOUR)
+    daily = distributions.sketches(a.withColumn("day", F.floor(F.col("request_elapsed_ms") / (24 * HOUR))), ["session_id", "day"], "gap_ms")
+    found = distributions.exact(a, distributions.merged(daily, ["session_id"]), "session_id", "gap_ms", {"gap_p50": (0.5, "nearest"), "gap_p95": (0.95, "nearest"), "gap_floor95": (0.95, "floor")})
+    every = a.select("session_id").distinct().join(found, "session_id", "left")
+    return every.select("session_id", "gap_p50", "gap_p95", F.col("most").alias("gap_max"), "gap_floor95")
