@@ -64,18 +64,17 @@ def _conflicts(asked: DataFrame, rounds: list[int] | None = None) -> DataFrame:
     contested = asked.groupBy(*frame).agg(F.min("content").alias("low"), F.max("content").alias("high")).filter("low <> high").select(*frame)
     left = kept.keep(skew.join_facts(asked, contested, frame, F.col("batch_id"), "inner"), "batches")
     refused = spark.createDataFrame([], left.select("batch_id").schema)
+    batch = Window.partitionBy("batch_id")  # MOST_FRAMES rows at most
     while not left.isEmpty():
         near = skew.join_facts(left, _earlier(left), frame, F.col("batch_id"))
         waits_for = F.when(F.col("content") == F.col("first_content"), F.col("other")).otherwise(F.col("first"))
-        free = near.groupBy("batch_id").agg(F.max(F.coalesce(waits_for < F.col("batch_id"), F.lit(False))).alias("waits")).filter("NOT waits").select("batch_id")
-        accepted = left.join(free, "batch_id", "left_semi")
-        taken = accepted.groupBy(*frame).agg(F.min("content").alias("taken"))  # batches accepted in a round agree
-        rest = left.join(free, "batch_id", "left_anti")
-        against = skew.join_facts(rest, taken, frame, F.col("batch_id"), "inner").filter(F.col("content") != F.col("taken"))
-        out = kept.keep(against.select("batch_id").distinct(), "refused")
-        refused = refused.unionByName(out)
-        before, left = left, kept.keep(rest.join(out, "batch_id", "left_anti"), "batches")
-        kept.drop(spark, before)
+        rows = near.select("batch_id", *frame, "content", F.max(F.coalesce(waits_for < F.col("batch_id"), F.lit(False))).over(batch).alias("waits"))
+        taken = rows.filter("NOT waits").groupBy(*frame).agg(F.min("content").alias("taken"))  # batches accepted in a round agree
+        judged = skew.join_facts(rows, taken, frame, F.col("batch_id"))
+        against = F.max(F.coalesce(F.col("content") != F.col("taken"), F.lit(False))).over(batch)
+        judged = kept.keep(judged.select("batch_id", *frame, "content", F.when(~F.col("waits"), "accepted").when(against, "refused").otherwise("waits").alias("state")), "batches")
+        refused = refused.unionByName(judged.filter("state = 'refused'").select("batch_id").distinct())
+        left = judged.filter("state = 'waits'").drop("state")
         if rounds is not None:
             rounds.append(left.count())
     return refused

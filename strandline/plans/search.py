@@ -14,7 +14,7 @@ from strandline.sources.readers import driver_table as table
 
 @_query("""
 WITH RECURSIVE e AS (
-  SELECT event_id, epoch_us(ts) // 1000 AS t, value, ((user_id % 10) * 40503 * 65536) + (event_id % 32) * 5 AS h FROM events
+  SELECT event_id, epoch_us(ts) // 1000 AS t, value, ((user_id % 200) * 40503 * 65536) + (event_id % 32) * 5 AS h FROM events
 ), l AS (
   SELECT x.event_id AS a, y.event_id AS b FROM (SELECT *, unnest([t // 3600000 - 1, t // 3600000, t // 3600000 + 1]) AS k FROM e) x
   JOIN e y ON y.t // 3600000 = k AND abs(x.t - y.t) <= 3600000 AND bit_count(xor(x.h, y.h)) <= 3
@@ -26,7 +26,7 @@ WITH RECURSIVE e AS (
 SELECT event_id, group_id, row_number() OVER (PARTITION BY group_id ORDER BY value DESC, event_id) <= 3 AS keyframe FROM g JOIN e USING (event_id)""")
 def near_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as frames: groups of like hashes within an hour, and the three best frames of each."""
-    h = (F.col("user_id") % 10) * 40503 * 65536 + F.col("event_id") % 32 * 5
+    h = (F.col("user_id") % 200) * 40503 * 65536 + F.col("event_id") % 32 * 5
     e = table(spark, sf_dir, "events").select("event_id", _millis(F.col("ts")).alias("t"), "value", h.alias("phash"))
     grouped = groups.near_duplicate_groups(e, "event_id", "phash", "t", HOUR)
     best = retrieval.keyframes(grouped, "group_id", "value", "event_id", 3).select("event_id", F.lit(True).alias("best"))
