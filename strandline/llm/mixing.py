@@ -213,7 +213,8 @@ class Even:
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, total: float | None = None, doc_id: str = "doc_id", text: str = "text", fitted: int = FITTED, with_text: bool = True, bounds: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """The columns of ``docs``, n_tokens (words), p_low, p_clean, p_toxic, rate and copies.
 
-    ``targets`` are weights of the domains; ``total`` is the wanted number of tokens (by default such that the
+    ``fitted`` is the most labelled documents that the domains' classifier is learnt from (those of least hash of doc_id); all else is
+    worked out over all documents. ``targets`` are weights of the domains; ``total`` is the wanted number of tokens (by default such that the
     clean domain keeps its own). ``bounds`` are the least and most rate (the least at most 1, the most at least 1) of documents
     whose likeliest domain it is; the other rates make up for them, as far as they can; a warning tells by how much targets are
     missed. Columns of these names are replaced. A null or wordless text has no tokens, so no rate

@@ -28,7 +28,7 @@ from strandline.llm import textbytes as tb
 from strandline.llm.textfeatures import NAMES, Scaler, features
 
 THRESHOLD = 0.7
-#: Parts of one that sums are counted in, folds of the first models, and the small pull of weights towards 0.
+#: Parts of one that sums are counted in, folds of the first models, and the pull of weights towards 0 (see ``pull``).
 UNIT, FOLDS, RIDGE = 1 << 24, 5, 1e-3
 #: Passes of a descent at most, parts of a step tried in each, and the gain below which it ends: some eight passes are taken.
 PASSES, STEPS, CLOSE = 40, (1.0, 0.5, 0.25, 1 / 16, 1 / 64, 1 / 256), 1e-6
@@ -127,6 +127,11 @@ def unbiased_risk(prior: float):
     return at
 
 
+def pull(d: int, n: int) -> np.ndarray:
+    """The ridge of each of d weights, fitted on n rows: as strong as one row, and a little more; none for the last, the bias."""
+    return np.append(np.full(d - 1, RIDGE + 1 / max(1, n)), 0)
+
+
 def descend(sums, objective, starts: list[tuple[int, np.ndarray]], parts: tuple[float, ...] = STEPS) -> list[np.ndarray]:
     """The weights of least ``objective`` with a small ridge, for several models at once, from ``starts`` (fold not seen, weights).
 
@@ -134,12 +139,13 @@ def descend(sums, objective, starts: list[tuple[int, np.ndarray]], parts: tuple[
     those that keep their room is taken. A model for which none gains is done: it is at the least value, or at the edge of its room.
     """
     d = len(starts[0][1])
-    ridge = np.full(d, RIDGE)
-    ridge[-1] = 0
 
     def points(models: list[tuple[int, np.ndarray]]) -> list[Point]:
-        found = [objective(Means(u, d), Means(p, d), w) for (_, w), (u, p) in zip(models, sums(models), strict=True)]
-        return [x._replace(loss=x.loss + (ridge * x.w * x.w).sum() / 2, slope=x.slope + ridge * x.w, curve=x.curve + np.diag(ridge + 1e-9)) for x in found]
+        found = []
+        for (_, w), (u, p) in zip(models, sums(models), strict=True):
+            x, ridge = objective(all_rows := Means(u, d), Means(p, d), w), pull(d, all_rows.n)
+            found.append(x._replace(loss=x.loss + (ridge * w * w).sum() / 2, slope=x.slope + ridge * w, curve=x.curve + np.diag(ridge + 1e-9)))
+        return found
 
     now, live = points(starts), list(range(len(starts)))
     for _ in range(PASSES):

@@ -128,7 +128,7 @@ def test_descent_ends_at_least_risk_or_at_the_edge(prior):
     p, u = np.column_stack([rnd.normal(1, 1, (300, 2)), np.ones(300)]), np.column_stack([rnd.normal(0, 1.5, (500, 2)), np.ones(500)])
     x, good = np.vstack([p, u]), np.arange(800) < 300
     w = quality.pu_weights(lambda models: quality.totals(x, good, np.zeros(800, int), models), 3, prior)
-    ridge = lambda v: quality.RIDGE * (v[:-1] ** 2).sum() / 2
+    ridge = lambda v: (quality.RIDGE + 1 / 800) * (v[:-1] ** 2).sum() / 2
     here, negative = plain_risk(w, p, x, prior)
     start = plain_risk(np.array([0, 0, np.log(prior / (1 - prior))]), p, x, prior)[0]
     assert negative > -1e-6 and here + ridge(w) <= start
@@ -153,9 +153,9 @@ def plain_scores(rows, labels):
     good = learn & np.array([i in labels and labels[i] == 1 for i, _ in rows])
     mean, std = np.sqrt(x[learn]).mean(axis=0), np.sqrt(x[learn]).std(axis=0) + 1e-3
     z = np.column_stack([np.clip((np.sqrt(x) - mean) / std, -3, 3), np.ones(len(x))])
-    ridge = np.array([quality.RIDGE] * (z.shape[1] - 1) + [0])
 
-    def newton(w, of, parts):
+    def newton(w, of, parts, n):
+        ridge = np.array([quality.RIDGE + 1 / n] * (z.shape[1] - 1) + [0])
         value = lambda v: (lambda f: f[0] + (ridge * v * v).sum() / 2 if f else np.inf)(of(v))
         while True:
             _, slope, curve = of(w)
@@ -193,13 +193,13 @@ def test_scores_match_a_version_in_one_place(big, spark):
     fold = np.array([fold_of[i] for i, _ in table])
     counts = np.zeros((2, quality.BINS), int)
     for k in range(quality.FOLDS):
-        w = newton(np.zeros(z.shape[1]), apart(z[good & (fold != k)], z[learn & (fold != k)]), quality.STEPS[::2])
+        w = newton(np.zeros(z.shape[1]), apart(z[good & (fold != k)], z[learn & (fold != k)]), quality.STEPS[::2], (learn & (fold != k)).sum())
         for kind, rows in enumerate((good & (fold == k), learn & (fold == k))):
             counts[kind] += np.histogram(np.clip(z[rows] @ w, -quality.LIMIT, quality.LIMIT - 1e-9), bins=quality.BINS, range=(-quality.LIMIT, quality.LIMIT))[0]
     prior = quality.best_bin(*counts)
     start = np.zeros(z.shape[1])
     start[-1] = np.log(prior / (1 - prior))
-    want = 1 / (1 + np.exp(-z @ newton(start, risk(z[good], z[learn], prior), quality.STEPS)))
+    want = 1 / (1 + np.exp(-z @ newton(start, risk(z[good], z[learn], prior), quality.STEPS, learn.sum())))
     got = {r.doc_id: r.score for r in quality.quality_scores(docs.select("doc_id", "text"), labels, with_text=False).collect()}
     assert max(abs(got[i] - x) for (i, _), x in zip(table, want, strict=True)) < 2e-3
 
