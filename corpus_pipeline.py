@@ -72,7 +72,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole table of documents, each written and read again."""
+    """All stages over the whole table of documents, each written and read again.
+
+    Documents have the columns COLUMNS, in any order; others are left behind by the first stage. A null text is judged, and
+    encoded, as an empty one; empty texts and rows without doc_id stay rows. Of documents with one doc_id the near-dedup makes one
+    document. Without labels the first stage passes all, and the mixing draws each once. Empty tables give an empty one.
+    """
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         df = stage(spark, df, sf_dir)
