@@ -19,6 +19,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandline import kept
 from strandline.operators.retrieval import cosine
 
 #: Rows that the code vectors are learnt from (those of least hash), rounds of learning, queries of a block, and the most bytes of centres that go to all tasks.
@@ -91,14 +92,15 @@ def write_index(vectors: DataFrame, path: str, lists: int, parts: int = 16, code
     """
     spark = vectors.sparkSession
     rows = _usable(vectors, vector)
-    unit = rows.select(array_to_vector(_unit_column(vector)).alias("features"))
     width = rows.select(F.size(vector)).first()
     if width is None:
         raise ValueError("no vectors")
     if lists * width[0] * 8 > MOST or width[0] % parts or codes > 256:
         raise ValueError("too many lists, vectors that cannot be cut into parts, or more than 256 codes")
-    centres = np.array(KMeans(k=lists, maxIter=rounds, seed=7, initSteps=2).fit(unit).clusterCenters())
-    sample = np.array([r[0] for r in rows.select(key, _unit_column(vector).alias("u")).orderBy(F.xxhash64(key), key).limit(fitted).select("u").collect()])
+    unit = kept.keep(rows.select(F.col(key).alias("key"), _unit_column(vector).alias("u")), "unit")  # each round of k-means reads it
+    centres = np.array(KMeans(k=lists, maxIter=rounds, seed=7, initSteps=2).fit(unit.select(array_to_vector("u").alias("features"))).clusterCenters())
+    sample = np.array([r[0] for r in unit.orderBy(F.xxhash64("key"), "key").limit(fitted).select("u").collect()])
+    kept.drop(spark, unit)
     books = learn_codes(sample - centres[_nearest(sample, centres)], parts, min(codes, len(sample)))
     packed = rows.select(F.struct(key, F.col(vector).alias("vector"), *same).alias("__row"), F.col(vector).alias("__v"))
     out = packed.mapInArrow(_assigned(centres, books), f"__row {packed.schema['__row'].dataType.simpleString()}, list int, code binary")
