@@ -176,10 +176,14 @@ def content_uri_ok(x: Column) -> Column:
     return F.coalesce(x.rlike("^content://[A-Za-z0-9_.-]+/.+$") & ~F.contains(x, F.lit("..")) & ~x.rlike("[?#]"), F.lit(False))
 
 
-def sample_size(width: Column, height: Column, most: Column) -> Column:
-    """Least power of two by which both sides (up to MAX_SIDE) fit into ``most``, in whole numbers; null for larger sides."""
-    steps = F.array(*[F.lit(1 << k) for k in range(MAX_SIDE.bit_length())])
-    return F.get(F.filter(steps, lambda p: F.greatest(width, height).cast("long") <= most.cast("long") * p), 0)
+def sample_size(width: Column, height: Column, most: Column, largest: int | None = None) -> Column:
+    """Least power of two by which both sides (up to MAX_SIDE) fit into ``most``, in whole numbers.
+
+    Where none up to ``largest`` (a power of two) is enough, it is ``largest``; without a ``largest`` it is null.
+    """
+    steps = F.array(*[F.lit(1 << k) for k in range((largest or MAX_SIDE).bit_length())])
+    least = F.get(F.filter(steps, lambda p: F.greatest(width, height).cast("long") <= most.cast("long") * p), 0)
+    return least if largest is None else F.coalesce(least, F.lit(largest))
 
 
 def seconds_since(now_ms: Column, then_ms: Column) -> Column:
