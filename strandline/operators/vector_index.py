@@ -1,11 +1,14 @@
 """Nearest vectors by cosine over a stored index: inverted lists, product-quantised residuals, exact scores for the best.
 
 Vectors are scaled to length 1. Spark's k-means over all of them gives the lists. What is left of a vector when its list's centre is
-taken away is cut into parts, and each part coded by the nearest of at most 256 code vectors, learnt from a bounded sample.
+taken away is cut into parts, of two values each unless told otherwise, and each part coded by the nearest of at most 256 code
+vectors, learnt from a bounded sample. The finer the parts, the less do codes mistake the order of near rows, of which there are
+the more, the more rows there are. Scores are compared to PLACES, and of equal ones the smaller key comes first, so copies of a vector
+have one order whatever batch they are in.
 Rows lie in partitions by the columns that must be equal (model, version) and the list, so a search reads the lists that
 its queries probe, of these the codes, and of the best rows the vectors.
 
-Queries come as a table and are worked on in blocks of BLOCK, whose vectors and tables of dot products go to all tasks.
+Queries come as a table and are worked on in blocks of BLOCK, whose vectors go to all tasks.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ from strandline.operators.retrieval import cosine
 
 #: Rows that the code vectors are learnt from (those of least hash), rounds of learning, queries of a block, and the most bytes of centres that go to all tasks.
 FITTED, ROUNDS, BLOCK, MOST = 20_000, 12, 1024, 64 << 20
+#: Decimals of scores that tell rows apart.
+PLACES = 9
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -84,8 +89,9 @@ def _assigned(centres: np.ndarray, books: np.ndarray):
     return run
 
 
-def write_index(vectors: DataFrame, path: str, lists: int, parts: int = 16, codes: int = 64, key: str = "vec_id", vector: str = "embedding", same: list[str] = (), rounds: int = 10, fitted: int = FITTED) -> None:
-    """Index (key, vector and the columns ``same``) below ``path``. Vectors have one length, a multiple of ``parts``.
+def write_index(vectors: DataFrame, path: str, lists: int, parts: int | None = None, codes: int = 64, key: str = "vec_id", vector: str = "embedding", same: list[str] = (), rounds: int = 10, fitted: int = FITTED) -> None:
+    """Index (key, vector and the columns ``same``) below ``path``. Vectors have one length, a multiple of ``parts``: half of it by
+    default, or all of it where it is odd.
 
     Rows without a vector, or with one of zeros or not numbers, are left out. ``fitted`` bounds the rows that code vectors are learnt
     from; the lists are learnt from all rows, and all are indexed.
@@ -95,6 +101,7 @@ def write_index(vectors: DataFrame, path: str, lists: int, parts: int = 16, code
     width = rows.select(F.size(vector)).first()
     if width is None:
         raise ValueError("no vectors")
+    parts = parts or (width[0] if width[0] % 2 else width[0] // 2)
     if lists * width[0] * 8 > MOST or width[0] % parts or codes > 256:
         raise ValueError("too many lists, vectors that cannot be cut into parts, or more than 256 codes")
     unit = kept.keep(rows.select(F.col(key).alias("key"), _unit_column(vector).alias("u")), "unit")  # each round of k-means reads it
@@ -118,18 +125,24 @@ def read_model(spark: SparkSession, path: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _best(scores: np.ndarray, k: int) -> np.ndarray:
-    """The columns of the k greatest of each row."""
-    return np.argpartition(-scores, k - 1, axis=1)[:, :k] if scores.shape[1] > k else np.tile(np.arange(scores.shape[1]), (len(scores), 1))
+    """The columns of the k greatest of each row; of equal ones the first."""
+    n = scores.shape[1]
+    if n <= k:
+        return np.tile(np.arange(n), (len(scores), 1))
+    best = np.argpartition(-scores, k - 1, axis=1)[:, :k]
+    last = np.take_along_axis(scores, best, axis=1).min(axis=1)
+    for row in np.flatnonzero((scores >= last[:, None]).sum(axis=1) > k).tolist():  # equal ones do not all fit
+        best[row] = np.argsort(-scores[row], kind="stable")[:k]
+    return best
 
 
 def _coded(names: list, queries: np.ndarray, probed: np.ndarray, centres: np.ndarray, books: np.ndarray, k: int):
     """The k rows of each batch and list that are best by their codes, for each query that probes the list."""
-    parts, _, width = books.shape
-    tables = np.stack([queries[:, m * width : (m + 1) * width] @ books[m].T for m in range(parts)], axis=1)
-    near = queries @ centres.T
+    parts = len(books)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = batch.sort_by("key")
             lists = batch.column("list").to_numpy()
             code = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(-1, parts)
             for number in np.unique(lists).tolist():
@@ -137,9 +150,8 @@ def _coded(names: list, queries: np.ndarray, probed: np.ndarray, centres: np.nda
                 rows = np.flatnonzero(lists == number)
                 if not len(asking):
                     continue
-                scores = np.repeat(near[asking, number][:, None], len(rows), axis=1)
-                for m in range(parts):
-                    scores += tables[asking, m][:, code[rows, m]]
+                coded = centres[number] + np.concatenate([books[m][code[rows, m]] for m in range(parts)], axis=1)
+                scores = np.round(queries[asking] @ coded.T, PLACES)
                 best = _best(scores, k)
                 asked = np.repeat(asking, best.shape[1])
                 yield pa.record_batch(
@@ -164,7 +176,7 @@ def _blocks(queries: DataFrame, vector: str) -> Iterator[tuple[list, np.ndarray]
 
 
 def _ranked(scored: DataFrame, score: str, tie: str, k: int) -> DataFrame:
-    w = Window.partitionBy("query_id").orderBy(F.desc(score), tie)
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round(score, PLACES)), tie)
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
@@ -194,7 +206,8 @@ def search(spark: SparkSession, path: str, queries: DataFrame, k: int = 20, prob
 def _scored(names: list, queries: np.ndarray, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = queries @ _unit(_matrix(batch.column("v"))).T
+            batch = batch.sort_by("key")
+            scores = np.round(queries @ _unit(_matrix(batch.column("v"))).T, PLACES)
             best = _best(scores, k)
             asked = np.repeat(np.arange(len(names)), best.shape[1])
             yield pa.record_batch([pa.array([names[q] for q in asked.tolist()], pa.int64()), batch.column("key").take(pa.array(best.ravel())), pa.array(np.take_along_axis(scores, best, axis=1).ravel())], names=["query_id", "key", "score"])

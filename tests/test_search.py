@@ -130,3 +130,27 @@ def test_vector_index(spark, monkeypatch):
     assert vector_index.search(spark, path, queries.limit(0)).count() == 0
     with pytest.raises(ValueError, match="codes"):
         vector_index.write_index(df, path, lists=2, parts=7)
+
+
+def test_vector_index_of_many_near_rows(spark):
+    """Vectors without clusters: twice as many rows as are wanted are scored exactly, and nine of ten of the nearest are among them."""
+    rnd = np.random.default_rng(8)
+    df = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(rnd.normal(size=(4000, 64)))], "vec_id long, embedding array<float>").repartition(3)
+    path = kept.new_path(spark, "vectors-test")
+    vector_index.write_index(df, path, lists=4)
+    queries = df.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    r = vector_index.recall(vector_index.search(spark, path, queries, k=20, probes=4, rerank=40), vector_index.exact(df, queries, k=20)).first()
+    assert r.queries == 80 and r.recall >= 0.9
+
+
+def test_vector_index_of_copies(spark):
+    """More copies of a vector than are wanted, or scored exactly: those of least key, by the index as by the scan."""
+    rnd = np.random.default_rng(9)
+    base = rnd.normal(size=(30, 33))
+    keys = rnd.permutation(2400).tolist()
+    df = spark.createDataFrame([(k, base[k % 30].tolist()) for k in keys], "vec_id long, embedding array<double>").repartition(5)
+    path = kept.new_path(spark, "vectors-test")
+    vector_index.write_index(df, path, lists=3, codes=16)
+    queries = df.filter("vec_id < 30").select(F.col("vec_id").alias("query_id"), "embedding")
+    got, want = [{(r.query_id, r["rank"]): r.key for r in x.collect()} for x in (vector_index.search(spark, path, queries, k=20, probes=3, rerank=50), vector_index.exact(df, queries, k=20))]
+    assert got == want == {(q, n + 1): q + 30 * n for q in range(30) for n in range(20)}
