@@ -3,10 +3,14 @@
 A definition is a dict of the words of JSON Schema that are listed in ``WORDS``; ``compile_definition`` makes of it a column: an array of
 (path, keyword), one for each violation, empty for a sound document. Values are Spark's VARIANT, so no Python worker takes part.
 As there, a word that is about another type than the value's is satisfied. Paths join members and indexes by a slash.
+
+A value, its type and its members are worked out once and held as a lambda's variable, whatever number of words look at them: written out
+at each word, a text would be parsed, and all that leads to a member be walked, for every one. Work so grows with definition and text.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from typing import Any
 
@@ -79,7 +83,7 @@ DEFINITIONS: dict[str, Definition] = {
 def _kind(v: Column) -> Column:
     """The JSON type of a value, where whole numbers are numbers."""
     names = F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair])
-    return names[F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)]
+    return names[F.substring_index(F.substring_index(F.schema_of_variant(v), "<", 1), "(", 1)]
 
 
 def _number(v: Column) -> Column:
@@ -100,82 +104,99 @@ def _is(kind: Column, v: Column, name: str) -> Column:
     return (kind == "number") & F.coalesce(_number(v) == F.floor(_number(v)), F.lit(False)) if name == "integer" else kind == name
 
 
-def _check(d: Definition, v: Column, path: Column, named: dict[str, Definition]) -> Column:
+def _held(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _path(parts: list[str | Column]) -> Column:
+    return F.concat_ws("/", *[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts]) if parts else F.lit("")
+
+
+def _check(d: Definition, v: Column, path: list[str | Column], named: dict[str, Definition]) -> Column:
     """The violations of one value that is there."""
+    return _held(v, lambda x: _held(_kind(x), lambda kind: _violations(d, x, kind, path, named)))
+
+
+def _violations(d: Definition, v: Column, kind: Column, path: list[str | Column], named: dict[str, Definition]) -> Column:
+    """The violations of a value of a type, both held."""
     unknown = set(d) - WORDS
     if unknown:
         raise ValueError(f"words that are not known: {sorted(unknown)}")
     none = F.array().cast(_FOUND)
     found: list[Column] = []
-    kind = _kind(v)
     string, n = F.try_variant_get(v, "$", "string"), _number(v)
 
-    def need(ok: Column, keyword: str, about: str | None = None) -> None:
-        wrong = ~F.coalesce(ok, F.lit(False)) if about is None else (kind == about) & ~F.coalesce(ok, F.lit(False))
-        found.append(F.when(wrong, F.array(F.struct(path.alias("path"), F.lit(keyword).alias("keyword")))).otherwise(none))
+    def wrong(ok: Column, keyword: str, about: str | None = None) -> Column:
+        bad = ~F.coalesce(ok, F.lit(False)) if about is None else (kind == about) & ~F.coalesce(ok, F.lit(False))
+        return F.when(bad, F.array(F.struct(_path(path).alias("path"), F.lit(keyword).alias("keyword")))).otherwise(none)
+
+    def of(other: Definition) -> Column:
+        return _violations(other, v, kind, path, named)
 
     def sound(other: Definition) -> Column:
-        return F.size(_check(other, v, path, named)) == 0
+        return F.size(of(other)) == 0
 
     if "ref" in d:
-        found.append(_check(named[d["ref"]], v, path, named))
+        found.append(of(named[d["ref"]]))
     if "type" in d:
         names = d["type"] if isinstance(d["type"], list) else [d["type"]]
-        need(reduce(lambda a, b: a | b, [_is(kind, v, t) for t in names]), "type")
+        found.append(wrong(reduce(lambda a, b: a | b, [_is(kind, v, t) for t in names]), "type"))
     if "const" in d:
-        need(_equals(v, kind, d["const"]), "const")
+        found.append(wrong(_equals(v, kind, d["const"]), "const"))
     if "enum" in d:
-        need(reduce(lambda a, b: a | b, [_equals(v, kind, x) for x in d["enum"]]), "enum")
+        found.append(wrong(reduce(lambda a, b: a | b, [_equals(v, kind, x) for x in d["enum"]]), "enum"))
     for word, ok, about in (
         ("minLength", lambda x: F.length(string) >= x, "string"), ("maxLength", lambda x: F.length(string) <= x, "string"), ("pattern", lambda x: F.rlike(string, F.lit(x)), "string"),
         ("format", lambda x: F.try_to_timestamp(string).isNotNull() if x == "date-time" else F.lit(True), "string"),
         ("minimum", lambda x: n >= x, "number"), ("maximum", lambda x: n <= x, "number"),
     ):
         if word in d:
-            need(ok(d[word]), word, about)
+            found.append(wrong(ok(d[word]), word, about))
     if {"minItems", "maxItems", "items"} & set(d):
-        items = F.try_variant_get(v, "$", "array<variant>")
-        if "minItems" in d:
-            need(F.size(items) >= d["minItems"], "minItems", "array")
-        if "maxItems" in d:
-            need(F.size(items) <= d["maxItems"], "maxItems", "array")
-        if "items" in d:
-            of_each = F.flatten(F.transform(items, lambda x, i: _check(d["items"], x, _below(path, i.cast("string")), named)))
-            found.append(F.when(kind == "array", of_each).otherwise(none))
+
+        def of_items(items: Column) -> Column:
+            parts = []
+            if "minItems" in d:
+                parts.append(wrong(F.size(items) >= d["minItems"], "minItems", "array"))
+            if "maxItems" in d:
+                parts.append(wrong(F.size(items) <= d["maxItems"], "maxItems", "array"))
+            if "items" in d:
+                parts.append(F.flatten(F.transform(items, lambda x, i: _check(d["items"], x, [*path, i], named))))
+            return F.concat(*parts)
+
+        found.append(F.when(kind == "array", _held(F.try_variant_get(v, "$", "array<variant>"), of_items)).otherwise(none))
     if {"required", "properties", "closed"} & set(d):
-        keys = F.map_keys(F.try_variant_get(v, "$", "map<string,variant>"))
-        for name in d.get("required", []):
-            need(F.array_contains(keys, name), "required", "object")
-        if d.get("closed"):
-            need(F.size(F.array_except(keys, F.array(*[F.lit(x) for x in d.get("properties", {})]))) == 0, "additionalProperties", "object")
-        for name, other in d.get("properties", {}).items():
-            member = F.try_variant_get(v, f"$['{name}']", "variant")
-            found.append(F.when((kind == "object") & F.array_contains(keys, name), _check(other, member, _below(path, F.lit(name)), named)).otherwise(none))
+
+        def of_members(members: Column) -> Column:
+            parts = [wrong(members[name].isNotNull(), "required") for name in d.get("required", [])]
+            if d.get("closed"):
+                parts.append(wrong(F.size(F.array_except(F.map_keys(members), F.array(*[F.lit(x) for x in d.get("properties", {})]))) == 0, "additionalProperties"))
+            for name, other in d.get("properties", {}).items():
+                parts.append(F.when(members[name].isNotNull(), _check(other, members[name], [*path, name], named)).otherwise(none))
+            return F.concat(*parts) if parts else none
+
+        found.append(F.when(kind == "object", _held(F.try_variant_get(v, "$", "map<string,variant>"), of_members)).otherwise(none))
     if "anyOf" in d:
-        need(reduce(lambda a, b: a | b, [sound(x) for x in d["anyOf"]]), "anyOf")
+        found.append(wrong(reduce(lambda a, b: a | b, [sound(x) for x in d["anyOf"]]), "anyOf"))
     for other in d.get("allOf", []):
-        found.append(_check(other, v, path, named))
+        found.append(of(other))
     if "not" in d:
-        need(~sound(d["not"]), "not")
+        found.append(wrong(~sound(d["not"]), "not"))
     if "if" in d:
-        then, otherwise = [_check(d[w], v, path, named) if w in d else none for w in ("then", "else")]
+        then, otherwise = [of(d[w]) if w in d else none for w in ("then", "else")]
         found.append(F.when(sound(d["if"]), then).otherwise(otherwise))
     return F.concat(*found) if found else none
 
 
-def _below(path: Column, name: Column) -> Column:
-    return F.when(path == "", name).otherwise(F.concat(path, F.lit("/"), name))
-
-
 def compile_definition(definition: str | Definition, document: Column, named: dict[str, Definition] = DEFINITIONS) -> Column:
     """Array of (path, keyword) for a column of JSON texts; null where the text is null, and one ("", "json") where it is no JSON.
 
     How texts must be written (duplicate members, exact numbers) is told by strict reading, not here.
     """
-    value = F.try_parse_json(document)
     bad = F.array(F.struct(F.lit("").alias("path"), F.lit("json").alias("keyword"))).cast(_FOUND)
-    checked = _check(ref(definition) if isinstance(definition, str) else definition, value, F.lit(""), named)
-    return F.when(document.isNotNull(), F.when(value.isNull(), bad).otherwise(checked))
+    checked = lambda value: _check(ref(definition) if isinstance(definition, str) else definition, value, [], named)
+    return _held(document, lambda text: F.when(text.isNotNull(), _held(F.try_parse_json(text), lambda value: F.when(value.isNull(), bad).otherwise(checked(value)))))
 
 
 def violations(df: DataFrame, document: str, definition: str | Definition, named: dict[str, Definition] = DEFINITIONS) -> DataFrame:

@@ -62,6 +62,13 @@ def test_documents_that_are_none(spark):
         definitions.compile_definition({"patternProperties": {}}, F.lit("{}"))
 
 
+@pytest.mark.parametrize("name", ["error", "manifest"])
+def test_values_are_worked_out_once(spark, name):
+    """However many words look at a document, it is parsed at one place, and so are its frames."""
+    plan = definitions.violations(spark.createDataFrame([(1, "{}")], "k long, doc string"), "doc", name)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("parse_json") + plan.lower().count("parsejson") == 1 and plan.lower().count("array<variant>") + plan.lower().count("arraytype(varianttype") <= 2
+
+
 def test_not_and_all_of(spark):
     d = {"allOf": [{"type": "string"}, {"minLength": 2}], "not": {"pattern": "\\s"}}
     found = spark.range(1).select(*[definitions.compile_definition(d, F.lit(x)).alias(f"c{k}") for k, x in enumerate(('"ab"', '"a b"', '"a"', "1"))]).first()
