@@ -12,8 +12,12 @@ cannot have a document among the first k, and its blocks are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,26 +25,52 @@ from strandline.operators.retrieval import query_words, tokenise
 
 #: Parts that words are dealt to, doc_ids of a cell, and the room that bounds are given for rounding.
 PARTS, CELL, ROOM = 64, 256, 1e-9
+_BLOCK = "part int, word string, cell long, n int, most int, least int, offsets array<int>, tfs array<int>, lengths array<int>"
 
 
 def _part(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(PARTS)).cast("int")
 
 
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings in order of part, word, cell and offset to a row for each word and cell; the last one waits for the next batch."""
+    held = None
+    for batch in batches:
+        if batch.num_rows:
+            x = pa.table(batch.columns, names=batch.schema.names)
+            x = (x if held is None else pa.concat_tables([held, x])).combine_chunks()
+            word, cell = x["word"].combine_chunks(), x["cell"].to_numpy()
+            new = np.asarray(pc.not_equal(word[1:], word[:-1])) | (cell[1:] != cell[:-1])
+            starts = np.concatenate([[0], np.flatnonzero(new) + 1])
+            held = x.slice(starts[-1])
+            if len(starts) > 1:
+                yield _block(x.slice(0, starts[-1]), starts[:-1])
+    if held is not None:
+        yield _block(held, np.zeros(1, int))
+
+
+def _block(x: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+    first, ends = x.select(["part", "word", "cell"]).take(pa.array(starts)).combine_chunks(), np.append(starts, x.num_rows)
+    columns = {c: x[c].to_numpy() for c in ("offset", "tf", "length")}
+    lists = [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(columns[c])) for c in ("offset", "tf", "length")]
+    facts = [pa.array(np.diff(ends).astype(np.int32)), pa.array(np.maximum.reduceat(columns["tf"], starts)), pa.array(np.minimum.reduceat(columns["length"], starts))]
+    return pa.record_batch([*(first[c].combine_chunks() for c in ("part", "word", "cell")), *facts, *lists], names=["part", "word", "cell", "n", "most", "least", "offsets", "tfs", "lengths"])
+
+
 def append_segment(docs: DataFrame, path: str, segment: int, doc_id: str = "doc_id", text: str = "text", cell: int = CELL) -> None:
     """Index ``docs`` as a new segment; writing a segment again replaces it. Segments are of one cell size and share no doc_id.
 
     Words are those of ``tokenise``. A document without words counts among the documents; a null doc_id does not.
     """
-    d = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), tokenise(F.coalesce(F.col(text), F.lit(""))).alias("words")).withColumn("length", F.size("words"))
+    raw = docs.filter(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    d = raw.repartition("doc").select("doc", tokenise(F.col("text")).alias("words")).withColumn("length", F.size("words"))  # texts move, so that words need not
     totals = d.agg(F.count("*").alias("docs"), F.coalesce(F.sum("length"), F.lit(0)).alias("words")).withColumns({"cell_size": F.lit(cell), "segment": F.lit(segment)})
     hits = d.select("doc", "length", F.explode("words").alias("word")).groupBy("doc", "length", "word").agg(F.count("*").cast("int").alias("tf"))
-    at = F.floor(F.col("doc") / F.lit(cell)).alias("cell")
-    posting = F.struct((F.col("doc") - F.floor(F.col("doc") / F.lit(cell)) * cell).cast("int").alias("offset"), "tf", "length")
-    blocks = hits.groupBy("word", at).agg(F.count("*").cast("int").alias("n"), F.max("tf").alias("most"), F.min("length").alias("least"), F.array_sort(F.collect_list(posting)).alias("p"))
-    blocks = blocks.select(F.lit(segment).alias("segment"), _part(F.col("word")).alias("part"), "word", "cell", "n", "most", "least", *[F.col(f"p.{c}").alias(f"{c}s") for c in ("offset", "tf", "length")])
-    dealt = blocks.repartition("part", F.pmod("cell", F.lit(8))).sortWithinPartitions("part", "word", "cell")
-    for name, df, by in (("postings", dealt, ["segment", "part"]), ("totals", totals, ["segment"])):
+    at = F.floor(F.col("doc") / F.lit(cell))
+    postings = hits.select(_part(F.col("word")).alias("part"), "word", at.alias("cell"), (F.col("doc") - at * cell).cast("int").alias("offset"), "tf", "length")
+    dealt = postings.repartition("part", F.pmod("cell", F.lit(8))).sortWithinPartitions("part", "word", "cell", "offset")
+    blocks = dealt.mapInArrow(_blocks, _BLOCK).withColumn("segment", F.lit(segment)).sortWithinPartitions("part", "word", "cell")  # in order already, which the writer must know
+    for name, df, by in (("postings", blocks, ["segment", "part"]), ("totals", totals, ["segment"])):
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(f"{path}/{name}")
 
 

@@ -154,3 +154,17 @@ def test_vector_index_of_copies(spark):
     queries = df.filter("vec_id < 30").select(F.col("vec_id").alias("query_id"), "embedding")
     got, want = [{(r.query_id, r["rank"]): r.key for r in x.collect()} for x in (vector_index.search(spark, path, queries, k=20, probes=3, rerank=50), vector_index.exact(df, queries, k=20))]
     assert got == want == {(q, n + 1): q + 30 * n for q in range(30) for n in range(20)}
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_blocks_of_postings(size):
+    """A row for each word and cell, with its bounds, wherever batches of postings are cut."""
+    import pyarrow as pa
+
+    rows = [(0, "a", 0, 1, 2, 9), (0, "a", 0, 5, 1, 4), (0, "a", 1, 0, 1, 3), (0, "b", 1, 0, 7, 3), (1, "c", 1, 2, 1, 8), (1, "c", 1, 3, 1, 6), (1, "c", 1, 4, 5, 7)]
+    kind = pa.schema([("part", pa.int32()), ("word", pa.string()), ("cell", pa.int64()), ("offset", pa.int32()), ("tf", pa.int32()), ("length", pa.int32())])
+    batches = [pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows[k : k + size], strict=True), kind.types, strict=True)], schema=kind) for k in range(0, len(rows), size)]
+    got = [tuple(r.values()) for b in text_index._blocks(iter([batches[0].slice(0, 0), *batches])) for r in b.to_pylist()]
+    assert got == [
+        (0, "a", 0, 2, 2, 4, [1, 5], [2, 1], [9, 4]), (0, "a", 1, 1, 1, 3, [0], [1], [3]), (0, "b", 1, 1, 7, 3, [0], [7], [3]), (1, "c", 1, 3, 5, 6, [2, 3, 4], [1, 1, 5], [8, 6, 7]),
+    ]
