@@ -31,8 +31,8 @@ def explode_batches(batches: DataFrame) -> DataFrame:
 
 
 def _facts(frames: DataFrame, catalog: DataFrame) -> DataFrame:
-    """A row for each frame id of each batch: its content as a hash, whether its rows are sound, and the catalog's content."""
-    content = lambda m: F.sha2(F.to_json(m, {"ignoreNullFields": "false"}), 256)
+    """A row for each frame id of each batch: its content as a hash (bytes: half of what its text would move), whether its rows are sound, and the catalog's content."""
+    content = lambda m: F.unhex(F.sha2(F.to_json(m, {"ignoreNullFields": "false"}), 256))
     x = frames.select(
         "batch_id", "archive_id", F.col("metadata.frame_id").alias("frame_id"), content(F.col("metadata")).alias("content"),
         ((F.size(quality.metadata_violations()) == 0) & F.col("batch_size").between(1, MOST_FRAMES)).alias("valid"),

@@ -300,8 +300,9 @@ def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as batches of frames, one for each line: too long from 46 pieces on, and with other contents for every ninth quantity."""
     l = table(spark, sf_dir, "lineitem")  # noqa: E741
     size = F.count("*").over(Window.partitionBy("l_orderkey")).cast("int")
+    l = l.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").withColumn("size", size)  # noqa: E741 - beside the window, what follows would be shuffled with it
     other = F.col("l_quantity").cast("int") % 9 == 0
-    return l.select(F.col("l_orderkey").alias("batch_id"), F.lit("a").alias("archive_id"), size.alias("batch_size"), ((F.col("l_linenumber").cast("long") * 100_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")).alias("pos"), _metadata(F.col("l_partkey"), F.when(F.col("l_quantity") <= 45, 10).otherwise(0), other).alias("metadata"))
+    return l.select(F.col("l_orderkey").alias("batch_id"), F.lit("a").alias("archive_id"), F.col("size").alias("batch_size"), ((F.col("l_linenumber").cast("long") * 100_000 + F.col("l_partkey")) * 10_000 + F.col("l_suppkey")).alias("pos"), _metadata(F.col("l_partkey"), F.when(F.col("l_quantity") <= 45, 10).otherwise(0), other).alias("metadata"))
 
 
 def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:

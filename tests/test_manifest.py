@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from compare import DATA
 from pyspark.sql import functions as F
 
 from strandline import schemas
@@ -103,3 +104,15 @@ def test_receipts_have_the_contracts_members(spark):
         "contract_version": "0.1.0", "archive_id": A, "frame_id": uid(1), "sha256": "a" * 64, "byte_length": 10, "committed_at": "2023-11-14T22:13:20.12Z",
         "integrity": "sha256-byte-length-jpeg-header", "state": "archive_committed",
     }
+
+
+def test_contents_move_as_bytes(spark):
+    """Contents of frames are hashes of 32 bytes where they are shuffled, and metadata is made after batches are counted."""
+    from strandline.plans import catalogue
+
+    frames, catalog = catalogue._batches(spark, DATA), catalogue._catalog(spark, DATA)
+    facts = manifest._facts(frames, catalog)
+    assert dict(facts.dtypes)["content"] == dict(facts.dtypes)["stored"] == "binary"
+    assert facts.select(F.length("content")).distinct().collect() == [(32,)]
+    plan = frames._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" not in plan[plan.index("Window") :]
