@@ -3,10 +3,15 @@
 Beside the partitions lies a summary of each: rows, first and last time, best score, and a Bloom filter of its objects, as bitmaps of
 32768 bits. A search goes from period to period, newest or oldest first, asks the summary which of the objects still looked
 for a period may hold with a score that counts, and reads it only if there are any. What it may hold wrongly costs a read.
+
+Periods are taken one, two, four, ... at a time, so the jobs in a row grow with the logarithm of a history (from ``BATCH`` periods
+on, with a ``BATCH``-th of it), and what is read is some twice what a search of one period after the other would read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +21,8 @@ from strandline.functions import scalars
 #: Length of the name of a period: yyyy-MM or yyyy-MM-dd; bits of a filter, and bits set for an object.
 MONTH, DAY = 7, 10
 BITS, HASHES = 1 << 20, 3
-#: Bytes of filters that are broadcast at most.
-BROADCAST = 16 << 20
+#: Periods of a step at most: their filters are broadcast, 16 MB. Rows of a file, about.
+BATCH, FILE = (16 << 20) // (BITS // 8), 1 << 18
 
 
 def period_of(time_ms: Column, length: int = MONTH) -> Column:
@@ -37,8 +42,9 @@ def write_history(df: DataFrame, path: str, by: str, time: str, score: str, leng
     """
     x = df.filter(F.col(time).isNotNull()).withColumn("period", period_of(F.col(time), length))
     dynamic = lambda d: d.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("period")
-    dynamic(x.repartition("period", F.pmod(F.xxhash64(by), F.lit(8))).sortWithinPartitions("period", by)).parquet(f"{path}/rows")
-    periods = [r[0] for r in x.select("period").distinct().collect()]
+    counts = {r["period"]: r["count"] for r in x.groupBy("period").count().collect()}  # one row for each period
+    periods, files = list(counts), max(counts.values(), default=0) // FILE + 1
+    dynamic(x.repartition("period", F.pmod(F.xxhash64(by), F.lit(files))).sortWithinPartitions("period", by)).parquet(f"{path}/rows")
     stored = x.sparkSession.read.parquet(f"{path}/rows").withColumn("period", F.col("period").cast("string")).filter(F.col("period").isin(periods))
     facts = stored.groupBy("period").agg(F.count("*").alias("rows"), F.min(time).alias("first"), F.max(time).alias("last"), F.max(score).alias("best"))
     dynamic(facts.coalesce(1)).parquet(f"{path}/periods")
@@ -57,41 +63,44 @@ class History:
         self.periods = {r["period"]: r for r in text("periods").collect()}  # one row for each period
         self.read: list[str] = []
 
+    def steps(self, least: float, newest: bool) -> Iterator[list[str]]:
+        """The periods with scores that count, in order, as many at a time as a step looks through."""
+        order = sorted((p for p, r in self.periods.items() if r["best"] is not None and r["best"] >= least), reverse=newest)
+        k, n = 0, 1
+        while k < len(order):
+            yield order[k : k + n]
+            k, n = k + n, min(2 * n, BATCH)
+
     def may_hold(self, ids: DataFrame, periods: list[str]) -> DataFrame:
-        """(period, object) for objects of ``ids`` all of whose bits the filter of a period has."""
+        """(period, object) for objects of ``ids`` all of whose bits the filter of a period has; ``BATCH`` periods at most."""
         bit = ids.select(self.by, F.explode(_bits(self.by)).alias("bit"))
         bit = bit.select(self.by, F.bitmap_bucket_number("bit").alias("bucket"), F.bitmap_bit_position("bit").alias("at"))
-        maps = self.objects.filter(F.col("period").isin(periods)).select("period", "bucket", "bits")
-        maps = F.broadcast(maps) if len(periods) * BITS // 8 <= BROADCAST else maps
+        maps = F.broadcast(self.objects.filter(F.col("period").isin(periods)).select("period", "bucket", "bits"))
         byte = F.conv(F.hex(F.substring("bits", (F.col("at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
         found = bit.join(maps, "bucket").withColumn("byte", byte).filter(F.expr("shiftright(byte, CAST(at % 8 AS INT)) & 1") == 1)
         return found.groupBy("period", self.by).agg(F.count("*").alias("n")).filter(F.col("n") == HASHES).select("period", self.by)
 
-    def likely(self, ids: DataFrame, least: float) -> list[str]:
-        """The periods that may hold any of ``ids`` with a score that counts, in order."""
-        good = [p for p, r in self.periods.items() if r["best"] is not None and r["best"] >= least]
-        return sorted(r[0] for r in self.may_hold(ids, good).select("period").distinct().collect()) if good else []
-
-    def hits(self, ids: DataFrame, period: str, least: float) -> DataFrame | None:
-        """The rows of a period that count for ``ids``, or None where the summary proves that there are none."""
-        likely = self.may_hold(ids, [period]).select(self.by)
-        if likely.isEmpty():
+    def hits(self, ids: DataFrame, periods: list[str], least: float) -> DataFrame | None:
+        """The rows of some periods that count for ``ids``, or None where the summaries prove that there are none."""
+        likely = sorted(r[0] for r in self.may_hold(ids, periods).select("period").distinct().collect())
+        if not likely:
             return None
-        self.read.append(period)
-        own = self.rows.filter(F.col("period") == period).filter(F.col(self.score) >= least)
-        return own.join(likely, self.by, "left_semi")
+        self.read += likely
+        own = self.rows.filter(F.col("period").isin(likely)).filter(F.col(self.score) >= least)
+        return own.join(ids, self.by, "left_semi")
 
     def last_seen(self, ids: DataFrame, least: float) -> DataFrame:
         """(object, last): when each object of ``ids`` was last seen with a score that counts; objects never seen give no row."""
         left = kept.keep(ids.select(self.by).filter(F.col(self.by).isNotNull()).distinct(), "left")
-        out = self.spark.createDataFrame([], f"{self.by} {left.schema[self.by].dataType.simpleString()}, last {self.rows.schema[self.time].dataType.simpleString()}")
-        for period in reversed(self.likely(left, least)):
-            rows = self.hits(left, period, least)
+        out = left.limit(0).select(self.by, F.lit(None).cast(self.rows.schema[self.time].dataType).alias("last"))
+        for periods in self.steps(least, newest=True):
+            rows = self.hits(left, periods, least)
             if rows is None:
                 continue
-            found = kept.keep(rows.groupBy(self.by).agg(F.max(self.time).alias("last")), "seen")
-            out = out.unionByName(found)
-            left = kept.keep(left.join(found, self.by, "left_anti"), "left")
+            found = rows.groupBy(self.by).agg(F.max(self.time).alias("last"))
+            both = kept.keep(left.join(found, self.by, "left"), "seen")
+            out = out.unionByName(both.filter("last IS NOT NULL"))
+            left = both.filter("last IS NULL").select(self.by)
             if left.isEmpty():
                 break
         return out
@@ -99,14 +108,14 @@ class History:
     def earliest_cluster(self, ids: DataFrame, least: float, gap: int, needed: int = 1) -> DataFrame:
         """(object, start, end, frames): each object's earliest scene with ``needed`` hits or more, oldest periods first.
 
-        A scene that can go on in the next period is carried there, and an object is done when its scene has ended.
+        A scene that can go on in the next step's periods is carried there, and an object is done when its scene has ended.
         """
         by, scene = self.by, ["start", "end", "frames"]
         left = kept.keep(ids.select(by).filter(F.col(by).isNotNull()).distinct(), "left")
         held = out = None
-        order, likely = sorted(self.periods), set(self.likely(left, least))
-        for k, period in enumerate(order):
-            rows = self.hits(left, period, least) if period in likely else None
+        steps = list(self.steps(least, newest=False))
+        for k, periods in enumerate(steps):
+            rows = self.hits(left, periods, least)
             if rows is None and held is None:
                 continue
             parts = [] if rows is None else [rows.select(by, F.col(self.time).alias("start"), F.col(self.time).alias("end"), F.lit(1).cast("long").alias("frames"))]
@@ -115,15 +124,15 @@ class History:
             new = F.coalesce(F.col("start") - F.lag("end").over(w) > gap, F.lit(True))
             x = x.withColumn("new", new).withColumn("scene", F.count_if("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
             scenes = kept.keep(x.groupBy(by, "scene").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("frames").alias("frames")), "scenes")
-            following = [self.periods[p]["first"] for p in order[k + 1 :]]
-            over = F.lit(True) if not following else F.col("end") + gap < min(following)
+            following = self.periods[steps[k + 1][0]]["first"] if steps[k + 1 :] else None
+            over = F.lit(True) if following is None else F.col("end") + gap < following
             first = scenes.filter(F.col("frames") >= needed).groupBy(by).agg(F.min_by(F.struct(*scene), "scene").alias("s")).select(by, "s.*")
             done = kept.keep(first.filter(over), "clusters")
             out = done if out is None else out.unionByName(done)
             left = kept.keep(left.join(done, by, "left_anti"), "left")
             if left.isEmpty():
                 break
-            open_ = scenes.join(left, by, "left_semi").filter(~over) if following else None
+            open_ = scenes.join(left, by, "left_semi").filter(~over) if following is not None else None
             held = kept.keep(open_.select(by, *scene), "held") if open_ is not None else None
             if held is not None and held.isEmpty():
                 held = None

@@ -60,6 +60,25 @@ def test_periods_are_replaced(spark):
     assert {tuple(r) for r in h.last_seen(ids, 0.0).collect()} == {(1, 5), (3, 41 * DAY)} and sorted(h.periods) == ["1970-01", "1970-02"]
 
 
+def test_jobs_do_not_follow_the_periods(spark):
+    """Each day has an object of its own, so all days are read: four times the days take less than twice the jobs."""
+    jobs = {"last_seen": [], "earliest_cluster": []}
+    for days in (6, 24):
+        rows = [(d, d * DAY + k, 0.9) for d in range(days) for k in range(3)]
+        path = kept.new_path(spark, "history-test")
+        history.write_history(spark.createDataFrame(rows, SEEN), path, "object", "t", "score", history.DAY)
+        ids = spark.range(-1, days).withColumnRenamed("id", "object")
+        for name, least in ("last_seen", [0.5]), ("earliest_cluster", [0.5, 10, 3]):
+            h = history.History(spark, path, "object", "t", "score")
+            spark.sparkContext.setJobGroup(f"{name} {days}", name)
+            got = {tuple(r) for r in getattr(h, name)(ids, *least).collect()}
+            spark.sparkContext.setJobGroup("", "")
+            assert got == {(d, d * DAY + 2) if name == "last_seen" else (d, d * DAY, d * DAY + 2, 3) for d in range(days)}
+            assert sorted(h.read) == sorted(h.periods) and len(h.read) == days
+            jobs[name].append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"{name} {days}")))
+    assert all(0 < few < many < 2 * few for few, many in jobs.values()), jobs
+
+
 def test_commits_appear_together_or_not_at_all(spark, monkeypatch):
     root = kept.new_path(spark, "commits-test")
     a = lambda *rows: spark.createDataFrame(list(rows), "id long, v string")
