@@ -73,7 +73,9 @@ class History:
 
     def may_hold(self, ids: DataFrame, periods: list[str]) -> DataFrame:
         """(period, object) for objects of ``ids`` all of whose bits the filter of a period has; ``BATCH`` periods at most."""
-        bit = ids.select(self.by, F.explode(_bits(self.by)).alias("bit"))
+        # kept ids are a few small files, which alone would make one or two tasks
+        own = ids.repartition(self.spark.sparkContext.defaultParallelism, self.by)
+        bit = own.select(self.by, F.explode(_bits(self.by)).alias("bit"))
         bit = bit.select(self.by, F.bitmap_bucket_number("bit").alias("bucket"), F.bitmap_bit_position("bit").alias("at"))
         maps = F.broadcast(self.objects.filter(F.col("period").isin(periods)).select("period", "bucket", "bits"))
         byte = F.conv(F.hex(F.substring("bits", (F.col("at") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
