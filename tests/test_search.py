@@ -34,6 +34,44 @@ def test_components(spark, monkeypatch):
     assert groups.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_long_chains(spark, monkeypatch):
+    """However long a chain of links is, and however it is dealt out, it takes no rounds."""
+    n = 3000
+    links = spark.range(n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).repartition(5, "a")
+    made = []
+    keep = kept.keep
+    monkeypatch.setattr(kept, "keep", lambda df, name: made.append(name) or keep(df, name))
+    assert [tuple(r) for r in groups.components(links).groupBy("group").count().collect()] == [(0, n + 1)]
+    assert len(made) <= 3
+
+
+@pytest.mark.parametrize("most", [1, 8, 1 << 20])
+def test_components_in_parts(spark, monkeypatch, most):
+    """Tasks that hold few links pass on stars, and rounds go on with them; ids may be strings."""
+    monkeypatch.setattr(groups, "MOST_LINKS", most)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        rnd = random.Random(most)
+        links = [(f"é{x}" if x % 3 else f"z{x}", f"é{y}" if y % 3 else f"z{y}") for x, y in ((rnd.randrange(300), rnd.randrange(300)) for _ in range(220))] + [("a", "a"), (None, "b")]
+        got = {r.id: r.group for r in groups.components(spark.createDataFrame(links, "a string, b string").repartition(4)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    links = [x for x in links if x[0] and x[0] != x[1]]
+    assert got == reach({i for x in links for i in x}, links)
+
+
+def test_crowded_stretches(spark, monkeypatch):
+    """Stretches with many cells are dealt to several tasks, with the same groups."""
+    rnd = random.Random(5)
+    rows = [(k, rnd.getrandbits(9) << 20, rnd.randrange(3000)) for k in rnd.sample(range(1000), 400)]
+    df = spark.createDataFrame(rows, "frame_id long, phash long, t long").repartition(3)
+    want = reach([r[0] for r in rows], [(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and (a[1] ^ b[1]).bit_count() <= 3 and abs(a[2] - b[2]) <= 20])
+    for stretches, cells in ((8, 1 << 16), (64, 10), (1, 1)):
+        monkeypatch.setattr(groups, "STRETCHES", stretches)
+        monkeypatch.setattr(groups, "CELLS", cells)
+        assert {r.frame_id: r.group_id for r in groups.near_duplicate_groups(df, "frame_id", "phash", "t", 20).collect()} == want
+
+
 def test_near_duplicate_groups(spark):
     """Single linkage over like hashes and near times, against all pairs; many copies of one hash; odd rows."""
     rnd = random.Random(3)
