@@ -11,7 +11,9 @@ at each word, a text would be parsed, and all that leads to a member be walked,
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
+from itertools import groupby
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -24,7 +26,7 @@ from strandline.operators.manifest import CONTRACT, INTEGRITY, MOST_FRAMES, STAT
 Definition = dict[str, Any]
 WORDS = {"ref", "type", "const", "enum", "minLength", "maxLength", "pattern", "format", "minimum", "maximum", "minItems", "maxItems", "items", "required", "properties", "closed", "anyOf", "allOf", "if", "then", "else", "not"}
 _FOUND = "array<struct<path: string, keyword: string>>"
-_KINDS = {"STRING": "string", "BOOLEAN": "boolean", "VOID": "null", "OBJECT": "object", "ARRAY": "array", "BIGINT": "number", "DECIMAL": "number", "DOUBLE": "number", "FLOAT": "number"}
+_KINDS = {"STRING": "string", "BIGINT": "number", "BOOLEAN": "boolean", "VOID": "null", "DECIMAL": "number", "DOUBLE": "number", "FLOAT": "number"}
 
 
 def text(least: int | None = None, most: int | None = None, pattern: str | None = None, **more: Any) -> Definition:
@@ -80,59 +82,113 @@ DEFINITIONS: dict[str, Definition] = {
 }
 
 
+@dataclass(frozen=True)
+class Value:
+    """A JSON value, its type, and its text and number if it is one."""
+
+    value: Column
+    kind: Column
+    string: Column
+    number: Column
+
+
 def _kind(v: Column) -> Column:
-    """The JSON type of a value, where whole numbers are numbers."""
-    names = F.create_map(*[F.lit(x) for pair in _KINDS.items() for x in pair])
-    return names[F.substring_index(F.substring_index(F.schema_of_variant(v), "<", 1), "(", 1)]
+    """The JSON type of a value, where whole numbers are numbers.
+
+    Objects and arrays are told first, by casts that keep no members: their schema would be worked out down to the last member,
+    at each level again.
+    """
+
+    def scalar(name: Column) -> Column:
+        return reduce(lambda found, pair: found.when(name.startswith(pair[0]), pair[1]), list(_KINDS.items())[1:], F.when(name.startswith("STRING"), "string"))
+
+    is_ = lambda kind: F.try_variant_get(v, "$", kind).isNotNull()
+    return F.when(is_("struct<>"), "object").when(is_("array<struct<>>"), "array").otherwise(_held(F.schema_of_variant(v), scalar, "string"))
 
 
 def _number(v: Column) -> Column:
     return F.try_variant_get(v, "$", "decimal(38,9)")
 
 
-def _equals(v: Column, kind: Column, x: Any) -> Column:
+def _equals(v: Value, x: Any) -> Column:
     if x is None:
-        return kind == "null"
+        return v.kind == "null"
     if isinstance(x, bool):
-        return (kind == "boolean") & (F.try_variant_get(v, "$", "boolean") == x)
+        return (v.kind == "boolean") & (F.try_variant_get(v.value, "$", "boolean") == x)
     if isinstance(x, str):
-        return (kind == "string") & (F.try_variant_get(v, "$", "string") == x)
-    return (kind == "number") & (_number(v) == x)
+        return (v.kind == "string") & (v.string == x)
+    return (v.kind == "number") & (v.number == x)
+
+
+def _is(v: Value, name: str) -> Column:
+    return (v.kind == "number") & F.coalesce(v.number == F.floor(v.number), F.lit(False)) if name == "integer" else v.kind == name
 
 
-def _is(kind: Column, v: Column, name: str) -> Column:
-    return (kind == "number") & F.coalesce(_number(v) == F.floor(_number(v)), F.lit(False)) if name == "integer" else kind == name
+def _held(value: Column, body: Callable[[Column], Column], kind: str = _FOUND) -> Column:
+    """``body``, of type ``kind``, of a value that is worked out once.
+
+    A fold over one value: taking an element of a transformed array would work out the type of all that is within, row by row.
+    """
+    return F.aggregate(F.array(value), F.lit(None).cast(kind), lambda _, x: body(x))
+
+
+@dataclass(frozen=True)
+class One:
+    """A violation, or null."""
+
+    found: Column
 
 
-def _held(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once."""
-    return F.get(F.transform(F.array(value), body), 0)
+def _joined(parts: list[Column | One]) -> Column:
+    """The violations of all parts in their order: single ones go into one array, so that few arrays are put together."""
+    arrays = []
+    for single, group in groupby(parts, lambda x: isinstance(x, One)):
+        arrays += [F.array_compact(F.array(*[x.found for x in group]))] if single else group
+    return F.concat(*arrays) if len(arrays) > 1 else arrays[0] if arrays else F.array().cast(_FOUND)
 
 
 def _path(parts: list[str | Column]) -> Column:
     return F.concat_ws("/", *[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts]) if parts else F.lit("")
 
 
+def _flat(d: Definition, named: dict[str, Definition]) -> list[Definition]:
+    """``d`` and the definitions that it applies to the same value."""
+    others = [named[d["ref"]]] if "ref" in d else []
+    others += [*d.get("anyOf", []), *d.get("allOf", []), *[d[w] for w in ("not", "if", "then", "else") if w in d]]
+    return [d, *[x for other in others for x in _flat(other, named)]]
+
+
 def _check(d: Definition, v: Column, path: list[str | Column], named: dict[str, Definition]) -> Column:
-    """The violations of one value that is there."""
-    return _held(v, lambda x: _held(_kind(x), lambda kind: _violations(d, x, kind, path, named)))
+    """The violations of one value that is there; its text and its number are held if a word looks at them."""
+    flat = _flat(d, named)
+    wanted = [x for w in flat for x in ([w["const"]] if "const" in w else w.get("enum", []))]
+    strings = any({"minLength", "maxLength", "pattern", "format"} & set(w) for w in flat) or any(isinstance(x, str) for x in wanted)
+    numbers = any({"minimum", "maximum"} & set(w) or "integer" in w.get("type", []) for w in flat) or any(isinstance(x, (int, float)) and not isinstance(x, bool) for x in wanted)
+
+    def of(x: Column, kind: Column) -> Column:
+        string, number = F.when(kind == "string", F.try_variant_get(x, "$", "string")), F.when(kind == "number", _number(x))
+        found = lambda s, n: _violations(d, Value(x, kind, s, n), path, named)
+        with_number = lambda s: _held(number, lambda n: found(s, n)) if numbers else found(s, number)
+        return _held(string, with_number) if strings else with_number(string)
+
+    return _held(v, lambda x: _held(_kind(x), lambda kind: of(x, kind)))
 
 
-def _violations(d: Definition, v: Column, kind: Column, path: list[str | Column], named: dict[str, Definition]) -> Column:
-    """The violations of a value of a type, both held."""
+def _violations(d: Definition, v: Value, path: list[str | Column], named: dict[str, Definition]) -> Column:
+    """The violations of a value that is held."""
     unknown = set(d) - WORDS
     if unknown:
         raise ValueError(f"words that are not known: {sorted(unknown)}")
     none = F.array().cast(_FOUND)
-    found: list[Column] = []
-    string, n = F.try_variant_get(v, "$", "string"), _number(v)
+    found: list[Column | One] = []
+    kind, string, n = v.kind, v.string, v.number
 
-    def wrong(ok: Column, keyword: str, about: str | None = None) -> Column:
+    def wrong(ok: Column, keyword: str, about: str | None = None) -> One:
         bad = ~F.coalesce(ok, F.lit(False)) if about is None else (kind == about) & ~F.coalesce(ok, F.lit(False))
-        return F.when(bad, F.array(F.struct(_path(path).alias("path"), F.lit(keyword).alias("keyword")))).otherwise(none)
+        return One(F.when(bad, F.struct(_path(path).alias("path"), F.lit(keyword).alias("keyword"))))
 
     def of(other: Definition) -> Column:
-        return _violations(other, v, kind, path, named)
+        return _violations(other, v, path, named)
 
     def sound(other: Definition) -> Column:
         return F.size(of(other)) == 0
@@ -141,11 +197,11 @@ def _violations(d: Definition, v: Column, kind: Column, path: list[str | Column]
         found.append(of(named[d["ref"]]))
     if "type" in d:
         names = d["type"] if isinstance(d["type"], list) else [d["type"]]
-        found.append(wrong(reduce(lambda a, b: a | b, [_is(kind, v, t) for t in names]), "type"))
+        found.append(wrong(reduce(lambda a, b: a | b, [_is(v, t) for t in names]), "type"))
     if "const" in d:
-        found.append(wrong(_equals(v, kind, d["const"]), "const"))
+        found.append(wrong(_equals(v, d["const"]), "const"))
     if "enum" in d:
-        found.append(wrong(reduce(lambda a, b: a | b, [_equals(v, kind, x) for x in d["enum"]]), "enum"))
+        found.append(wrong(reduce(lambda a, b: a | b, [_equals(v, x) for x in d["enum"]]), "enum"))
     for word, ok, about in (
         ("minLength", lambda x: F.length(string) >= x, "string"), ("maxLength", lambda x: F.length(string) <= x, "string"), ("pattern", lambda x: F.rlike(string, F.lit(x)), "string"),
         ("format", lambda x: F.try_to_timestamp(string).isNotNull() if x == "date-time" else F.lit(True), "string"),
@@ -156,27 +212,27 @@ def _violations(d: Definition, v: Column, kind: Column, path: list[str | Column]
     if {"minItems", "maxItems", "items"} & set(d):
 
         def of_items(items: Column) -> Column:
-            parts = []
+            parts: list[Column | One] = []
             if "minItems" in d:
                 parts.append(wrong(F.size(items) >= d["minItems"], "minItems", "array"))
             if "maxItems" in d:
                 parts.append(wrong(F.size(items) <= d["maxItems"], "maxItems", "array"))
             if "items" in d:
                 parts.append(F.flatten(F.transform(items, lambda x, i: _check(d["items"], x, [*path, i], named))))
-            return F.concat(*parts)
+            return _joined(parts)
 
-        found.append(F.when(kind == "array", _held(F.try_variant_get(v, "$", "array<variant>"), of_items)).otherwise(none))
+        found.append(F.when(kind == "array", _held(F.try_variant_get(v.value, "$", "array<variant>"), of_items)).otherwise(none))
     if {"required", "properties", "closed"} & set(d):
 
         def of_members(members: Column) -> Column:
-            parts = [wrong(members[name].isNotNull(), "required") for name in d.get("required", [])]
+            parts: list[Column | One] = [wrong(members[name].isNotNull(), "required") for name in d.get("required", [])]
             if d.get("closed"):
-                parts.append(wrong(F.size(F.array_except(F.map_keys(members), F.array(*[F.lit(x) for x in d.get("properties", {})]))) == 0, "additionalProperties"))
+                parts.append(wrong(F.forall(F.map_keys(members), lambda name: name.isin(list(d.get("properties", {})))), "additionalProperties"))
             for name, other in d.get("properties", {}).items():
                 parts.append(F.when(members[name].isNotNull(), _check(other, members[name], [*path, name], named)).otherwise(none))
-            return F.concat(*parts) if parts else none
+            return _joined(parts)
 
-        found.append(F.when(kind == "object", _held(F.try_variant_get(v, "$", "map<string,variant>"), of_members)).otherwise(none))
+        found.append(F.when(kind == "object", _held(F.try_variant_get(v.value, "$", "map<string,variant>"), of_members)).otherwise(none))
     if "anyOf" in d:
         found.append(wrong(reduce(lambda a, b: a | b, [sound(x) for x in d["anyOf"]]), "anyOf"))
     for other in d.get("allOf", []):
@@ -186,7 +242,7 @@ def _violations(d: Definition, v: Column, kind: Column, path: list[str | Column]
     if "if" in d:
         then, otherwise = [of(d[w]) if w in d else none for w in ("then", "else")]
         found.append(F.when(sound(d["if"]), then).otherwise(otherwise))
-    return F.concat(*found) if found else none
+    return _joined(found)
 
 
 def compile_definition(definition: str | Definition, document: Column, named: dict[str, Definition] = DEFINITIONS) -> Column:

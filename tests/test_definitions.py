@@ -69,6 +69,22 @@ def test_values_are_worked_out_once(spark, name):
     assert plan.lower().count("parse_json") + plan.lower().count("parsejson") == 1 and plan.lower().count("array<variant>") + plan.lower().count("arraytype(varianttype") <= 2
 
 
+def test_types_are_told_without_schemas(spark):
+    """Objects and arrays of anything are told from scalars, and their schema is not worked out; nothing takes an element of an array just made."""
+    texts = {
+        "object": ["{}", '{"a": [1, {}]}'], "array": ["[]", "[1]", '["a", null, [2], {"b": 1}]', "[[]]", "[{}]"], "string": ['""', '"OBJECT<>"', '"[]"', '"12"'], "boolean": ["true", "false"], "null": ["null"],
+        "number": ["0", "-12", "1.5", "1e3", "1e300", "12345678901234567890123"],
+    }
+    df = spark.createDataFrame([(kind, x) for kind, xs in texts.items() for x in xs], "kind string, doc string")
+    names = ["object", "array", "string", "boolean", "null", "number"]
+    found = df.select("kind", "doc", *[(F.size(definitions.compile_definition({"type": n}, F.col("doc"))) == 0).alias(n) for n in names]).collect()
+    assert [(r.doc, [n for n in names if r[n]]) for r in found] == [(r.doc, [r.kind]) for r in found]
+    plan = definitions.violations(df, "doc", "error")._jdf.queryExecution().analyzed().toString()
+    i = plan.index("schema_of_variant")
+    assert "struct<>" in plan[:i].lower() or "structtype()" in plan[:i].lower() or "StructType" in plan[:i]
+    assert "get(transform(" not in plan.replace("\n", "")
+
+
 def test_not_and_all_of(spark):
     d = {"allOf": [{"type": "string"}, {"minLength": 2}], "not": {"pattern": "\\s"}}
     found = spark.range(1).select(*[definitions.compile_definition(d, F.lit(x)).alias(f"c{k}") for k, x in enumerate(('"ab"', '"a b"', '"a"', "1"))]).first()
